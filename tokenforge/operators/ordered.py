@@ -72,42 +72,53 @@ def assign_chunks(df: DataFrame, keys: Sequence[str], chunk_value: Column,
 def keyed_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                chunk_value: Column, sums: dict[str, Column] | None = None,
                index_col: str | None = "idx",
-               rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Running (inclusive) sums and a 0-based row index per key.
+               rows_per_chunk: int = ROWS_PER_CHUNK,
+               maxes: dict[str, Column] | None = None) -> DataFrame:
+    """Running (inclusive) sums / maxima and a 0-based row index per key.
 
     ``order`` must be a total order inside each key (add a unique tiebreak) and
-    ``chunk_value`` must be non-decreasing along it.  ``sums`` maps an output
-    column name to the expression whose running sum it receives.
+    ``chunk_value`` must be non-decreasing along it.  ``sums`` / ``maxes`` map an
+    output column name to the expression whose running sum / max it receives
+    (nulls are ignored, as in SQL aggregates; a running max of a monotone
+    position gives an as-of lookup).
     """
-    sums = dict(sums or {})
+    sums, maxes = dict(sums or {}), dict(maxes or {})
     d = assign_chunks(df, keys, chunk_value, rows_per_chunk)
     part = [*keys, _CHUNK]
     w = (Window.partitionBy(*part).orderBy(*_cols(order))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    tmp = {}
+    # (output name, kind, per-row value column)
+    specs = []
     if index_col:
-        d = d.withColumn("_tf_lcnt", F.count(F.lit(1)).over(w))
-        tmp["_tf_lcnt"] = F.lit(1)
-    for name, expr in sums.items():
-        d = d.withColumn(f"_tf_v_{name}", expr).withColumn(
-            f"_tf_l_{name}", F.sum(F.col(f"_tf_v_{name}")).over(w))
-        tmp[f"_tf_l_{name}"] = F.col(f"_tf_v_{name}")
-    # per-chunk totals -> exclusive prefix over the chunks of a key
-    totals = d.groupBy(*part).agg(*[
-        F.sum(v).alias(f"_tf_t{i}") for i, v in enumerate(
-            [F.lit(1) if k == "_tf_lcnt" else F.col(f"_tf_v_{k[6:]}") for k in tmp])])
+        d = d.withColumn("_tf_v_idx", F.lit(1).cast("long"))
+        specs.append((index_col, "count", "_tf_v_idx"))
+    for i, (name, expr) in enumerate(sums.items()):
+        d = d.withColumn(f"_tf_vs{i}", expr)
+        specs.append((name, "sum", f"_tf_vs{i}"))
+    for i, (name, expr) in enumerate(maxes.items()):
+        d = d.withColumn(f"_tf_vm{i}", expr)
+        specs.append((name, "max", f"_tf_vm{i}"))
+    agg = {"count": F.sum, "sum": F.sum, "max": F.max}
+    for j, (_, kind, v) in enumerate(specs):
+        d = d.withColumn(f"_tf_l{j}", agg[kind](F.col(v)).over(w))
+    # per-chunk totals -> exclusive prefix over the earlier chunks of the key
+    totals = d.groupBy(*part).agg(*[agg[kind](F.col(v)).alias(f"_tf_t{j}")
+                                    for j, (_, kind, v) in enumerate(specs)])
     wc = (Window.partitionBy(*keys).orderBy(_CHUNK)
           .rowsBetween(Window.unboundedPreceding, -1))
     offs = totals.select(*part, *[
-        F.coalesce(F.sum(f"_tf_t{i}").over(wc), F.lit(0)).alias(f"_tf_o{i}")
-        for i in range(len(tmp))])
+        agg[kind](F.col(f"_tf_t{j}")).over(wc).alias(f"_tf_o{j}")
+        for j, (_, kind, _v) in enumerate(specs)])
     d = _join_small(d, offs, part)
-    for i, k in enumerate(tmp):
-        if k == "_tf_lcnt":
-            d = d.withColumn(index_col, (F.col(k) + F.col(f"_tf_o{i}") - 1).cast("long"))
+    for j, (name, kind, _v) in enumerate(specs):
+        local, off = F.col(f"_tf_l{j}"), F.col(f"_tf_o{j}")
+        if kind == "count":
+            d = d.withColumn(name, (local + F.coalesce(off, F.lit(0)) - 1).cast("long"))
+        elif kind == "sum":
+            d = d.withColumn(name, F.when(local.isNull() & off.isNull(), F.lit(None))
+                             .otherwise(F.coalesce(local, F.lit(0)) + F.coalesce(off, F.lit(0))))
         else:
-            name = k[6:]
-            d = d.withColumn(name, F.col(k) + F.col(f"_tf_o{i}"))
+            d = d.withColumn(name, F.greatest(local, off))
     drop = [c for c in d.columns if c.startswith("_tf_")]
     return d.drop(*drop)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus_queries  # noqa: F401
+from . import combine_queries, corpus_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
