@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .core import let
+
 IGNORE = -100
 
 
@@ -106,8 +108,8 @@ def not_equal_mask(ids, pad=0) -> Column:
 
 def prefix_mask(n: int, keep) -> Column:
     """``mask[:keep] = 1`` over ``n`` positions."""
-    return F.transform(F.sequence(F.lit(1), F.lit(n)),
-                       lambda i: F.when(i <= _lit(keep), 1).otherwise(0))
+    return let(_lit(keep), lambda k: F.transform(F.sequence(F.lit(1), F.lit(n)),
+                                                 lambda i: F.when(i <= k, 1).otherwise(0)))
 
 
 def count_not(arr, value) -> Column:

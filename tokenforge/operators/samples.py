@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tokens as T
+from ..functions.core import let
 from ..functions.text import ensure_suffix
 from . import turns as TU
 
@@ -61,9 +62,10 @@ def template_builder(turns, max_len: int, is_llama: bool = False, tok: Tok = _de
         labels = F.concat(F.slice(labels, 2, 1 << 30), T.int_array([IGN]))
     else:
         ids = body
-    long_ = F.size(ids) > max_len
-    out_ids = F.when(long_, F.slice(ids, 1, max_len)).otherwise(T.pad_to(ids, max_len, pad))
-    out_lab = F.when(long_, F.slice(labels, 1, max_len)).otherwise(T.pad_to(labels, max_len, IGN))
+    out_ids = let(ids, lambda a: F.when(F.size(a) > max_len, F.slice(a, 1, max_len))
+                  .otherwise(T.pad_to(a, max_len, pad)))
+    out_lab = let(F.struct(F.size(ids).alias("n"), labels.alias("l")), lambda r: F.when(
+        r["n"] > max_len, F.slice(r["l"], 1, max_len)).otherwise(T.pad_to(r["l"], max_len, IGN)))
     return out_ids, out_lab
 
 
@@ -77,9 +79,15 @@ def from_value_builder(conversations, max_len: int, tok: Tok = _default_tok, bos
     ids = F.concat(T.int_array([bos]), F.flatten(F.transform(tt, lambda x: x["c"])))
     labels = F.concat(F.flatten(F.transform(tt, lambda x: F.when(x["g"], x["c"]).otherwise(_ign(F.size(x["c"]))))),
                       T.int_array([eos]))
-    long_ = F.size(ids) > max_len
-    return (F.when(long_, F.slice(ids, 1, max_len)).otherwise(ids),
-            F.when(long_, F.slice(labels, 1, max_len)).otherwise(labels))
+    return _cut_pair(ids, labels, max_len)
+
+
+def _cut_pair(ids: Column, labels: Column, max_len: int) -> tuple[Column, Column]:
+    """Cut ids and labels to ``max_len`` when the ids are longer (each built once)."""
+    ids_out = let(ids, lambda a: F.when(F.size(a) > max_len, F.slice(a, 1, max_len)).otherwise(a))
+    lab_out = let(F.struct(F.size(ids).alias("n"), labels.alias("l")), lambda r: F.when(
+        r["n"] > max_len, F.slice(r["l"], 1, max_len)).otherwise(r["l"]))
+    return ids_out, lab_out
 
 
 ROLE_INLINE = {"user": "User : ", "assistant": "Assistant : ", "system": "System : "}
@@ -97,9 +105,7 @@ def role_text_builder(turns, max_len: int, tok: Tok = _default_tok, bos: int = 1
     ids = F.concat(T.int_array([bos]), F.flatten(F.transform(tt, lambda x: x["c"])))
     labels = F.concat(F.flatten(F.transform(tt, lambda x: F.when(x["a"], x["c"]).otherwise(_ign(F.size(x["c"]))))),
                       T.int_array([eos]))
-    long_ = F.size(ids) > max_len
-    return (F.when(long_, F.slice(ids, 1, max_len)).otherwise(ids),
-            F.when(long_, F.slice(labels, 1, max_len)).otherwise(labels))
+    return _cut_pair(ids, labels, max_len)
 
 
 def with_span_mask(df: DataFrame, seq: str, min_len: Column, start_marker: list[int],
@@ -111,16 +117,17 @@ def with_span_mask(df: DataFrame, seq: str, min_len: Column, start_marker: list[
     value carries forward; a match must fit inside ``min_len``; positions from
     ``min_len`` on are 0; position 0 is dropped from the result.
     """
-    s = F.col(seq)
     t_off, t_on = T.int_array(stop_marker), T.int_array(start_marker)
-    d = df.withColumn("_sm_ml", min_len)
-    ml = F.col("_sm_ml")
-    d = d.withColumn("_sm_ev", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(
-        (i <= ml - len(stop_marker)) & (F.slice(s, i + 1, len(stop_marker)) == t_off), F.lit(0))
-        .when((i <= ml - len(start_marker)) & (F.slice(s, i + 1, len(start_marker)) == t_on), F.lit(1))))
-    d = d.withColumn("_sm_c", _carry(F.col("_sm_ev")))
-    d = d.withColumn(out, F.slice(F.transform("_sm_c", lambda c, i: F.when(i >= ml, F.lit(0)).otherwise(c)), 2, n - 1))
-    return d.drop("_sm_ml", "_sm_ev", "_sm_c")
+
+    def events(s, ml):
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(
+            (i <= ml - len(stop_marker)) & (F.slice(s, i + 1, len(stop_marker)) == t_off), F.lit(0))
+            .when((i <= ml - len(start_marker)) & (F.slice(s, i + 1, len(start_marker)) == t_on), F.lit(1)))
+
+    def mask(ml):
+        return let(_carry(let(F.col(seq), lambda s: events(s, ml))), lambda c: F.slice(
+            F.transform(c, lambda v, i: F.when(i >= ml, F.lit(0)).otherwise(v)), 2, n - 1))
+    return df.withColumn(out, let(min_len, mask))
 
 
 def _carry(ev: Column) -> Column:
@@ -138,9 +145,9 @@ def _marker_events(s: Column, marker: list[int], off_token: int, n: int) -> Colu
     m = len(marker)
     t = T.int_array(marker)
     # the reference tests "on" before "off" at the same position, so off wins
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(
-        i < m - 1, F.lit(None)).when(F.try_element_at(s, i + 1) == off_token, F.lit(0))
-        .when(F.slice(s, F.greatest(i - m + 2, F.lit(1)), m) == t, F.lit(1)))
+    return let(s, lambda q: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(
+        i < m - 1, F.lit(None)).when(F.try_element_at(q, i + 1) == off_token, F.lit(0))
+        .when(F.slice(q, F.greatest(i - m + 2, F.lit(1)), m) == t, F.lit(1))))
 
 
 def with_marker_mask(df: DataFrame, seq: str, marker: list[int], off_token: int, n: int,

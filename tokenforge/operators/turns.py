@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.core import let
 from ..functions.text import ensure_suffix, strip_ws
 
 # ---------------------------------------------------------------------------
@@ -132,9 +133,9 @@ def prompt_prefixes(data) -> Column:
     pieces = F.transform(data, lambda x, i: F.when(i % 2 == 0, F.concat(F.lit(LLAMA_USER_HEADER), x, F.lit(LLAMA_EOT)))
                          .otherwise(F.concat(F.lit(LLAMA_ASSISTANT_HEADER), x, F.lit(LLAMA_EOT))))
     idx = F.filter(F.sequence(F.lit(0), F.size(data) - 1), lambda i: i % 2 == 0)
-    return F.transform(idx, lambda i: F.struct(
+    return let(pieces, lambda pcs: F.transform(idx, lambda i: F.struct(
         (i / 2).cast("long").alias("k"),
-        F.concat(F.array_join(F.slice(pieces, 1, i + 1), ""), F.lit(LLAMA_ASSISTANT_HEADER)).alias("prompt")))
+        F.concat(F.array_join(F.slice(pcs, 1, i + 1), ""), F.lit(LLAMA_ASSISTANT_HEADER)).alias("prompt"))))
 
 
 def budget_keep(totals, limit: int, inclusive: bool = True) -> Column:
@@ -145,7 +146,7 @@ def budget_keep(totals, limit: int, inclusive: bool = True) -> Column:
     The pair that crosses the limit is kept.
     """
     stop = (lambda x: x >= F.lit(limit)) if inclusive else (lambda x: x > F.lit(limit))
-    return F.transform(totals, lambda x, i: ~F.exists(F.slice(totals, 1, i), stop))
+    return let(totals, lambda tt: F.transform(tt, lambda x, i: ~F.exists(F.slice(tt, 1, i), stop)))
 
 
 # ------------------------------------------------------------------ parsers
@@ -201,13 +202,15 @@ def parse_tag_pairs(text, user_tag: str = LLAMA_USER_HEADER,
     first user tag without a following assistant tag.
     """
     pieces = F.slice(F.split(text, r"\Q" + user_tag + r"\E"), 2, 1 << 30)
-    pos = F.transform(pieces, lambda p: F.locate(assistant_tag, p))
-    good = F.transform(pos, lambda x, i: ~F.exists(F.slice(pos, 1, i + 1), lambda y: y == 0))
-    n_ok = F.size(F.filter(good, lambda g: g))
-    ok = F.slice(F.arrays_zip(pieces.alias("p"), pos.alias("at")), 1, n_ok)
-    return F.flatten(F.transform(ok, lambda r: F.array(
-        F.substring(r["p"], 1, r["at"] - 1),
-        F.substring(r["p"], r["at"] + len(assistant_tag), 1 << 30))))
+    zipped = F.transform(pieces, lambda p: F.struct(p.alias("p"), F.locate(assistant_tag, p).alias("at")))
+
+    def cut(z):
+        first_bad = F.array_position(F.transform(z, lambda r: r["at"] == 0), True)
+        n_ok = F.when(first_bad == 0, F.size(z)).otherwise(first_bad - 1)
+        return F.flatten(F.transform(F.slice(z, 1, n_ok), lambda r: F.array(
+            F.substring(r["p"], 1, r["at"] - 1),
+            F.substring(r["p"], r["at"] + len(assistant_tag), 1 << 30))))
+    return let(zipped, cut)
 
 
 __all__ = [n for n in dir() if not n.startswith("_")] + ["ensure_suffix"]
