@@ -26,3 +26,10 @@ def running_sum(arr: Column) -> Column:
     return F.aggregate(arr, init, lambda acc, v: F.struct(
         (acc["s"] + v).alias("s"), F.concat(acc["o"], F.array(acc["s"] + v)).alias("o")),
         lambda acc: acc["o"])
+
+
+def micros(ts) -> Column:
+    """Microseconds since the epoch of a TIMESTAMP or TIMESTAMP_NTZ column
+    (NTZ values are read as UTC wall-clock time)."""
+    c = F.col(ts) if isinstance(ts, str) else ts
+    return F.unix_micros(F.to_utc_timestamp(c.cast("timestamp_ntz").cast("timestamp"), F.current_timezone()))
