@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.core import micros
 
@@ -109,6 +110,11 @@ def lag_delta(df: DataFrame, keys: Sequence[str], step: str, value: str, out: st
 
 
 # ------------------------------------------------------------------ blocked recurrences
+def _schema_plus(schema: StructType, doubles: list[str]) -> StructType:
+    """A new schema with extra double columns (never mutate a DataFrame's schema)."""
+    return StructType(list(schema.fields) + [StructField(n, DoubleType()) for n in doubles])
+
+
 def _blocked(df: DataFrame, keys: Sequence[str], step: str, block: int) -> DataFrame:
     return df.withColumn("_blk", F.floor(F.col(step) / block).cast("long"))
 
@@ -126,7 +132,7 @@ def gated_running_sum(df: DataFrame, keys: Sequence[str], step: str, x: str, g:
     """
     keys = list(keys)
     d = _blocked(df, keys, step, block)
-    schema_local = d.select(*keys, "_blk", step).schema.add("_hl", "double").add("_gl", "double")
+    schema_local = _schema_plus(d.select(*keys, "_blk", step).schema, ["_hl", "_gl"])
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(step)
@@ -144,7 +150,7 @@ def gated_running_sum(df: DataFrame, keys: Sequence[str], step: str, x: str, g:
 
     loc = d.select(*keys, "_blk", step, x, g).groupBy(*keys, "_blk").applyInPandas(local, schema_local)
     summ = loc.groupBy(*keys, "_blk").agg(F.max_by("_hl", step).alias("_H"), F.max_by("_gl", step).alias("_G"))
-    schema_chain = summ.select(*keys, "_blk").schema.add("_hprev", "double")
+    schema_chain = _schema_plus(summ.select(*keys, "_blk").schema, ["_hprev"])
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_blk")
@@ -167,7 +173,7 @@ def running_logsumexp(df: DataFrame, keys: Sequence[str], step: str, x: str, out
     prefix (chained on the small summary table) folded in with ``logaddexp``."""
     keys = list(keys)
     d = _blocked(df, keys, step, block)
-    schema_local = d.select(*keys, "_blk", step).schema.add("_ll", "double")
+    schema_local = _schema_plus(d.select(*keys, "_blk", step).schema, ["_ll"])
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(step)
@@ -177,7 +183,7 @@ def running_logsumexp(df: DataFrame, keys: Sequence[str], step: str, x: str, out
 
     loc = d.select(*keys, "_blk", step, x).groupBy(*keys, "_blk").applyInPandas(local, schema_local)
     summ = loc.groupBy(*keys, "_blk").agg(F.max_by("_ll", step).alias("_T"))
-    schema_chain = summ.select(*keys, "_blk").schema.add("_prev", "double")
+    schema_chain = _schema_plus(summ.select(*keys, "_blk").schema, ["_prev"])
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_blk")

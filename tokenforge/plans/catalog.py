@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_queries, combine_queries, corpus_queries, loss_queries, metrics_queries  # noqa: F401
+from . import chat_queries, combine_queries, corpus_queries, infer_queries, loss_queries, metrics_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
