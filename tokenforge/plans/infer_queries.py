@@ -215,7 +215,7 @@ WITH a AS (SELECT conv_id, turn, text,
                                      'low_level_keywords': [split_part(text, ' ', 3)]}}) END AS answer
            FROM conversations WHERE role = 'user'),
 p AS (SELECT conv_id, turn, json_valid(answer) AS ok,
-             CASE WHEN json_valid(answer) THEN answer END::JSON AS j FROM a)
+             try_cast(answer AS JSON) AS j FROM a)
 SELECT conv_id, turn, 'high' AS level, unnest((j->'high_level_keywords')::VARCHAR[]) AS keyword FROM p WHERE ok
 UNION ALL
 SELECT conv_id, turn, 'low', unnest((j->'low_level_keywords')::VARCHAR[]) FROM p WHERE ok
