@@ -212,7 +212,7 @@ def q_merge_entities(spark, sf_dir):
 WITH a AS (SELECT conv_id, turn, text,
                   CASE WHEN turn % 5 = 2 THEN '{{"high_level_keywords": ["' || split_part(text, ' ', 1)
                        ELSE to_json({{'high_level_keywords': [split_part(text, ' ', 1), split_part(text, ' ', 2)],
-                                     'low_level_keywords': [split_part(text, ' ', 3)]}}) END AS answer
+                                     'low_level_keywords': [split_part(text, ' ', 3)]}})::VARCHAR END AS answer
            FROM conversations WHERE role = 'user'),
 p AS (SELECT conv_id, turn, json_valid(answer) AS ok,
              try_cast(answer AS JSON) AS j FROM a)
