@@ -34,21 +34,23 @@ def with_offsets(store: DataFrame, order: list[str], chunk_value: Column,
 
 
 def asof_start(points: DataFrame, key: str, pos: str, starts: DataFrame, start: str,
-               out: str = "cstart") -> DataFrame:
-    """``(key, pos, out)``: for each point the greatest ``start <= pos`` (null if none).
+               out: str = "cstart", by: list[str] | None = None) -> DataFrame:
+    """``(by..., key, pos, out)``: for each point the greatest ``start <= pos``
+    within the same ``by`` group (null if none).
 
     Starts and points are unioned and ordered by position, starts first on
     ties; a running max of the starts then is the as-of answer.  Ties between
     points do not change the value, so no further tiebreak is needed.
     """
+    by = list(by or [])
     ktype = points.schema[key].dataType
-    p = points.select(F.col(key).alias("_key"), F.col(pos).cast("long").alias("_p"),
+    p = points.select(*by, F.col(key).alias("_key"), F.col(pos).cast("long").alias("_p"),
                       F.lit(1).alias("_k"), F.lit(None).cast("long").alias("_s"))
-    s = starts.select(F.lit(None).cast(ktype).alias("_key"), F.col(start).cast("long").alias("_p"),
+    s = starts.select(*by, F.lit(None).cast(ktype).alias("_key"), F.col(start).cast("long").alias("_p"),
                       F.lit(0).alias("_k"), F.col(start).cast("long").alias("_s"))
-    r = keyed_scan(p.unionByName(s), [], ["_p", "_k"], F.col("_p"),
+    r = keyed_scan(p.unionByName(s), by, ["_p", "_k"], F.col("_p"),
                    maxes={out: F.col("_s")}, index_col=None)
-    return r.where(F.col("_k") == 1).select(F.col("_key").alias(key), F.col("_p").alias(pos), out)
+    return r.where(F.col("_k") == 1).select(*by, F.col("_key").alias(key), F.col("_p").alias(pos), out)
 
 
 def range_lookup(points: DataFrame, key: str, pos: str, intervals: DataFrame,

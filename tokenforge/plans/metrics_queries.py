@@ -318,3 +318,20 @@ def q_config_defaults(spark, sf_dir):
     m = F.from_json("props", "map<string,bigint>")
     return ev.select("event_id", F.coalesce(F.try_element_at(m, F.lit("k")), F.lit(0).cast("long")).alias("k"),
                      F.coalesce(F.try_element_at(m, F.lit("lr")), F.lit(3).cast("long")).alias("lr"))
+
+
+@query("ttl_dedup", sql="""
+WITH RECURSIVE t AS (SELECT event_type AS k, epoch_us(ts) AS t, min(event_id) AS rep FROM events GROUP BY ALL),
+nx AS (SELECT a.k, a.t, (SELECT min(b.t) FROM t b WHERE b.k = a.k AND b.t >= a.t + 300000000) AS nt FROM t a),
+chain AS (SELECT k, min(t) AS t FROM t GROUP BY k
+          UNION ALL
+          SELECT nx.k, nx.nt FROM chain JOIN nx ON nx.k = chain.k AND nx.t = chain.t WHERE nx.nt IS NOT NULL)
+SELECT e.event_id, e.event_type, NOT (c.t IS NOT NULL AND e.event_id = t.rep) AS cached
+FROM events e JOIN t ON t.k = e.event_type AND t.t = epoch_us(e.ts) LEFT JOIN chain c ON c.k = t.k AND c.t = t.t""")
+def q_ttl_dedup(spark, sf_dir):
+    """Prompt cache with a 300 s TTL from insertion, keyed by event type:
+    which requests are served from the cache (ST2 batch twin, Q11)."""
+    from ..operators.dedup import ttl_cache_hits
+    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "event_type"])
+    r = ttl_cache_hits(ev, "event_type", micros("ts"), "event_id", 300_000_000)
+    return r.select("event_id", "event_type", "cached")
