@@ -33,3 +33,16 @@ def micros(ts) -> Column:
     (NTZ values are read as UTC wall-clock time)."""
     c = F.col(ts) if isinstance(ts, str) else ts
     return F.unix_micros(F.to_utc_timestamp(c.cast("timestamp_ntz").cast("timestamp"), F.current_timezone()))
+
+
+def filter_computed(df, cond: Column):
+    """``df.where(cond)`` for conditions on expensive computed columns.
+
+    A plain filter is pushed below the projection that computes its columns,
+    with the expressions inlined, so the whole array pipeline runs twice (or
+    more).  Emitting the row through a 0/1-element ``explode`` evaluates the
+    projection once and keeps the predicate above it.
+    """
+    cols = df.columns
+    one = F.array(F.struct(*[F.col(c) for c in cols]))
+    return df.select(F.explode(F.when(cond, one).otherwise(F.array())).alias("_fc_r")).select("_fc_r.*")

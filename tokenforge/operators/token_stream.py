@@ -90,7 +90,8 @@ def read_windows(store: DataFrame, requests: DataFrame, req_key: str, pos: str,
     w = F.lit(length)
     rb = req.select("_rk", "_pos", F.explode(F.array(F.floor(F.col("_pos") / w),
                                                      F.floor(F.col("_pos") / w) + 1)).alias("_b"))
-    db = docs.withColumn("_b", F.floor(F.col("start") / w))
+    # only a document's first ``length`` tokens can follow a request's start
+    db = docs.select("start", F.slice("tokens", 1, length).alias("tokens"), F.floor(F.col("start") / w).alias("_b"))
     nxt = (rb.join(db, on="_b", how="inner")
            .where((F.col("start") > F.col("_pos")) & (F.col("start") < F.col("_pos") + w))
            .select("_rk", F.col("start").alias("_ps"),

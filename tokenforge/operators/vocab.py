@@ -53,6 +53,32 @@ def vocab_maps(vocab: DataFrame) -> tuple[Column, Column]:
     return F.map_from_arrays(k, i), F.map_from_arrays(i, k)
 
 
+LUT_LIMIT = 1_114_112
+
+
+def codepoint_lut(vocab: DataFrame) -> Column:
+    """Dense lookup array ``lut[cp] = id`` (-1 where absent) of a bounded
+    vocabulary, as one literal: O(1) per character instead of a map probe
+    (Spark map lookups scan the keys).  Built from one JSON string, so the
+    plan holds a single constant."""
+    import json
+    rows = vocab.select("cp", "id").collect()          # bounded: one row per code point
+    top = max((int(r["cp"]) for r in rows), default=-1)
+    if top >= LUT_LIMIT:
+        raise ValueError("code point out of range")
+    lut = [-1] * (top + 1)
+    for r in rows:
+        lut[int(r["cp"])] = int(r["id"])
+    return F.from_json(F.lit(json.dumps(lut)), "array<long>")
+
+
+def encode_with_lut(text: Column, lut: Column, unk_id: int | None = None) -> Column:
+    """Characters -> dense ids through :func:`codepoint_lut`."""
+    miss = F.lit(unk_id).cast("long") if unk_id is not None else F.lit(None).cast("long")
+    return let(lut, lambda t: F.transform(_chars(text), lambda c: let(
+        F.try_element_at(t, F.ascii(c) + 1), lambda v: F.when(v.isNull() | (v < 0), miss).otherwise(v))))
+
+
 def encode_with_map(text: Column, stoi: Column, unk_id: int | None = None) -> Column:
     """Characters -> dense ids through a literal map (Y2); unknown characters
     get ``unk_id`` (Y3) or null."""

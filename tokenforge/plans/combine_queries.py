@@ -13,6 +13,7 @@ from ..functions import tokens as T
 from ..operators import combine as C
 from ..operators import token_stream as S
 from ..operators.ordered import global_index, keyed_index
+from ..session import materialize
 from ..sources.tables import read_table
 from .corpus_queries import cp_sql
 from .registry import query
@@ -30,7 +31,8 @@ def _docs(spark, sf_dir, *cols):
 def _store(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
     d = d.select("doc_id", "source", T.codepoints("text").alias("tokens"))
-    return S.with_offsets(d, ["doc_id"], F.col("doc_id"))
+    # the store is a stored artifact (the .bin/.idx pair): tokenize once
+    return materialize(S.with_offsets(d, ["doc_id"], F.col("doc_id")))
 
 
 STORE_SQL = f"""

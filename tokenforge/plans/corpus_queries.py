@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import buckets as B
+from ..functions.core import filter_computed
 from ..functions import tokens as T
 from ..operators.corpus import bucket_histogram, corpus_samples, with_inclusive_bucket
 from ..sources.tables import read_table
@@ -173,9 +174,8 @@ def q_pad_to_bucket(spark, sf_dir):
     """Pad each sample to its half-open bucket's upper bound."""
     d = _docs(spark, sf_dir).withColumn("cp", T.codepoints("text", SEQ_MAX))
     lo, hi = B.bucket_half_open(F.size("cp"), STEP, SEQ_MAX)
-    d = (d.withColumn("bucket_lo", lo).withColumn("bucket_hi", hi)
-         .where(F.col("bucket_hi").isNotNull())
-         .withColumn("ids", T.pad_to("cp", F.col("bucket_hi").cast("int"), 0)))
+    d = filter_computed(d.withColumn("bucket_lo", lo).withColumn("bucket_hi", hi), F.col("bucket_hi").isNotNull())
+    d = d.withColumn("ids", T.pad_to("cp", F.col("bucket_hi").cast("int"), 0))
     return d.select("doc_id", "bucket_lo", "bucket_hi",
                     F.size("ids").cast("long").alias("padded_len"),
                     T.count_eq("ids", 0).cast("long").alias("n_pad"),
@@ -218,8 +218,8 @@ WITH {samples_sql(LEN_MAX)}
 SELECT doc_id, real_len::INTEGER AS real_len FROM samples WHERE real_len BETWEEN 257 AND 512""")
 def q_length_filter(spark, sf_dir):
     """Keep samples with ``257 <= real_len <= 512``."""
-    s = _samples(spark, sf_dir, LEN_MAX)
-    return s.where(B.in_range("real_len", 257, 512)).select("doc_id", "real_len")
+    s = _samples(spark, sf_dir, LEN_MAX).select("doc_id", "real_len")
+    return filter_computed(s, B.in_range("real_len", 257, 512))
 
 
 @query("length_dry_run", sql=f"""

@@ -76,8 +76,8 @@ def q_char_encode(spark, sf_dir):
     """Whole texts encoded to dense vocabulary ids (J3, Y2): first 64 ids and
     the id sum over the whole text."""
     d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
-    stoi, _ = V.vocab_maps(V.char_vocab(d))
-    e = d.select("doc_id", V.encode_with_map(F.col("text"), stoi).alias("ids"))
+    lut = V.codepoint_lut(V.char_vocab(d))
+    e = d.select("doc_id", V.encode_with_lut(F.col("text"), lut).alias("ids"))
     return e.select("doc_id", F.array_join(F.transform(F.slice("ids", 1, 64), lambda x: x.cast("string")), ",")
                     .alias("ids_head"),
                     F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
@@ -99,8 +99,8 @@ def q_char_encode_unk(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
     vocab = V.char_vocab(d.where(F.col("lang") == "en"), extra=[UNKNOWN_CHAR])
     unk = vocab.where(F.col("ch") == UNKNOWN_CHAR).first()["id"]
-    stoi, _ = V.vocab_maps(vocab)
-    e = d.select("doc_id", V.encode_with_map(F.col("text"), stoi).alias("raw"))
+    lut = V.codepoint_lut(vocab)
+    e = d.select("doc_id", V.encode_with_lut(F.col("text"), lut).alias("raw"))
     e = e.select("doc_id", F.transform("raw", lambda x: F.coalesce(x, F.lit(unk).cast("long"))).alias("ids"),
                  F.size(F.filter("raw", lambda x: x.isNull())).cast("long").alias("n_unk"))
     return e.select("doc_id", F.array_join(F.transform(F.slice("ids", 1, 64), lambda x: x.cast("string")), ",")
