@@ -106,6 +106,15 @@ def read_lang_split(spark: SparkSession, path: str, lang: str, split: str) -> Da
     return spark.read.parquet(path).where((F.col("lang") == lang) & (F.col("split") == split))
 
 
+_CORRUPT = "_corrupt_record"
+
+
+def _parse_json(value: Column, schema: str) -> Column:
+    """``from_json`` that keeps malformed lines in ``_corrupt_record``."""
+    return F.from_json(value, f"{schema}, {_CORRUPT} string",
+                       {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: str, value: str = "value") -> DataFrame:
     """Line scan, blank lines skipped, each line parsed as JSON.
 
@@ -114,15 +123,15 @@ def read_json_lines(spark: SparkSession, path: str, schema: str, value: str = "v
     """
     lines = spark.read.text(path)
     lines = lines.where(strip_ws(F.col(value)) != "")
-    parsed = lines.select(F.from_json(F.col(value), schema).alias("_j"))
-    return parsed.where(F.col("_j").isNotNull()).select("_j.*")
+    parsed = lines.select(_parse_json(F.col(value), schema).alias("_j"))
+    return parsed.where(F.col(f"_j.{_CORRUPT}").isNull()).select("_j.*").drop(_CORRUPT)
 
 
 def split_bad_json(lines: DataFrame, value: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, quarantined raw lines) without failing the task."""
-    p = lines.withColumn("_j", F.from_json(F.col(value), schema))
-    good = p.where(F.col("_j").isNotNull()).select("_j.*")
-    bad = p.where(F.col("_j").isNull()).select(F.col(value).alias("raw"))
+    p = lines.withColumn("_j", _parse_json(F.col(value), schema))
+    good = p.where(F.col(f"_j.{_CORRUPT}").isNull()).select("_j.*").drop(_CORRUPT)
+    bad = p.where(F.col(f"_j.{_CORRUPT}").isNotNull()).select(F.col(value).alias("raw"))
     return good, bad
 
 
