@@ -147,8 +147,11 @@ def teacher_scores(df: DataFrame, key: str, ids: str, scorer: Callable[[list[lis
 def cosine_stub_scorer(vocab: int = 8) -> Callable[[list[list[int]]], list[list[list[float]]]]:
     """Deterministic stand-in teacher: score of class v at a position with
     token id x is ``((x * (v + 1)) % 97) / 97``."""
+    import numpy as np
+    mult = np.arange(1, vocab + 1)
+
     def run(batch: list[list[int]]) -> list[list[list[float]]]:
-        return [[[((x * (v + 1)) % 97) / 97.0 for v in range(vocab)] for x in seq] for seq in batch]
+        return [((np.asarray(seq)[:, None] * mult) % 97 / 97.0).tolist() for seq in batch]
     return run
 
 

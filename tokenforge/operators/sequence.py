@@ -5,8 +5,9 @@ session's messages, a request stream.  Steps are numbered with the skew-safe
 :func:`..operators.ordered.keyed_index`; running aggregates use
 :func:`keyed_scan`; lags are equi-joins on ``(key, step - k)``.  Recurrences
 that are not sums (gated sums, running logsumexp) run per block of a bounded
-number of steps in ``applyInPandas`` and are chained across blocks through a
-small per-block summary table, so no key ever lands in one task.
+number of steps in one ``mapInPandas`` pass over hash-partitioned, sorted
+``(key, block)`` segments and are chained across blocks through a small
+per-block summary table, so no key ever lands in one task.
 """
 
 from __future__ import annotations
@@ -115,17 +116,78 @@ def _schema_plus(schema: StructType, doubles: list[str]) -> StructType:
     return StructType(list(schema.fields) + [StructField(n, DoubleType()) for n in doubles])
 
 
+def _segment_scan(df: DataFrame, keys: list[str], step: str, cols: list[str], out_schema: StructType,
+                  scan) -> DataFrame:
+    """Run ``scan(arrays, state) -> (outputs, state)`` over every
+    ``(keys, _blk)`` segment in step order.
+
+    Rows are hash-partitioned by ``(keys, _blk)`` and sorted inside each
+    partition, so a segment is contiguous; ``mapInPandas`` walks the Arrow
+    batches once and carries the scan state across batch boundaries (no
+    per-group Python call, no group held in memory).
+    """
+    seg_cols = [*keys, "_blk"]
+    d = df.select(*seg_cols, step, *cols).repartition(*seg_cols).sortWithinPartitions(*seg_cols, step)
+    names = [f.name for f in out_schema.fields]
+
+    def part(it):
+        prev_key, state = None, None
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            kv = pdf[seg_cols]
+            starts = np.flatnonzero((kv != kv.shift()).any(axis=1).to_numpy())
+            bounds = list(starts) + [len(pdf)]
+            outs = []
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                key = tuple(kv.iloc[a])
+                if key != prev_key:
+                    state = None
+                arrays = [pdf[c].to_numpy(dtype=float)[a:b] for c in cols]
+                res, state = scan(arrays, state)
+                prev_key = key
+                outs.append(res)
+            extra = {n: np.concatenate([o[i] for o in outs]) for i, n in enumerate(names[len(seg_cols) + 1:])}
+            yield pd.DataFrame({**{c: pdf[c].to_numpy() for c in seg_cols}, step: pdf[step].to_numpy(), **extra})
+    return d.mapInPandas(part, out_schema)
+
+
 def _blocked(df: DataFrame, keys: Sequence[str], step: str, block: int) -> DataFrame:
     return df.withColumn("_blk", F.floor(F.col(step) / block).cast("long"))
 
 
+def _gated_scan(xs: np.ndarray, gs: np.ndarray, sub: int = 512, h0: float = 0.0,
+                g0: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """``h_t = exp(g_t) h_{t-1} + x_t`` from ``h = 0`` and the cumulative gate.
+
+    Sub-blocks use the closed form ``h_t = exp(G_t) (h_0 + sum_i x_i exp(-G_i))``
+    with ``G`` local to the sub-block; a sub-block whose local gates are too
+    large for ``exp`` falls back to the plain loop."""
+    n = len(xs)
+    hs = np.empty(n)
+    gl = g0 + np.cumsum(gs) if n else gs
+    h = h0
+    for a in range(0, n, sub):
+        b = min(n, a + sub)
+        G = np.cumsum(gs[a:b])
+        if np.all(np.abs(G) < 600):
+            vals = np.exp(G) * (h + np.cumsum(xs[a:b] * np.exp(-G)))
+        else:
+            vals = np.empty(b - a)
+            for j in range(a, b):
+                h = math.exp(gs[j]) * h + xs[j]
+                vals[j - a] = h
+        hs[a:b] = vals
+        h = float(vals[-1])
+    return hs, gl
+
+
 def gated_running_sum(df: DataFrame, keys: Sequence[str], step: str, x: str, g: str, out: str,
                       block: int = BLOCK) -> DataFrame:
     """``h_t = exp(g_t) * h_{t-1} + x_t``, ``h_{-1} = 0`` per key.
 
-    Each block of ``block`` steps runs the recurrence from zero in pandas
-    (one task per block, bounded) and reports ``(A = exp(sum g), H = h at its
-    end)``.  The block summaries are chained per key on the small summary
+    Each block of ``block`` steps runs the recurrence from zero (numpy, in a
+    sorted-partition scan) and reports ``(A = exp(sum g), H = h at its end)``.  The block summaries are chained per key on the small summary
     table (``h_end_b = A_b * h_end_{b-1} + H_b``) and every row adds
     ``exp(G_local_t) * h_end_{b-1}``, where ``G_local_t`` is the block-local
     cumulative gate.
@@ -134,34 +196,23 @@ def gated_running_sum(df: DataFrame, keys: Sequence[str], step: str, x: str, g:
     d = _blocked(df, keys, step, block)
     schema_local = _schema_plus(d.select(*keys, "_blk", step).schema, ["_hl", "_gl"])
 
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(step)
-        xs = pdf[x].to_numpy(dtype=float).tolist()
-        gs = pdf[g].to_numpy(dtype=float).tolist()
-        h, gl = 0.0, 0.0
-        hs, gls = [], []
-        for xi, gi in zip(xs, gs):
-            h = math.exp(gi) * h + xi
-            gl += gi
-            hs.append(h)
-            gls.append(gl)
-        return pd.DataFrame({**{k: pdf[k].to_numpy() for k in keys}, "_blk": pdf["_blk"].to_numpy(),
-                             step: pdf[step].to_numpy(), "_hl": hs, "_gl": gls})
-
-    loc = d.select(*keys, "_blk", step, x, g).groupBy(*keys, "_blk").applyInPandas(local, schema_local)
+    def scan(arrays, state):
+        h0, g0 = state if state is not None else (0.0, 0.0)
+        hs, gls = _gated_scan(arrays[0], arrays[1], h0=h0, g0=g0)
+        return (hs, gls), (float(hs[-1]), float(gls[-1]))
+
+    loc = _segment_scan(d, keys, step, [x, g], schema_local, scan)
     summ = loc.groupBy(*keys, "_blk").agg(F.max_by("_hl", step).alias("_H"), F.max_by("_gl", step).alias("_G"))
-    schema_chain = _schema_plus(summ.select(*keys, "_blk").schema, ["_hprev"])
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_blk")
-        prev, h = [], 0.0
-        for H, G in zip(pdf["_H"].to_numpy(dtype=float), pdf["_G"].to_numpy(dtype=float)):
-            prev.append(h)
-            h = math.exp(G) * h + H
-        return pd.DataFrame({**{k: pdf[k].to_numpy() for k in keys}, "_blk": pdf["_blk"].to_numpy(), "_hprev": prev})
-
-    # one row per block: the chain groups stay small even for a hot key
-    ch = summ.groupBy(*keys).applyInPandas(chain, schema_chain)
+    # chain the blocks of each key on the summary table (one row per block):
+    # h_end_b = exp(G_b) * h_end_{b-1} + H_b, folded left in block order
+    blocks = summ.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_blk", "_H", "_G"))).alias("_bs"))
+    init = F.struct(F.lit(0.0).cast("double").alias("h"),
+                    F.array().cast("array<struct<_blk:bigint,_hprev:double>>").alias("o"))
+    fold = F.aggregate("_bs", init, lambda acc, r: F.struct(
+        (F.exp(r["_G"]) * acc["h"] + r["_H"]).alias("h"),
+        F.concat(acc["o"], F.array(F.struct(r["_blk"].alias("_blk"), acc["h"].alias("_hprev")))).alias("o")),
+        lambda acc: acc["o"])
+    ch = blocks.select(*keys, F.explode(fold).alias("_c")).select(*keys, "_c._blk", "_c._hprev")
     r = loc.join(ch, [*keys, "_blk"]).withColumn(out, F.col("_hl") + F.exp("_gl") * F.col("_hprev"))
     return df.join(r.select(*keys, step, out), [*keys, step])
 
@@ -169,30 +220,34 @@ def gated_running_sum(df: DataFrame, keys: Sequence[str], step: str, x: str, g:
 def running_logsumexp(df: DataFrame, keys: Sequence[str], step: str, x: str, out: str,
                       block: int = BLOCK) -> DataFrame:
     """Stable running ``log(sum_{i<=t} exp(x_i))`` per key (W22): block-local
-    ``logaddexp.accumulate`` in pandas, then the block totals' exclusive
+    ``logaddexp.accumulate`` in a sorted-partition scan, then the block totals' exclusive
     prefix (chained on the small summary table) folded in with ``logaddexp``."""
     keys = list(keys)
     d = _blocked(df, keys, step, block)
     schema_local = _schema_plus(d.select(*keys, "_blk", step).schema, ["_ll"])
 
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(step)
-        acc = np.logaddexp.accumulate(pdf[x].to_numpy(dtype=float))
-        return pd.DataFrame({**{k: pdf[k].to_numpy() for k in keys}, "_blk": pdf["_blk"].to_numpy(),
-                             step: pdf[step].to_numpy(), "_ll": acc})
+    def scan(arrays, state):
+        xs = arrays[0]
+        acc = np.logaddexp.accumulate(xs if state is None else np.concatenate([[state], xs]))
+        acc = acc if state is None else acc[1:]
+        return (acc,), float(acc[-1])
 
-    loc = d.select(*keys, "_blk", step, x).groupBy(*keys, "_blk").applyInPandas(local, schema_local)
+    loc = _segment_scan(d, keys, step, [x], schema_local, scan)
     summ = loc.groupBy(*keys, "_blk").agg(F.max_by("_ll", step).alias("_T"))
-    schema_chain = _schema_plus(summ.select(*keys, "_blk").schema, ["_prev"])
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_blk")
-        t = pdf["_T"].to_numpy(dtype=float)
-        inc = np.logaddexp.accumulate(t) if len(t) else t
-        prev = np.concatenate([[-np.inf], inc[:-1]]) if len(t) else t
-        return pd.DataFrame({**{k: pdf[k].to_numpy() for k in keys}, "_blk": pdf["_blk"].to_numpy(), "_prev": prev})
-
-    ch = summ.groupBy(*keys).applyInPandas(chain, schema_chain)
+    # exclusive prefix logsumexp of the block totals, folded per key on the
+    # summary table (one row per block)
+    blocks = summ.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_blk", "_T"))).alias("_bs"))
+    ninf = F.lit(float("-inf")).cast("double")
+    init = F.struct(ninf.alias("l"), F.array().cast("array<struct<_blk:bigint,_prev:double>>").alias("o"))
+
+    def lae(a_, b_):
+        m_ = F.greatest(a_, b_)
+        return F.when(a_ == ninf, b_).when(b_ == ninf, a_).otherwise(m_ + F.log(F.exp(a_ - m_) + F.exp(b_ - m_)))
+    fold = F.aggregate("_bs", init, lambda acc, r: F.struct(
+        lae(acc["l"], r["_T"]).alias("l"),
+        F.concat(acc["o"], F.array(F.struct(r["_blk"].alias("_blk"), acc["l"].alias("_prev")))).alias("o")),
+        lambda acc: acc["o"])
+    ch = blocks.select(*keys, F.explode(fold).alias("_c")).select(*keys, "_c._blk", "_c._prev")
     r = loc.join(ch, [*keys, "_blk"])
     m = F.greatest(F.col("_ll"), F.col("_prev"))
     val = F.when(F.col("_prev") == float("-inf"), F.col("_ll")).otherwise(
