@@ -5,8 +5,10 @@ Per key the misses therefore form a chain: the first request, then the first
 request at or after ``previous miss + ttl``, and so on.  The chain is a walk
 on the functional graph ``next(t) = min{t' >= t + ttl}``; it is evaluated by
 pointer jumping: ``J_{k+1} = J_k o J_k`` (log2 of the chain length rounds of
-equi-joins), then the orbit of each key's first request is expanded from the
-longest jump down.  Every round is a join keyed by ``(key, time)``, so a hot
+equi-joins), then the orbits of the anchors (requests at least ``ttl`` after
+the previous request of their key, which are always misses) are expanded from
+the longest jump down, so the rounds depend on the longest chain between two
+anchors.  Every round is a join keyed by ``(key, time)``, so a hot
 key is spread like any other, and every round is checkpointed to cut lineage.
 """
 
@@ -16,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .ordered import keyed_index, keyed_scan, lag_by_index
 from .token_stream import asof_start
 
 
@@ -30,7 +33,7 @@ def next_at_least(times: DataFrame, key: str, t: str, gap: int) -> DataFrame:
 def orbit(edges: DataFrame, key: str, node: str, nxt: str, starts: DataFrame) -> DataFrame:
     """Nodes reachable from ``starts`` along ``nxt`` (``(key, node)`` rows)."""
     levels = [materialize(edges.select(key, node, F.col(nxt).alias("p")).where(F.col("p").isNotNull()))]
-    while levels[-1].count() > 0:
+    while not levels[-1].isEmpty():
         j = levels[-1]
         nxt_level = (j.alias("a").join(j.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}"))
                                        & (F.col("a.p") == F.col(f"b.{node}")))
@@ -53,9 +56,21 @@ def ttl_cache_hits(df: DataFrame, key: str, ts_us: Column, tiebreak: str, ttl_us
     """
     d = df.withColumn("_t", ts_us.cast("long"))
     times = d.groupBy(key, "_t").agg(F.min(tiebreak).alias("_rep"))
-    times = materialize(times)
+    # anchors: a request at least ttl after the previous request of its key
+    # finds no live entry, so it is always a miss and the chain restarts
+    # there; chains are walked only inside the segments between anchors
+    times = keyed_index(times, [key], ["_t"], F.col("_t"), "_i")
+    times = lag_by_index(times, [key], "_i", ["_t"], 1)
+    anchor = F.col("_t_lag1").isNull() | (F.col("_t") >= F.col("_t_lag1") + ttl_us)
+    times = keyed_scan(times.withColumn("_a", anchor), [key], ["_t"], F.col("_t"),
+                       sums={"_seg": F.col("_a").cast("long")}, index_col=None)
+    times = materialize(times.select(key, "_t", "_rep", "_seg", "_a"))
     edges = next_at_least(times.select(key, "_t"), key, "_t", ttl_us)
-    starts = times.groupBy(key).agg(F.min("_t").alias("_t"))
+    seg = times.select(key, "_t", "_seg")
+    edges = (edges.join(seg, [key, "_t"])
+             .join(seg.withColumnRenamed("_t", "nxt").withColumnRenamed("_seg", "_nseg"), [key, "nxt"], "left")
+             .where(F.col("_seg") == F.col("_nseg")).select(key, "_t", "nxt"))
+    starts = times.where("_a").select(key, "_t")
     misses = orbit(edges, key, "_t", "nxt", starts).withColumn("_miss", F.lit(True))
     m = times.join(misses, [key, "_t"], "left")
     d = d.join(m, [key, "_t"], "left")

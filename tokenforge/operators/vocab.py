@@ -19,7 +19,8 @@ MAP_LIMIT = 200_000   # vocabularies up to this size become an in-expression map
 
 
 def _chars(text: Column) -> Column:
-    return F.filter(F.split(text, ""), lambda c: c != "")
+    """Characters of a text; the empty text has none (``split`` would give [''])."""
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(text, ""))
 
 
 def char_vocab(df: DataFrame, text: str = "text", extra: list[str] | None = None) -> DataFrame:
@@ -66,17 +67,21 @@ def codepoint_lut(vocab: DataFrame) -> Column:
     top = max((int(r["cp"]) for r in rows), default=-1)
     if top >= LUT_LIMIT:
         raise ValueError("code point out of range")
-    lut = [-1] * (top + 1)
+    lut: list[int | None] = [None] * (top + 1)
     for r in rows:
         lut[int(r["cp"])] = int(r["id"])
     return F.from_json(F.lit(json.dumps(lut)), "array<long>")
 
 
 def encode_with_lut(text: Column, lut: Column, unk_id: int | None = None) -> Column:
-    """Characters -> dense ids through :func:`codepoint_lut`."""
-    miss = F.lit(unk_id).cast("long") if unk_id is not None else F.lit(None).cast("long")
-    return let(lut, lambda t: F.transform(_chars(text), lambda c: let(
-        F.try_element_at(t, F.ascii(c) + 1), lambda v: F.when(v.isNull() | (v < 0), miss).otherwise(v))))
+    """Characters -> dense ids through :func:`codepoint_lut` (Y2, Y3);
+    characters outside the vocabulary get ``unk_id`` (or null)."""
+    def look(t):
+        hit = lambda c: F.try_element_at(t, F.ascii(c) + 1)
+        if unk_id is None:
+            return F.transform(_chars(text), hit)
+        return F.transform(_chars(text), lambda c: F.coalesce(hit(c), F.lit(unk_id).cast("long")))
+    return let(lut, look)
 
 
 def encode_with_map(text: Column, stoi: Column, unk_id: int | None = None) -> Column:

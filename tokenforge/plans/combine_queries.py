@@ -30,9 +30,10 @@ def _docs(spark, sf_dir, *cols):
 
 def _store(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
-    d = d.select("doc_id", "source", T.codepoints("text").alias("tokens"))
-    # the store is a stored artifact (the .bin/.idx pair): tokenize once
-    return materialize(S.with_offsets(d, ["doc_id"], F.col("doc_id")))
+    # the store is a stored artifact (the .bin/.idx pair): tokenize once,
+    # then offsets are computed over the stored tokens
+    d = materialize(d.select("doc_id", "source", T.codepoints("text").alias("tokens")))
+    return S.with_offsets(d, ["doc_id"], F.col("doc_id"))
 
 
 STORE_SQL = f"""
