@@ -15,7 +15,7 @@ from tokenforge.operators import turns as TU
 from tokenforge.operators.combine import interleave, slice_fraction
 from tokenforge.operators.corpus import corpus_samples
 from tokenforge.operators.extract import merge_entities, parse_records
-from tokenforge.operators.token_stream import pad_spill, with_offsets
+from tokenforge.operators.token_stream import build_store, pad_spill
 
 
 def one(spark, col, schema="x int"):
@@ -147,8 +147,8 @@ def test_interleave_and_slices(spark):
 def test_pad_spill_wraps(spark):
     # docs of 4, 2, 3 tokens; length 6: middle doc spills, last doc wraps to the store head (Q9)
     store = spark.createDataFrame([(0, [1, 2, 3, 4]), (1, [5, 6]), (2, [7, 8, 9])], "d long, tokens array<int>")
-    st = with_offsets(store, ["d"], F.col("d"))
-    got = {r["d"]: (r["tokens"], r["min_len"]) for r in pad_spill(st, "d", 6).collect()}
+    st = build_store(store, "d", F.col("tokens"), ["d"], F.col("d"))
+    got = {r["d"]: (r["tokens"], r["min_len"]) for r in pad_spill(st, 6).collect()}
     assert got[0] == ([1, 2, 3, 4, 5, 6], 4)
     assert got[1] == ([5, 6, 1, 2, 3, 4], 2)   # 4 + 6 > 9 tokens -> own 2 tokens + head 4
     assert got[2] == ([7, 8, 9, 1, 2, 3], 3)

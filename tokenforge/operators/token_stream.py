@@ -15,18 +15,49 @@ read of ``length`` tokens from any global position is a join, not a scan:
 
 from __future__ import annotations
 
+import json
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small_table
+from ..session import materialize, small_table
 from .ordered import BROADCAST_ROWS, _join_small, keyed_scan
 
 
+@dataclass
+class TokenStore:
+    """A flat token stream: ``tokens`` (key, tokens) is stored hash-partitioned
+    by key, ``offsets`` (key, size, start, ptr, extra columns) is the thin index.
+
+    Position logic (as-of lookups, spans, wrap) runs on ``offsets`` only;
+    token slices are fetched at the end by one equi-join of thin piece rows
+    with ``tokens``, whose partitioning by key is kept by the checkpoint, so
+    the token arrays are not shuffled again."""
+    tokens: DataFrame
+    offsets: DataFrame
+    key: str
+
+
+def build_store(docs: DataFrame, key: str, tokens: Column, order: list[str], chunk_value: Column,
+                extra: list[str] | None = None, dtype_size: int = 4,
+                partitions: int | None = None) -> TokenStore:
+    """Tokenize once into a stored, key-partitioned token table and index it."""
+    extra = list(extra or [])
+    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tok = materialize(docs.select(key, *extra, tokens.alias("tokens")).repartition(n, key))
+    thin = tok.select(key, *extra, F.size("tokens").cast("long").alias("size"))
+    off = keyed_scan(thin, [], order, chunk_value, sums={"_end": F.col("size")}, index_col=None)
+    off = (off.withColumn("start", (F.col("_end") - F.col("size")).cast("long")).drop("_end")
+           .withColumn("ptr", F.col("start") * F.lit(dtype_size)))
+    return TokenStore(tok.select(key, "tokens"), materialize(off), key)
+
+
 def with_offsets(store: DataFrame, order: list[str], chunk_value: Column,
                  tokens: str = "tokens", dtype_size: int = 4) -> DataFrame:
-    """Add ``size``, ``start`` (token offset) and ``ptr`` (byte offset)."""
+    """Add ``size``, ``start`` (token offset) and ``ptr`` (byte offset) to a
+    table that carries its tokens (W3, W4)."""
     d = store.withColumn("size", F.size(tokens).cast("long"))
     d = keyed_scan(d, [], order, chunk_value, sums={"_end": F.col("size")}, index_col=None)
     d = d.withColumn("start", (F.col("_end") - F.col("size")).cast("long")).drop("_end")
@@ -71,69 +102,96 @@ def range_lookup(points: DataFrame, key: str, pos: str, intervals: DataFrame,
     return points.join(a.drop(pos), on=key, how="left")
 
 
-def read_windows(store: DataFrame, requests: DataFrame, req_key: str, pos: str,
+def as_store(table: DataFrame, key: str) -> TokenStore:
+    """View a table with ``tokens, size, start`` (from :func:`with_offsets`) as a store."""
+    return TokenStore(table.select(key, "tokens"), table.drop("tokens"), key)
+
+
+def _fetch(store: TokenStore, pieces: DataFrame) -> DataFrame:
+    """Slice the tokens of thin piece rows ``(_rk, key, _from, _len, _ps)``."""
+    j = pieces.join(store.tokens, store.key)
+    return j.select("_rk", "_ps", F.slice("tokens", (F.col("_from") + 1).cast("int"),
+                                          F.col("_len").cast("int")).alias("_piece"))
+
+
+def _assemble(pieces: DataFrame, length: int, out: str) -> DataFrame:
+    """Pieces of each request in stream order, cut to ``length`` (at most
+    ``length + 1`` pieces per request)."""
+    return (pieces.groupBy("_rk").agg(F.array_sort(F.collect_list(F.struct("_ps", "_piece"))).alias("_p"))
+            .select("_rk", F.slice(F.flatten(F.transform("_p", lambda x: x["_piece"])), 1, length).alias(out)))
+
+
+def _following(store: TokenStore, req: DataFrame, length: int) -> DataFrame:
+    """Pieces of the documents that start inside ``(_pos, _pos + length)``:
+    an equi-join on ``floor(position / length)``, two buckets per request and
+    at most ``length`` non-empty documents per bucket."""
+    w = F.lit(length)
+    rb = req.select("_rk", "_pos", F.explode(F.array(F.floor(F.col("_pos") / w),
+                                                     F.floor(F.col("_pos") / w) + 1)).alias("_b"))
+    db = store.offsets.where(F.col("size") > 0).select(store.key, "start", "size",
+                                                       F.floor(F.col("start") / w).alias("_b"))
+    return (rb.join(db, "_b").where((F.col("start") > F.col("_pos")) & (F.col("start") < F.col("_pos") + w))
+            .select("_rk", store.key, F.lit(0).cast("long").alias("_from"),
+                    F.least(F.col("size"), F.col("_pos") + w - F.col("start")).alias("_len"),
+                    F.col("start").alias("_ps")))
+
+
+def read_windows(store: TokenStore, requests: DataFrame, req_key: str, pos: str,
                  length: int, out: str = "window") -> DataFrame:
-    """Tokens ``[pos, pos + length)`` of the stream for every request.
+    """Tokens ``[pos, pos + length)`` of the stream for every request.
 
-    ``store`` has ``tokens, size, start`` (see :func:`with_offsets`).  Reads past
-    the end of the stream are cut.
+    Reads past the end of the stream are cut.
     """
-    docs = store.where(F.col("size") > 0).select("start", "size", "tokens")
     req = requests.select(F.col(req_key).alias("_rk"), F.col(pos).cast("long").alias("_pos"))
-    # 1. the document that contains pos
+    docs = store.offsets.where(F.col("size") > 0).select(store.key, "start", "size")
+    # the document that contains pos: as-of on the thin index
     c = asof_start(req, "_rk", "_pos", docs.select("start"), "start", "_cs")
-    first = (c.join(docs.withColumnRenamed("start", "_cs"), on="_cs", how="inner")
+    first = (c.join(docs.withColumnRenamed("start", "_cs"), "_cs")
              .where(F.col("_pos") - F.col("_cs") < F.col("size"))
-             .select("_rk", F.col("_cs").alias("_ps"),
-                     F.slice("tokens", (F.col("_pos") - F.col("_cs") + 1).cast("int"), length).alias("_piece")))
-    # 2. documents that start inside (pos, pos + length)
-    w = F.lit(length)
-    rb = req.select("_rk", "_pos", F.explode(F.array(F.floor(F.col("_pos") / w),
-                                                     F.floor(F.col("_pos") / w) + 1)).alias("_b"))
-    # only a document's first ``length`` tokens can follow a request's start
-    db = docs.select("start", F.slice("tokens", 1, length).alias("tokens"), F.floor(F.col("start") / w).alias("_b"))
-    nxt = (rb.join(db, on="_b", how="inner")
-           .where((F.col("start") > F.col("_pos")) & (F.col("start") < F.col("_pos") + w))
-           .select("_rk", F.col("start").alias("_ps"),
-                   F.slice("tokens", 1, (F.col("_pos") + w - F.col("start")).cast("int")).alias("_piece")))
-    pieces = first.unionByName(nxt)
-    assembled = (pieces.groupBy("_rk")
-                 .agg(F.array_sort(F.collect_list(F.struct("_ps", "_piece"))).alias("_ps"))
-                 .select(F.col("_rk").alias(req_key),
-                         F.slice(F.flatten(F.transform("_ps", lambda x: x["_piece"])), 1, length).alias(out)))
-    return requests.join(assembled, on=req_key, how="left")
-
-
-def store_head(store: DataFrame, length: int) -> list[int]:
+             .select("_rk", store.key, (F.col("_pos") - F.col("_cs")).alias("_from"),
+                     F.least(F.col("size") - (F.col("_pos") - F.col("_cs")), F.lit(length)).alias("_len"),
+                     F.col("_pos").alias("_ps")))
+    pieces = _fetch(store, first.unionByName(_following(store, req, length)))
+    got = _assemble(pieces, length, out).withColumnRenamed("_rk", req_key)
+    return requests.join(got, req_key, "left")
+
+
+def store_head(store: TokenStore, length: int) -> list[int]:
     """First ``length`` tokens of the stream (bounded: at most ``length`` ints)."""
-    rows = (store.where((F.col("start") < length) & (F.col("size") > 0))
-            .select("start", F.slice("tokens", 1, (F.lit(length) - F.col("start")).cast("int")).alias("t"))
-            .orderBy("start").collect())
-    out: list[int] = []
-    for r in rows:
-        out.extend(r["t"])
-    return out[:length]
+    first = (store.offsets.where((F.col("start") < length) & (F.col("size") > 0))
+             .select(F.lit(0).alias("_rk"), store.key, F.lit(0).cast("long").alias("_from"),
+                     F.least(F.col("size"), F.lit(length) - F.col("start")).alias("_len"),
+                     F.col("start").alias("_ps")))
+    rows = _assemble(_fetch(store, first), length, "t").collect()
+    return list(rows[0]["t"]) if rows else []
 
 
-def pad_spill(store: DataFrame, key: str, length: int, out: str = "tokens") -> DataFrame:
+def pad_spill(store: TokenStore, length: int, out: str = "tokens") -> DataFrame:
     """``pad(idx, length)`` of the reference store (Y19, quirk Q9).
 
     Reads ``length`` tokens from the item's start, spilling into the following
     items; when that passes the end of the stream, returns the item's own
-    tokens followed by the first ``length - size`` tokens of the stream.  Also
-    returns ``min_len = min(size, length)``.
+    tokens followed by the first ``length - size`` tokens of the stream.
+    Returns ``(key, out, min_len = min(size, length))``.
     """
-    total = store.agg(F.sum("size")).first()[0] or 0
+    key = store.key
+    total = store.offsets.agg(F.sum("size")).first()[0] or 0
     head = store_head(store, length)
-    spill = read_windows(store, store.where(F.col("start") + length <= total).select(key, "start"),
-                         key, "start", length, "_w")
-    wrap_fill = F.array(*[F.lit(int(x)) for x in head]).cast("array<int>") if head else F.array().cast("array<int>")
-    wrapped = (store.where(F.col("start") + length > total)
-               .select(key, F.concat(F.col("tokens"),
-                                     F.slice(wrap_fill, 1, F.greatest(F.lit(length) - F.col("size"), F.lit(0)).cast("int"))
-                                     ).alias(out)))
-    res = spill.select(key, F.col("_w").alias(out)).unionByName(wrapped)
-    return (store.select(key, "size").join(res, on=key, how="inner")
+    off = store.offsets.select(key, "start", "size")
+    inside = off.where(F.col("start") + length <= total)
+    req = inside.select(F.col(key).alias("_rk"), F.col("start").alias("_pos"))
+    own = inside.select(F.col(key).alias("_rk"), key, F.lit(0).cast("long").alias("_from"),
+                        F.least(F.col("size"), F.lit(length)).cast("long").alias("_len"), F.col("start").alias("_ps"))
+    spill = _assemble(_fetch(store, own.unionByName(_following(store, req, length))), length, out)
+    wrap = off.where(F.col("start") + length > total)
+    wrap_own = _fetch(store, wrap.select(F.col(key).alias("_rk"), key, F.lit(0).cast("long").alias("_from"),
+                                         F.col("size").alias("_len"), F.col("start").alias("_ps")))
+    fill = F.from_json(F.lit(json.dumps([int(x) for x in head])), "array<int>")
+    wrapped = (wrap_own.join(wrap.select(F.col(key).alias("_rk"), "size"), "_rk")
+               .select("_rk", F.concat(F.col("_piece"), F.slice(fill, 1, F.greatest(
+                   F.lit(length) - F.col("size"), F.lit(0)).cast("int"))).alias(out)))
+    res = spill.unionByName(wrapped).withColumnRenamed("_rk", key)
+    return (off.select(key, "size").join(res, key)
             .withColumn("min_len", F.least(F.col("size"), F.lit(length))).drop("size"))
 
 

@@ -13,7 +13,6 @@ from ..functions import tokens as T
 from ..operators import combine as C
 from ..operators import token_stream as S
 from ..operators.ordered import global_index, keyed_index
-from ..session import materialize
 from ..sources.tables import read_table
 from .corpus_queries import cp_sql
 from .registry import query
@@ -28,12 +27,11 @@ def _docs(spark, sf_dir, *cols):
     return read_table(spark, sf_dir, "documents", list(cols) or ["doc_id", "source", "lang"])
 
 
-def _store(spark, sf_dir):
+def _store(spark, sf_dir) -> S.TokenStore:
+    """The store is a stored artifact (the .bin/.idx pair): tokenized once,
+    kept partitioned by ``doc_id``, indexed by a thin offsets table."""
     d = read_table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
-    # the store is a stored artifact (the .bin/.idx pair): tokenize once,
-    # then offsets are computed over the stored tokens
-    d = materialize(d.select("doc_id", "source", T.codepoints("text").alias("tokens")))
-    return S.with_offsets(d, ["doc_id"], F.col("doc_id"))
+    return S.build_store(d, "doc_id", T.codepoints("text"), ["doc_id"], F.col("doc_id"), extra=["source"])
 
 
 STORE_SQL = f"""
@@ -165,7 +163,7 @@ WITH {STORE_SQL}
 SELECT doc_id, size, (start * 4)::BIGINT AS ptr FROM store""")
 def q_doc_pointers(spark, sf_dir):
     """Sizes and byte pointers (exclusive prefix sum x 4 bytes) of the store."""
-    return _store(spark, sf_dir).select("doc_id", "size", "ptr")
+    return _store(spark, sf_dir).offsets.select("doc_id", "size", "ptr")
 
 
 @query("shard_manifest_lookup", sql=f"""
@@ -180,7 +178,7 @@ SELECT doc_id, i, source AS shard, ((i - prev_cutoff) % chunk_count)::BIGINT AS
 FROM pt JOIN mm ON i >= prev_cutoff AND i < cutoff""")
 def q_shard_manifest_lookup(spark, sf_dir):
     """Manifest of per-source shards and the interval lookup of chunk numbers."""
-    st = _store(spark, sf_dir)
+    st = _store(spark, sf_dir).offsets
     per_shard = st.groupBy("source").agg(F.sum("size").alias("tokens"))
     man = S.shard_manifest(per_shard, "source", "tokens", CTX)
     total = man.agg(F.max("cutoff")).first()[0]
@@ -205,8 +203,7 @@ FROM store s CROSS JOIN tot CROSS JOIN head LEFT JOIN spill sp ON sp.doc_id = s.
 def q_window_pad_wrap(spark, sf_dir):
     """``pad(idx, 65)``: spill into the following docs, wrap to the store head
     only past the end of the stream (Y19, Q9)."""
-    st = _store(spark, sf_dir)
-    r = S.pad_spill(st, "doc_id", REQ)
+    r = S.pad_spill(_store(spark, sf_dir), REQ)
     return r.select("doc_id", T.join_ints("tokens").alias("tokens"), F.col("min_len").cast("long"))
 
 
@@ -220,9 +217,9 @@ FROM rq JOIN tok ON tok.g >= rq."offset" AND tok.g < rq."offset" + {REQ} GROUP B
 def q_random_crop(spark, sf_dir):
     """Crop of ``ctx_len + 1`` tokens at a hash-derived offset of the stream."""
     st = _store(spark, sf_dir)
-    total = st.agg(F.sum("size")).first()[0]
+    total = st.offsets.agg(F.sum("size")).first()[0]
     h = F.conv(F.substring(F.md5(F.concat(F.lit("crop:"), F.col("doc_id").cast("string"))), 1, 8), 16, 10)
-    req = st.select("doc_id", F.pmod(h.cast("long"), F.lit(total - REQ + 1)).alias("offset"))
+    req = st.offsets.select("doc_id", F.pmod(h.cast("long"), F.lit(total - REQ + 1)).alias("offset"))
     r = S.read_windows(st, req, "doc_id", "offset", REQ, "w")
     return r.select("doc_id", "offset", T.join_ints("w").alias("tokens"))
 
