@@ -79,3 +79,48 @@ def test_dummy_arithmetic(spark):
     assert rows[7] == ".7+49=56."
     assert rows[99999] == f".{99999 % 10000}+{99999 * 99999 % 10000}={99999 % 10000 + 99999 * 99999 % 10000}."
     assert d.count() == 100000
+
+
+def test_bucket_write_one_pass(spark):
+    from tokenforge.operators.corpus import corpus_samples, with_inclusive_bucket, write_buckets
+    d = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    s = with_inclusive_bucket(corpus_samples(d, 2048), "real_len", 1, 2048, 256).drop("text")
+    out = tempfile.mkdtemp(prefix="tf-buckets-") + "/b"
+    write_buckets(s, out)
+    back = spark.read.parquet(out)
+    assert back.count() == d.count()
+    dirs = sorted(x for x in os.listdir(out) if x.startswith("bucket_hi="))
+    assert len(dirs) == s.select("bucket_hi").distinct().count()
+    assert back.where((F.col("real_len") > F.col("bucket_hi")) | (F.col("real_len") < F.col("bucket_lo"))).count() == 0
+
+
+def test_jsonl_to_parquet_and_whole_text(spark):
+    root = tempfile.mkdtemp(prefix="tf-conv-")
+    with open(os.path.join(root, "a.jsonl"), "w") as f:
+        f.write('{"text": "x", "other": 1}\n{"text": "é y"}\n')
+    IO.jsonl_to_parquet(spark, os.path.join(root, "a.jsonl"), os.path.join(root, "out"))
+    got = spark.read.parquet(os.path.join(root, "out"))
+    assert got.columns == ["text"] and sorted(r["text"] for r in got.collect()) == ["x", "é y"]
+    with open(os.path.join(root, "w.txt"), "w", encoding="utf-16") as f:
+        f.write("ab\ncd")
+    w = IO.read_whole_text(spark, os.path.join(root, "w.txt"), "utf-16").first()
+    assert w["text"] == "ab\ncd"
+
+
+def test_run_summaries_and_config(spark):
+    from tokenforge.sources.logs import read_run_config, read_run_summaries
+    root = tempfile.mkdtemp(prefix="tf-runs-")
+    for i, body in enumerate(['{"loss": 1.5, "_step": 10, "_timestamp": 1700000000.5, "_wandb": {"runtime": 5}}',
+                              '{"_step": 3, "_timestamp": 1700000100.0}']):
+        os.makedirs(os.path.join(root, f"run{i}"))
+        with open(os.path.join(root, f"run{i}", "summary.json"), "w") as f:
+            f.write(body)
+        with open(os.path.join(root, f"run{i}", "config.yaml"), "w") as f:
+            f.write(f"lr:\n  desc: null\n  value: 0.{i + 1}\nbatch:\n  desc: null\n  value: {8 * (i + 1)}\n")
+    s = read_run_summaries(spark, root + "/*/summary.json")
+    rows = sorted((r["_step"], r["loss"]) for r in s.collect())
+    assert rows == [(3, None), (10, 1.5)]
+    assert s.where(F.col("_step") == 10).first()["_wandb"]["runtime"] == 5
+    c = read_run_config(spark, root + "/*/config.yaml")
+    assert sorted((r["key"], r["value"]) for r in c.collect()) == [("batch", "16"), ("batch", "8"),
+                                                                     ("lr", "0.1"), ("lr", "0.2")]

@@ -24,10 +24,11 @@ def corpus_samples(df: DataFrame, max_len: int, eos: int = 0, pad: int = 0,
     tok = tokenizer or (lambda c: T.codepoints(c, max_len))
     ids = T.pad_trunc(F.concat(tok(F.col(text_col)), T.int_array([eos])), max_len, pad)
     labels = T.shift_left(F.col("input_ids"), eos)
-    return (df.withColumn("input_ids", ids)
-            .withColumn("labels", T.mask_where_input("input_ids", labels, eos))
-            .withColumn("input_ids", T.replace_value("input_ids", eos, pad))
-            .withColumn("real_len", T.real_len("input_ids", pad)))
+    out = (df.withColumn("input_ids", ids)
+           .withColumn("labels", T.mask_where_input("input_ids", labels, eos)))
+    if eos != pad:   # inputs eos -> pad; an identity when they share an id (Q17)
+        out = out.withColumn("input_ids", T.replace_value("input_ids", eos, pad))
+    return out.withColumn("real_len", T.real_len("input_ids", pad))
 
 
 def with_inclusive_bucket(df: DataFrame, length: str, lo: int, hi: int, step: int) -> DataFrame:
@@ -44,6 +45,8 @@ def bucket_histogram(samples: DataFrame) -> DataFrame:
 
 def write_buckets(samples: DataFrame, path: str, bucket_col: str = "bucket_hi",
                   mode: str = "overwrite") -> None:
-    """One pass, one directory per bucket (S19) instead of one scan per bucket."""
-    (samples.repartition(bucket_col, F.col("doc_id") % 64 if "doc_id" in samples.columns else F.rand(7))
-     .write.mode(mode).partitionBy(bucket_col).parquet(path))
+    """One pass, one directory per bucket (S19) instead of one scan per bucket.
+    Rows are spread over 64 writers per bucket by a hash of their content, so
+    a large bucket is not written by one task and retries write the same files."""
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in samples.columns if c != bucket_col]), F.lit(64))
+    samples.repartition(bucket_col, spread).write.mode(mode).partitionBy(bucket_col).parquet(path)
