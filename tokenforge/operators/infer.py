@@ -68,7 +68,11 @@ def score_distinct(df: DataFrame, col: str, out: str, scorer: Score = md5_scorer
     batch form of the reference's prompt cache."""
     uniq = df.select(col).distinct()
     scored = score_column(uniq, col, out, scorer)
-    return df.join(scored, on=col, how="left")
+    # a prompt repeated in a large share of the rows is a hot join key: the
+    # scored table is broadcast when its row count is bounded, else the
+    # shuffle join is left to AQE's skew-join splitting
+    from .ordered import _join_small
+    return _join_small(df, scored, [col], how="left")
 
 
 def gather_score_scatter(df: DataFrame, rank: str, row: str, col: str, out: str,
