@@ -110,7 +110,7 @@ def test_jsonl_to_parquet_and_whole_text(spark):
 def test_run_summaries_and_config(spark):
     from tokenforge.sources.logs import read_run_config, read_run_summaries
     root = tempfile.mkdtemp(prefix="tf-runs-")
-    for i, body in enumerate(['{"loss": 1.5, "_step": 10, "_timestamp": 1700000000.5, "_wandb": {"runtime": 5}}',
+    for i, body in enumerate(['{"loss": 1.5, "_step": 10, "_timestamp": 1700000000.5, "_meta": {"runtime": 5}}',
                               '{"_step": 3, "_timestamp": 1700000100.0}']):
         os.makedirs(os.path.join(root, f"run{i}"))
         with open(os.path.join(root, f"run{i}", "summary.json"), "w") as f:
@@ -120,7 +120,7 @@ def test_run_summaries_and_config(spark):
     s = read_run_summaries(spark, root + "/*/summary.json")
     rows = sorted((r["_step"], r["loss"]) for r in s.collect())
     assert rows == [(3, None), (10, 1.5)]
-    assert s.where(F.col("_step") == 10).first()["_wandb"]["runtime"] == 5
+    assert s.where(F.col("_step") == 10).first()["_meta"]["runtime"] == 5
     c = read_run_config(spark, root + "/*/config.yaml")
     assert sorted((r["key"], r["value"]) for r in c.collect()) == [("batch", "16"), ("batch", "8"),
                                                                      ("lr", "0.1"), ("lr", "0.2")]

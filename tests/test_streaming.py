@@ -1,7 +1,6 @@
 """Stream = batch: each streaming job, run over the events split into
 time-ordered files and read one file per trigger, equals its batch twin."""
 
-import os
 import tempfile
 
 import pandas as pd

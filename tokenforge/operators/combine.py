@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import small_table
-from .ordered import BROADCAST_ROWS, _join_small, keyed_index
+from .ordered import _join_small, keyed_index
 
 SMALL_KEYS = 100_000
 
@@ -131,6 +131,3 @@ def collate(indexed: DataFrame, idx: str, batch_size: int, n_rows: int,
             .withColumn("slot", F.pmod(F.col(idx), F.lit(batch_size)).cast("long"))
             .where(F.col("batch_id") < F.lit(full)))
 
-
-__all__ = ["concat_sources", "interleave", "split_exact", "slice_fraction", "round_robin",
-           "epoch_shuffle", "rank_shard", "collate", "md5_order", "BROADCAST_ROWS"]

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, small_table
-from .ordered import BROADCAST_ROWS, _join_small, keyed_scan
+from .ordered import BROADCAST_ROWS, keyed_scan
 
 
 @dataclass

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as T
 from ..functions.buckets import bucket_first_fit
-from ..functions.text import cut_at_stop, ensure_suffix, strip_ws
+from ..functions.text import cut_at_stop, ensure_suffix
 from ..operators import samples as SB
 from ..operators import turns as TU
 from ..session import scratch_path
@@ -421,5 +421,3 @@ def q_cut_at_stop(spark, sf_dir):
     c = read_table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
     return c.select("conv_id", "turn", cut_at_stop(F.col("text"), "\n").alias("text"))
 
-
-__all__ = ["strip_ws"]

@@ -18,7 +18,6 @@ from ..operators import turns as TU
 from ..operators.ordered import keyed_index
 from ..sources.tables import read_table
 from .chat_queries import ORDERED, s
-from .corpus_queries import cp_sql
 from .registry import query
 
 PYWS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -254,5 +253,3 @@ def q_render_answer_prompt(spark, sf_dir):
     return g.select("name", X.render(ANSWER_TEMPLATE, {"entity_name": F.col("name"),
                                                        "description_list": F.col("dl")}).alias("prompt"))
 
-
-__all__ = ["cp_sql"]
