@@ -46,21 +46,41 @@ def _join_small(big: DataFrame, small: DataFrame, on: list[str],
     return big.join(F.broadcast(small) if ok else small, on=on, how=how)
 
 
-def assign_chunks(df: DataFrame, keys: Sequence[str], chunk_value: Column,
-                  rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Add ``_tf_chunk``: value-range chunk of ``chunk_value`` inside each key."""
+def _key_stats(df: DataFrame, keys: Sequence[str], chunk_value: Column,
+               rows_per_chunk: int | None = None):
+    """``(rows with _tf_cv, stats table or scalar row, largest key size)``.
+
+    With ``rows_per_chunk``, one aggregate first finds the largest key; the
+    per-key stats table is only built (and checkpointed) when a key exceeds it.
+    """
     d = df.withColumn(_CV, chunk_value.cast("double"))
+    if keys and rows_per_chunk is not None:
+        largest = d.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        if largest <= rows_per_chunk:
+            return d, None, largest
     stats = d.groupBy(*keys).agg(
         F.min(_CV).alias("_tf_lo"), F.max(_CV).alias("_tf_hi"),
         F.count(F.lit(1)).alias("_tf_n"))
     if keys:
-        d = _join_small(d, stats, list(keys))
+        stats, ok = small_table(stats, BROADCAST_ROWS)
+        largest = stats.agg(F.max("_tf_n")).first()[0] or 0
+        return d, (stats, ok), largest
+    row = stats.first()
+    return d, row, (row["_tf_n"] if row else 0)
+
+
+def assign_chunks(df: DataFrame, keys: Sequence[str], chunk_value: Column,
+                  rows_per_chunk: int = ROWS_PER_CHUNK, _stats=None) -> DataFrame:
+    """Add ``_tf_chunk``: value-range chunk of ``chunk_value`` inside each key."""
+    d, st, _ = _stats or _key_stats(df, keys, chunk_value)
+    if keys:
+        stats, ok = st
+        d = d.join(F.broadcast(stats) if ok else stats, on=list(keys))
     else:
-        # one row of scalars: read it once, use literals
-        row = stats.first()
-        d = (d.withColumn("_tf_lo", F.lit(row["_tf_lo"]).cast("double"))
-             .withColumn("_tf_hi", F.lit(row["_tf_hi"]).cast("double"))
-             .withColumn("_tf_n", F.lit(row["_tf_n"]).cast("long")))
+        # one row of scalars: read once, used as literals
+        d = (d.withColumn("_tf_lo", F.lit(st["_tf_lo"]).cast("double"))
+             .withColumn("_tf_hi", F.lit(st["_tf_hi"]).cast("double"))
+             .withColumn("_tf_n", F.lit(st["_tf_n"]).cast("long")))
     nch = F.greatest(F.ceil(F.col("_tf_n") / F.lit(rows_per_chunk)), F.lit(1))
     span = F.col("_tf_hi") - F.col("_tf_lo")
     raw = F.floor((F.col(_CV) - F.col("_tf_lo")) / span * nch)
@@ -81,9 +101,28 @@ def keyed_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
     output column name to the expression whose running sum / max it receives
     (nulls are ignored, as in SQL aggregates; a running max of a monotone
     position gives an as-of lookup).
+
+    The per-key statistics decide the plan: when no key holds more than
+    ``rows_per_chunk`` rows, a window per key is already bounded and runs
+    directly; otherwise every key is cut into value-range chunks as described
+    in the module docstring.
     """
     sums, maxes = dict(sums or {}), dict(maxes or {})
-    d = assign_chunks(df, keys, chunk_value, rows_per_chunk)
+    stats = _key_stats(df, keys, chunk_value, rows_per_chunk)
+    if stats[2] <= rows_per_chunk:
+        d = stats[0]
+        w = (Window.partitionBy(*keys).orderBy(*_cols(order))
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        if index_col:
+            d = d.withColumn(index_col, (F.count(F.lit(1)).over(w) - 1).cast("long"))
+        for name, expr in sums.items():
+            d = d.withColumn(name, F.sum(expr).over(w))
+        for name, expr in maxes.items():
+            d = d.withColumn(name, F.max(expr).over(w))
+        return d.drop(_CV)
+    if stats[1] is None:
+        stats = _key_stats(df, keys, chunk_value)
+    d = assign_chunks(df, keys, chunk_value, rows_per_chunk, _stats=stats)
     part = [*keys, _CHUNK]
     w = (Window.partitionBy(*part).orderBy(*_cols(order))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
