@@ -9,12 +9,16 @@
     .bin = the tokens of all items back to back
 
 Reading: one Spark partition per range of items of a shard; each task maps
-the files and yields ``(shard, item, tokens)`` rows.  Writing: every task
+the files and yields Arrow batches of ``(shard, item, tokens)``.  Writing: every task
 writes its own shard pair (sizes, byte pointers as the exclusive prefix sum,
 doc_idx), so there is no single writer; ``commit`` records the shard list.
 
 ``tokenrecords`` reads flat token files as fixed-length records: raw uint16
 (``dtype=uint16``) or ``.npy`` arrays, with partitions aligned to records.
+
+Both formats are memory-mapped files, so their paths must be POSIX paths
+that every executor sees (local disk in local mode, a shared mount on a
+cluster); everything downstream is ordinary DataFrames.
 """
 
 from __future__ import annotations
@@ -86,6 +90,10 @@ def read_index(path: str) -> Index:
     return Index(DTYPES[code], sizes, pointers, doc_idx)
 
 
+BATCH = 1024                  # items per Arrow batch from the token store reader
+MAX_BATCH_TOKENS = 1 << 28    # and at most this many tokens (int32 list offsets)
+
+
 class _Range(InputPartition):
     def __init__(self, prefix: str, lo: int, hi: int):
         self.prefix, self.lo, self.hi = prefix, lo, hi
@@ -107,15 +115,30 @@ class _StoreReader(DataSourceReader):
         return parts or [_Range("", 0, 0)]
 
     def read(self, partition: _Range):
+        """Arrow record batches of up to ``BATCH`` items: items of a range are
+        contiguous in ``.bin``, so each batch is one slice of the memory map
+        plus an offsets array."""
+        import pyarrow as pa
         if partition.hi <= partition.lo:
             return
         idx = read_index(partition.prefix + ".idx")
         data = np.memmap(partition.prefix + ".bin", mode="r", order="C")
         shard = os.path.basename(partition.prefix)
-        for i in range(partition.lo, partition.hi):
-            size = int(idx.sizes[i])
-            arr = np.frombuffer(data, dtype=idx.dtype, count=size, offset=int(idx.pointers[i]))
-            yield (shard, i, arr.astype(np.int64).tolist())
+        lo = partition.lo
+        while lo < partition.hi:
+            hi = min(partition.hi, lo + BATCH)
+            csum = np.cumsum(idx.sizes[lo:hi].astype(np.int64))
+            if len(csum) > 1 and csum[-1] > MAX_BATCH_TOKENS:    # keep int32 list offsets
+                hi = lo + max(1, int(np.searchsorted(csum, MAX_BATCH_TOKENS, side="right")))
+            sizes = idx.sizes[lo:hi].astype(np.int64)
+            count = int(sizes.sum())
+            vals = np.frombuffer(data, dtype=idx.dtype, count=count, offset=int(idx.pointers[lo]))
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(vals.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([shard] * (hi - lo), pa.string()), pa.array(np.arange(lo, hi, dtype=np.int64)), tokens],
+                names=["shard", "item", "tokens"])
+            lo = hi
 
 
 class _Commit(WriterCommitMessage):
