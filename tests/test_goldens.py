@@ -213,3 +213,35 @@ def test_running_logsumexp_blocks(spark):
         m = max(xs[:i + 1])
         exp = m + math.log(sum(math.exp(v - m) for v in xs[:i + 1]))
         assert abs(got[i] - exp) < 1e-9
+
+
+@pytest.mark.parametrize("max_len", [3, 7, 12, 25])
+def test_budget_bounded_builders_equal_unbounded(spark, max_len):
+    import random
+    from tokenforge.functions.text import ensure_suffix as ens
+    rnd = random.Random(max_len)
+    rows = []
+    for conv in range(40):
+        roles = ["system"] if rnd.random() < 0.3 else []
+        roles += ["user", "assistant"] * rnd.randint(1, 4)
+        for t, r in enumerate(roles):
+            rows.append((conv, t, r, "x" * rnd.randint(0, 9) + ("\n\n" if rnd.random() < 0.3 else "")))
+    c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    lens = {
+        "v1": F.size(T.codepoints(TU.role_prefix(F.col("role")))) + F.size(T.codepoints(ens(F.col("text")))),
+        "v2": F.size(T.codepoints(TU.train_wrapper(F.col("role"), F.col("text"), False))),
+        "v3": F.size(T.codepoints(ens(F.col("text")))),
+    }
+    build = {
+        "v1": lambda t: SB.messages_builder(t, max_len),
+        "v2": lambda t: SB.template_builder(t, max_len),
+        "v3": lambda t: SB.from_value_builder(TU.as_from_value(t), max_len),
+    }
+    for v in ("v1", "v2", "v3"):
+        def run(rows_df):
+            t = TU.turns_from_rows(rows_df)
+            ids, labels = build[v](F.col("turns"))
+            return {r["conv_id"]: (r["i"], r["l"]) for r in t.select("conv_id", ids.alias("i"), labels.alias("l")).collect()}
+        full = run(c)
+        bounded = run(SB.turns_within_budget(c, "conv_id", "turn", lens[v], max_len))
+        assert bounded == full, v

@@ -29,6 +29,22 @@ def _default_tok(c: Column) -> Column:
     return T.codepoints(c)
 
 
+def turns_within_budget(rows, key: str, order: str, token_len: Column, max_len: int):
+    """Turn rows that can reach a sample cut to ``max_len`` tokens.
+
+    A turn whose first token lies beyond position ``max_len`` of the sample
+    body is cut away by truncation, whatever comes before it; dropping such
+    turns before the turns are grouped bounds every conversation row by
+    about ``max_len`` tokens plus one turn.  The turn that crosses the limit
+    is kept, so "longer than max_len" stays true, and one position of margin
+    covers label shifts.  Running sums use the skew-safe keyed scan.
+    """
+    from .ordered import keyed_scan
+    d = rows.withColumn("_tl", token_len.cast("long"))
+    d = keyed_scan(d, [key], [order], F.col(order), sums={"_cum": F.col("_tl")}, index_col=None)
+    return d.where(F.col("_cum") - F.col("_tl") <= max_len).drop("_tl", "_cum")
+
+
 def messages_builder(turns, max_len: int, tok: Tok = _default_tok, bos: int = 1,
                      eos: int = 0, pad: int = 0) -> tuple[Column, Column]:
     """Builder 1 (Y8): ``[bos]`` + per turn role prefix ids + content ids

@@ -30,6 +30,12 @@ def _turns(spark, sf_dir):
     return TU.turns_from_rows(read_table(spark, sf_dir, "conversations"))
 
 
+def _turns_for_samples(spark, sf_dir, token_len, max_len: int = 0):
+    """Turns of each conversation that can reach a ``max_len`` sample."""
+    c = read_table(spark, sf_dir, "conversations")
+    return TU.turns_from_rows(SB.turns_within_budget(c, "conv_id", "turn", token_len, max_len))
+
+
 def s(x: str) -> str:
     """SQL string literal with newlines spelled as chr(10)."""
     parts = x.split("\n")
@@ -215,7 +221,8 @@ def _out(df, ids, labels):
 @query("chat_samples_v1", sql=V1_SQL)
 def q_chat_samples_v1(spark, sf_dir):
     """Builder 1: messages with role prefixes, 512 ids."""
-    t = _turns(spark, sf_dir)
+    tl = F.size(T.codepoints(TU.role_prefix(F.col("role")))) + F.size(T.codepoints(ensure_suffix(F.col("text"))))
+    t = _turns_for_samples(spark, sf_dir, tl, SAMPLE_LEN)
     ids, labels = SB.messages_builder(F.col("turns"), SAMPLE_LEN)
     return _out(t, ids, labels)
 
@@ -238,7 +245,8 @@ SELECT conv_id, array_to_string(ids, ',') AS input_ids, array_to_string(lab, ','
 @query("chat_samples_v2", sql=V2_SQL)
 def q_chat_samples_v2(spark, sf_dir):
     """Builder 2: template-B training wrappers, bos, shifted labels."""
-    t = _turns(spark, sf_dir)
+    tl = F.size(T.codepoints(TU.train_wrapper(F.col("role"), F.col("text"), False)))
+    t = _turns_for_samples(spark, sf_dir, tl, SAMPLE_LEN)
     ids, labels = SB.template_builder(F.col("turns"), SAMPLE_LEN, is_llama=False)
     return _out(t, ids, labels)
 
@@ -257,7 +265,8 @@ SELECT conv_id, array_to_string(ids, ',') AS input_ids, array_to_string(lab, ','
 @query("chat_samples_v3", sql=V3_SQL)
 def q_chat_samples_v3(spark, sf_dir):
     """Builder 3: human/gpt values, labels end with eos, cut to 512."""
-    t = _turns(spark, sf_dir).select("conv_id", TU.as_from_value("turns").alias("conv"))
+    tl = F.size(T.codepoints(ensure_suffix(F.col("text"))))
+    t = _turns_for_samples(spark, sf_dir, tl, SAMPLE_LEN).select("conv_id", TU.as_from_value("turns").alias("conv"))
     ids, labels = SB.from_value_builder(F.col("conv"), SAMPLE_LEN)
     return _out(t, ids, labels)
 
