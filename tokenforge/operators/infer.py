@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..session import materialize
 from .turns import LLAMA_ASSISTANT_HEADER, LLAMA_EOT, LLAMA_USER_HEADER
 
 Generate = Callable[[list[str]], list[tuple[str, int]]]
@@ -95,7 +96,7 @@ def _render_prefix(users: list[str], replies: list[str]) -> str:
 
 
 def label_conversations(df: DataFrame, key: str, prompts: str, generate: Generate = md5_generator,
-                        limit: int = 2048, inclusive: bool = True) -> DataFrame:
+                        limit: int = 2048, inclusive: bool = True, checkpoint: bool = False) -> DataFrame:
     """Turn-by-turn pseudo-labelling.
 
     For each conversation (``prompts``: the user turns), prompt k is the
@@ -104,6 +105,10 @@ def label_conversations(df: DataFrame, key: str, prompts: str, generate: Generat
     whose token count reaches the limit (``>=`` when ``inclusive``, else
     ``>``, quirk Q14).  All conversations of an Arrow batch advance together,
     one ``generate`` call per round.  Output: ``key, k, prompt, reply, n_tokens``.
+
+    With ``checkpoint=True`` the labels are written once to the checkpoint
+    directory, so a recomputed downstream task never calls a (possibly
+    nondeterministic, always expensive) generator again.
     """
     schema = f"{key} {df.schema[key].dataType.simpleString()}, k long, prompt string, reply string, n_tokens long"
 
@@ -128,14 +133,16 @@ def label_conversations(df: DataFrame, key: str, prompts: str, generate: Generat
                 active = nxt
                 k += 1
             yield pd.DataFrame(out, columns=[key, "k", "prompt", "reply", "n_tokens"])
-    return df.select(key, prompts).mapInPandas(fn, schema)
+    res = df.select(key, prompts).mapInPandas(fn, schema)
+    return materialize(res) if checkpoint else res
 
 
 def teacher_scores(df: DataFrame, key: str, ids: str, scorer: Callable[[list[list[int]]], list[list[list[float]]]],
-                   ) -> DataFrame:
+                   checkpoint: bool = False) -> DataFrame:
     """Teacher scoring of token batches (F7): ``scorer`` maps a batch of id
     lists to per-position score vectors; output one row per
-    ``(key, pos)`` with ``logits ARRAY<FLOAT>`` (T5)."""
+    ``(key, pos)`` with ``logits ARRAY<FLOAT>`` (T5).  ``checkpoint=True``
+    stores the scores once (see :func:`label_conversations`)."""
     schema = f"{key} {df.schema[key].dataType.simpleString()}, pos long, logits array<float>"
 
     def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,7 +152,8 @@ def teacher_scores(df: DataFrame, key: str, ids: str, scorer: Callable[[list[lis
             rows = [(kk, p, [float(v) for v in vec]) for kk, sc in zip(pdf[key].tolist(), scores)
                     for p, vec in enumerate(sc)]
             yield pd.DataFrame(rows, columns=[key, "pos", "logits"])
-    return df.select(key, ids).mapInPandas(fn, schema)
+    res = df.select(key, ids).mapInPandas(fn, schema)
+    return materialize(res) if checkpoint else res
 
 
 def cosine_stub_scorer(vocab: int = 8) -> Callable[[list[list[int]]], list[list[list[float]]]]:
