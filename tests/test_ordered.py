@@ -64,3 +64,20 @@ def test_asof_and_range_lookup(spark):
     iv = spark.createDataFrame([(0, 10, "a"), (10, 25, "b")], "lo long, hi long, name string")
     got = {x["k"]: x["name"] for x in range_lookup(pts, "k", "p", iv, "lo", "hi").collect()}
     assert got == {1: "a", 2: "a", 3: "b", 4: None, 5: None}
+
+
+def test_shuffle_fallbacks_when_tables_exceed_the_bound(spark, monkeypatch):
+    import tokenforge.operators.ordered as O
+    import tokenforge.operators.token_stream as TSM
+    monkeypatch.setattr(O, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(TSM, "BROADCAST_ROWS", 0)
+    df = _data(spark, 800)
+    got = keyed_scan(df, ["key"], ["t", "id"], F.col("t"), sums={"cs": F.col("v")}, rows_per_chunk=29)
+    w = Window.partitionBy("key").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
+    exp = df.select("id", (F.row_number().over(w) - 1).alias("idx_e"), F.sum("v").over(w).alias("cs_e"))
+    j = got.join(exp, "id")
+    assert j.where((F.col("idx") != F.col("idx_e")) | (F.col("cs") != F.col("cs_e"))).count() == 0
+    pts = spark.createDataFrame([(1, 0), (2, 9), (3, 10), (4, 30), (5, -1)], "k long, p long")
+    iv = spark.createDataFrame([(0, 10, "a"), (10, 25, "b")], "lo long, hi long, name string")
+    got = {x["k"]: x["name"] for x in range_lookup(pts, "k", "p", iv, "lo", "hi").collect()}
+    assert got == {1: "a", 2: "a", 3: "b", 4: None, 5: None}
