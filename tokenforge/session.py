@@ -21,6 +21,9 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the whole cluster
+        b = b.config("spark.driver.memory", "16g")
     b = (b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -69,12 +72,41 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_table(df: DataFrame, limit_rows: int) -> tuple[DataFrame, bool]:
+BROADCAST_BYTES = 32 * 1024 * 1024
+
+
+def approx_bytes(df: DataFrame):
+    """Upper-bound-ish byte size of a table's values: string / binary lengths,
+    8 bytes per fixed-width value, JSON length for nested values."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import BinaryType, StringType, ArrayType, MapType, StructType
+    parts = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            parts.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif isinstance(f.dataType, (ArrayType, MapType, StructType)):
+            parts.append(F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)))
+        else:
+            parts.append(F.lit(8))
+    if not parts:
+        return 0
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
+    return df.agg(F.sum(total.cast("long"))).first()[0] or 0
+
+
+def small_table(df: DataFrame, limit_rows: int,
+                limit_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
     """Checkpoint a derived table and report whether it may be broadcast.
 
-    The row count is read after the checkpoint, so it costs a scan of the
-    materialised (small) table only.  Callers broadcast only when the second
-    value is True and fall back to a shuffle join otherwise.
+    Both the row count and the byte size are measured on the materialised
+    (small) table, so a few wide rows (long texts, arrays) are not broadcast
+    either.  Callers broadcast only when the second value is True and fall
+    back to a shuffle join otherwise.
     """
     m = materialize(df)
-    return m, m.count() <= limit_rows
+    if m.count() > limit_rows:
+        return m, False
+    return m, approx_bytes(m) <= limit_bytes
