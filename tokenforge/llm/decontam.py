@@ -106,10 +106,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         near = F.transform(hit, lambda i: F.sequence(F.greatest(i - (n - g), F.lit(0)), i))
         return F.filter(F.array_distinct(F.flatten(near)), lambda s: s + n <= F.size("words"))
 
-    spans = found.select("doc_id", "text_hash", F.explode(F.flatten(F.array(*[
-        F.transform(starts(n), lambda s, n=n: F.struct(
+    def texts(n: int) -> Column:
+        return F.transform(starts(n), lambda s: F.struct(
             s.cast("int").alias("start"), F.lit(n).alias("length"),
-            F.array_join(F.slice("words", s + 1, n), " ").alias("window"))) for n in lengths]))).alias("s"))
+            F.array_join(F.slice("words", s + 1, n), " ").alias("window")))
+
+    spans = found.select("doc_id", "text_hash", F.explode(F.flatten(F.array(*[texts(n) for n in lengths]))).alias("s"))
     return spans.select("doc_id", "text_hash", "s.*") \
         .join(maybe_broadcast(windows.select("window", F.col("n").alias("length"), "item_id"), small),
               ["window", "length"]) \

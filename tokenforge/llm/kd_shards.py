@@ -26,7 +26,7 @@ from ..session import materialize
 
 BUCKETS = 2_048
 TOLERANCE = 0.002              # of a leaf's bytes, at each median
-HEAVY = 1 / 32                 # of a leaf's bytes; a heavier group is dealt out
+HEAVY = 1 / 8                  # of a leaf's bytes; a heavier group is dealt out
 SLOT_ROWS = 2_000              # rows of a run that is numbered together
 TIES = 1 << 62
 
@@ -87,7 +87,8 @@ def _descend(spark, part: DataFrame, nodes: dict[int, dict], slack: float) -> No
                 n["cut"] = lo if n["target"] - n["before"] <= m["w"] / 2 else hi + 1
                 del open_[k]
             elif lo == hi:
-                n["point"] = lo
+                n["point"] = lo                            # one value holds the median
+                n["after"] = lo if n["target"] - n["before"] <= m["w"] / 2 else lo + 1
                 del open_[k]
             else:
                 n["a"], n["b"], n["width"] = lo, hi, (hi - lo) // BUCKETS + 1
@@ -126,8 +127,8 @@ def kd_tree(units: DataFrame, dims: list[str], shards: int, total: int) -> DataF
         for k, n in nodes.items():
             point = k in tied
             cut, tie = (n["point"], tied[k]["cut"]) if point else (n["cut"], 0)
-            if tie is None:                                # one unit holds the median
-                tie = tied[k]["point"] + 1
+            if tie is None:                                # a unit goes to the nearer side
+                tie = tied[k]["after"]
             rows.append((k, n["k"], n["dim"], cut, tie))
         cuts = spark.createDataFrame(rows, "lo int, k int, dim int, cut long, at long")
         x = F.expr("element_at(array(" + ", ".join(dims) + "), dim + 1)")
