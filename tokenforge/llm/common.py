@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import BROADCAST_BYTES, approx_bytes, materialize, scratch_path
 
-CHUNK_BYTES = 4 << 20          # bytes of text that one numpy step holds
+CHUNK_BYTES = 512 << 10        # bytes of text that one numpy step holds
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -23,7 +23,8 @@ LOWER[0x41:0x5B] += 0x20
 
 
 def bounded(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
-    """``df`` written to the checkpoint folder, and whether it may be broadcast."""
+    """``df`` written to the checkpoint folder, and whether its measured size allows
+    a broadcast."""
     m = materialize(df)
     return m, approx_bytes(m) <= limit_bytes
 

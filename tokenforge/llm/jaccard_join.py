@@ -43,7 +43,7 @@ from ..session import materialize
 from .common import LOWER, WS, Texts, bounded, chunks, maybe_broadcast, mix, span_hashes, stored
 
 SHINGLE, NUM, DEN = 5, 3, 4    # words; least similarity as a fraction
-SMALL, PIVOTS, DEPTH = 48, 6, 8
+SMALL, PIVOTS, DEPTH = 64, 12, 4
 FREQ_SHARE, FREQ_LEAST, FREQ_ROWS = 32, 3, 200_000   # order of frequent shingles: see frequent_shingles
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -78,19 +78,21 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(np.sum(mix(s ^ x), dtype=np.uint64).astype(np.int64)) for x in (np.uint64(1), _SALT))
 
 
-def profile_udf(k: int):
-    """text -> size and signature of its set."""
+def profile_udf(k: int = SHINGLE):
+    """text -> size and signature of its set; for a share of 1 / ``FREQ_SHARE`` of the
+    signatures the set itself."""
     def run(text: pa.Array) -> pa.Array:
-        n, a, b = [], [], []
+        n, a, b, some = [], [], [], []
         for part in chunks(text):
             for s in shingle_sets(part, k):
                 x, y = signature(s)
                 n.append(len(s))
                 a.append(x)
                 b.append(y)
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
-                                          ["n", "sig", "sig2"])
-    return F.arrow_udf(run, "n long, sig long, sig2 long")
+                some.append(s.astype(np.int64) if len(s) and x % FREQ_SHARE == 0 else None)
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
+                                           pa.array(some, pa.list_(pa.int64()))], ["n", "sig", "sig2", "some"])
+    return F.arrow_udf(run, "n long, sig long, sig2 long, some array<long>")
 
 
 def prefix_size(n, num: int = NUM, den: int = DEN):
@@ -116,14 +118,11 @@ def _batches(pick, names: list[str]):
     return run
 
 
-def frequent_shingles(texts: DataFrame) -> np.ndarray:
+def frequent_shingles(profiles: DataFrame) -> np.ndarray:
     """Shingles that several classes of a share of 1 / ``FREQ_SHARE`` hold, the most
     frequent ``FREQ_ROWS`` of them: the end of the order that seed cells rest on.
     Any order gives the same links; this one keeps cells small."""
-    def pick(sig, s):
-        s = s if sig % FREQ_SHARE == 0 else s[:0]
-        return s, np.full(len(s), sig)
-    rows = texts.mapInArrow(_batches(pick, ["token", "sig"]), "token long, sig long").distinct() \
+    rows = profiles.where("some is not null").dropDuplicates(["sig"]).select(F.explode("some").alias("token")) \
         .groupBy("token").count().where(F.col("count") >= FREQ_LEAST) \
         .orderBy(F.desc("count"), "token").limit(FREQ_ROWS).select("token").toPandas()
     return np.sort(rows["token"].to_numpy(np.int64).view(np.uint64))
@@ -151,9 +150,18 @@ def seed_cells(texts: DataFrame, frequent: np.ndarray, num: int, den: int) -> Da
 
 
 def _cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The cells of one partition: pairs (a, b) of small cells, and the members of
-    larger ones as (cell, sig) with b null."""
-    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in it]
+    """The cells of one partition of (token, sig, often): pairs (a, b) of small cells
+    as kind 0, members of larger ones as (token, sig) of kind 1.  Members of cells of
+    frequent shingles needn't be together, and are passed on as they are."""
+    def batch(kind, a, b):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int32()), pa.array(a), pa.array(b)],
+                                          ["kind", "a", "b"])
+    got = []
+    for rows in it:
+        token, sig, often = (rows.column(k).to_numpy() for k in range(3))
+        if often.any():
+            yield batch(1, token[often == 1], sig[often == 1])
+        got.append((token[often == 0], sig[often == 0]))
     if not got:
         return
     token, sig = (np.concatenate([g[k] for g in got]) for k in (0, 1))
@@ -162,25 +170,24 @@ def _cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first = np.ones(len(token), bool)
     first[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])        # copies from other batches
     token, sig = token[first], sig[first]
-    cut = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
+    cut = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True]) if len(token) else np.zeros(1, np.int64)
     size = np.diff(cut)
-
-    def batch(kind, a, b):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int32()), pa.array(a), pa.array(b)],
-                                          ["kind", "a", "b"])
     big = np.repeat(size > SMALL, size)
     for i in range(0, int(big.sum()), 1 << 20):
         yield batch(1, token[big][i:i + (1 << 20)], sig[big][i:i + (1 << 20)])
     for n in np.unique(size[(size > 1) & (size <= SMALL)]):
         at = cut[:-1][size == n]
         x, y = np.triu_indices(n, 1)
-        for i in range(0, len(at), max(1, (1 << 18) // len(x))):
-            part = at[i:i + max(1, (1 << 18) // len(x))]
+        step = max(1, (1 << 18) // len(x))
+        for i in range(0, len(at), step):
+            part = at[i:i + step]
             yield batch(0, sig[(part[:, None] + x).ravel()], sig[(part[:, None] + y).ravel()])
 
 
-def class_sets(texts: DataFrame, sigs: DataFrame, small: bool) -> DataFrame:
+def class_sets(texts: DataFrame, sigs: DataFrame) -> DataFrame:
     """(sig, tokens) of the classes in ``sigs``, from the texts again."""
+    sigs, small = bounded(sigs)
+
     def run(it):
         for batch in it:
             seen: set[int] = set()
@@ -213,11 +220,8 @@ def overlap_udf():
     return F.arrow_udf(run, "long")
 
 
-def measure(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with their sizes na, nb and overlap."""
-    pairs = materialize(pairs)
-    sigs, small = bounded(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct())
-    sets = materialize(class_sets(texts, sigs, small))
     left = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("sig").alias("b"), F.col("tokens").alias("tb"))
     out = pairs.join(left, "a").join(right, "b") \
@@ -254,7 +258,7 @@ def small_cell_pairs(cells: DataFrame, large: DataFrame, sizes: DataFrame, num:
         .select("a", "b").distinct()
 
 
-def split_cells(cells: DataFrame, texts: DataFrame, depth: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def split_cells(cells: DataFrame, sets: DataFrame, depth: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(links, regions) of one step: cells (cell, sig) are split around pivots."""
     r, eps = 1 - num / den, 1e-9
     w = Window.partitionBy("cell").orderBy(F.xxhash64("sig", F.lit(depth)), "sig")
@@ -262,7 +266,7 @@ def split_cells(cells: DataFrame, texts: DataFrame, depth: int, num: int, den: i
                           .where(F.col("_rn") <= PIVOTS).select("cell", F.col("sig").alias("pivot")))
     near = cells.select("cell", "sig").join(maybe_broadcast(pivots, few), "cell")
     low, high = F.least("sig", "pivot"), F.greatest("sig", "pivot")
-    known = measure(near.where("sig != pivot").select(low.alias("a"), high.alias("b")).distinct(), texts) \
+    known = measure(near.where("sig != pivot").select(low.alias("a"), high.alias("b")).distinct(), sets) \
         .withColumn("d", distance()).withColumn("link", is_link(num, den))
     d, small = bounded(known.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "d", "link"))
     to = near.join(maybe_broadcast(d, small), (low == F.col("_a")) & (high == F.col("_b")), "left") \
@@ -315,39 +319,44 @@ def open_cells(cells: DataFrame, edges: DataFrame) -> DataFrame:
     return stored(rows.join(maybe_broadcast(state, small), "cell"), "cells")
 
 
-def cross_pairs(cells: DataFrame) -> DataFrame:
-    """Pairs of members of different components in each cell: one of them is not of
-    the cell's main component."""
-    few = cells.where("root != main").select(F.col("cell").alias("_c"), F.col("sig").alias("_s"), F.col("root").alias("_r"))
-    return cells.join(few, (F.col("cell") == F.col("_c")) & (F.col("root") != F.col("_r"))) \
+def cross_pairs(cells: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of members of different components in each cell, one of which is not of
+    the cell's main component, whose sizes allow the similarity."""
+    rows = cells.join(sizes.select("sig", "n"), "sig")
+    few = rows.where("root != main").select(F.col("cell").alias("_c"), F.col("sig").alias("_s"),
+                                            F.col("root").alias("_r"), F.col("n").alias("_n"))
+    return rows.join(few, (F.col("cell") == F.col("_c")) & (F.col("root") != F.col("_r"))
+                     & (den * F.col("n") >= num * F.col("_n")) & (den * F.col("_n") >= num * F.col("n"))) \
         .select(F.least("sig", "_s").alias("a"), F.greatest("sig", "_s").alias("b")).distinct()
 
 
-def links(texts: DataFrame, sizes: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+def links(texts: DataFrame, profiles: DataFrame, sizes: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """Links (a, b) between classes that connect all that any links connect.
 
-    ``texts`` has one text column, ``sizes`` (sig, n) of every class."""
+    ``texts`` has one text column, ``profiles`` the columns of ``profile_udf``,
+    ``sizes`` (sig, n) of every class."""
     spark = texts.sparkSession
     total = sizes.agg(F.coalesce(F.sum(F.col("n") / den + 1), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // 1_000_000) + 1)
-    seeds = seed_cells(texts, frequent_shingles(texts), num, den)
     # members of cells of frequent shingles needn't meet in one task
-    cells = stored(seeds.where("often = 0").select("token", "sig").repartition(parts, "token")
-                   .mapInArrow(_cells, "kind int, a long, b long")
-                   .unionByName(seeds.where("often = 1").select(F.lit(1).alias("kind"), F.col("token").alias("a"),
-                                                                F.col("sig").alias("b"))), "pairs")
-    large = cells.where("kind = 1").select(F.col("a").alias("cell"), F.col("b").alias("sig")).distinct()
-    pairs = small_cell_pairs(cells.where("kind = 0"), large, sizes, num, den)
-    found = measure(pairs, texts).where(is_link(num, den)).select("a", "b")
+    cells = stored(seed_cells(texts, frequent_shingles(profiles), num, den)
+                   .repartition(parts, F.when(F.col("often") == 1, F.col("sig")).otherwise(F.col("token")))
+                   .mapInArrow(_cells, "kind int, a long, b long"), "pairs")
+    large = materialize(cells.where("kind = 1").select(F.col("a").alias("cell"), F.col("b").alias("sig")).distinct())
+    pairs = materialize(small_cell_pairs(cells.where("kind = 0"), large, sizes, num, den))
+    sets = stored(class_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("sig"))
+                             .unionByName(large.select("sig")).distinct()), "sets")
+    found = measure(pairs, sets).where(is_link(num, den)).select("a", "b")
     for depth in range(DEPTH + 1):
         state = open_cells(large, found)
         few = state.where((F.col("others") <= SMALL) | F.lit(depth == DEPTH))
         if not few.isEmpty():
-            found = found.unionByName(measure(cross_pairs(few), texts).where(is_link(num, den)).select("a", "b"))
+            found = found.unionByName(measure(cross_pairs(few, sizes, num, den), sets)
+                                      .where(is_link(num, den)).select("a", "b"))
         many = state.where(F.col("others") > SMALL)
         if depth == DEPTH or many.isEmpty():
             return found
-        new, large = split_cells(many, texts, depth, num, den)
+        new, large = split_cells(many, sets, depth, num, den)
         found, large = found.unionByName(new), stored(large, "regions")
 
 
@@ -372,11 +381,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    p = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), profile_udf(SHINGLE)(F.col(f"`{text}`")).alias("p"))
-    rows = materialize(p.select("doc_id", "p.*"))
+    p = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), profile_udf()(F.col(f"`{text}`")).alias("p"))
+    rows = stored(p.select("doc_id", "p.*"), "profiles")
     classes = materialize(rows.where("n > 0").groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("least")))
     texts = docs.select(F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull())
-    roots = components(links(texts, classes.select("sig", "n")))
+    roots = components(links(texts, rows, classes.select("sig", "n")))
     grouped = classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left") \
         .withColumn("root", F.coalesce("root", "sig"))
     w = grouped.groupBy(F.col("root").alias("_r")).agg(F.min("least").alias("component_id"))

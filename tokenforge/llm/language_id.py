@@ -32,6 +32,7 @@ from .common import by_chunk, held_out, learnable, sample_rows
 ROWS_PER_LANG = 24             # labelled rows that an automaton is built from
 LONG = 4_000                   # characters; longer labelled rows are taken last
 BLOCK = 256                    # symbols of a text that are parsed together
+CHUNK = 4 << 20                # bytes of text that are parsed side by side
 UNKNOWN = "und"
 OUT = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
@@ -185,7 +186,7 @@ def labelled_text(docs: DataFrame, text: str = "text", lang: str = "lang", doc_i
 
 def predict_udf(labelled: tuple[tuple[str, str], ...]):
     def run(text: pa.Array) -> pa.Array:
-        return by_chunk(text, lambda a: load(labelled).predict(a), OUT)
+        return by_chunk(text, lambda a: load(labelled).predict(a), OUT, CHUNK)
     return F.arrow_udf(run, "lang_pred string, score double")
 
 
