@@ -27,7 +27,6 @@ from .common import bounded, lower_ascii, maybe_broadcast
 WINDOW, K = 13, 5
 # What separates words, after A-Z became a-z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -133,9 +132,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         .agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     result = covered.join(items, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("text_hash") == F.col("_h"))) \
         .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "n_hit", "items")
-    # counted on the raw text: letters of either case are word characters
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"),
-                       F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(RAW_WORD)), F.lit(0)).cast("long").alias("n_words"))
+                       F.size(words_of(F.col(f"`{text}`"))).cast("long").alias("n_words"))
     out = rows.join(result, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
     items = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     return out.select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
