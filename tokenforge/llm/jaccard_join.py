@@ -45,6 +45,7 @@ from .common import LOWER, WS, Texts, bounded, chunks, maybe_broadcast, mix, spa
 SHINGLE, NUM, DEN = 5, 3, 4    # words; least similarity as a fraction
 SMALL, PIVOTS, DEPTH = 64, 12, 4
 FREQ_SHARE, FREQ_LEAST, FREQ_ROWS = 32, 3, 200_000   # order of frequent shingles: see frequent_shingles
+SKETCH = 256                   # ranges that a set's members are counted in
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -128,24 +129,23 @@ def frequent_shingles(profiles: DataFrame) -> np.ndarray:
     return np.sort(rows["token"].to_numpy(np.int64).view(np.uint64))
 
 
-def ordered_prefix(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The shingles that a set is seeded by: rare ones first, by hash."""
+def ordered_prefix(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
+    """The shingles that a set is seeded by, rare ones first, each kind by hash; and
+    how many of them are rare."""
     p = prefix_size(len(s), num, den)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-        often = frequent[at] == s
-        rare = s[~often]
-        return rare[:p] if len(rare) >= p else np.concatenate([rare, s[often][:p - len(rare)]])
-    return s[:p]
+    if not len(frequent):
+        return s[:p], p
+    often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+    rare = s[~often][:p]
+    return (rare if len(rare) == p else np.concatenate([rare, s[often][:p - len(rare)]])), len(rare)
 
 
 def seed_cells(texts: DataFrame, frequent: np.ndarray, num: int, den: int) -> DataFrame:
     """(token, sig, often) of every class and seeding shingle; often: the shingle is
     a frequent one."""
     def pick(sig, s):
-        p = ordered_prefix(s, frequent, num, den)
-        often = np.isin(p, frequent) if len(frequent) else np.zeros(len(p), bool)
-        return p, np.full(len(p), sig), often
+        p, rare = ordered_prefix(s, frequent, num, den)
+        return p, np.full(len(p), sig), np.arange(len(p)) >= rare
     return texts.mapInArrow(_batches(pick, ["token", "sig", "often"]), "token long, sig long, often long")
 
 
@@ -184,8 +184,13 @@ def _cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(0, sig[(part[:, None] + x).ravel()], sig[(part[:, None] + y).ravel()])
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Members of a set by ``SKETCH`` ranges of a hash, at most 255 each."""
+    return np.minimum(np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
 def class_sets(texts: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(sig, tokens) of the classes in ``sigs``, from the texts again."""
+    """(sig, n, sketch, tokens) of the classes in ``sigs``, from the texts again."""
     sigs, small = bounded(sigs)
 
     def run(it):
@@ -197,15 +202,28 @@ def class_sets(texts: DataFrame, sigs: DataFrame) -> DataFrame:
                     sig = signature(s)[0]
                     if len(s) and sig not in seen:
                         seen.add(sig)
-                        rows.append((sig, s.astype(np.int64)))
+                        rows.append((sig, len(s), sketch(s), s.astype(np.int64)))
                 if rows:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))],
-                        ["sig", "tokens"])
-    return texts.mapInArrow(run, "sig long, tokens array<long>") \
+                        [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))],
+                        ["sig", "n", "sketch", "tokens"])
+    return texts.mapInArrow(run, "sig long, n long, sketch binary, tokens array<long>") \
         .join(maybe_broadcast(sigs, small), "sig", "left_semi").dropDuplicates(["sig"])
 
 
+def most_overlap_udf():
+    """A bound on the overlap of two sets from their sketches and sizes: members of
+    one range only match members of the same range."""
+    def run(a: pa.Array, b: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
+        least = np.minimum(na.to_numpy(), nb.to_numpy())
+        if not len(a):
+            return pa.array(least)
+        x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(-1, SKETCH) for v in (a, b))
+        low = np.minimum(x, y)
+        return pa.array(np.where((low == 255).any(1), least, np.minimum(least, low.sum(1, dtype=np.int64))))
+    return F.arrow_udf(run, "long")
+
+
 def overlap_udf():
     """Size of the intersection of two sorted sets of distinct longs."""
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -220,14 +238,21 @@ def overlap_udf():
     return F.arrow_udf(run, "long")
 
 
-def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with their sizes na, nb and overlap."""
-    left = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("sig").alias("b"), F.col("tokens").alias("tb"))
-    out = pairs.join(left, "a").join(right, "b") \
-        .select("a", "b", F.size("ta").cast("long").alias("na"), F.size("tb").cast("long").alias("nb"),
-                overlap_udf()("ta", "tb").alias("o"))
-    return materialize(out)
+def measure(pairs: DataFrame, sets: tuple[DataFrame, DataFrame, bool], within: float) -> DataFrame:
+    """``pairs`` (a, b) with their sizes na, nb and overlap o.  Where the sketches
+    show a distance over ``within``, o is their upper bound; else it is exact, and
+    only there the sets themselves are moved."""
+    full, thin, small = sets
+    for x in "ab":
+        pairs = pairs.join(maybe_broadcast(thin.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"),
+                                                       F.col("sketch").alias(f"s{x}")), small), x)
+    pairs = materialize(pairs.select("a", "b", "na", "nb", most_overlap_udf()("sa", "sb", "na", "nb").alias("o")))
+    near = distance() <= within + 1e-9
+    left = full.select(F.col("sig").alias("a"), F.col("tokens").alias("ta"))
+    right = full.select(F.col("sig").alias("b"), F.col("tokens").alias("tb"))
+    exact = pairs.where(near).drop("o").join(left, "a").join(right, "b") \
+        .select("a", "b", "na", "nb", overlap_udf()("ta", "tb").alias("o"))
+    return materialize(exact.unionByName(pairs.where(~near)))
 
 
 def is_link(num: int, den: int):
@@ -258,15 +283,17 @@ def small_cell_pairs(cells: DataFrame, large: DataFrame, sizes: DataFrame, num:
         .select("a", "b").distinct()
 
 
-def split_cells(cells: DataFrame, sets: DataFrame, depth: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def split_cells(cells: DataFrame, sets: tuple, depth: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(links, regions) of one step: cells (cell, sig) are split around pivots."""
     r, eps = 1 - num / den, 1e-9
+    # Distances over 2r may be lower bounds: who is at home or in a ball is exact, and
+    # a member that is nearer than it should be only makes one guest more.
     w = Window.partitionBy("cell").orderBy(F.xxhash64("sig", F.lit(depth)), "sig")
     pivots, few = bounded(cells.select("cell", "sig").withColumn("_rn", F.row_number().over(w))
                           .where(F.col("_rn") <= PIVOTS).select("cell", F.col("sig").alias("pivot")))
     near = cells.select("cell", "sig").join(maybe_broadcast(pivots, few), "cell")
     low, high = F.least("sig", "pivot"), F.greatest("sig", "pivot")
-    known = measure(near.where("sig != pivot").select(low.alias("a"), high.alias("b")).distinct(), sets) \
+    known = measure(near.where("sig != pivot").select(low.alias("a"), high.alias("b")).distinct(), sets, 2 * r) \
         .withColumn("d", distance()).withColumn("link", is_link(num, den))
     d, small = bounded(known.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "d", "link"))
     to = near.join(maybe_broadcast(d, small), (low == F.col("_a")) & (high == F.col("_b")), "left") \
@@ -346,12 +373,13 @@ def links(texts: DataFrame, profiles: DataFrame, sizes: DataFrame, num: int = NU
     pairs = materialize(small_cell_pairs(cells.where("kind = 0"), large, sizes, num, den))
     sets = stored(class_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("sig"))
                              .unionByName(large.select("sig")).distinct()), "sets")
-    found = measure(pairs, sets).where(is_link(num, den)).select("a", "b")
+    sets = (sets, *bounded(sets.select("sig", "n", "sketch")))      # whole, thin, thin is small
+    found = measure(pairs, sets, 1 - num / den).where(is_link(num, den)).select("a", "b")
     for depth in range(DEPTH + 1):
         state = open_cells(large, found)
         few = state.where((F.col("others") <= SMALL) | F.lit(depth == DEPTH))
         if not few.isEmpty():
-            found = found.unionByName(measure(cross_pairs(few, sizes, num, den), sets)
+            found = found.unionByName(measure(cross_pairs(few, sizes, num, den), sets, 1 - num / den)
                                       .where(is_link(num, den)).select("a", "b"))
         many = state.where(F.col("others") > SMALL)
         if depth == DEPTH or many.isEmpty():
