@@ -10,7 +10,7 @@ metric, so classes are joined by regions around pivots:
    order (found on a share of the classes); that only saves work.
 2. Cells of up to ``SMALL`` classes give their pairs.  A pair goes on if its count
    of common cells allows the overlap it needs, and is verified on the full sets.
-3. Larger cells are split recursively: ``PIVOTS`` classes become pivots and all
+3. Larger cells are split recursively: some classes become pivots and all
    members are measured against them.  Members within the radius of a pivot are
    its ball and are connected through it, so their pairs aren't looked at.  A
    member's Voronoi region is that of its nearest pivot; by the triangle inequality
@@ -43,7 +43,8 @@ from ..session import materialize
 from .common import LOWER, WS, Texts, bounded, chunks, maybe_broadcast, mix, span_hashes, stored
 
 SHINGLE, NUM, DEN = 5, 3, 4    # words; least similarity as a fraction
-SMALL, PIVOTS, DEPTH = 64, 12, 4
+SMALL = 64                     # classes of a cell that gives its pairs
+PIVOTS = (2, 6, 6, 8)          # pivots of a larger cell, by depth
 FREQ_SHARE, FREQ_LEAST, FREQ_ROWS = 32, 3, 200_000   # order of frequent shingles: see frequent_shingles
 SKETCH = 256                   # ranges that a set's members are counted in
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -141,11 +142,12 @@ def ordered_prefix(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> t
 
 
 def seed_cells(texts: DataFrame, frequent: np.ndarray, num: int, den: int) -> DataFrame:
-    """(token, sig, often) of every class and seeding shingle; often: the shingle is
-    a frequent one."""
+    """(token, sig, often) of every class and seeding shingle; often: -1, or for a
+    frequent shingle how many frequent ones the class holds.  A class has frequent
+    seeds only where all its rare shingles are seeds as well."""
     def pick(sig, s):
         p, rare = ordered_prefix(s, frequent, num, den)
-        return p, np.full(len(p), sig), np.arange(len(p)) >= rare
+        return p, np.full(len(p), sig), np.where(np.arange(len(p)) >= rare, len(s) - rare, -1)
     return texts.mapInArrow(_batches(pick, ["token", "sig", "often"]), "token long, sig long, often long")
 
 
@@ -153,15 +155,16 @@ def _cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The cells of one partition of (token, sig, often): pairs (a, b) of small cells
     as kind 0, members of larger ones as (token, sig) of kind 1.  Members of cells of
     frequent shingles needn't be together, and are passed on as they are."""
-    def batch(kind, a, b):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int32()), pa.array(a), pa.array(b)],
-                                          ["kind", "a", "b"])
+    def batch(kind, a, b, often=None):
+        often = np.full(len(a), -1) if often is None else often
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int32()), pa.array(a), pa.array(b),
+                                           pa.array(often, pa.int64())], ["kind", "a", "b", "often"])
     got = []
     for rows in it:
         token, sig, often = (rows.column(k).to_numpy() for k in range(3))
-        if often.any():
-            yield batch(1, token[often == 1], sig[often == 1])
-        got.append((token[often == 0], sig[often == 0]))
+        if (often >= 0).any():
+            yield batch(1, token[often >= 0], sig[often >= 0], often[often >= 0])
+        got.append((token[often < 0], sig[often < 0]))
     if not got:
         return
     token, sig = (np.concatenate([g[k] for g in got]) for k in (0, 1))
@@ -248,6 +251,8 @@ def measure(pairs: DataFrame, sets: tuple[DataFrame, DataFrame, bool], within: f
                                                        F.col("sketch").alias(f"s{x}")), small), x)
     pairs = materialize(pairs.select("a", "b", "na", "nb", most_overlap_udf()("sa", "sb", "na", "nb").alias("o")))
     near = distance() <= within + 1e-9
+    need, few = bounded(pairs.where(near).select(F.explode(F.array("a", "b")).alias("sig")).distinct())
+    full = full.select("sig", "tokens").join(maybe_broadcast(need, few), "sig", "left_semi")
     left = full.select(F.col("sig").alias("a"), F.col("tokens").alias("ta"))
     right = full.select(F.col("sig").alias("b"), F.col("tokens").alias("tb"))
     exact = pairs.where(near).drop("o").join(left, "a").join(right, "b") \
@@ -288,27 +293,28 @@ def split_cells(cells: DataFrame, sets: tuple, depth: int, num: int, den: int) -
     r, eps = 1 - num / den, 1e-9
     # Distances over 2r may be lower bounds: who is at home or in a ball is exact, and
     # a member that is nearer than it should be only makes one guest more.
-    w = Window.partitionBy("cell").orderBy(F.xxhash64("sig", F.lit(depth)), "sig")
-    pivots, few = bounded(cells.select("cell", "sig").withColumn("_rn", F.row_number().over(w))
-                          .where(F.col("_rn") <= PIVOTS).select("cell", F.col("sig").alias("pivot")))
-    near = cells.select("cell", "sig").join(maybe_broadcast(pivots, few), "cell")
+    # The smallest members are the pivots: what a cell shares is most of them.
+    w = Window.partitionBy("cell").orderBy("n", F.xxhash64("sig"), "sig")
+    pivots, few = bounded(cells.select("cell", "sig", "n").withColumn("_rn", F.row_number().over(w))
+                          .where(F.col("_rn") <= PIVOTS[depth]).select("cell", F.col("sig").alias("pivot")))
+    near = cells.select("cell", "sig", "n", "most").join(maybe_broadcast(pivots, few), "cell")
     low, high = F.least("sig", "pivot"), F.greatest("sig", "pivot")
     known = measure(near.where("sig != pivot").select(low.alias("a"), high.alias("b")).distinct(), sets, 2 * r) \
         .withColumn("d", distance()).withColumn("link", is_link(num, den))
     d, small = bounded(known.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "d", "link"))
     to = near.join(maybe_broadcast(d, small), (low == F.col("_a")) & (high == F.col("_b")), "left") \
-        .select("cell", "sig", F.struct(F.coalesce("d", F.lit(0.0)).alias("d"), "pivot", "link").alias("p"))
-    # at most PIVOTS distances a member; the pivots themselves are done
-    member = to.groupBy("cell", "sig").agg(F.sort_array(F.collect_list("p")).alias("p")).where("p[0].pivot != sig")
+        .select("cell", "sig", "n", "most", F.struct(F.coalesce("d", F.lit(0.0)).alias("d"), "pivot", "link").alias("p"))
+    # a distance for each pivot; the pivots themselves are done
+    member = to.groupBy("cell", "sig", "n", "most").agg(F.sort_array(F.collect_list("p")).alias("p")).where("p[0].pivot != sig")
     member = stored(member.withColumn("least", F.expr("p[0].d")), "members")
     # Voronoi regions with guests: a home member at d <= 2r has its partners within
     # d + r of its pivot, and none of them has a pivot nearer by more than 2r
-    regions = member.select("cell", "sig", "least", F.posexplode("p").alias("i", "p")) \
+    regions = member.select("cell", "sig", "n", "most", "least", F.posexplode("p").alias("i", "p")) \
         .where((F.col("p.d") <= 3 * r + eps) & (F.col("p.d") <= F.col("least") + 2 * r + eps)) \
-        .select("cell", F.xxhash64("cell", "p.pivot", F.lit(depth)).alias("region"), "sig", "p.d",
+        .select("cell", F.xxhash64("cell", "p.pivot", F.lit(depth)).alias("region"), "sig", "n", "most", "p.d",
                 F.col("p.link").alias("inside"), ((F.col("i") == 0) & (F.col("p.d") <= 2 * r + eps)).alias("home"))
     far = member.where(F.col("least") > 2 * r - eps) \
-        .select("cell", F.xxhash64("cell", F.lit(-1), F.lit(depth)).alias("region"), "sig", F.col("least").alias("d"),
+        .select("cell", F.xxhash64("cell", F.lit(-1), F.lit(depth)).alias("region"), "sig", "n", "most", F.col("least").alias("d"),
                 F.lit(False).alias("inside"), F.lit(True).alias("home"))
     regions = regions.unionByName(far)
     # Nothing is left to do where all are in one ball or none is at home.  Of a ball,
@@ -317,25 +323,34 @@ def split_cells(cells: DataFrame, sets: tuple, depth: int, num: int, den: int) -
         F.min(F.when(~F.col("inside"), F.col("d"))).alias("edge"), F.max("home").alias("any"), F.count("*").alias("n"))
         .where("any and edge is not null and n > 1").select("region", "edge"))
     regions = regions.join(maybe_broadcast(state, few), "region") \
-        .where(~F.col("inside") | (F.col("d") >= F.col("edge") - r - eps)).select("cell", "region", "sig")
+        .where(~F.col("inside") | (F.col("d") >= F.col("edge") - r - eps)).select("cell", "region", "sig", "n", "most")
     # where pivots don't separate a cell, it goes on as it is, without them
     size = member.groupBy("cell").agg(F.count("*").alias("n"))
     apart, few = bounded(regions.groupBy("cell").agg(F.count("*").alias("rows")).join(size, "cell")
                          .select("cell", (F.col("rows") <= 2 * F.col("n")).alias("apart")))
     split = regions.join(maybe_broadcast(apart.where("apart").select("cell"), few), "cell") \
-        .select(F.col("region").alias("cell"), "sig")
+        .select(F.col("region").alias("cell"), "sig", "n", "most")
     whole = member.join(maybe_broadcast(apart.where("not apart").select("cell"), few), "cell") \
-        .select(F.xxhash64("cell", F.lit(depth)).alias("cell"), "sig")
+        .select(F.xxhash64("cell", F.lit(depth)).alias("cell"), "sig", "n", "most")
     return known.where("link").select("a", "b"), split.unionByName(whole).distinct()
 
 
-def open_cells(cells: DataFrame, edges: DataFrame) -> DataFrame:
-    """(cell, sig, root, main, others) of cells whose members aren't all connected
-    yet; main: the component with most members, others: members of other ones.
-    Of cells with the same members one stays."""
+def open_cells(cells: DataFrame, edges: DataFrame, num: int, den: int) -> DataFrame:
+    """(cell, sig, n, most, root, main, others) of cells whose members aren't all
+    connected yet; main: the component with most members, others: members of other
+    ones.  Of cells with the same members one stays.
+
+    Classes that share a rare shingle meet in its cell too (see ``seed_cells``); so in
+    the cell of a frequent one, members need only be linked by as many shingles as
+    either has frequent ones (``most``), and those for which that is too few even
+    with the smallest member leave."""
+    least, few = bounded(cells.groupBy("cell").agg(F.min("n").alias("_n")))
+    partner = F.greatest(F.col("_n"), F.ceil(num * F.col("n") / den))
+    cells = cells.join(maybe_broadcast(least, few), "cell") \
+        .where((num + den) * F.col("most") >= num * (F.col("n") + partner)).drop("_n")
     roots, small = bounded(components(edges))
     rows = cells.join(maybe_broadcast(roots, small), F.col("sig") == F.col("node"), "left") \
-        .select("cell", "sig", F.coalesce("root", "sig").alias("root"))
+        .select("cell", "sig", "n", "most", F.coalesce("root", "sig").alias("root"))
     parts = rows.groupBy("cell", "root").agg(F.count("*").alias("n"),
                                              F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("s"))
     state = parts.groupBy("cell").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("n"),
@@ -346,14 +361,15 @@ def open_cells(cells: DataFrame, edges: DataFrame) -> DataFrame:
     return stored(rows.join(maybe_broadcast(state, small), "cell"), "cells")
 
 
-def cross_pairs(cells: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+def cross_pairs(cells: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of members of different components in each cell, one of which is not of
-    the cell's main component, whose sizes allow the similarity."""
-    rows = cells.join(sizes.select("sig", "n"), "sig")
-    few = rows.where("root != main").select(F.col("cell").alias("_c"), F.col("sig").alias("_s"),
-                                            F.col("root").alias("_r"), F.col("n").alias("_n"))
-    return rows.join(few, (F.col("cell") == F.col("_c")) & (F.col("root") != F.col("_r"))
-                     & (den * F.col("n") >= num * F.col("_n")) & (den * F.col("_n") >= num * F.col("n"))) \
+    the cell's main component, whose sizes and frequent shingles allow the
+    similarity."""
+    few = cells.where("root != main").select(F.col("cell").alias("_c"), F.col("sig").alias("_s"), F.col("root").alias("_r"),
+                                             F.col("n").alias("_n"), F.col("most").alias("_m"))
+    return cells.join(few, (F.col("cell") == F.col("_c")) & (F.col("root") != F.col("_r"))
+                      & (den * F.col("n") >= num * F.col("_n")) & (den * F.col("_n") >= num * F.col("n"))
+                      & ((num + den) * F.least("most", "_m") >= num * (F.col("n") + F.col("_n")))) \
         .select(F.least("sig", "_s").alias("a"), F.greatest("sig", "_s").alias("b")).distinct()
 
 
@@ -367,22 +383,24 @@ def links(texts: DataFrame, profiles: DataFrame, sizes: DataFrame, num: int = NU
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // 1_000_000) + 1)
     # members of cells of frequent shingles needn't meet in one task
     cells = stored(seed_cells(texts, frequent_shingles(profiles), num, den)
-                   .repartition(parts, F.when(F.col("often") == 1, F.col("sig")).otherwise(F.col("token")))
-                   .mapInArrow(_cells, "kind int, a long, b long"), "pairs")
-    large = materialize(cells.where("kind = 1").select(F.col("a").alias("cell"), F.col("b").alias("sig")).distinct())
+                   .repartition(parts, F.when(F.col("often") >= 0, F.col("sig")).otherwise(F.col("token")))
+                   .mapInArrow(_cells, "kind int, a long, b long, often long"), "pairs")
+    large = materialize(cells.where("kind = 1").select(F.col("a").alias("cell"), F.col("b").alias("sig"), "often").distinct()
+                        .join(sizes.select("sig", "n"), "sig").select(
+                            "cell", "sig", "n", F.when(F.col("often") < 0, F.col("n")).otherwise(F.col("often")).alias("most")))
     pairs = materialize(small_cell_pairs(cells.where("kind = 0"), large, sizes, num, den))
     sets = stored(class_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("sig"))
                              .unionByName(large.select("sig")).distinct()), "sets")
     sets = (sets, *bounded(sets.select("sig", "n", "sketch")))      # whole, thin, thin is small
     found = measure(pairs, sets, 1 - num / den).where(is_link(num, den)).select("a", "b")
-    for depth in range(DEPTH + 1):
-        state = open_cells(large, found)
-        few = state.where((F.col("others") <= SMALL) | F.lit(depth == DEPTH))
+    for depth in range(len(PIVOTS) + 1):
+        state = open_cells(large, found, num, den)
+        few = state.where((F.col("others") <= SMALL) | F.lit(depth == len(PIVOTS)))
         if not few.isEmpty():
-            found = found.unionByName(measure(cross_pairs(few, sizes, num, den), sets, 1 - num / den)
+            found = found.unionByName(measure(cross_pairs(few, num, den), sets, 1 - num / den)
                                       .where(is_link(num, den)).select("a", "b"))
         many = state.where(F.col("others") > SMALL)
-        if depth == DEPTH or many.isEmpty():
+        if depth == len(PIVOTS) or many.isEmpty():
             return found
         new, large = split_cells(many, sets, depth, num, den)
         found, large = found.unionByName(new), stored(large, "regions")
