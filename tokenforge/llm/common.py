@@ -22,11 +22,23 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
+PART_BYTES = 8 << 20           # of a written table's partitions, where they are smaller
+
+
+def compact(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` written to the checkpoint folder, in no more partitions than its measured
+    bytes are worth, and these bytes.  Many small partitions would make every later
+    shuffle write as many small files."""
+    m = materialize(df)
+    size = approx_bytes(m)
+    return m.coalesce(max(1, min(m.rdd.getNumPartitions(), size // PART_BYTES + 1))), size
+
+
 def bounded(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
     """``df`` written to the checkpoint folder, and whether its measured size allows
     a broadcast."""
-    m = materialize(df)
-    return m, approx_bytes(m) <= limit_bytes
+    m, size = compact(df)
+    return m, size <= limit_bytes
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -39,13 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .common import LOWER, WS, Texts, bounded, chunks, maybe_broadcast, mix, span_hashes, stored
+from ..session import BROADCAST_BYTES, materialize
+from .common import LOWER, WS, Texts, bounded, chunks, compact, maybe_broadcast, mix, span_hashes, stored
 
 SHINGLE, NUM, DEN = 5, 3, 4    # words; least similarity as a fraction
 SMALL = 64                     # classes of a cell that gives its pairs
 PIVOTS = (2, 6, 6, 8)          # pivots of a larger cell, by depth
 FREQ_SHARE, FREQ_LEAST, FREQ_ROWS = 32, 3, 200_000   # order of frequent shingles: see frequent_shingles
+SET_BYTES = 8 << 20            # sets of a step that are broadcast; beyond it they are shuffled
 SKETCH = 256                   # ranges that a set's members are counted in
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -249,15 +250,18 @@ def measure(pairs: DataFrame, sets: tuple[DataFrame, DataFrame, bool], within: f
     for x in "ab":
         pairs = pairs.join(maybe_broadcast(thin.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"),
                                                        F.col("sketch").alias(f"s{x}")), small), x)
-    pairs = materialize(pairs.select("a", "b", "na", "nb", most_overlap_udf()("sa", "sb", "na", "nb").alias("o")))
+    pairs, _ = compact(pairs.select("a", "b", "na", "nb", most_overlap_udf()("sa", "sb", "na", "nb").alias("o")))
     near = distance() <= within + 1e-9
     need, few = bounded(pairs.where(near).select(F.explode(F.array("a", "b")).alias("sig")).distinct())
+    size = thin.join(maybe_broadcast(need, few), "sig", "left_semi").agg(F.sum("n")).first()[0] or 0
     full = full.select("sig", "tokens").join(maybe_broadcast(need, few), "sig", "left_semi")
-    left = full.select(F.col("sig").alias("a"), F.col("tokens").alias("ta"))
-    right = full.select(F.col("sig").alias("b"), F.col("tokens").alias("tb"))
-    exact = pairs.where(near).drop("o").join(left, "a").join(right, "b") \
+    exact = pairs.where(near).drop("o")
+    for x in "ab":
+        side = full.select(F.col("sig").alias(x), F.col("tokens").alias(f"t{x}"))
+        exact = exact.join(maybe_broadcast(side, 8 * size <= SET_BYTES), x)
+    exact = exact \
         .select("a", "b", "na", "nb", overlap_udf()("ta", "tb").alias("o"))
-    return materialize(exact.unionByName(pairs.where(~near)))
+    return compact(exact.unionByName(pairs.where(~near)))[0]
 
 
 def is_link(num: int, den: int):
@@ -327,7 +331,7 @@ def split_cells(cells: DataFrame, sets: tuple, depth: int, num: int, den: int) -
     # where pivots don't separate a cell, it goes on as it is, without them
     size = member.groupBy("cell").agg(F.count("*").alias("n"))
     apart, few = bounded(regions.groupBy("cell").agg(F.count("*").alias("rows")).join(size, "cell")
-                         .select("cell", (F.col("rows") <= 2 * F.col("n")).alias("apart")))
+                         .select("cell", (4 * F.col("rows") <= 5 * F.col("n")).alias("apart")))
     split = regions.join(maybe_broadcast(apart.where("apart").select("cell"), few), "cell") \
         .select(F.col("region").alias("cell"), "sig", "n", "most")
     whole = member.join(maybe_broadcast(apart.where("not apart").select("cell"), few), "cell") \
@@ -385,10 +389,10 @@ def links(texts: DataFrame, profiles: DataFrame, sizes: DataFrame, num: int = NU
     cells = stored(seed_cells(texts, frequent_shingles(profiles), num, den)
                    .repartition(parts, F.when(F.col("often") >= 0, F.col("sig")).otherwise(F.col("token")))
                    .mapInArrow(_cells, "kind int, a long, b long, often long"), "pairs")
-    large = materialize(cells.where("kind = 1").select(F.col("a").alias("cell"), F.col("b").alias("sig"), "often").distinct()
+    large, _ = compact(cells.where("kind = 1").select(F.col("a").alias("cell"), F.col("b").alias("sig"), "often").distinct()
                         .join(sizes.select("sig", "n"), "sig").select(
                             "cell", "sig", "n", F.when(F.col("often") < 0, F.col("n")).otherwise(F.col("often")).alias("most")))
-    pairs = materialize(small_cell_pairs(cells.where("kind = 0"), large, sizes, num, den))
+    pairs, _ = compact(small_cell_pairs(cells.where("kind = 0"), large, sizes, num, den))
     sets = stored(class_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("sig"))
                              .unionByName(large.select("sig")).distinct()), "sets")
     sets = (sets, *bounded(sets.select("sig", "n", "sketch")))      # whole, thin, thin is small
@@ -409,16 +413,15 @@ def links(texts: DataFrame, profiles: DataFrame, sizes: DataFrame, num: int = NU
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes of the edges (a, b), root the least node that is
     reachable; by minimum labels and pointer jumping, logarithmic in steps."""
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    both, _ = compact(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label, size = compact(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
     while True:
-        known, small = bounded(label)
-        to = maybe_broadcast(known.select(F.col("node").alias("b"), F.col("root").alias("rb")), small)
+        to = maybe_broadcast(label.select(F.col("node").alias("b"), F.col("root").alias("rb")), size <= BROADCAST_BYTES)
         least = both.join(to, "b").groupBy(F.col("a").alias("node")).agg(F.min("rb").alias("m"))
-        new = known.join(least, "node").select("node", F.least("root", "m").alias("root"), F.col("root").alias("old"))
+        new = label.join(least, "node").select("node", F.least("root", "m").alias("root"), F.col("root").alias("old"))
         # hook the old root under the new one, then jump
         hook = new.groupBy(F.col("old").alias("h")).agg(F.min("root").alias("to"))
-        jump = materialize(new.join(hook, F.col("root") == F.col("h"), "left")
+        jump, size = compact(new.join(hook, F.col("root") == F.col("h"), "left")
                            .select("node", F.least("root", F.coalesce("to", "root")).alias("root"), "old"))
         label = jump.select("node", "root")
         if jump.where(F.col("root") != F.col("old")).isEmpty():
