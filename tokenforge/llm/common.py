@@ -31,7 +31,7 @@ def compact(df: DataFrame) -> tuple[DataFrame, int]:
     shuffle write as many small files."""
     m = materialize(df)
     size = approx_bytes(m)
-    return m.coalesce(max(1, min(m.rdd.getNumPartitions(), size // PART_BYTES + 1))), size
+    return m.coalesce(size // PART_BYTES + 1), size
 
 
 def bounded(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
