@@ -85,13 +85,13 @@ class Automaton:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        self.table = np.full((len(nexts), width), -1, np.int32)
+        # the last state leads nowhere: a symbol never seen is a phrase of its own
+        self.table = np.full((len(nexts) + 1, width), -1, np.int32)
         for i, d in enumerate(nexts):
             if d:
                 self.table[i, list(d)] = list(d.values())
         self.flat, self.width = self.table.reshape(-1), width
-        # where a phrase goes that begins with a symbol: the root for unseen ones
-        self.begin = np.maximum(self.table[0], 0)
+        self.begin = np.where(self.table[0] < 0, len(nexts), self.table[0])
 
     def phrases(self, blocks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Phrases of the greedy parse of each column of ``blocks``; columns are
