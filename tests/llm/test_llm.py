@@ -208,7 +208,7 @@ def test_rules_equal_plain_patterns():
         assert [s[1:] for s in pii.emails(x)] == want
         want = [m.span() for m in ip.finditer(x) if all(int(p) <= 255 for p in m[0].split("."))]
         assert [s[1:] for s in pii.rule_spans(x) if s[0] == "ip"] == want
-    found = pii.rule_spans("a@b.co 4111 1111 1111 1111, 4111 1111 1111 1112 +1 (523) 555-1055 +12 1.2.3.999")
+    found = pii.rule_spans("a@b.co 4111 1111 1111 1111, 4111 1111 1111 1112 +1 (523) 555-1055 x 1.2.3.999")
     assert [k for k, _, _ in found] == ["email", "card", "phone"]
 
 
