@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import by_chunk
 from .tokenizers import BYTE_BPE, pretoken_pattern, read_ranks
 
-MEMO = 400_000
-CHUNK = 6 << 20
+MEMO = 200_000
+CHUNK = 2 << 20
 NONE = np.int64(1 << 40)       # rank of a pair that no token stands for
 
 

@@ -115,7 +115,7 @@ def chains(text: str) -> list[list[tuple[int, int]]]:
     return out
 
 
-@functools.lru_cache(200_000)
+@functools.lru_cache(20_000)
 def shape(word: str) -> tuple[int, ...]:
     """Places of the word-shape features of a word."""
     full = re.sub(r"[A-Z]", "A", re.sub(r"[a-z\x80-\U0010FFFF]", "a", re.sub(r"[0-9]", "9", word[:64])))
