@@ -81,3 +81,23 @@ def test_shuffle_fallbacks_when_tables_exceed_the_bound(spark, monkeypatch):
     iv = spark.createDataFrame([(0, 10, "a"), (10, 25, "b")], "lo long, hi long, name string")
     got = {x["k"]: x["name"] for x in range_lookup(pts, "k", "p", iv, "lo", "hi").collect()}
     assert got == {1: "a", 2: "a", 3: "b", 4: None, 5: None}
+
+
+def test_null_keys_survive_every_chunk_bound(spark):
+    """Rows with a null key are numbered as one group at any bound."""
+    rows = [(None if i % 4 == 0 else i % 3, i) for i in range(100)]
+    df = spark.createDataFrame(rows, "k int, v long")
+    from tokenforge.operators.ordered import keyed_index
+    want = sorted(map(tuple, keyed_index(df, ["k"], ["v"], F.col("v"), rows_per_chunk=1000).collect()), key=str)
+    for bound in (2, 5, 20):
+        got = sorted(map(tuple, keyed_index(df, ["k"], ["v"], F.col("v"), rows_per_chunk=bound).collect()), key=str)
+        assert got == want and len(got) == 100
+
+
+def test_conversations_of_many_turns(spark):
+    """The chunk value of stacked turns follows their order for any number of turns."""
+    df = spark.range(3000).selectExpr("id div 1500 as conv_id", "id % 1500 as turn", "0 as rank")
+    from tokenforge.operators.ordered import keyed_index
+    order = ["conv_id", "turn"]
+    want = sorted(map(tuple, keyed_index(df, ["rank"], order, F.col("conv_id"), "row").collect()))
+    assert sorted(map(tuple, keyed_index(df, ["rank"], order, F.col("conv_id"), "row", 100).collect())) == want

@@ -39,11 +39,23 @@ def _cols(xs: Sequence[str | Column]) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
+def _join_null_safe(big: DataFrame, small: DataFrame, on: Sequence[str], broadcast: bool,
+                    how: str = "inner") -> DataFrame:
+    """Join on ``on`` with null keys equal, as they are in groups and windows."""
+    right = small.select(*[F.col(f"`{c}`").alias(f"_tf_on_{c}" if c in on else c) for c in small.columns])
+    cond = None
+    for c in on:
+        same = F.col(f"`{c}`").eqNullSafe(F.col(f"`_tf_on_{c}`"))
+        cond = same if cond is None else cond & same
+    out = big.join(F.broadcast(right) if broadcast else right, cond, how)
+    return out.drop(*[f"_tf_on_{c}" for c in on])
+
+
 def _join_small(big: DataFrame, small: DataFrame, on: list[str],
                 how: str = "inner") -> DataFrame:
-    """Join a derived table, broadcasting it only when its row count is bounded."""
+    """Null-safe join of a derived table, broadcast only when its size is bounded."""
     small, ok = small_table(small, BROADCAST_ROWS)
-    return big.join(F.broadcast(small) if ok else small, on=on, how=how)
+    return _join_null_safe(big, small, on, ok, how)
 
 
 def _key_stats(df: DataFrame, keys: Sequence[str], chunk_value: Column,
@@ -75,7 +87,7 @@ def assign_chunks(df: DataFrame, keys: Sequence[str], chunk_value: Column,
     d, st, _ = _stats or _key_stats(df, keys, chunk_value)
     if keys:
         stats, ok = st
-        d = d.join(F.broadcast(stats) if ok else stats, on=list(keys))
+        d = _join_null_safe(d, stats, list(keys), ok)
     else:
         # one row of scalars: read once, used as literals
         d = (d.withColumn("_tf_lo", F.lit(st["_tf_lo"]).cast("double"))

@@ -78,7 +78,7 @@ def q_gather_score_scatter(spark, sf_dir):
     """Turns of four ranks (``conv_id % 4``) stacked, scored in one pass and
     returned to their (rank, row) (J4)."""
     c = read_table(spark, sf_dir, "conversations").withColumn("rank", F.pmod("conv_id", F.lit(4)))
-    c = keyed_index(c, ["rank"], ["conv_id", "turn"], F.col("conv_id") * 1000 + F.col("turn"), "row")
+    c = keyed_index(c, ["rank"], ["conv_id", "turn"], F.col("conv_id"), "row")
     r = INF.gather_score_scatter(c, "rank", "row", "text", "score")
     return r.select("conv_id", "turn", "rank", "row", "score")
 
