@@ -12,17 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenforge.llm import byte_bpe, decontam, jaccard_join, pii, quality_rules
-from tokenforge.llm.common import stored
+from tokenforge.llm.common import bound_batches, stored
 from tokenforge.sources.tables import read_table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    bound_batches(spark)
     return quality_rules.keep_good(docs)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates."""
+    bound_batches(spark)
     return jaccard_join.keep_one(docs)
 
 
@@ -34,15 +36,16 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; n_chars is that of the new
     text."""
+    bound_batches(spark)
     return pii.masked(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
-    out = byte_bpe.encode(docs.select("doc_id", "text", "lang", "source"))
-    same = byte_bpe.decode_udf()("token_ids") == F.coalesce("text", F.lit("")).cast("binary")
-    return out.select("doc_id", "lang", "source", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"),
-                      same.alias("round_trip"))
+    bound_batches(spark)
+    out = docs.select("doc_id", "lang", "source", byte_bpe.checked_udf()("text").alias("e"))
+    return out.select("doc_id", "lang", "source", "e.token_ids", F.size("e.token_ids").cast("long").alias("n_tokens"),
+                      "e.round_trip")
 
 
 STAGES = [("quality_rules", keep_good), ("near_duplicates", keep_one), ("decontamination", keep_clean),

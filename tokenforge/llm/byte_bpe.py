@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import by_chunk
 from .tokenizers import BYTE_BPE, pretoken_pattern, read_ranks
 
-MEMO = 200_000
-CHUNK = 2 << 20
+MEMO = 400_000
+CHUNK = 6 << 20
 NONE = np.int64(1 << 40)       # rank of a pair that no token stands for
 
 
@@ -291,6 +291,25 @@ def _digest(arr: pa.Array, vocabulary: str) -> pa.Array:
                                        pa.array(sha[1], pa.string())], fields=list(DIGEST))
 
 
+CHECKED = pa.struct([("token_ids", IDS), ("round_trip", pa.bool_())])
+
+
+def _checked(arr: pa.Array, vocabulary: str) -> pa.Array:
+    model, texts = load(vocabulary), arr.to_pylist()
+    ids, bounds = model.encode_batch(texts)
+    data, cuts = model.decode(ids, bounds)
+    same = [data[a:b].tobytes() == t.encode() for a, b, t in zip(cuts[:-1], cuts[1:], texts)]
+    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
+    return pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], fields=list(CHECKED))
+
+
+def checked_udf(vocabulary: str = BYTE_BPE):
+    """text -> token ids, and whether they decode to the text."""
+    def run(text: pa.Array) -> pa.Array:
+        return by_chunk(text, functools.partial(_checked, vocabulary=vocabulary), CHECKED, CHUNK)
+    return F.arrow_udf(run, "token_ids array<int>, round_trip boolean")
+
+
 def encode(docs: DataFrame, text: str = "text", out: str = "token_ids", vocabulary: str = BYTE_BPE) -> DataFrame:
     """All columns of ``docs`` and the token ids of the whole text."""
     return docs.withColumn(out, encode_udf(vocabulary)(F.col(f"`{text}`")))

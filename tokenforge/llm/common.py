@@ -22,6 +22,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
+BATCH_BYTES = 8 << 20          # of an Arrow batch that goes to a Python worker
+
+
+def bound_batches(spark) -> None:
+    """Arrow batches of at most ``BATCH_BYTES``: a worker holds a batch, what it makes
+    of it and the copies between them at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 PART_BYTES = 8 << 20           # of a written table's partitions, where they are smaller
 
 

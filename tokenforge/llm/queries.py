@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from . import (byte_bpe, decontam, html_extract, jaccard_join, kd_shards, language_id, pii, quality_model, quality_rules,
                toxicity)
-from .common import held_out
+from .common import bound_batches, held_out
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -15,7 +17,11 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            bound_batches(spark)
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = sql.strip()
         return fn
