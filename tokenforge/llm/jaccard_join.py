@@ -384,7 +384,7 @@ def links(texts: DataFrame, profiles: DataFrame, sizes: DataFrame, num: int = NU
     ``sizes`` (sig, n) of every class."""
     spark = texts.sparkSession
     total = sizes.agg(F.coalesce(F.sum(F.col("n") / den + 1), F.lit(0))).first()[0]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // 1_000_000) + 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // 250_000) + 1)
     # members of cells of frequent shingles needn't meet in one task
     cells = stored(seed_cells(texts, frequent_shingles(profiles), num, den)
                    .repartition(parts, F.when(F.col("often") >= 0, F.col("sig")).otherwise(F.col("token")))
