@@ -296,6 +296,24 @@ def test_near_duplicates_brute_force(spark, odd, docs, texts, monkeypatch):
         assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
 
 
+def test_rare_and_frequent_cells_of_equal_members(spark, monkeypatch):
+    # each copy: SMALL texts of 85 frequent, one shared rare and 14 own shingles, linked by
+    # the rare one's cell only; a smaller text that all these cells hold keeps their
+    # rows in the frequent ones' cells and links to none; fillers make A and B frequent
+    some, g = {}, jaccard_join.SMALL
+    for copy in range(4):
+        def words(kind, n):
+            return [f"{kind}{copy}x{k}" for k in range(n)]
+        a, b, rare = words("a", 89), words("b", 29), words("r", 1)
+        made = [words(f"own{i}y", 14) + rare + a for i in range(g)] + [rare + a[:64] + b]
+        made += [words(f"f{i}y", 100) + (a if i < 3 else b) for i in range(3 + g + 2)]
+        some.update({1000 * copy + i: " ".join(w) for i, w in enumerate(made)})
+    monkeypatch.setattr(jaccard_join, "FREQ_SHARE", 1)
+    monkeypatch.setattr(jaccard_join, "FREQ_ROWS", 4 * (85 + 25))
+    got = rows_of(jaccard_join.near_duplicates(spark.createDataFrame(list(some.items()), "doc_id long, text string")))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute_components(some)
+
+
 def test_near_duplicates_edges(spark, odd):
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(odd).collect()]
     assert len(got) == odd.count()

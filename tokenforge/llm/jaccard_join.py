@@ -342,7 +342,8 @@ def split_cells(cells: DataFrame, sets: tuple, depth: int, num: int, den: int) -
 def open_cells(cells: DataFrame, edges: DataFrame, num: int, den: int) -> DataFrame:
     """(cell, sig, n, most, root, main, others) of cells whose members aren't all
     connected yet; main: the component with most members, others: members of other
-    ones.  Of cells with the same members one stays.
+    ones.  Of cells with the same members one stays, that of most ``most``: a rare
+    shingle's, if there is one.
 
     Classes that share a rare shingle meet in its cell too (see ``seed_cells``); so in
     the cell of a frequent one, members need only be linked by as many shingles as
@@ -355,11 +356,11 @@ def open_cells(cells: DataFrame, edges: DataFrame, num: int, den: int) -> DataFr
     roots, small = bounded(components(edges))
     rows = cells.join(maybe_broadcast(roots, small), F.col("sig") == F.col("node"), "left") \
         .select("cell", "sig", "n", "most", F.coalesce("root", "sig").alias("root"))
-    parts = rows.groupBy("cell", "root").agg(F.count("*").alias("n"),
+    parts = rows.groupBy("cell", "root").agg(F.count("*").alias("n"), F.sum("most").alias("most"),
                                              F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("s"))
-    state = parts.groupBy("cell").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("n"),
+    state = parts.groupBy("cell").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("n"), F.sum("most").alias("most"),
                                       F.sum("s").alias("s")).where(F.col("n") > F.col("m.n"))
-    state = state.groupBy("s", "n").agg(F.min(F.struct("cell", "m")).alias("c")) \
+    state = state.groupBy("s", "n").agg(F.min(F.struct((-F.col("most")).alias("o"), "cell", "m")).alias("c")) \
         .select("c.cell", F.col("c.m.root").alias("main"), (F.col("n") - F.col("c.m.n")).alias("others"))
     state, small = bounded(state)
     return stored(rows.join(maybe_broadcast(state, small), "cell"), "cells")
