@@ -196,6 +196,23 @@ def test_template_slots():
     assert html_extract.apply_wrapper(page % "fresh text", path, template) == "fresh text"
 
 
+def test_template_texts_hold_on_all_pages(spark):
+    # 8 of 40 pages are sampled: on these all bylines are equal; the first p.t is constant, later ones vary
+    page = ("<body><div class='x'><div class='body'><div class='by'>By %s</div><p class='t'>Always the same tip</p><h2>Part</h2>"
+            "<p class='t'>text number %d with words</p></div></div></body>")
+    html = spark.createDataFrame([(i, "http://h.example.com/", page % ("Ann", i)) for i in range(40)], "page_id long, url string, html string")
+    first = {r["page_id"] for r in html.orderBy(F.xxhash64("html")).limit(20).collect()}
+    some = [(i, "http://h.example.com/", page % ("Ann", i)) for i in first]
+    least = html.where(F.col("page_id").isin(*first)).select(F.sort_array(F.collect_list(F.xxhash64("html")))[7].alias("h")).first()["h"]
+    late = spark.createDataFrame([(100 + i, "http://h.example.com/", page % ("Bob", 100 + i)) for i in range(60)],
+                                 "page_id long, url string, html string").where(F.xxhash64("html") > least)
+    assert late.count() > 0
+    pages = spark.createDataFrame(some, "page_id long, url string, html string").unionByName(late)
+    out = {r["page_id"]: r["text"] for r in html_extract.html_extract(pages, ["page_id"]).collect()}
+    assert len(out) == pages.count()
+    assert all(t == f"By {'Ann' if i < 100 else 'Bob'}\n\nPart\n\ntext number {i} with words" for i, t in out.items())
+
+
 # ---- personal data
 
 def test_rules_equal_plain_patterns():
