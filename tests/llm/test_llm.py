@@ -196,6 +196,14 @@ def test_template_slots():
     assert html_extract.apply_wrapper(page % "fresh text", path, template) == "fresh text"
 
 
+def test_headline_and_lead_outside_the_body_element():
+    page = ("<body><div class='top'>Site</div><div class='entry'><h1>Head %d</h1><div class='lead'>Lead %d</div>"
+            "<div class='entry-content'><p>%s</p></div></div><div class='end'>Same end</div></body>")
+    path, template = html_extract.induce([page % (i, i, f"text {i} " * 100) for i in range(4)])
+    assert path.endswith("div.entry") and not template
+    assert html_extract.apply_wrapper(page % (9, 9, "fresh text"), path, template) == "Head 9\n\nLead 9\n\nfresh text"
+
+
 def test_template_texts_hold_on_all_pages(spark):
     # 8 of 40 pages are sampled: on these all bylines are equal; the first p.t is constant, later ones vary
     page = ("<body><div class='x'><div class='body'><div class='by'>By %s</div><p class='t'>Always the same tip</p><h2>Part</h2>"
