@@ -6,17 +6,21 @@ one task.  When one key (a run, a source, a conversation) may hold a third of
 all rows, neither survives 100 TB.  Every ordered operator in this package goes
 through :func:`keyed_scan` instead:
 
-1. per key, ``min/max/count`` of a numeric *chunk value* that is monotone in
-   the sort order (partial aggregation, so skew does not matter);
-2. each key is cut into ``ceil(n / rows_per_chunk)`` value ranges ("chunks"),
-   so a hot key is spread over many window partitions;
+1. row counts per key (partial aggregation, so skew does not matter) decide
+   whether a window per key is already bounded;
+2. otherwise each key above the bound is cut into chunks at sampled quantiles of
+   the whole order (a struct of all order columns, so ties of the first column
+   are cut too), and every chunk still above the bound is cut again, until none
+   is: an outlier or a heavy tie costs one more round, never a big window;
 3. window functions run inside ``(key, chunk)`` only;
 4. a per-chunk totals table (one row per chunk, so it is small) gets an
    exclusive prefix over the chunks of each key and is joined back on
    ``(key, chunk)`` - an equi-join on a balanced key.
 
-The chunk assignment is a pure function of the row's values, so a recomputed
-task (lost executor) lands every row in the same chunk again.
+The sample is taken by a hash of the row and the chunk is a pure function of the
+row's values and the stored cuts, so a recomputed task (lost executor) lands
+every row in the same chunk again.  Rows that are equal in every order column
+can't be cut apart; give a unique last order column where rows may repeat.
 """
 
 from __future__ import annotations
@@ -31,8 +35,13 @@ from ..session import small_table
 ROWS_PER_CHUNK = 2_000_000
 BROADCAST_ROWS = 2_000_000
 
-_CV = "_tf_cv"
+FAN = 64                       # most chunks that one round cuts a chunk into
+SAMPLE = 16                    # sampled rows for each of them
+_STEP = 8                      # cuts between two coarse cuts
+
 _CHUNK = "_tf_chunk"
+_ORDER = "_tf_order"
+LAG_BLOCK = 65_536             # rows of a lag window
 
 
 def _cols(xs: Sequence[str | Column]) -> list[Column]:
@@ -58,86 +67,97 @@ def _join_small(big: DataFrame, small: DataFrame, on: list[str],
     return _join_null_safe(big, small, on, ok, how)
 
 
-def _key_stats(df: DataFrame, keys: Sequence[str], chunk_value: Column,
-               rows_per_chunk: int | None = None):
-    """``(rows with _tf_cv, stats table or scalar row, largest key size)``.
+def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest key; of the table where there is no key."""
+    if not keys:
+        return df.count()
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
+def _cuts(d: DataFrame, keys: Sequence[str], rows_per_chunk: int, level: int) -> DataFrame | None:
+    """Cuts of every chunk above the bound, ``(keys, chunk, coarse, fine)``; None
+    where no chunk can be cut any more.
 
-    With ``rows_per_chunk``, one aggregate first finds the largest key; the
-    per-key stats table is only built (and checkpointed) when a key exceeds it.
+    About ``FAN * SAMPLE`` rows of a chunk are sampled by a hash of their order
+    values, so the arrays stay small however large the chunk is.
     """
-    d = df.withColumn(_CV, chunk_value.cast("double"))
-    if keys and rows_per_chunk is not None:
-        largest = d.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        if largest <= rows_per_chunk:
-            return d, None, largest
-    stats = d.groupBy(*keys).agg(
-        F.min(_CV).alias("_tf_lo"), F.max(_CV).alias("_tf_hi"),
-        F.count(F.lit(1)).alias("_tf_n"))
-    if keys:
-        stats, ok = small_table(stats, BROADCAST_ROWS)
-        largest = stats.agg(F.max("_tf_n")).first()[0] or 0
-        return d, (stats, ok), largest
-    row = stats.first()
-    return d, row, (row["_tf_n"] if row else 0)
-
-
-def assign_chunks(df: DataFrame, keys: Sequence[str], chunk_value: Column,
-                  rows_per_chunk: int = ROWS_PER_CHUNK, _stats=None) -> DataFrame:
-    """Add ``_tf_chunk``: value-range chunk of ``chunk_value`` inside each key."""
-    d, st, _ = _stats or _key_stats(df, keys, chunk_value)
-    if keys:
-        stats, ok = st
-        d = _join_null_safe(d, stats, list(keys), ok)
-    else:
-        # one row of scalars: read once, used as literals
-        d = (d.withColumn("_tf_lo", F.lit(st["_tf_lo"]).cast("double"))
-             .withColumn("_tf_hi", F.lit(st["_tf_hi"]).cast("double"))
-             .withColumn("_tf_n", F.lit(st["_tf_n"]).cast("long")))
-    nch = F.greatest(F.ceil(F.col("_tf_n") / F.lit(rows_per_chunk)), F.lit(1))
-    span = F.col("_tf_hi") - F.col("_tf_lo")
-    raw = F.floor((F.col(_CV) - F.col("_tf_lo")) / span * nch)
-    chunk = F.when(span <= 0, F.lit(0)).otherwise(
-        F.least(F.greatest(raw, F.lit(0)), nch - 1))
-    return d.withColumn(_CHUNK, chunk.cast("long")).drop("_tf_lo", "_tf_hi", "_tf_n")
+    part = [*keys, _CHUNK]
+    big = d.groupBy(*part).agg(F.count(F.lit(1)).alias("_tf_n")).where(F.col("_tf_n") > rows_per_chunk)
+    big, ok = small_table(big, BROADCAST_ROWS)
+    if big.isEmpty():
+        return None
+    parts = F.least(F.lit(FAN), F.ceil(F.lit(2.0) * F.col("_tf_n") / F.lit(float(rows_per_chunk)))).cast("int")
+    draw = F.pmod(F.xxhash64(_ORDER, F.lit(level)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    rows = _join_null_safe(d.select(*part, _ORDER), big, part, ok).withColumn("_tf_f", parts)
+    picked = rows.where(draw < F.col("_tf_f") * F.lit(float(SAMPLE)) / F.col("_tf_n"))
+    seen = picked.groupBy(*part, "_tf_f").agg(F.sort_array(F.collect_set(_ORDER)).alias("_tf_s"))
+    seen = seen.where(F.size("_tf_s") > 1)
+    at = F.expr("transform(sequence(1, _tf_f - 1), i -> _tf_s[cast(i * size(_tf_s) div _tf_f as int)])")
+    cuts = seen.select(*part, F.array_distinct(at).alias("_tf_fine"))
+    coarse = F.expr(f"transform(filter(sequence(0, size(_tf_fine)), i -> i % {_STEP} = {_STEP - 1} "
+                    "and i < size(_tf_fine)), i -> _tf_fine[i])")
+    return cuts.withColumn("_tf_coarse", coarse)
+
+
+def assign_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
+                  rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Add ``_tf_chunk``: chunks of at most ``rows_per_chunk`` rows that follow ``order``
+    inside each key.  Chunk numbers ascend along the order but aren't gapless."""
+    d = df.withColumn(_ORDER, F.struct(*_cols(order))).withColumn(_CHUNK, F.lit(0).cast("long"))
+    for level in range(10):                    # FAN ** 10 chunks fill a long
+        cuts = _cuts(d, keys, rows_per_chunk, level)
+        if cuts is None:
+            break
+        cuts, ok = small_table(cuts, BROADCAST_ROWS)
+        if cuts.isEmpty():                     # rows equal in every order column
+            break
+        d = _join_null_safe(d, cuts, [*keys, _CHUNK], ok, "left")
+        child = F.expr(
+            f"{_STEP} * size(filter(_tf_coarse, c -> c <= {_ORDER})) + size(filter(slice(_tf_fine, "
+            f"{_STEP} * size(filter(_tf_coarse, c -> c <= {_ORDER})) + 1, {_STEP - 1}), c -> c <= {_ORDER}))")
+        d = d.withColumn(_CHUNK, F.col(_CHUNK) * FAN + F.when(F.col("_tf_fine").isNull(), F.lit(0)).otherwise(child)) \
+            .drop("_tf_fine", "_tf_coarse")
+    return d.drop(_ORDER)
 
 
 def keyed_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-               chunk_value: Column, sums: dict[str, Column] | None = None,
+               chunk_value: Column | None = None, sums: dict[str, Column] | None = None,
                index_col: str | None = "idx",
-               rows_per_chunk: int = ROWS_PER_CHUNK,
-               maxes: dict[str, Column] | None = None) -> DataFrame:
+               rows_per_chunk: int | None = None,
+               maxes: dict[str, Column] | None = None, backwards: bool = False) -> DataFrame:
     """Running (inclusive) sums / maxima and a 0-based row index per key.
 
-    ``order`` must be a total order inside each key (add a unique tiebreak) and
-    ``chunk_value`` must be non-decreasing along it.  ``sums`` / ``maxes`` map an
-    output column name to the expression whose running sum / max it receives
-    (nulls are ignored, as in SQL aggregates; a running max of a monotone
-    position gives an as-of lookup).
+    ``order`` must be a total order inside each key (add a unique tiebreak).
+    ``sums`` / ``maxes`` map an output column name to the expression whose running
+    sum / max it receives (nulls are ignored, as in SQL aggregates; a running max
+    of a monotone position gives an as-of lookup).  With ``backwards`` everything
+    runs from the key's last row to the row.  ``chunk_value`` is not used: chunks
+    follow the order itself.
 
-    The per-key statistics decide the plan: when no key holds more than
-    ``rows_per_chunk`` rows, a window per key is already bounded and runs
-    directly; otherwise every key is cut into value-range chunks as described
-    in the module docstring.
+    When no key holds more than ``rows_per_chunk`` rows, a window per key is
+    already bounded and runs directly; otherwise keys are cut into chunks as
+    described in the module docstring.
     """
     sums, maxes = dict(sums or {}), dict(maxes or {})
-    stats = _key_stats(df, keys, chunk_value, rows_per_chunk)
-    if stats[2] <= rows_per_chunk:
-        d = stats[0]
-        w = (Window.partitionBy(*keys).orderBy(*_cols(order))
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows_per_chunk = ROWS_PER_CHUNK if rows_per_chunk is None else rows_per_chunk
+
+    def window(part, by):
+        w = Window.partitionBy(*part).orderBy(*by)
+        return w.rowsBetween(0, Window.unboundedFollowing) if backwards else \
+            w.rowsBetween(Window.unboundedPreceding, 0)
+
+    if largest_key(df, keys) <= rows_per_chunk:
+        d, w = df, window(keys, _cols(order))
         if index_col:
             d = d.withColumn(index_col, (F.count(F.lit(1)).over(w) - 1).cast("long"))
         for name, expr in sums.items():
             d = d.withColumn(name, F.sum(expr).over(w))
         for name, expr in maxes.items():
             d = d.withColumn(name, F.max(expr).over(w))
-        return d.drop(_CV)
-    if stats[1] is None:
-        stats = _key_stats(df, keys, chunk_value)
-    d = assign_chunks(df, keys, chunk_value, rows_per_chunk, _stats=stats)
+        return d
+    d = assign_chunks(df, keys, order, rows_per_chunk)
     part = [*keys, _CHUNK]
-    w = (Window.partitionBy(*part).orderBy(*_cols(order))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    w = window(part, _cols(order))
     # (output name, kind, per-row value column)
     specs = []
     if index_col:
@@ -150,13 +170,13 @@ def keyed_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
         d = d.withColumn(f"_tf_vm{i}", expr)
         specs.append((name, "max", f"_tf_vm{i}"))
     agg = {"count": F.sum, "sum": F.sum, "max": F.max}
-    for j, (_, kind, v) in enumerate(specs):
-        d = d.withColumn(f"_tf_l{j}", agg[kind](F.col(v)).over(w))
     # per-chunk totals -> exclusive prefix over the earlier chunks of the key
     totals = d.groupBy(*part).agg(*[agg[kind](F.col(v)).alias(f"_tf_t{j}")
                                     for j, (_, kind, v) in enumerate(specs)])
-    wc = (Window.partitionBy(*keys).orderBy(_CHUNK)
-          .rowsBetween(Window.unboundedPreceding, -1))
+    for j, (_, kind, v) in enumerate(specs):
+        d = d.withColumn(f"_tf_l{j}", agg[kind](F.col(v)).over(w))
+    wc = Window.partitionBy(*keys).orderBy(_CHUNK)
+    wc = wc.rowsBetween(1, Window.unboundedFollowing) if backwards else wc.rowsBetween(Window.unboundedPreceding, -1)
     offs = totals.select(*part, *[
         agg[kind](F.col(f"_tf_t{j}")).over(wc).alias(f"_tf_o{j}")
         for j, (_, kind, _v) in enumerate(specs)])
@@ -175,26 +195,47 @@ def keyed_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
 
 
 def keyed_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                chunk_value: Column, name: str = "idx",
-                rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+                chunk_value: Column | None = None, name: str = "idx",
+                rows_per_chunk: int | None = None) -> DataFrame:
     """0-based position of each row inside its key, without a hot window."""
     return keyed_scan(df, keys, order, chunk_value, None, name, rows_per_chunk)
 
 
-def global_index(df: DataFrame, order: Sequence[str | Column], chunk_value: Column,
-                 name: str = "idx", rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def global_index(df: DataFrame, order: Sequence[str | Column], chunk_value: Column | None = None,
+                 name: str = "idx", rows_per_chunk: int | None = None) -> DataFrame:
     """0-based global row number in ``order`` with no single-partition window."""
     return keyed_index(df, [], order, chunk_value, name, rows_per_chunk)
 
 
-def lag_by_index(df: DataFrame, keys: Sequence[str], idx: str,
-                 cols: Sequence[str], k: int = 1, suffix: str | None = None) -> DataFrame:
-    """``lag(col, k)`` per key as an equi-join on ``(key, idx - k)``.
+def lags_by_index(df: DataFrame, keys: Sequence[str], idx: str, cols: Sequence[str],
+                  ks: Sequence[int], block: int = LAG_BLOCK) -> DataFrame:
+    """Add ``{col}_lag{k}``: ``col`` of the row ``k`` positions before, per key.
 
-    The join key includes the row index, so a hot key is spread evenly.
-    Rows without a predecessor get nulls, like ``lag``.
+    ``idx`` numbers the rows of a key without gaps, so blocks of ``block``
+    positions are of equal size however hot the key is.  The last ``max(ks)`` rows
+    of a block are copied to the next one (a halo), and ``lag`` runs inside
+    ``(key, block)``: one scan and one shuffle, null keys as in any window.  Rows
+    without a predecessor get nulls, like ``lag``.
     """
-    suffix = suffix or f"_lag{k}"
-    prev = df.select(*keys, (F.col(idx) + k).alias(idx),
-                     *[F.col(c).alias(c + suffix) for c in cols])
-    return df.join(prev, on=[*keys, idx], how="left")
+    reach = max(ks)
+    block = max(block, reach)
+    at = F.floor(F.col(idx) / F.lit(block))
+    edge = F.pmod(F.col(idx), F.lit(block)) >= F.lit(block - reach)
+    d = df.withColumn("_tf_home", at).withColumn(
+        "_tf_blk", F.explode(F.when(edge, F.array(at, at + 1)).otherwise(F.array(at))))
+    w = Window.partitionBy(*keys, "_tf_blk").orderBy(idx)
+    for k in ks:
+        there = F.lag(idx, k).over(w) == F.col(idx) - k
+        for c in cols:
+            d = d.withColumn(f"{c}_lag{k}", F.when(there, F.lag(c, k).over(w)))
+    return d.where(F.col("_tf_blk") == F.col("_tf_home")).drop("_tf_blk", "_tf_home")
+
+
+def lag_by_index(df: DataFrame, keys: Sequence[str], idx: str, cols: Sequence[str], k: int = 1,
+                 suffix: str | None = None) -> DataFrame:
+    """:func:`lags_by_index` for one distance, with a suffix of choice."""
+    d = lags_by_index(df, keys, idx, cols, [k])
+    if suffix and suffix != f"_lag{k}":
+        for c in cols:
+            d = d.withColumnRenamed(f"{c}_lag{k}", c + suffix)
+    return d

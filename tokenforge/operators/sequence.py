@@ -3,11 +3,12 @@
 A series is ``(key, order..., value)``: a training run's step log, a
 session's messages, a request stream.  Steps are numbered with the skew-safe
 :func:`..operators.ordered.keyed_index`; running aggregates use
-:func:`keyed_scan`; lags are equi-joins on ``(key, step - k)``.  Recurrences
+:func:`keyed_scan`; lags run in blocks of steps with a halo.  Recurrences
 that are not sums (gated sums, running logsumexp) run per block of a bounded
-number of steps in one ``mapInPandas`` pass over hash-partitioned, sorted
-``(key, block)`` segments and are chained across blocks through a small
-per-block summary table, so no key ever lands in one task.
+number of steps in one ``mapInArrow`` pass over hash-partitioned, sorted
+``(key, block)`` segments; the blocks' ends are a series of the same kind, so
+the operator calls itself on them.  No key ever lands in one task, and rows of
+a null key form a group like any other.
 """
 
 from __future__ import annotations
@@ -16,14 +17,15 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.core import micros
-
-from .ordered import _join_small, keyed_index, keyed_scan, lag_by_index
+from ..session import materialize
+from .ordered import _join_small, keyed_index, keyed_scan, lag_by_index, lags_by_index
 
 BLOCK = 65_536
 
@@ -37,10 +39,9 @@ def number_steps(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk
 def with_lags(df: DataFrame, keys: Sequence[str], step: str, col: str, ks: Sequence[int],
               fill=None) -> DataFrame:
     """Add ``{col}_lag{k}`` for every k, ``fill`` where there is no predecessor."""
-    d = df
-    for k in ks:
-        d = lag_by_index(d, keys, step, [col], k)
-        if fill is not None:
+    d = lags_by_index(df, keys, step, [col], ks) if ks else df
+    if fill is not None:
+        for k in ks:
             d = d.withColumn(f"{col}_lag{k}", F.coalesce(F.col(f"{col}_lag{k}"), F.lit(fill)))
     return d
 
@@ -75,11 +76,9 @@ def segment_ids(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_
 
 def suffix_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_value: Column,
                value: str, out: str) -> DataFrame:
-    """Sum from the row to the end of its key = total - prefix + value."""
-    d = keyed_scan(df, list(keys), list(order), chunk_value, sums={"_pre": F.col(value)}, index_col=None)
-    tot = df.groupBy(*keys).agg(F.sum(value).alias("_tot"))
-    d = _join_small(d, tot, list(keys))
-    return d.withColumn(out, F.col("_tot") - F.col("_pre") + F.col(value)).drop("_pre", "_tot")
+    """Sum from the row to the end of its key, added up from the end."""
+    return keyed_scan(df, list(keys), list(order), chunk_value, sums={out: F.col(value)}, index_col=None,
+                      backwards=True)
 
 
 def chunk_local_cumsum(df: DataFrame, keys: Sequence[str], step: str, value: str, chunk: int,
@@ -111,49 +110,55 @@ def lag_delta(df: DataFrame, keys: Sequence[str], step: str, value: str, out: st
 
 
 # ------------------------------------------------------------------ blocked recurrences
-def _schema_plus(schema: StructType, doubles: list[str]) -> StructType:
-    """A new schema with extra double columns (never mutate a DataFrame's schema)."""
-    return StructType(list(schema.fields) + [StructField(n, DoubleType()) for n in doubles])
-
-
-def _segment_scan(df: DataFrame, keys: list[str], step: str, cols: list[str], out_schema: StructType,
+def _starts(batch: pa.RecordBatch, cols: list[str]) -> np.ndarray:
+    """Positions where any of ``cols`` differs from the row before; nulls are equal."""
+    n = batch.num_rows
+    new = np.zeros(n, bool)
+    new[0] = True
+    for c in cols:
+        x = batch.column(batch.schema.get_field_index(c))
+        a, b = x.slice(0, n - 1), x.slice(1)
+        differ = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        new[1:] |= differ.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _segment_scan(df: DataFrame, keys: list[str], step: str, cols: list[str], outs: list[str],
                   scan) -> DataFrame:
-    """Run ``scan(arrays, state) -> (outputs, state)`` over every
-    ``(keys, _blk)`` segment in step order.
+    """``df`` with the columns ``outs`` of ``scan(arrays, state) -> (outputs, state)``
+    run over every ``(keys, _blk)`` segment in step order.
 
     Rows are hash-partitioned by ``(keys, _blk)`` and sorted inside each
-    partition, so a segment is contiguous; ``mapInPandas`` walks the Arrow
-    batches once and carries the scan state across batch boundaries (no
-    per-group Python call, no group held in memory).
+    partition, so a segment is contiguous; ``mapInArrow`` walks the batches once,
+    hands every other column through untouched and carries the scan state across
+    batches (no per-group Python call, no group held in memory).
     """
     seg_cols = [*keys, "_blk"]
-    d = df.select(*seg_cols, step, *cols).repartition(*seg_cols).sortWithinPartitions(*seg_cols, step)
-    names = [f.name for f in out_schema.fields]
+    d = df.repartition(*seg_cols).sortWithinPartitions(*seg_cols, step)
+    schema = StructType(list(d.schema.fields) + [StructField(n, DoubleType()) for n in outs])
 
     def part(it):
-        prev_key, state = None, None
-        for pdf in it:
-            if len(pdf) == 0:
+        last, state = None, None
+        for batch in it:
+            if not batch.num_rows:
                 continue
-            kv = pdf[seg_cols]
-            starts = np.flatnonzero((kv != kv.shift()).any(axis=1).to_numpy())
-            bounds = list(starts) + [len(pdf)]
-            outs = []
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                key = tuple(kv.iloc[a])
-                if key != prev_key:
-                    state = None
-                arrays = [pdf[c].to_numpy(dtype=float)[a:b] for c in cols]
-                res, state = scan(arrays, state)
-                prev_key = key
-                outs.append(res)
-            extra = {n: np.concatenate([o[i] for o in outs]) for i, n in enumerate(names[len(seg_cols) + 1:])}
-            yield pd.DataFrame({**{c: pdf[c].to_numpy() for c in seg_cols}, step: pdf[step].to_numpy(), **extra})
-    return d.mapInPandas(part, out_schema)
+            at = [batch.schema.get_field_index(c) for c in seg_cols]
+            starts = [*_starts(batch, seg_cols), batch.num_rows]
+            values = [np.asarray(batch.column(batch.schema.get_field_index(c)).cast(pa.float64()).to_numpy(
+                zero_copy_only=False), float) for c in cols]
+            got = []
+            for a, b in zip(starts[:-1], starts[1:]):
+                key = tuple(batch.column(i)[int(a)].as_py() for i in at)
+                res, state = scan([v[a:b] for v in values], state if key == last else None)
+                last = key
+                got.append(res)
+            extra = [pa.array(np.concatenate([g[i] for g in got])) for i in range(len(outs))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *outs])
+    return d.mapInArrow(part, schema)
 
 
 def _blocked(df: DataFrame, keys: Sequence[str], step: str, block: int) -> DataFrame:
-    return df.withColumn("_blk", F.floor(F.col(step) / block).cast("long"))
+    return df.withColumn("_blk", F.floor(F.col(step) / max(2, block)).cast("long"))
 
 
 def _gated_scan(xs: np.ndarray, gs: np.ndarray, sub: int = 512, h0: float = 0.0,
@@ -182,49 +187,50 @@ def _gated_scan(xs: np.ndarray, gs: np.ndarray, sub: int = 512, h0: float = 0.0,
     return hs, gl
 
 
+def _chain(loc: DataFrame, keys: list[str], ends: dict[str, str], step: str, carry) -> DataFrame | None:
+    """``loc`` with ``_before``: the recurrence's value at the end of the key's block
+    before; None where every key has one block.  ``carry(table)`` runs the
+    recurrence over the table of block ends (one row per block)."""
+    if (loc.agg(F.max("_blk")).first()[0] or 0) == 0:
+        return None
+    ends_of = loc.groupBy(*keys, "_blk").agg(*[F.max_by(c, step).alias(n) for n, c in ends.items()])
+    done = lags_by_index(carry(materialize(ends_of)), keys, "_blk", ["_end"], [1])
+    return _join_small(loc, done.select(*keys, "_blk", F.col("_end_lag1").alias("_before")), [*keys, "_blk"])
+
+
 def gated_running_sum(df: DataFrame, keys: Sequence[str], step: str, x: str, g: str, out: str,
                       block: int = BLOCK) -> DataFrame:
     """``h_t = exp(g_t) * h_{t-1} + x_t``, ``h_{-1} = 0`` per key.
 
     Each block of ``block`` steps runs the recurrence from zero (numpy, in a
-    sorted-partition scan) and reports ``(A = exp(sum g), H = h at its end)``.  The block summaries are chained per key on the small summary
-    table (``h_end_b = A_b * h_end_{b-1} + H_b``) and every row adds
-    ``exp(G_local_t) * h_end_{b-1}``, where ``G_local_t`` is the block-local
-    cumulative gate.
+    sorted-partition scan) and ends in ``(G = sum g, H = h)``.  The block ends obey
+    the same recurrence, ``h_b = exp(G_b) * h_{b-1} + H_b``, and every row adds
+    ``exp(G_t) * h_{b-1}`` with its block-local cumulative gate ``G_t``.
     """
     keys = list(keys)
-    d = _blocked(df, keys, step, block)
-    schema_local = _schema_plus(d.select(*keys, "_blk", step).schema, ["_hl", "_gl"])
 
     def scan(arrays, state):
         h0, g0 = state if state is not None else (0.0, 0.0)
         hs, gls = _gated_scan(arrays[0], arrays[1], h0=h0, g0=g0)
         return (hs, gls), (float(hs[-1]), float(gls[-1]))
 
-    loc = _segment_scan(d, keys, step, [x, g], schema_local, scan)
-    summ = loc.groupBy(*keys, "_blk").agg(F.max_by("_hl", step).alias("_H"), F.max_by("_gl", step).alias("_G"))
-    # chain the blocks of each key on the summary table (one row per block):
-    # h_end_b = exp(G_b) * h_end_{b-1} + H_b, folded left in block order
-    blocks = summ.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_blk", "_H", "_G"))).alias("_bs"))
-    init = F.struct(F.lit(0.0).cast("double").alias("h"),
-                    F.array().cast("array<struct<_blk:bigint,_hprev:double>>").alias("o"))
-    fold = F.aggregate("_bs", init, lambda acc, r: F.struct(
-        (F.exp(r["_G"]) * acc["h"] + r["_H"]).alias("h"),
-        F.concat(acc["o"], F.array(F.struct(r["_blk"].alias("_blk"), acc["h"].alias("_hprev")))).alias("o")),
-        lambda acc: acc["o"])
-    ch = blocks.select(*keys, F.explode(fold).alias("_c")).select(*keys, "_c._blk", "_c._hprev")
-    r = loc.join(ch, [*keys, "_blk"]).withColumn(out, F.col("_hl") + F.exp("_gl") * F.col("_hprev"))
-    return df.join(r.select(*keys, step, out), [*keys, step])
+    loc = materialize(_segment_scan(_blocked(df, keys, step, block), keys, step, [x, g], ["_hl", "_gl"], scan))
+    r = _chain(loc, keys, {"_H": "_hl", "_G": "_gl"}, step,
+               lambda t: gated_running_sum(t.withColumnRenamed("_blk", "_b"), keys, "_b", "_H", "_G", "_end", block)
+               .withColumnRenamed("_b", "_blk"))
+    if r is None:
+        return loc.withColumn(out, F.col("_hl")).drop("_hl", "_gl", "_blk")
+    first = F.col("_before").isNull()
+    return r.withColumn(out, F.when(first, F.col("_hl")).otherwise(F.col("_hl") + F.exp("_gl") * F.col("_before"))) \
+        .drop("_hl", "_gl", "_blk", "_before")
 
 
 def running_logsumexp(df: DataFrame, keys: Sequence[str], step: str, x: str, out: str,
                       block: int = BLOCK) -> DataFrame:
     """Stable running ``log(sum_{i<=t} exp(x_i))`` per key (W22): block-local
-    ``logaddexp.accumulate`` in a sorted-partition scan, then the block totals' exclusive
-    prefix (chained on the small summary table) folded in with ``logaddexp``."""
+    ``logaddexp.accumulate`` in a sorted-partition scan; the block totals are a series
+    of the same kind and are added with ``logaddexp``."""
     keys = list(keys)
-    d = _blocked(df, keys, step, block)
-    schema_local = _schema_plus(d.select(*keys, "_blk", step).schema, ["_ll"])
 
     def scan(arrays, state):
         xs = arrays[0]
@@ -232,27 +238,17 @@ def running_logsumexp(df: DataFrame, keys: Sequence[str], step: str, x: str, out
         acc = acc if state is None else acc[1:]
         return (acc,), float(acc[-1])
 
-    loc = _segment_scan(d, keys, step, [x], schema_local, scan)
-    summ = loc.groupBy(*keys, "_blk").agg(F.max_by("_ll", step).alias("_T"))
-    # exclusive prefix logsumexp of the block totals, folded per key on the
-    # summary table (one row per block)
-    blocks = summ.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_blk", "_T"))).alias("_bs"))
-    ninf = F.lit(float("-inf")).cast("double")
-    init = F.struct(ninf.alias("l"), F.array().cast("array<struct<_blk:bigint,_prev:double>>").alias("o"))
-
-    def lae(a_, b_):
-        m_ = F.greatest(a_, b_)
-        return F.when(a_ == ninf, b_).when(b_ == ninf, a_).otherwise(m_ + F.log(F.exp(a_ - m_) + F.exp(b_ - m_)))
-    fold = F.aggregate("_bs", init, lambda acc, r: F.struct(
-        lae(acc["l"], r["_T"]).alias("l"),
-        F.concat(acc["o"], F.array(F.struct(r["_blk"].alias("_blk"), acc["l"].alias("_prev")))).alias("o")),
-        lambda acc: acc["o"])
-    ch = blocks.select(*keys, F.explode(fold).alias("_c")).select(*keys, "_c._blk", "_c._prev")
-    r = loc.join(ch, [*keys, "_blk"])
-    m = F.greatest(F.col("_ll"), F.col("_prev"))
-    val = F.when(F.col("_prev") == float("-inf"), F.col("_ll")).otherwise(
-        m + F.log(F.exp(F.col("_ll") - m) + F.exp(F.col("_prev") - m)))
-    return df.join(r.select(*keys, step, val.alias(out)), [*keys, step])
+    loc = materialize(_segment_scan(_blocked(df, keys, step, block), keys, step, [x], ["_ll"], scan))
+    r = _chain(loc, keys, {"_T": "_ll"}, step,
+               lambda t: running_logsumexp(t.withColumnRenamed("_blk", "_b"), keys, "_b", "_T", "_end", block)
+               .withColumnRenamed("_b", "_blk"))
+    if r is None:
+        return loc.withColumn(out, F.col("_ll")).drop("_ll", "_blk")
+    m = F.greatest("_ll", "_before")
+    both = m + F.log(F.exp(F.col("_ll") - m) + F.exp(F.col("_before") - m))
+    none = F.col("_before").isNull() | (F.col("_before") == float("-inf"))
+    return r.withColumn(out, F.when(none, F.col("_ll")).when(F.col("_ll") == float("-inf"), F.col("_before"))
+                        .otherwise(both)).drop("_ll", "_blk", "_before")
 
 
 # ------------------------------------------------------------------ aggregates over series
