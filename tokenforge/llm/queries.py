@@ -7,8 +7,8 @@ import functools
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import (byte_bpe, decontam, html_extract, jaccard_join, kd_shards, language_id, pii, quality_model, quality_rules,
-               toxicity)
+from . import (byte_bpe, decontam, html_extract, jaccard_join, kd_shards, language_id, merkle, pii, quality_model,
+               quality_rules, toxicity)
 from .common import bound_batches, held_out
 
 QUERIES: dict = {}
@@ -121,3 +121,66 @@ def op9_cross_parsing_language(spark, sf_dir):
 def op10_fertility_rules(spark, sf_dir):
     """Quality rules over every whole text."""
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), ["doc_id"])
+
+
+# crc32 of an integer's decimal digits, bit by bit
+CRC_SQL = """
+xor(4294967295::BIGINT, list_reduce([4294967295::BIGINT] || [ascii(d)::BIGINT FOR d IN string_split({x}::VARCHAR, '')],
+    lambda c, d: list_reduce([xor(c, d)] || [0::BIGINT FOR j IN range(8)],
+        lambda v, j: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)))"""
+
+
+def _field_sql(col: str) -> str:
+    return f"coalesce(octet_length(encode({col}::VARCHAR))::VARCHAR || ':' || {col}::VARCHAR, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(_field_sql(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op11_slot_pivot_manifest", sql=f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('v' || lang, 'n') AS k, {_leaf_sql("text")} AS h,
+         CASE WHEN {CRC_SQL.format(x="doc_id")} % 3 = 0 THEN {_leaf_sql(LOWER_SQL)} END AS alt FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, h) - 1 AS i,
+                  count(*) OVER (PARTITION BY k) AS n FROM leaves),
+tree(l, k, i, n, h) AS (
+  SELECT 0, k, i, n, h FROM placed
+  UNION ALL
+  SELECT l + 1, k, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE n > 1
+  GROUP BY l, k, i // 8, n),
+subs AS (SELECT k, h, l AS depth, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+top(l, i, n, h) AS (
+  SELECT 0, i, n, h FROM subs
+  UNION ALL
+  SELECT l + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1
+  GROUP BY l, i // 8, n),
+sib AS (
+  SELECT a.l, a.k, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS lft,
+         coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS rgt
+  FROM tree a JOIN tree b ON a.l = b.l AND a.k = b.k AND a.i // 8 = b.i // 8 WHERE a.n > 1 GROUP BY ALL),
+top_sib AS (
+  SELECT a.l, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS lft,
+         coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS rgt
+  FROM top a JOIN top b ON a.l = b.l AND a.i // 8 = b.i // 8 WHERE a.n > 1 GROUP BY ALL),
+steps AS (
+  SELECT p.doc_id, p.k, p.i, s.l, s.lft, s.rgt FROM placed p
+  JOIN sib s ON s.k = p.k AND s.i = p.i // power(8, s.l)::BIGINT
+  UNION ALL
+  SELECT p.doc_id, p.k, p.i, u.depth + s.l, s.lft, s.rgt FROM placed p JOIN subs u USING (k)
+  JOIN top_sib s ON s.i = u.i // power(8, s.l)::BIGINT),
+path AS (SELECT k, i, list({{'a': lft, 'b': rgt}} ORDER BY l) AS p FROM steps GROUP BY k, i),
+folded AS (
+  SELECT t.doc_id, t.h AS leaf, u.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root,
+         sha256(coalesce(array_to_string([x.a || x.b FOR x IN p], ''), '')) AS proof_sha256,
+         list_reduce([{{'a': coalesce(t.alt, t.h), 'b': ''}}] || coalesce(p, []),
+                     lambda acc, x: {{'a': sha256(x.a || acc.a || x.b), 'b': ''}}).a AS folded_root
+  FROM placed t JOIN subs u ON u.k = t.k LEFT JOIN path q ON q.k = t.k AND q.i = t.i)
+SELECT *, folded_root = root AS verified FROM folded""")
+def op11_slot_pivot_manifest(spark, sf_dir):
+    """Every document's place in the manifest, and what it says of changed texts."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "source", "lang", "n_chars", "text"])
+    return merkle.manifest(docs, tampered=merkle.lowered_every_third)
