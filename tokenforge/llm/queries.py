@@ -7,8 +7,8 @@ import functools
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import (byte_bpe, decontam, html_extract, jaccard_join, kd_shards, language_id, merkle, pii, quality_model,
-               quality_rules, toxicity)
+from . import (byte_bpe, decontam, html_extract, jaccard_join, kd_shards, language_id, merkle, packing, pii,
+               prefix_trie, quality_model, quality_rules, toxicity)
 from .common import bound_batches, held_out
 
 QUERIES: dict = {}
@@ -184,3 +184,44 @@ def op11_slot_pivot_manifest(spark, sf_dir):
     """Every document's place in the manifest, and what it says of changed texts."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "source", "lang", "n_chars", "text"])
     return merkle.manifest(docs, tampered=merkle.lowered_every_third)
+
+
+@query("op12_euler_tour_trie", sql=f"""
+WITH raw AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+             WHERE conv_id IS NOT NULL),
+dig AS (SELECT c, turn, sha256(octet_length(encode(role))::VARCHAR || ':' || role || text) AS g,
+               len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words FROM raw),
+o AS (SELECT c, g, words, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, g) - 1 AS i FROM dig),
+ids AS (SELECT c, count(*) AS n FROM o GROUP BY c),
+v AS (SELECT c, n, {CRC_SQL.format(x="c")} % 4 AS h, c - c % 20 AS base FROM ids),
+turns AS (
+  SELECT v.c, o.i AS pos, g, words FROM v JOIN o ON o.c = v.base AND o.i < v.h
+  UNION ALL
+  SELECT v.c, least(v.h, coalesce(b.n, 0)) + o.i - v.h, g, words FROM v JOIN o ON o.c = v.c AND o.i >= v.h
+  LEFT JOIN ids b ON b.c = v.base),
+m AS (
+  SELECT c, pos + 1 AS d, words, sha256(string_agg(g, '') OVER (PARTITION BY c ORDER BY pos)) AS s FROM turns
+  UNION ALL SELECT c, 0, 0, 'root' FROM v),
+nodes AS (SELECT s, d, min(c) AS c, count(*) AS n, max(words) AS words FROM m GROUP BY s, d),
+up AS (SELECT x.s, y.s AS ps FROM nodes x JOIN m y ON y.c = x.c AND y.d = x.d - 1),
+kids AS (SELECT ps, count(*) AS k FROM up GROUP BY ps),
+below AS (SELECT DISTINCT a.s, b.s AS u FROM m a JOIN m b ON a.c = b.c AND b.d >= a.d),
+sums AS (
+  SELECT below.s, count(*) FILTER (k IS NULL) AS n_leaves, sum((n - 1) * words) AS saved FROM below
+  JOIN nodes ON nodes.s = below.u LEFT JOIN kids ON kids.ps = below.u GROUP BY below.s),
+ends AS (SELECT s, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS e
+         FROM (SELECT c, max_by(s, d) AS s FROM m GROUP BY c) GROUP BY s)
+SELECT x.c AS conv_id, x.d::BIGINT AS depth, p.c AS parent_conv_id, x.n AS n_convs, coalesce(k, 0)::BIGINT AS n_children,
+       n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, coalesce(e, sha256('')) AS ends_sha256
+FROM nodes x JOIN sums USING (s) LEFT JOIN up USING (s) LEFT JOIN nodes p ON p.s = up.ps LEFT JOIN kids ON kids.ps = x.s
+LEFT JOIN ends ON ends.s = x.s""")
+def op12_euler_tour_trie(spark, sf_dir):
+    """The prefix trie of all rebuilt conversations."""
+    turns = prefix_trie.thin_turns(read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]))
+    return prefix_trie.prefix_trie(*prefix_trie.shared_beginnings(turns))
+
+
+@query("op13_least_squares_packing")
+def op13_least_squares_packing(spark, sf_dir):
+    """All documents in sequences of at most 4,096 ids."""
+    return packing.pack(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
