@@ -71,21 +71,26 @@ def merge_entities(ents: DataFrame) -> DataFrame:
     tc = ents.groupBy("name", "type").agg(F.count(F.lit(1)).alias("c"))
     best = tc.groupBy("name").agg(F.min_by("type", F.struct((-F.col("c")).alias("nc"), F.col("type"))).alias("type"),
                                   F.sum("c").alias("n_mentions"))
-    desc = ents.groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("description")), GRAPH_FIELD_SEP)
+    # distinct descriptions first: a name met very often is collected by its wordings only
+    desc = ents.select("name", "description").distinct().groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("description")), GRAPH_FIELD_SEP)
                                     .alias("description"))
     return best.join(desc, "name")
 
 
 def merge_relationships(parsed: DataFrame, key: str, recs: str) -> DataFrame:
     """One row per (source, target): descriptions and keywords joined with
-    ``<SEP>``, strengths summed (C13)."""
+    ``<SEP>``, strengths summed, mentions counted (C13).  A strength that is no number
+    counts as none."""
     r = parsed.select(F.explode(recs).alias("r")).where((F.col("r.tag") == "relationship") & F.col("r.valid"))
     r = r.select(F.col("r.f1").alias("src"), F.col("r.f2").alias("dst"), F.col("r.f3").alias("description"),
-                 F.col("r.f4").alias("keywords"), F.col("r.f5").cast("double").alias("strength"))
+                 F.col("r.f4").alias("keywords"), F.col("r.f5").try_cast("double").alias("strength"))
+    # equal records first become one row, so a pair that is named again and again is
+    # collected by its distinct wordings only
+    r = r.groupBy("src", "dst", "description", "keywords").agg(F.sum("strength").alias("strength"), F.count("*").alias("n"))
     return r.groupBy("src", "dst").agg(
         F.array_join(F.array_sort(F.collect_set("description")), GRAPH_FIELD_SEP).alias("description"),
         F.array_join(F.array_sort(F.collect_set("keywords")), GRAPH_FIELD_SEP).alias("keywords"),
-        F.sum("strength").alias("strength"))
+        F.sum("strength").alias("strength"), F.sum("n").alias("n_mentions"))
 
 
 KEYWORD_SCHEMA = "high_level_keywords array<string>, low_level_keywords array<string>"

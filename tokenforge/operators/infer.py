@@ -19,16 +19,20 @@ import hashlib
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType
 
+from ..functions.text import strip_ws
 from ..session import materialize
 from .turns import LLAMA_ASSISTANT_HEADER, LLAMA_EOT, LLAMA_USER_HEADER
 
 Generate = Callable[[list[str]], list[tuple[str, int]]]
 Score = Callable[[list[str]], list[str]]
+SCORE_POSITIONS = 65_536       # ids that the teacher scores at once
 
 
 # ------------------------------------------------------------------ stubs
@@ -53,36 +57,39 @@ def one_at_a_time(fn: Callable[[str], tuple[str, int]], max_workers: int = 10) -
 
 # ------------------------------------------------------------------ scoring
 def score_column(df: DataFrame, col: str, out: str, scorer: Score = md5_scorer) -> DataFrame:
-    """Add ``out = scorer(col)`` batch by batch."""
-    schema = StructType(list(df.schema.fields) + [StructField(out, StringType())])
-
-    def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            vals = pdf[col].tolist()
-            pdf[out] = scorer(vals) if vals else []
-            yield pdf
-    return df.mapInPandas(fn, schema)
+    """Add ``out = scorer(col)``, one call a batch (F1, F7).  Only ``col`` goes through
+    Python, and no filter on ``out`` makes the scorer run twice; a null stays null."""
+    def run(texts: pd.Series) -> pd.Series:
+        there = texts.notna()
+        result = pd.Series([None] * len(texts), dtype=object)
+        if there.any():
+            result[there.to_numpy()] = scorer(texts[there].tolist())
+        return result
+    return df.withColumn(out, F.pandas_udf(run, StringType()).asNondeterministic()(F.col(col)))
 
 
 def score_distinct(df: DataFrame, col: str, out: str, scorer: Score = md5_scorer) -> DataFrame:
-    """Score each distinct value once and join the result back (J5): the
-    batch form of the reference's prompt cache."""
-    uniq = df.select(col).distinct()
-    scored = score_column(uniq, col, out, scorer)
-    # a prompt repeated in a large share of the rows is a hot join key: the
-    # scored table is broadcast when its row count is bounded, else the
-    # shuffle join is left to AQE's skew-join splitting
+    """Score each distinct value once and join the result back (J5): the batch form of
+    the reference's prompt cache.
+
+    Texts meet by a 256-bit digest, so the join and its hot keys carry 64 bytes a row
+    instead of whole prompts; the scored table is broadcast when its measured size
+    allows, else a repeated prompt's rows are left to AQE's skew-join splitting.
+    """
     from .ordered import _join_small
-    return _join_small(df, scored, [col], how="left")
+    digest = F.sha2(F.col(col).cast("binary"), 256)
+    d = df.withColumn("_digest", digest)
+    uniq = d.groupBy("_digest").agg(F.any_value(col).alias("_text"))
+    scored = score_column(uniq, "_text", out, scorer).select("_digest", out)
+    return _join_small(d, scored, ["_digest"], how="left").drop("_digest")
 
 
 def gather_score_scatter(df: DataFrame, rank: str, row: str, col: str, out: str,
                          scorer: Score = md5_scorer) -> DataFrame:
-    """Inputs of all ranks stacked and scored together, each result returned
-    to its ``(rank, row)`` (J4, ST6 batch twin)."""
-    stacked = df.select(rank, row, col)
-    scored = score_column(stacked, col, out, scorer).select(rank, row, out)
-    return df.join(scored, on=[rank, row], how="inner")
+    """Inputs of all ranks scored together, each result with its ``(rank, row)``
+    (J4, ST6 batch twin).  The row keeps its key through the scorer, so nothing is
+    joined back and rows without a rank stay."""
+    return score_column(df, col, out, scorer)
 
 
 # ------------------------------------------------------------------ pseudo-labelling
@@ -137,38 +144,98 @@ def label_conversations(df: DataFrame, key: str, prompts: str, generate: Generat
     return materialize(res) if checkpoint else res
 
 
-def teacher_scores(df: DataFrame, key: str, ids: str, scorer: Callable[[list[list[int]]], list[list[list[float]]]],
+def teacher_scores(df: DataFrame, key: str, ids: str, scorer: Callable[[list], list],
                    checkpoint: bool = False) -> DataFrame:
     """Teacher scoring of token batches (F7): ``scorer`` maps a batch of id
     lists to per-position score vectors; output one row per
-    ``(key, pos)`` with ``logits ARRAY<FLOAT>`` (T5).  ``checkpoint=True``
-    stores the scores once (see :func:`label_conversations`)."""
+    ``(key, pos)`` with ``logits ARRAY<FLOAT>`` (T5).  A long document is scored in
+    parts of ``SCORE_POSITIONS`` ids, so memory stays bounded by them.
+    ``checkpoint=True`` stores the scores once (see :func:`label_conversations`)."""
     schema = f"{key} {df.schema[key].dataType.simpleString()}, pos long, logits array<float>"
 
-    def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            seqs = [list(x) for x in pdf[ids].tolist()]
-            scores = scorer(seqs) if seqs else []
-            rows = [(kk, p, [float(v) for v in vec]) for kk, sc in zip(pdf[key].tolist(), scores)
-                    for p, vec in enumerate(sc)]
-            yield pd.DataFrame(rows, columns=[key, "pos", "logits"])
-    res = df.select(key, ids).mapInPandas(fn, schema)
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, lists = batch.column(0), batch.column(1)
+            for i in range(batch.num_rows):
+                seq = lists[i].values
+                for at in range(0, len(seq) if seq is not None else 0, SCORE_POSITIONS):
+                    part = seq.slice(at, SCORE_POSITIONS)
+                    scores = np.asarray(scorer([part.to_numpy(zero_copy_only=False)])[0], np.float32)
+                    n, width = scores.shape
+                    logits = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(scores.ravel()))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([keys[i].as_py()] * n, keys.type), pa.array(np.arange(at, at + n)), logits],
+                        names=[key, "pos", "logits"])
+    res = df.select(key, ids).mapInArrow(fn, schema)
     return materialize(res) if checkpoint else res
 
 
-def cosine_stub_scorer(vocab: int = 8) -> Callable[[list[list[int]]], list[list[list[float]]]]:
+def cosine_stub_scorer(vocab: int = 8) -> Callable[[list], list[np.ndarray]]:
     """Deterministic stand-in teacher: score of class v at a position with
     token id x is ``((x * (v + 1)) % 97) / 97``."""
-    import numpy as np
     mult = np.arange(1, vocab + 1)
 
-    def run(batch: list[list[int]]) -> list[list[list[float]]]:
-        return [((np.asarray(seq)[:, None] * mult) % 97 / 97.0).tolist() for seq in batch]
+    def run(batch: list) -> list[np.ndarray]:
+        return [np.asarray(seq)[:, None] * mult % 97 / 97.0 for seq in batch]
     return run
 
 
+# Fixed value: the affirmative answer of the extraction loop's gate.
+AFFIRMATIVE = "\u662f"
+CONTINUE_PROMPT = "\nSome entities and relations are missing. Add them in the same format, without repeating any:\n"
+GATE_PROMPT = "\nIs an entity or a relation still missing? Answer \u662f if so, else \u5426:\n"
+
+
 def yes_no_gate(answer) -> "F.Column":
-    """Follow-up gate of the extraction loop (C14): true when the stripped
-    answer is the affirmative ``是``."""
-    from ..functions.text import strip_ws
-    return strip_ws(answer) == F.lit("是")
+    """Follow-up gate of the extraction loop (C14): true when the stripped answer is
+    the affirmative; a null answer is no."""
+    return F.coalesce(strip_ws(answer) == F.lit(AFFIRMATIVE), F.lit(False))
+
+
+def extraction_loop(chunks: DataFrame, keys: list[str], prompt: str, extract: Score, answer: Score,
+                    max_rounds: int = 3, out: str = "output", continue_prompt: str = CONTINUE_PROMPT,
+                    gate_prompt: str = GATE_PROMPT) -> DataFrame:
+    """Prompt, extract, ask whether anything is left, go on where it is (F8, C14).
+
+    Round 0 prompts every chunk.  Each further round prompts only the chunks whose
+    answer to ``gate_prompt`` passed :func:`yes_no_gate`, with all that was said before
+    and ``continue_prompt``; the loop ends after ``max_rounds`` rounds or when no chunk
+    goes on.  Output: ``keys, round, out``, one row per prompted chunk and round.
+
+    Every round is written once to the checkpoint directory, so the expensive, possibly
+    nondeterministic model is called once a prompt, also when an executor is lost in a
+    later round, and each round reads only the chunks that are still active.  Rows are
+    told apart by nothing but their place in the table: repeated keys are kept.
+    """
+    active = chunks.select(*keys, F.col(prompt).alias("_said"))
+    done: DataFrame | None = None
+    for i in range(max_rounds):
+        said = materialize(score_column(active, "_said", out, extract))
+        step = said.select(*keys, F.lit(i).cast("long").alias("round"), out)
+        done = step if done is None else done.unionByName(step)
+        if i + 1 == max_rounds:
+            break
+        asked = said.select(*keys, F.concat("_said", out, F.lit(gate_prompt)).alias("_said"))
+        answered = score_column(asked, "_said", "_answer", answer)
+        active = materialize(answered.where(yes_no_gate(F.col("_answer"))).select(
+            *keys, F.concat("_said", "_answer", F.lit(continue_prompt)).alias("_said")))
+        if active.isEmpty():
+            break
+    return done
+
+
+def md5_extractor(prompts: list[str]) -> list[str]:
+    """Deterministic stand-in extractor: two entities and a relation between them,
+    named after the md5 of the prompt."""
+    out = []
+    for p in prompts:
+        h = hashlib.md5(p.encode("utf-8")).hexdigest()
+        a, b = f"E{h[:4]}", f"E{h[4:8]}"
+        out.append(f'("entity"<|>"{a}"<|>concept<|>"{h[8:16]}")##("entity"<|>"{b}"<|>event<|>"{h[16:24]}")##'
+                   f'("relationship"<|>"{a}"<|>"{b}"<|>"{h[24:28]}"<|>kw{h[28]}<|>{int(h[29], 16) % 9 + 1})<|COMPLETE|>')
+    return out
+
+
+def md5_gate(prompts: list[str]) -> list[str]:
+    """Deterministic stand-in answers: yes for six of 16 prompts, with white space around."""
+    return [f" {AFFIRMATIVE}\n" if hashlib.md5(p.encode("utf-8")).hexdigest()[0] < "6" else "\u5426" for p in prompts]

@@ -64,20 +64,23 @@ def messages_builder(turns, max_len: int, tok: Tok = _default_tok, bos: int = 1,
 
 
 def template_builder(turns, max_len: int, is_llama: bool = False, tok: Tok = _default_tok,
-                     bos: int | None = 1, pad: int = 0) -> tuple[Column, Column]:
+                     bos: int | None = 1, pad: int = 0, shift: int | None = None) -> tuple[Column, Column]:
     """Builder 2 (Y9): per-turn training wrappers; user turns masked, every
-    other role labelled.  With a bos id the labels are shifted left by one and
-    end with -100 (quirk Q5); then truncate, or pad ids with pad / labels with -100."""
+    other role labelled; then truncate, or pad ids with pad / labels with -100.
+
+    ``shift`` 0 labels each id with itself, 1 with the next id (for a trainer that
+    doesn't shift), 2 with the one after.  None does as the reference: 2 with a bos
+    id, 0 without one (quirk Q5)."""
+    k = (2 if bos is not None else 0) if shift is None else shift
     tt = F.transform(turns, lambda t: F.struct(
         (t["role"] == "user").alias("u"),
         tok(TU.train_wrapper(t["role"], t["content"], is_llama)).alias("c")))
-    body = F.flatten(F.transform(tt, lambda x: x["c"]))
+    ids = F.flatten(F.transform(tt, lambda x: x["c"]))
     labels = F.flatten(F.transform(tt, lambda x: F.when(x["u"], _ign(F.size(x["c"]))).otherwise(x["c"])))
     if bos is not None:
-        ids = F.concat(T.int_array([bos]), body)
-        labels = F.concat(F.slice(labels, 2, 1 << 30), T.int_array([IGN]))
-    else:
-        ids = body
+        ids = F.concat(T.int_array([bos]), ids)
+        labels = F.concat(T.int_array([IGN]), labels)
+    labels = F.concat(F.slice(labels, k + 1, 1 << 30), T.int_array([IGN] * k)) if k else labels
     out_ids = let(ids, lambda a: F.when(F.size(a) > max_len, F.slice(a, 1, max_len))
                   .otherwise(T.pad_to(a, max_len, pad)))
     out_lab = let(F.struct(F.size(ids).alias("n"), labels.alias("l")), lambda r: F.when(

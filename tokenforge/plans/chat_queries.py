@@ -251,6 +251,17 @@ def q_chat_samples_v2(spark, sf_dir):
     return _out(t, ids, labels)
 
 
+SHIFT_SQL = V2_SQL.replace("list_concat(list_slice(lab0, 2, len(lab0)), [-100])", "list_concat(lab0, [-100])")
+
+
+@query("chat_samples_shift", sql=SHIFT_SQL)
+def q_chat_samples_shift(spark, sf_dir):
+    """Builder 2 with labels shifted by one: every id is labelled with the next."""
+    t = _turns(spark, sf_dir)
+    ids, labels = SB.template_builder(F.col("turns"), SAMPLE_LEN, is_llama=False, shift=1)
+    return _out(t, ids, labels)
+
+
 V3_SQL = f"""
 WITH t AS (SELECT conv_id, turn, role, {cp_sql(ENSURE)} AS c FROM conversations),
 a AS (SELECT conv_id, list_concat([1], {_agg_list('c')}) AS ids,
@@ -330,6 +341,19 @@ def q_parse_role_text(spark, sf_dir):
                     F.col("t.content").alias("text"))
 
 
+@query("text_string_or_list", sql=f"""
+SELECT conv_id, turn, role, CASE WHEN conv_id % 2 = 0 THEN text ELSE rt END AS text
+FROM conversations JOIN (SELECT conv_id, turn, text AS rt FROM {PARSED_SQL}) USING (conv_id, turn)""")
+def q_text_string_or_list(spark, sf_dir):
+    """JSON records whose ``text`` is a list of turns (even conversations) or one role
+    text, in one column, told apart per record (P8)."""
+    t = _turns(spark, sf_dir).select(
+        "conv_id", F.when(F.col("conv_id") % 2 == 0, F.to_json(F.struct(F.col("turns").alias("text"))))
+        .otherwise(F.to_json(F.struct(TU.as_role_text("turns").alias("text")))).alias("value"))
+    e = IO.text_turns(t).select("conv_id", F.posexplode("turns").alias("turn", "t"))
+    return e.select("conv_id", F.col("turn").cast("long"), F.col("t.role").alias("role"), F.col("t.content").alias("text"))
+
+
 @query("parse_tag_pairs", sql=f"""
 WITH r AS (SELECT conv_id, string_agg(CASE role WHEN 'user' THEN {s(TU.LLAMA_USER_HEADER)} || text || '<|eot_id|>'
                                                WHEN 'assistant' THEN {s(TU.LLAMA_ASSISTANT_HEADER)} || text || '<|eot_id|>'

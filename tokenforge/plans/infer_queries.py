@@ -18,6 +18,7 @@ from ..operators import turns as TU
 from ..operators.ordered import keyed_index
 from ..sources.tables import read_table
 from .chat_queries import ORDERED, s
+from .corpus_queries import cp_sql
 from .registry import query
 
 PYWS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -83,13 +84,23 @@ def q_gather_score_scatter(spark, sf_dir):
     return r.select("conv_id", "turn", "rank", "row", "score")
 
 
-@query("teacher_score_stub")
+@query("teacher_score_stub", sql=f"""
+WITH d AS (SELECT doc_id, {cp_sql('text')} AS ids FROM documents),
+p AS (SELECT doc_id, unnest(ids) AS id FROM d)
+SELECT doc_id, (count(*) // 8)::BIGINT AS n_positions, sum((id * (v + 1)) % 97)::BIGINT AS total,
+       sum((id * (v + 1)) % 97) FILTER (v = 7)::BIGINT AS last_class
+FROM p, range(8) AS r(v) GROUP BY doc_id""")
 def q_teacher_score_stub(spark, sf_dir):
-    """Teacher scoring of 64-token batches into per-position score rows with
-    an injected scorer (F7); rows-only check."""
+    """Teacher scoring of every whole document into one row of class scores a position,
+    with an injected scorer (F7); the rows are added up per document, in 97ths."""
     d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
-    d = d.select("doc_id", T.pad_trunc(T.codepoints("text", 64), 64, 0).alias("ids"))
-    return INF.teacher_scores(d, "doc_id", "ids", INF.cosine_stub_scorer(8))
+    d = d.select("doc_id", T.codepoints("text").alias("ids"))
+    r = INF.teacher_scores(d, "doc_id", "ids", INF.cosine_stub_scorer(8))
+    part = F.transform("logits", lambda x: F.round(x * 97).cast("long"))
+    r = r.withColumn("l", part)
+    return r.groupBy("doc_id").agg(F.count("*").alias("n_positions"),
+                                   F.sum(F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + x)).alias("total"),
+                                   F.sum(F.element_at("l", -1)).alias("last_class"))
 
 
 # ------------------------------------------------------------------ extraction

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
-from ..operators.turns import blank_non_human
+from ..operators.turns import blank_non_human, parse_role_text
 
 FORMATS = {"parquet": ".parquet", "json_gz": ".jsonl.gz", "jsonl": ".jsonl"}
 
@@ -150,6 +150,25 @@ def dispatch_chat_records(lines: DataFrame, value: str = "value") -> DataFrame:
     return j.select("conv_id", prompts.alias("prompts")).where(F.col("prompts").isNotNull())
 
 
+TURN_LIST = "array<struct<role:string,content:string>>"
+
+
+def text_turns(lines: DataFrame, value: str = "value", out: str = "turns") -> DataFrame:
+    """Records whose ``text`` is a list of role / content objects or one role text.
+
+    The line is parsed as VARIANT, so the kind is told per record, not from a file's
+    first one.  A list is taken as it is, a string goes through
+    :func:`..operators.turns.parse_role_text`; a record of neither kind, without
+    ``text`` or of broken JSON has null turns (quarantine, :func:`split_bad_json`)."""
+    v = F.try_parse_json(F.col(value))
+    kind = F.schema_of_variant(F.try_variant_get(v, "$.text", "variant"))
+    d = lines.withColumn("_tt_kind", kind)
+    listed = F.when(F.col("_tt_kind").startswith("ARRAY"), F.try_variant_get(v, "$.text", TURN_LIST))
+    said = F.when(F.col("_tt_kind") == "STRING", F.try_variant_get(v, "$.text", "string"))
+    d = parse_role_text(d.withColumn("_tt_text", said), "_tt_text", "_tt_parsed")
+    return d.withColumn(out, F.coalesce(listed, F.col("_tt_parsed"))).drop("_tt_kind", "_tt_text", "_tt_parsed")
+
+
 def chat_record_json(turns: Column | str) -> Column:
     """``{"data": [{"role": .., "content": ..}, ..]}`` text of a conversation."""
     t = F.col(turns) if isinstance(turns, str) else turns
