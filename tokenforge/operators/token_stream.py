@@ -19,11 +19,11 @@ import json
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, small_table
-from .ordered import BROADCAST_ROWS, keyed_scan
+from ..session import materialize
+from .ordered import keyed_scan
 
 
 @dataclass
@@ -54,14 +54,20 @@ def build_store(docs: DataFrame, key: str, tokens: Column, order: list[str], chu
     return TokenStore(tok.select(key, "tokens"), materialize(off), key)
 
 
+def size_offsets(docs: DataFrame, size: Column, order: list[str], dtype_size: int = 4) -> DataFrame:
+    """Add ``size``, ``start`` (token offset) and ``ptr`` (byte offset) from a column of
+    sizes: the index of a store that isn't written, without a token (W3, W4)."""
+    d = docs.withColumn("size", size.cast("long"))
+    d = keyed_scan(d, [], order, sums={"_end": F.col("size")}, index_col=None)
+    d = d.withColumn("start", (F.col("_end") - F.col("size")).cast("long")).drop("_end")
+    return d.withColumn("ptr", F.col("start") * F.lit(dtype_size))
+
+
 def with_offsets(store: DataFrame, order: list[str], chunk_value: Column,
                  tokens: str = "tokens", dtype_size: int = 4) -> DataFrame:
     """Add ``size``, ``start`` (token offset) and ``ptr`` (byte offset) to a
     table that carries its tokens (W3, W4)."""
-    d = store.withColumn("size", F.size(tokens).cast("long"))
-    d = keyed_scan(d, [], order, chunk_value, sums={"_end": F.col("size")}, index_col=None)
-    d = d.withColumn("start", (F.col("_end") - F.col("size")).cast("long")).drop("_end")
-    return d.withColumn("ptr", F.col("start") * F.lit(dtype_size))
+    return size_offsets(store, F.size(tokens), order, dtype_size)
 
 
 def asof_start(points: DataFrame, key: str, pos: str, starts: DataFrame, start: str,
@@ -71,7 +77,7 @@ def asof_start(points: DataFrame, key: str, pos: str, starts: DataFrame, start:
 
     Starts and points are unioned and ordered by position, starts first on
     ties; a running max of the starts then is the as-of answer.  Ties between
-    points do not change the value, so no further tiebreak is needed.
+    points do not change the value; their key only lets many be cut into chunks.
     """
     by = list(by or [])
     ktype = points.schema[key].dataType
@@ -79,8 +85,7 @@ def asof_start(points: DataFrame, key: str, pos: str, starts: DataFrame, start:
                       F.lit(1).alias("_k"), F.lit(None).cast("long").alias("_s"))
     s = starts.select(*by, F.lit(None).cast(ktype).alias("_key"), F.col(start).cast("long").alias("_p"),
                       F.lit(0).alias("_k"), F.col(start).cast("long").alias("_s"))
-    r = keyed_scan(p.unionByName(s), by, ["_p", "_k"], F.col("_p"),
-                   maxes={out: F.col("_s")}, index_col=None)
+    r = keyed_scan(p.unionByName(s), by, ["_p", "_k", "_key"], maxes={out: F.col("_s")}, index_col=None)
     return r.where(F.col("_k") == 1).select(*by, F.col("_key").alias(key), F.col("_p").alias(pos), out)
 
 
@@ -88,18 +93,25 @@ def range_lookup(points: DataFrame, key: str, pos: str, intervals: DataFrame,
                  lo: str, hi: str) -> DataFrame:
     """Attach the interval ``lo <= pos < hi`` (intervals disjoint) to each point.
 
-    A bounded interval table is broadcast into a range join; a large one goes
-    through the as-of path (running max + equi-join on ``lo``).  Points that
-    fall in no interval keep null interval columns.
+    Points and interval starts are one table ordered by position; the last interval
+    that began, carried along as a struct by the skew-safe scan, is the only one that
+    can hold the point.  One path at every size, no join and so no nested loop: points
+    keep all their columns, repeated and null keys their rows.  Points in no interval,
+    and points without a position, have null interval columns.
     """
-    iv, ok = small_table(intervals, BROADCAST_ROWS)
-    if ok:
-        cond = (F.col(pos) >= F.col(lo)) & (F.col(pos) < F.col(hi))
-        return points.join(F.broadcast(iv), cond, "left")
-    a = asof_start(points.select(key, pos), key, pos, iv.select(lo), lo, lo)
-    a = a.join(iv, on=lo, how="left")
-    a = a.where(F.col(pos) < F.col(hi))
-    return points.join(a.drop(pos), on=key, how="left")
+    kept = points.columns
+    iv = F.struct(F.col(lo).alias("lo"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(intervals.columns)])
+    begins = intervals.where(F.col(lo).isNotNull() & F.col(hi).isNotNull() & (F.col(lo) < F.col(hi))) \
+        .select(F.col(lo).cast("long").alias("_p"), F.lit(0).alias("_k"), F.lit(0).cast("long").alias("_t"), iv.alias("_iv"))
+    asked = points.select(F.struct(*[F.col(f"`{c}`").alias(f"p{i}") for i, c in enumerate(kept)]).alias("_row"),
+                          F.col(pos).cast("long").alias("_p"), F.lit(1).alias("_k"),
+                          F.xxhash64(F.monotonically_increasing_id()).alias("_t"))
+    both = asked.unionByName(begins, allowMissingColumns=True)
+    seen = keyed_scan(both, [], ["_p", "_k", "_t"], maxes={"_last": F.col("_iv")}, index_col=None).where("_k = 1")
+    at = intervals.columns.index(hi)
+    inside = F.col("_p") < F.col(f"_last.c{at}")
+    return seen.select(*[F.col(f"_row.p{i}").alias(c) for i, c in enumerate(kept)],
+                       *[F.when(inside, F.col(f"_last.c{i}")).alias(c) for i, c in enumerate(intervals.columns)])
 
 
 def as_store(table: DataFrame, key: str) -> TokenStore:
@@ -156,6 +168,11 @@ def read_windows(store: TokenStore, requests: DataFrame, req_key: str, pos: str,
     return requests.join(got, req_key, "left")
 
 
+def padded(tokens: Column, length: int, pad: int = 0) -> Column:
+    """The first ``length`` tokens, with ``pad`` up to ``length``."""
+    return F.concat(F.slice(tokens, 1, length), F.array_repeat(F.lit(pad), F.greatest(F.lit(length) - F.size(tokens), F.lit(0))))
+
+
 def store_head(store: TokenStore, length: int) -> list[int]:
     """First ``length`` tokens of the stream (bounded: at most ``length`` ints)."""
     first = (store.offsets.where((F.col("start") < length) & (F.col("size") > 0))
@@ -166,15 +183,19 @@ def store_head(store: TokenStore, length: int) -> list[int]:
     return list(rows[0]["t"]) if rows else []
 
 
-def pad_spill(store: TokenStore, length: int, out: str = "tokens") -> DataFrame:
+def pad_spill(store: TokenStore, length: int, out: str = "tokens", mode: str = "spill", pad: int = 0) -> DataFrame:
     """``pad(idx, length)`` of the reference store (Y19, quirk Q9).
 
-    Reads ``length`` tokens from the item's start, spilling into the following
-    items; when that passes the end of the stream, returns the item's own
+    ``mode='spill'`` reads ``length`` tokens from the item's start, spilling into the
+    following items; when that passes the end of the stream, returns the item's own
     tokens followed by the first ``length - size`` tokens of the stream.
+    ``mode='pad'`` returns the item's own first ``length`` tokens and pads them.
     Returns ``(key, out, min_len = min(size, length))``.
     """
     key = store.key
+    if mode == "pad":
+        return store.tokens.select(key, padded(F.col("tokens"), length, pad).alias(out),
+                                   F.least(F.size("tokens"), F.lit(length)).cast("long").alias("min_len"))
     total = store.offsets.agg(F.sum("size")).first()[0] or 0
     head = store_head(store, length)
     off = store.offsets.select(key, "start", "size")
@@ -197,26 +218,61 @@ def pad_spill(store: TokenStore, length: int, out: str = "tokens") -> DataFrame:
 
 def shard_manifest(per_shard: DataFrame, shard: str, tokens: str, ctx_len: int) -> DataFrame:
     """Manifest ``shard chunk_count cutoff`` (S14): ``chunk_count = tokens - ctx_len``,
-    cutoff = running sum in shard-name order.  One row per shard (small)."""
-    m, ok = small_table(per_shard.select(shard, F.col(tokens).cast("long").alias("_tok")), BROADCAST_ROWS)
-    if not ok:
-        raise ValueError("manifest larger than the broadcast bound")
-    from pyspark.sql import Window
-    w = Window.orderBy(shard).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    m = m.withColumn("chunk_count", F.col("_tok") - F.lit(ctx_len))
-    return (m.withColumn("cutoff", F.sum("chunk_count").over(w))
-            .withColumn("prev_cutoff", F.col("cutoff") - F.col("chunk_count")).drop("_tok"))
+    cutoff = running sum in shard-name order, for any number of shards."""
+    m = per_shard.select(shard, (F.col(tokens).cast("long") - F.lit(ctx_len)).alias("chunk_count"))
+    m = keyed_scan(materialize(m), [], [shard], sums={"cutoff": F.col("chunk_count")}, index_col=None)
+    return m.withColumn("prev_cutoff", F.col("cutoff") - F.col("chunk_count"))
+
+
+def write_manifest(manifest: DataFrame, path: str, shard: str = "shard") -> None:
+    """The manifest as text lines ``path chunk_count cumulative_cutoff``."""
+    manifest.select(F.concat_ws(" ", F.col(shard), F.col("chunk_count").cast("string"), F.col("cutoff").cast("string"))
+                    .alias("value")).write.mode("overwrite").text(path)
+
+
+def read_manifest(spark: SparkSession, path: str, shard: str = "shard") -> DataFrame:
+    """Scan of a manifest file (S14): ``shard, chunk_count, cutoff, prev_cutoff``.
+
+    The counts are the last two words of a line, so a shard's path may hold blanks; a
+    line of another form raises."""
+    line = r"^(.*\S) +([0-9]+) +([0-9]+) *$"
+    t = spark.read.text(path).where(F.trim("value") != "")
+    bad = F.raise_error(F.concat(F.lit("not a manifest line: "), F.col("value")))
+    t = t.select(F.when(F.col("value").rlike(line), F.col("value")).otherwise(bad).alias("v"))
+    m = t.select(F.regexp_extract("v", line, 1).alias(shard), F.regexp_extract("v", line, 2).cast("long").alias("chunk_count"),
+                 F.regexp_extract("v", line, 3).cast("long").alias("cutoff"))
+    return m.withColumn("prev_cutoff", F.col("cutoff") - F.col("chunk_count"))
+
+
+# Witnesses that decide primality of every n below 3.3e24 (fixed values).
+WITNESSES = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41)
+
+
+def is_prime(n: int) -> bool:
+    """Miller-Rabin with fixed witnesses: exact for all 64-bit numbers."""
+    if n < 2:
+        return False
+    for p in WITNESSES:
+        if n % p == 0:
+            return n == p
+    odd, twos = n - 1, 0
+    while odd % 2 == 0:
+        odd, twos = odd // 2, twos + 1
+    for a in WITNESSES:
+        x = pow(a, odd, n)
+        if x in (1, n - 1):
+            continue
+        for _ in range(twos - 1):
+            x = x * x % n
+            if x == n - 1:
+                break
+        else:
+            return False
+    return True
 
 
 def largest_magic_prime(slots: int) -> int:
     """Largest prime ``p <= slots`` with ``p % 3 == 2`` and ``p / slots > 0.99`` (R2)."""
-    def is_prime(n: int) -> bool:
-        if n < 2:
-            return False
-        if n % 2 == 0:
-            return n == 2
-        r = int(math.isqrt(n))
-        return all(n % f for f in range(3, r + 1, 2))
     for p in range(slots, 1, -1):
         if p / slots <= 0.99:
             break
@@ -225,11 +281,36 @@ def largest_magic_prime(slots: int) -> int:
     raise ValueError(f"no magic prime for {slots} slots")
 
 
+def mul_mod(a: Column, b: Column, p: int) -> Column:
+    """``a * b mod p`` of non-negative longs below ``p < 10^18``: the product is a
+    38-digit decimal, so it never overflows."""
+    wide = "decimal(18,0)"
+    return F.pmod(a.cast(wide) * b.cast(wide), F.lit(p).cast(wide)).cast("long")
+
+
 def cubic_slot(ii: Column, p: int) -> Column:
-    """``(f * ii^3) mod p`` with ``f = int(p * (sqrt(5) - 1) / 2)``, reduced after
-    every product so BIGINT never overflows while ``p < 2^31`` (R2)."""
-    f = int(p * (math.sqrt(5) - 1) / 2)
+    """``(f * ii^3) mod p`` with ``f = int(p * (sqrt(5) - 1) / 2)``, a permutation of
+    ``0 .. p - 1`` as ``p % 3 == 2`` (R2)."""
+    f = int(p * ((math.sqrt(5) - 1) / 2))
     a = F.pmod(ii.cast("long"), F.lit(p))
-    a2 = F.pmod(a * a, F.lit(p))
-    a3 = F.pmod(a2 * a, F.lit(p))
-    return F.pmod(a3 * F.lit(f % p), F.lit(p))
+    return mul_mod(mul_mod(mul_mod(a, a, p), a, p), F.lit(f % p), p)
+
+
+def cubic_position(ii: Column, p: int, ctx_len: int, shift: int = 0, skip: int = 0) -> Column:
+    """First token of sample ``ii``: its slot's, moved on by ``shift`` (R2); ``skip`` is
+    the number of the first sample that isn't drawn at random."""
+    return cubic_slot(ii - F.lit(skip), p) * F.lit(ctx_len) + F.lit(shift)
+
+
+def hash60(seed: str, key: Column) -> Column:
+    """60 bits of ``md5(seed || key)`` as a non-negative long."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), key.cast("string"))), 1, 15), 16, 10).cast("long")
+
+
+def pick_records(requests: DataFrame, draw: Column, records: DataFrame, index: str, n: int) -> DataFrame:
+    """A record for each request, drawn with replacement (R5): number ``draw mod (n - 1)``
+    of the ``n`` records numbered by ``index``.  As in the reference the last record is
+    never drawn; a single record always is.  Requests spread over the numbers evenly,
+    so the join has no hot key."""
+    return requests.withColumn("_pick", F.pmod(draw, F.lit(max(1, n - 1)))) \
+        .join(records.withColumnRenamed(index, "_pick"), "_pick").withColumnRenamed("_pick", index)

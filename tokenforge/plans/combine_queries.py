@@ -13,6 +13,7 @@ from ..functions import tokens as T
 from ..operators import combine as C
 from ..operators import token_stream as S
 from ..operators.ordered import global_index, keyed_index
+from ..session import materialize, scratch_path
 from ..sources.tables import read_table
 from .corpus_queries import cp_sql
 from .registry import query
@@ -34,6 +35,12 @@ def _store(spark, sf_dir) -> S.TokenStore:
     return S.build_store(d, "doc_id", T.codepoints("text"), ["doc_id"], F.col("doc_id"), extra=["source"])
 
 
+def _sizes(spark, sf_dir):
+    """Token counts of the documents; a code-point token is a character."""
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
+    return d.select("doc_id", "source", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("size"))
+
+
 STORE_SQL = f"""
 st0 AS (SELECT doc_id, source, {cp_sql('text')} AS cp FROM documents),
 store AS (SELECT doc_id, source, cp, len(cp)::BIGINT AS size,
@@ -163,7 +170,7 @@ WITH {STORE_SQL}
 SELECT doc_id, size, (start * 4)::BIGINT AS ptr FROM store""")
 def q_doc_pointers(spark, sf_dir):
     """Sizes and byte pointers (exclusive prefix sum x 4 bytes) of the store."""
-    return _store(spark, sf_dir).offsets.select("doc_id", "size", "ptr")
+    return S.size_offsets(_sizes(spark, sf_dir), F.col("size"), ["doc_id"]).select("doc_id", "size", "ptr")
 
 
 @query("shard_manifest_lookup", sql=f"""
@@ -172,18 +179,20 @@ m0 AS (SELECT source, (sum(size) - {CTX})::BIGINT AS chunk_count FROM store GROU
 m AS (SELECT source, chunk_count, sum(chunk_count) OVER (ORDER BY source) AS cutoff FROM m0),
 mm AS (SELECT source, chunk_count, cutoff, cutoff - chunk_count AS prev_cutoff FROM m),
 tc AS (SELECT max(cutoff) AS total_chunks FROM mm),
-pt AS (SELECT doc_id, (('0x' || substr(md5('chunk:' || doc_id::VARCHAR), 1, 8))::BIGINT % total_chunks)::BIGINT AS i
+pt AS (SELECT doc_id, (('0x' || substr(md5('chunk:' || doc_id::VARCHAR), 1, 15))::BIGINT % total_chunks)::BIGINT AS i
        FROM documents, tc)
 SELECT doc_id, i, source AS shard, ((i - prev_cutoff) % chunk_count)::BIGINT AS local_offset
 FROM pt JOIN mm ON i >= prev_cutoff AND i < cutoff""")
 def q_shard_manifest_lookup(spark, sf_dir):
-    """Manifest of per-source shards and the interval lookup of chunk numbers."""
-    st = _store(spark, sf_dir).offsets
+    """Manifest of per-source shards, written and scanned as a manifest file, and the
+    interval lookup of chunk numbers (S14, J2)."""
+    st = _sizes(spark, sf_dir)
     per_shard = st.groupBy("source").agg(F.sum("size").alias("tokens"))
-    man = S.shard_manifest(per_shard, "source", "tokens", CTX)
+    path = scratch_path(spark, "manifest")
+    S.write_manifest(S.shard_manifest(per_shard, "source", "tokens", CTX), path, "source")
+    man = S.read_manifest(spark, path, "source")
     total = man.agg(F.max("cutoff")).first()[0]
-    h = F.conv(F.substring(F.md5(F.concat(F.lit("chunk:"), F.col("doc_id").cast("string"))), 1, 8), 16, 10)
-    pts = st.select("doc_id", F.pmod(h.cast("long"), F.lit(total)).alias("i"))
+    pts = st.select("doc_id", F.pmod(S.hash60("chunk:", F.col("doc_id")), F.lit(total)).alias("i"))
     r = S.range_lookup(pts, "doc_id", "i", man, "prev_cutoff", "cutoff")
     return r.select("doc_id", "i", F.col("source").alias("shard"),
                     F.pmod(F.col("i") - F.col("prev_cutoff"), F.col("chunk_count")).alias("local_offset"))
@@ -209,17 +218,16 @@ def q_window_pad_wrap(spark, sf_dir):
 
 @query("random_crop", sql=f"""
 WITH {STORE_SQL},
-rq AS (SELECT doc_id, (('0x' || substr(md5('crop:' || doc_id::VARCHAR), 1, 8))::BIGINT % (total - {REQ} + 1))::BIGINT
+rq AS (SELECT doc_id, (('0x' || substr(md5('crop:' || doc_id::VARCHAR), 1, 15))::BIGINT % (total - {REQ} + 1))::BIGINT
               AS "offset" FROM store, tot)
 SELECT rq.doc_id, rq."offset", array_to_string(list(tok.t ORDER BY tok.g), ',') AS tokens
 FROM rq JOIN tok ON tok.g >= rq."offset" AND tok.g < rq."offset" + {REQ} GROUP BY rq.doc_id, rq."offset"
 """)
 def q_random_crop(spark, sf_dir):
-    """Crop of ``ctx_len + 1`` tokens at a hash-derived offset of the stream."""
+    """Crop of ``ctx_len + 1`` tokens at a hash-derived offset of the stream."""
     st = _store(spark, sf_dir)
     total = st.offsets.agg(F.sum("size")).first()[0]
-    h = F.conv(F.substring(F.md5(F.concat(F.lit("crop:"), F.col("doc_id").cast("string"))), 1, 8), 16, 10)
-    req = st.offsets.select("doc_id", F.pmod(h.cast("long"), F.lit(total - REQ + 1)).alias("offset"))
+    req = st.offsets.select("doc_id", F.pmod(S.hash60("crop:", F.col("doc_id")), F.lit(total - REQ + 1)).alias("offset"))
     r = S.read_windows(st, req, "doc_id", "offset", REQ, "w")
     return r.select("doc_id", "offset", T.join_ints("w").alias("tokens"))
 
@@ -285,8 +293,52 @@ def q_cubic_permutation(spark, sf_dir):
     """Cubic permutation sampler over ``slots = tokens // ctx_len`` with the
     largest magic prime ``p <= slots`` (R2)."""
     d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
-    total = d.agg(F.sum(F.size(T.codepoints("text")))).first()[0]
+    total = d.agg(F.sum(F.char_length("text"))).first()[0]
     p = S.largest_magic_prime(total // CTX)
     o = global_index(d.select("doc_id"), ["doc_id"], F.col("doc_id")).withColumn("ii", F.col("idx") + 1)
     slot = S.cubic_slot(F.col("ii"), p)
     return o.select("doc_id", F.col("ii").cast("long"), slot.alias("slot"), (slot * CTX).alias("offset"))
+
+
+@query("record_pick", sql="""
+WITH n AS (SELECT count(*) AS n FROM documents),
+r AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents),
+q AS (SELECT doc_id, (('0x' || substr(md5('pick:' || doc_id::VARCHAR), 1, 15))::BIGINT % greatest(n - 1, 1))::BIGINT AS i
+      FROM documents, n)
+SELECT q.doc_id, i AS record, md5(substr(text, 1, length(text) - 1)) AS x_md5, md5(substr(text, 2)) AS y_md5
+FROM q JOIN r USING (i)""")
+def q_record_pick(spark, sf_dir):
+    """For every sample a record drawn with replacement by a hash, as the pair of all its
+    tokens but the last and all but the first (R5, W2); digests of whole records."""
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    numbered = materialize(global_index(d.select("doc_id"), ["doc_id"], name="record"))
+    picked = S.pick_records(d.select("doc_id"), S.hash60("pick:", F.col("doc_id")),
+                            numbered.withColumnRenamed("doc_id", "picked"), "record", numbered.count())
+    return picked.join(d.select(F.col("doc_id").alias("picked"), "text"), "picked").select(
+        "doc_id", "record", F.md5(F.expr("substr(text, 1, char_length(text) - 1)").cast("binary")).alias("x_md5"),
+        F.md5(F.expr("substr(text, 2)").cast("binary")).alias("y_md5"))
+
+
+@query("cubic_shift", sql=f"""
+WITH tt AS (SELECT sum(length(text))::BIGINT * 10000000 AS t FROM documents),
+sl AS (SELECT t // {CTX} AS slots FROM tt),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS ii FROM documents),
+c AS (SELECT p FROM (SELECT slots - r AS p FROM sl, range(0, 3000) AS q(r)) WHERE p % 3 = 2 AND p % 2 = 1
+      AND NOT EXISTS (SELECT 1 FROM range(3, 3000, 2) AS d(f) WHERE p % f = 0)),
+b AS (SELECT * FROM c ORDER BY p DESC),
+mp AS (SELECT p FROM b WHERE list_reduce(list_transform([2, 3, 5, 7, 11, 13, 17], lambda a: list_reduce(
+         [{{'x': a::HUGEINT, 'r': 1::HUGEINT, 'e': (p - 1)::HUGEINT}}] || list_transform(range(62),
+            lambda i: {{'x': 0::HUGEINT, 'r': 0::HUGEINT, 'e': 0::HUGEINT}}),
+         lambda s, t: {{'x': (s.x * s.x) % p, 'r': CASE WHEN s.e % 2 = 1 THEN (s.r * s.x) % p ELSE s.r END, 'e': s.e // 2}}).r = 1),
+         lambda u, v: u AND v) ORDER BY p DESC LIMIT 1),
+f AS (SELECT p::HUGEINT AS p, floor(p * ((sqrt(5) - 1) / 2))::HUGEINT AS f FROM mp)
+SELECT doc_id, ii::BIGINT AS ii, (((((((ii % p) * (ii % p)) % p) * (ii % p)) % p) * (f % p)) % p * {CTX} + 7)::BIGINT AS "offset"
+FROM o, f""")
+def q_cubic_shift(spark, sf_dir):
+    """Cubic sample positions in a store ten million times as long, so that there are
+    about 10^12 slots and more, moved on by seven tokens (R2)."""
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    total = d.agg(F.sum(F.char_length("text"))).first()[0] * 10_000_000
+    p = S.largest_magic_prime(total // CTX)
+    o = global_index(d.select("doc_id"), ["doc_id"]).withColumn("ii", F.col("idx") + 1)
+    return o.select("doc_id", F.col("ii").cast("long"), S.cubic_position(F.col("ii"), p, CTX, 7).alias("offset"))

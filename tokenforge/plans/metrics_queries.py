@@ -322,10 +322,11 @@ def q_config_defaults(spark, sf_dir):
 
 @query("ttl_dedup", sql="""
 WITH RECURSIVE t AS (SELECT event_type AS k, epoch_us(ts) AS t, min(event_id) AS rep FROM events GROUP BY ALL),
-nx AS (SELECT a.k, a.t, (SELECT min(b.t) FROM t b WHERE b.k = a.k AND b.t >= a.t + 300000000) AS nt FROM t a),
+nx AS MATERIALIZED (SELECT a.k, a.t, b.t AS nt FROM (SELECT k, t, t + 300000000 AS due FROM t) a
+       ASOF JOIN t b ON a.k = b.k AND a.due <= b.t),
 chain AS (SELECT k, min(t) AS t FROM t GROUP BY k
           UNION ALL
-          SELECT nx.k, nx.nt FROM chain JOIN nx ON nx.k = chain.k AND nx.t = chain.t WHERE nx.nt IS NOT NULL)
+          SELECT nx.k, nx.nt FROM chain JOIN nx ON nx.k = chain.k AND nx.t = chain.t)
 SELECT e.event_id, e.event_type, NOT (c.t IS NOT NULL AND e.event_id = t.rep) AS cached
 FROM events e JOIN t ON t.k = e.event_type AND t.t = epoch_us(e.ts) LEFT JOIN chain c ON c.k = t.k AND c.t = t.t""")
 def q_ttl_dedup(spark, sf_dir):
