@@ -89,6 +89,58 @@ def test_run_metrics_equal_batch(spark, stream_dir):
     assert got == {k: (rl[k], kt[k]) for k in rl}
 
 
+def test_update_mode_keeps_the_keys_of_earlier_batches(spark, stream_dir):
+    s = _stream(spark, stream_dir)
+    q = J.latest_state(s, "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("long"))
+    out = J.run_available(q, "latest-update", mode="update", keys=["user_id", "event_type"])
+    table = J.KeyedTable(out, ["user_id", "event_type"])
+    got = sorted((r["user_id"], r["event_type"], round(r["state"], 6), r["tokens"], r["n_updates"])
+                 for r in table.read(spark).collect())
+    exp = sorted(tuple(r) for r in QUERIES["latest_state"](spark, SF001)
+                 .select("user_id", "layer", "state", "tokens", "n_updates").collect())
+    assert got == exp
+
+
+def test_keyed_table_replays(spark):
+    table = J.KeyedTable(tempfile.mkdtemp(prefix="tf-keyed-"), ["k"], buckets=3)
+    schema = "k string, v int"
+    table.upsert(spark.createDataFrame([("a", 1), ("b", 1), (None, 1)], schema), 0)
+    second = spark.createDataFrame([("b", 2), ("c", 2), (None, 2)], schema)
+    table.upsert(second, 1)
+    want = [("None", 2), ("a", 1), ("b", 2), ("c", 2)]
+    assert sorted((str(r["k"]), r["v"]) for r in table.read(spark).collect()) == want
+    table.upsert(spark.createDataFrame([("b", 9)], schema), 1)          # a replay changes nothing
+    table.upsert(spark.createDataFrame([], schema), 2)
+    assert sorted((str(r["k"]), r["v"]) for r in table.read(spark).collect()) == want
+
+
+def test_cache_state_shrinks_after_its_ttl(spark):
+    d = tempfile.mkdtemp(prefix="tf-ttl-src-")
+    day = pd.Timestamp("2024-01-01")
+    for i, (start, n) in enumerate([(0, 50), (10_000, 1), (20_000, 1), (30_000, 1)]):
+        rows = pd.DataFrame({"event_id": [i * 100 + j for j in range(n)],
+                             "ts": [day + pd.Timedelta(seconds=start + j) for j in range(n)],
+                             "user_id": 1, "event_type": [f"p{j}" for j in range(n)], "value": 1.0, "props": "{}"})
+        spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, "
+                              "props string").coalesce(1).write.mode("append").parquet(d)
+    sizes = []
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.ROCKSDB)
+    q = J.ttl_cache(_stream(spark, d), "event_type", 300, "1 minute").writeStream \
+        .option("checkpointLocation", tempfile.mkdtemp(prefix="tf-ttl-ck-")).trigger(availableNow=True) \
+        .foreachBatch(lambda batch, _id: batch.count() and None).start()
+    q.awaitTermination()
+    for p in q.recentProgress:
+        sizes += [o.numRowsTotal for o in p.stateOperators]
+    assert max(sizes) >= 50 and sizes[-1] < 10
+
+
+def test_rows_of_a_batch_are_put_in_order():
+    from pyspark.sql import Row
+    rows = [Row(ts=t, event_id=i) for i, t in enumerate([3, 1, 2, 5, 4])]
+    assert [r["ts"] for r in J._in_order(iter(rows))] == [1, 2, 3, 4, 5]
+    assert [r["ts"] for r in J._in_order(iter(rows), 2)] == [1, 2, 3, 4, 5]
+
+
 def test_hourly_metrics_equal_batch(spark, stream_dir):
     out = J.run_available(J.hourly_metrics(_stream(spark, stream_dir)), "hourly", mode="complete")
     got = sorted((r["hour"].strftime("%Y-%m-%d %H:%M:%S"), r["event_type"], r["n"], round(r["avg_value"], 6))
@@ -106,4 +158,9 @@ def test_micro_batch_scoring(spark, stream_dir):
     assert got.count() == 1000
     import hashlib
     r = got.first()
+    # a replayed batch replaces its own rows
+    sink = J.scoring_sink(target, "rank", "row", "event_type")
+    first = got.where("batch_id = 0").select("rank", "row", "event_type")
+    sink(spark.createDataFrame(first.collect(), first.schema), 0)
+    assert spark.read.parquet(target).count() == 1000
     assert r["score"] == hashlib.md5(r["event_type"].encode()).hexdigest()
