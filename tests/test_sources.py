@@ -31,6 +31,71 @@ def test_token_store_round_trip(spark):
     assert list(np.diff(idx.pointers)) == list(idx.sizes[:-1].astype(np.int64) * 4)
 
 
+def _store(rows, spark):
+    return spark.createDataFrame([(list(x),) for x in rows], "tokens array<int>")
+
+
+def _items(spark, path):
+    return sorted(tuple(r["tokens"]) for r in spark.read.format("tokenstore").load(path).collect())
+
+
+def test_token_store_append_overwrite_and_leftovers(spark):
+    TS.register(spark)
+    out = tempfile.mkdtemp(prefix="tf-store-") + "/s"
+    _store([[1, 2], [], [3]], spark).repartition(2).write.format("tokenstore").mode("append").save(out)
+    _store([[4]], spark).coalesce(1).write.format("tokenstore").mode("append").save(out)
+    assert _items(spark, out) == [(), (1, 2), (3,), (4,)]
+    # what a failed attempt or an uncommitted write left behind is not read
+    for end in (".idx", ".bin"):
+        name = TS.shards(out)[0]["shard"]
+        with open(f"{out}/{name}{end}", "rb") as f, open(f"{out}/shard-lost{end}", "wb") as g:
+            g.write(f.read())
+    assert _items(spark, out) == [(), (1, 2), (3,), (4,)]
+    _store([[9, 9]], spark).coalesce(1).write.format("tokenstore").mode("overwrite").save(out)
+    assert _items(spark, out) == [(9, 9)]
+    assert sorted(x for x in os.listdir(out) if x.endswith(".idx")) == sorted(
+        [TS.shards(out)[0]["shard"] + ".idx", "shard-lost.idx"])
+
+
+def test_token_store_without_manifest_is_kept_by_an_append(spark):
+    TS.register(spark)
+    out = tempfile.mkdtemp(prefix="tf-store-")
+    with open(out + "/other.idx", "wb") as f:
+        f.write(TS.index_bytes("uint16", np.array([2, 1]), np.array([0, 1, 2])))
+    np.array([5, 6, 7], np.uint16).tofile(out + "/other.bin")
+    assert _items(spark, out) == [(5, 6), (7,)] == _items(spark, out + "/other")
+    _store([[8]], spark).coalesce(1).write.format("tokenstore").mode("append").option("dtype", "uint16").save(out)
+    assert _items(spark, out) == [(5, 6), (7,), (8,)]
+
+
+def test_token_store_refuses_tokens_that_do_not_fit(spark):
+    TS.register(spark)
+    out = tempfile.mkdtemp(prefix="tf-store-") + "/s"
+    try:
+        _store([[70_000]], spark).write.format("tokenstore").option("dtype", "uint16").mode("append").save(out)
+    except Exception as e:
+        assert "fit" in str(e)
+    else:
+        raise AssertionError("70,000 was cut to 16 bits")
+
+
+def test_token_store_index_layout():
+    raw = TS.index_bytes("int32", np.array([3, 0, 2]), np.array([0, 1, 2, 3]))
+    assert raw[:9] == b"MMIDIDX\x00\x00" and raw[9:17] == (1).to_bytes(8, "little") and raw[17] == 4
+    assert raw[18:26] == (3).to_bytes(8, "little") and raw[26:34] == (4).to_bytes(8, "little")
+    assert np.frombuffer(raw[34:46], "<i4").tolist() == [3, 0, 2]
+    assert np.frombuffer(raw[46:70], "<i8").tolist() == [0, 12, 12]
+    assert np.frombuffer(raw[70:], "<i8").tolist() == [0, 1, 2, 3]
+
+
+def test_short_last_record_is_kept(spark):
+    TS.register(spark)
+    p = os.path.join(tempfile.mkdtemp(prefix="tf-rec-"), "data.bin")
+    np.arange(10, dtype=np.uint16).tofile(p)
+    r = spark.read.format("tokenrecords").option("recordLength", 4).option("recordsPerPartition", 2).load(p)
+    assert sorted((x["record"], x["tokens"]) for x in r.collect()) == [(0, [0, 1, 2, 3]), (1, [4, 5, 6, 7]), (2, [8, 9])]
+
+
 def test_fixed_uint16_records(spark):
     TS.register(spark)
     p = os.path.join(tempfile.mkdtemp(prefix="tf-rec-"), "data.bin")

@@ -14,6 +14,7 @@ from ..operators import combine as C
 from ..operators import token_stream as S
 from ..operators.ordered import global_index, keyed_index
 from ..session import materialize, scratch_path
+from ..sources import tokenstore as TS
 from ..sources.tables import read_table
 from .corpus_queries import cp_sql
 from .registry import query
@@ -342,3 +343,19 @@ def q_cubic_shift(spark, sf_dir):
     p = S.largest_magic_prime(total // CTX)
     o = global_index(d.select("doc_id"), ["doc_id"]).withColumn("ii", F.col("idx") + 1)
     return o.select("doc_id", F.col("ii").cast("long"), S.cubic_position(F.col("ii"), p, CTX, 7).alias("offset"))
+
+
+@query("token_store_scan", sql=f"""
+SELECT len(cp)::BIGINT AS n_tokens, md5(array_to_string(cp, ',')) AS tokens_md5
+FROM (SELECT {cp_sql('text')} AS cp FROM documents)""")
+def q_token_store_scan(spark, sf_dir):
+    """All documents written as an indexed token store, in two appends, and scanned back
+    by ranges of items (S12, S13)."""
+    TS.register(spark)
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"]).select("doc_id", T.codepoints("text").alias("tokens"))
+    path = scratch_path(spark, "tokenstore")
+    for part in (0, 1):
+        d.where(F.pmod("doc_id", F.lit(2)) == part).select("tokens").write.format("tokenstore").mode("append") \
+            .option("dtype", "int32").save(path)
+    back = spark.read.format("tokenstore").load(path)
+    return back.select(F.size("tokens").cast("long").alias("n_tokens"), F.md5(T.join_ints("tokens").cast("binary")).alias("tokens_md5"))
