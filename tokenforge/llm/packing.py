@@ -34,6 +34,8 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,42 +51,137 @@ DEPTH = 4                      # most documents of a combination
 END = 2
 RUN = 10_000                   # documents numbered together
 BLOCK = 1 << 20                # ids of the two lines that meet in one group
-MEMO = 400_000                 # words a worker remembers
+MEMO = 300_000                 # words a worker remembers
+SLICE = 2 << 20                # bytes of short texts that are encoded together
+JOINED = 5_000                 # words encoded at once
 PART = 1 << 20                 # bytes of a text that are split into words at once
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_PLAIN = r"^[!-~\x{A1}-\x{12F}\x{131}-\x{17F}]{1,63}$"
+# Fixed value: the vocabulary's pattern of pre-tokens.
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 # ------------------------------------------------------------------ encoding
-class _Words(dict):
-    """word -> its ids as little-endian 32-bit integers."""
+class _Words:
+    """Remembers the ids of words, as little-endian 32-bit integers.
+
+    Words of printable characters up to U+017F, where lower-casing and composition are
+    plain, are cut by the vocabulary's own pre-token pattern.  The parts not met yet are
+    encoded many at a time, with blanks between them; as the last token of a pre-token
+    is marked, the ids fall apart again.  Other words are encoded one by one.  Of words
+    and parts the last ``MEMO`` to ``2 * MEMO`` used are remembered."""
 
     def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_file(vocab_path(name))
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.model.encode(word.decode("utf-8"), add_special_tokens=False).ids
-        out = np.asarray(ids, "<u4").tobytes()
-        if len(word) < 64:
-            if len(self) >= MEMO:
-                self.clear()
-            self[word] = out
+        vocab = self.model.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.words: tuple[dict, dict] = ({}, {})         # younger, older
+        self.parts: tuple[dict, dict] = ({}, {})
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        got = self.model.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.asarray(e.ids, "<u4") for e in got]
+
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        out = []
+        groups = [parts[i:i + JOINED] for i in range(0, len(parts), JOINED)]
+        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups])):
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) != len(group):
+                out += [x.tobytes() for x in self._encode(group)]
+                continue
+            data = (4 * np.asarray([0, *ends])).tolist()
+            blob = ids.tobytes()
+            out += [blob[a:b] for a, b in zip(data[:-1], data[1:])]
         return out
 
+    @staticmethod
+    def _recall(memo: tuple[dict, dict], keys: list) -> tuple[list, list[int]]:
+        """(what is known of each key, places of the unknown)."""
+        young, old = memo
+        got = list(map(young.get, keys))
+        missing = [i for i, x in enumerate(got) if x is None]
+        if old:
+            for i in missing:
+                if (x := old.get(keys[i])) is not None:
+                    got[i] = young[keys[i]] = x
+            missing = [i for i in missing if got[i] is None]
+        return got, missing
+
+    def lookup(self, words: pa.Array) -> list[bytes]:
+        """The ids of every word."""
+        if len(self.words[0]) > MEMO:
+            self.words = ({}, self.words[0])
+        if len(self.parts[0]) > MEMO:
+            self.parts = ({}, self.parts[0])
+        keys = words.to_numpy(zero_copy_only=False).tolist()
+        got, new = self._recall(self.words, keys)
+        if not new:
+            return got
+        there = words.take(pa.array(new))
+        plain = pc.and_not(pc.match_substring_regex(there, _PLAIN), pc.match_substring(there, "<|")) \
+            .to_numpy(zero_copy_only=False)
+        low = pc.utf8_lower(there)
+        alpha = pc.utf8_is_alpha(low).to_numpy(zero_copy_only=False)
+        low, young = low.to_numpy(zero_copy_only=False).tolist(), self.words[0]
+        cut: dict[int, list[str]] = {}
+        for j in np.flatnonzero(plain & ~alpha).tolist():
+            cut[j] = _PARTS.findall(low[j])
+        single = np.flatnonzero(plain & alpha).tolist()
+        parts = list({low[j] for j in single}.union(*cut.values()))
+        known, unknown = self._recall(self.parts, parts)
+        fresh = [parts[i] for i in unknown]
+        ids = dict(zip(parts, known))
+        fresh = dict(zip(fresh, self._encode_parts(fresh)))
+        ids.update(fresh)
+        self.parts[0].update(fresh)
+        for j in single:
+            got[new[j]] = young[keys[new[j]]] = ids[low[j]]
+        for j, ps in cut.items():
+            got[new[j]] = young[keys[new[j]]] = b"".join([ids[p] for p in ps])
+        other = np.flatnonzero(~plain).tolist()
+        for j, x in zip(other, self._encode([keys[new[j]] for j in other])):
+            got[new[j]] = x.tobytes()
+            if len(keys[new[j]]) < 64:
+                young[keys[new[j]]] = got[new[j]]
+        return got
+
 
 @functools.lru_cache(2)
 def _words(name: str) -> _Words:
     return _Words(name)
 
 
-def encode_parts(text: bytes, name: str = WORD_BPE):
-    """The ids of a text as bytes, for parts of about ``PART`` bytes that end at white space."""
-    memo, at = _words(name), 0
+def encode_texts(texts: pa.Array, name: str = WORD_BPE) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, bounds): white space ends every token, so each distinct word
+    is encoded once."""
+    split = pc.ascii_split_whitespace(texts)
+    coded = split.flatten().dictionary_encode()
+    if not len(coded):
+        return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
+    known = _words(name).lookup(coded.dictionary)
+    sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+    at = np.cumsum(sizes) - sizes
+    codes = coded.indices.to_numpy()
+    each = sizes[codes]
+    total = np.zeros(len(codes) + 1, np.int64)
+    np.cumsum(each, out=total[1:])
+    flat = np.frombuffer(b"".join(known), "<u4")
+    ids = flat[np.arange(total[-1]) + np.repeat(at[codes] - total[:-1], each)]
+    offsets = split.offsets.to_numpy()
+    return ids, total[offsets - offsets[0]]
+
+
+def _parts_of(text: bytes):
+    """Parts of a long text, of about ``PART`` bytes, that end at white space."""
+    at = 0
     while at < len(text):
         space = _SPACE.search(text, at + PART)
         end = space.start() if space else len(text)
-        yield b"".join(map(memo.__getitem__, text[at:end].split()))
+        yield pa.array([text[at:end].decode("utf-8")])
         at = end
 
 
@@ -99,20 +196,26 @@ def _lists(parts: list, kind: pa.DataType) -> pa.Array:
 
 
 def _encode(arr: pa.Array, name: str, window: int, end: int) -> pa.Array:
-    width, last = 4 * window, np.asarray([end], "<u4").tobytes()
+    last = np.asarray([end], "<u4")
+    if arr.nbytes <= 2 * SLICE:
+        ids, bounds = encode_texts(arr.cast(pa.string()), name)
+        streams = ([ids[a:b], last] for a, b in zip(bounds[:-1], bounds[1:]))
+    else:                                                # one long text
+        streams = (itertools.chain((encode_texts(p, name)[0] for p in _parts_of(t.as_buffer().to_pybytes())), [last])
+                   for t in arr)
     n, crcs, rest_crc, rest = [], [], [], []
-    for text in arr.cast(pa.binary() if arr.type == pa.string() else pa.large_binary()):
-        data, size, whole = b"", 0, []
-        for part in itertools.chain(encode_parts(text.as_py(), name), [last]):
-            size += len(part)
-            data += part
-            full = len(data) // width * width
-            whole += [zlib.crc32(data[i:i + width]) for i in range(0, full, width)]
-            data = data[full:]
-        n.append(size // 4)
+    for stream in streams:
+        left, size, whole = np.zeros(0, "<u4"), 0, []
+        for some in stream:
+            size += len(some)
+            some = np.concatenate([left, some])
+            full = len(some) // window * window
+            whole += [zlib.crc32(some[i:i + window]) for i in range(0, full, window)]
+            left = some[full:]
+        n.append(size)
         crcs.append(np.asarray(whole, np.int64))
-        rest_crc.append(zlib.crc32(data))
-        rest.append(np.frombuffer(data, "<u4").astype(np.int32))
+        rest_crc.append(zlib.crc32(left))
+        rest.append(left)
     return pa.StructArray.from_arrays([pa.array(n, pa.int64()), _lists(crcs, pa.int64()),
                                        pa.array(rest_crc, pa.int64()), _lists(rest, pa.int32())], fields=list(ENCODED))
 
@@ -120,7 +223,7 @@ def _encode(arr: pa.Array, name: str, window: int, end: int) -> pa.Array:
 def encode_udf(name: str, window: int, end: int):
     """text -> (number of ids, crc32 of each whole window, crc32 and ids of the rest)."""
     def run(text: pa.Array) -> pa.Array:
-        return by_chunk(text, functools.partial(_encode, name=name, window=window, end=end), ENCODED)
+        return by_chunk(text, functools.partial(_encode, name=name, window=window, end=end), ENCODED, SLICE)
     return F.arrow_udf(run, "n long, crcs array<long>, rest_crc long, rest array<int>")
 
 
