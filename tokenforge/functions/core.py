@@ -20,14 +20,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def running_sum(arr: Column) -> Column:
-    """Inclusive prefix sums of a numeric array in one left fold."""
-    init = F.struct(F.lit(0.0).cast("double").alias("s"), F.array().cast("array<double>").alias("o"))
-    return F.aggregate(arr, init, lambda acc, v: F.struct(
-        (acc["s"] + v).alias("s"), F.concat(acc["o"], F.array(acc["s"] + v)).alias("o")),
-        lambda acc: acc["o"])
-
-
 def micros(ts) -> Column:
     """Microseconds since the epoch of a TIMESTAMP or TIMESTAMP_NTZ column
     (NTZ values are read as UTC wall-clock time)."""

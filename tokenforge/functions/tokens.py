@@ -106,10 +106,22 @@ def not_equal_mask(ids, pad=0) -> Column:
     return F.transform(_c(ids), lambda i: F.when(i != _lit(pad), 1).otherwise(0))
 
 
-def prefix_mask(n: int, keep) -> Column:
-    """``mask[:keep] = 1`` over ``n`` positions."""
-    return let(_lit(keep), lambda k: F.transform(F.sequence(F.lit(1), F.lit(n)),
-                                                 lambda i: F.when(i <= k, 1).otherwise(0)))
+def prefix_mask(n, keep) -> Column:
+    """``mask[:keep] = 1`` over ``n`` positions (Y21); ``n`` may differ by row."""
+    ones = F.greatest(F.least(_lit(keep), _lit(n)), F.lit(0)).cast("int")
+    return F.concat(F.array_repeat(F.lit(1), ones), F.array_repeat(F.lit(0), (_lit(n) - ones).cast("int")))
+
+
+def collate(ids, labels, max_len: int, labels_from_ids: bool = False) -> tuple[Column, Column]:
+    """Stored samples cut to ``max_len`` (Y18, Q4): the stored labels, or the ids again
+    with ``labels_from_ids``."""
+    a = F.slice(_c(ids), 1, max_len)
+    return a, a if labels_from_ids else F.slice(_c(labels), 1, max_len)
+
+
+def digest_ints(arr) -> Column:
+    """md5 of an int array rendered as text: a whole array, compared by 32 characters."""
+    return F.md5(join_ints(arr).cast("binary"))
 
 
 def count_not(arr, value) -> Column:

@@ -10,14 +10,12 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small_table
+from ..session import materialize
 from .ordered import _join_small, keyed_index
 
-SMALL_KEYS = 100_000
-
 
 def md5_order(seed: str, key: Column) -> tuple[Column, Column]:
     """Hash order ``md5(seed || key)`` and a numeric, order-preserving prefix.
@@ -36,15 +34,8 @@ def concat_sources(dfs: Sequence[DataFrame], tag: str | None = None) -> DataFram
 
 
 def _positions(df: DataFrame, key: str, name: str) -> DataFrame:
-    """0-based rank of each distinct ``key`` in ascending order.
-
-    The distinct keys are few (sources, files); the table is checked against a
-    bound before the one-partition window runs on it.
-    """
-    keys, ok = small_table(df.select(key).distinct(), SMALL_KEYS)
-    if not ok:
-        raise ValueError(f"too many distinct {key} values for a position table")
-    return keys.withColumn(name, (F.row_number().over(Window.orderBy(key)) - 1).cast("long"))
+    """0-based rank of each distinct ``key`` in ascending order, for any number of them."""
+    return keyed_index(materialize(df.select(key).distinct()), [], [key], name=name)
 
 
 def interleave(df: DataFrame, source: str, order: Sequence[str], chunk_value: Column,
@@ -131,3 +122,14 @@ def collate(indexed: DataFrame, idx: str, batch_size: int, n_rows: int,
             .withColumn("slot", F.pmod(F.col(idx), F.lit(batch_size)).cast("long"))
             .where(F.col("batch_id") < F.lit(full)))
 
+
+
+def zip_rows(a: DataFrame, b: DataFrame, idx: str, left: str, right: str) -> DataFrame:
+    """Row k of ``a`` with row k of ``b`` (J1), both numbered by ``idx``.
+
+    As the reference asserts equal shapes (S17), a row without its counterpart or arrays
+    of unequal size fail the query instead of vanishing."""
+    z = a.withColumn("_a", F.lit(True)).join(b.withColumn("_b", F.lit(True)), idx, "full")
+    bad = F.raise_error(F.concat(F.lit("unequal shapes at row "), F.col(idx).cast("string"))).cast("boolean")
+    same = F.col("_a").isNotNull() & F.col("_b").isNotNull() & F.size(left).eqNullSafe(F.size(right))
+    return z.where(F.when(same, F.lit(True)).otherwise(bad)).drop("_a", "_b")

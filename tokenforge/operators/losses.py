@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import let, running_sum
+from ..functions.core import let
 
 IGNORE = -100
 
@@ -105,8 +105,13 @@ def nucleus(arr, top_p: float, temperature: float = 1.0) -> Column:
     """
     def with_p(p):
         def with_sorted(srt):
-            first = F.array_position(F.transform(running_sum(srt), lambda c: c > F.lit(top_p)), True)
-            cutoff = F.element_at(srt, F.when(first == 0, F.lit(1)).otherwise(first).cast("int"))
+            # one fold with a scalar state: the sum so far, positions seen, the first above top_p
+            init = F.struct(F.lit(0.0).cast("double").alias("s"), F.lit(0).alias("n"), F.lit(0).alias("at"))
+            first = F.aggregate(srt, init, lambda acc, v: F.struct(
+                (acc["s"] + v).alias("s"), (acc["n"] + 1).alias("n"),
+                F.when((acc["at"] == 0) & (acc["s"] + v > F.lit(top_p)), acc["n"] + 1).otherwise(acc["at"]).alias("at")),
+                lambda acc: acc["at"])
+            cutoff = F.element_at(srt, F.greatest(first, F.lit(1)))
 
             def with_cutoff(cut):
                 kept = F.transform(p, lambda v: F.when(v < cut, F.lit(0.0)).otherwise(

@@ -128,7 +128,7 @@ def role_text_builder(turns, max_len: int, tok: Tok = _default_tok, bos: int = 1
 
 
 def with_span_mask(df: DataFrame, seq: str, min_len: Column, start_marker: list[int],
-                   stop_marker: list[int], n: int, out: str) -> DataFrame:
+                   stop_marker: list[int], n: int | Column, out: str) -> DataFrame:
     """Loss mask between token markers.
 
     Over positions ``0..n-1``: a match of ``stop_marker`` (e.g. ``User:``)
@@ -137,46 +137,79 @@ def with_span_mask(df: DataFrame, seq: str, min_len: Column, start_marker: list[
     ``min_len`` on are 0; position 0 is dropped from the result.
     """
     t_off, t_on = T.int_array(stop_marker), T.int_array(start_marker)
+    n = n if isinstance(n, Column) else F.lit(n)
 
     def events(s, ml):
-        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(
+        return F.transform(_positions(n), lambda i: F.when(
             (i <= ml - len(stop_marker)) & (F.slice(s, i + 1, len(stop_marker)) == t_off), F.lit(0))
             .when((i <= ml - len(start_marker)) & (F.slice(s, i + 1, len(start_marker)) == t_on), F.lit(1)))
 
     def mask(ml):
         return let(_carry(let(F.col(seq), lambda s: events(s, ml))), lambda c: F.slice(
-            F.transform(c, lambda v, i: F.when(i >= ml, F.lit(0)).otherwise(v)), 2, n - 1))
+            F.transform(c, lambda v, i: F.when(i >= ml, F.lit(0)).otherwise(v)), F.lit(2), F.greatest(n - 1, F.lit(0))))
     return df.withColumn(out, let(min_len, mask))
 
 
+def _positions(n: Column) -> Column:
+    """0 .. n - 1, also for n = 0."""
+    return F.filter(F.sequence(F.lit(0), n), lambda i: i < n)
+
+
 def _carry(ev: Column) -> Column:
     """Last non-null value at or before each position, else 0 (carry forward).
 
-    One left fold over the events, so the events are evaluated once."""
-    init = F.struct(F.lit(0).alias("last"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(ev, init, lambda acc, e: F.struct(
-        F.coalesce(e, acc["last"]).alias("last"),
-        F.concat(acc["out"], F.array(F.coalesce(e, acc["last"]))).alias("out")),
-        lambda acc: acc["out"])
+    The positions with a value cut the row into runs, each one repeated value: linear
+    in the length, however many values there are."""
+    def runs(e):
+        at = F.filter(F.sequence(F.lit(0), F.size(e)), lambda i: F.try_element_at(e, i + 1).isNotNull())
+
+        def fill(starts):
+            head = F.array_repeat(F.lit(0), F.coalesce(F.try_element_at(starts, F.lit(1)), F.size(e)))
+            rest = F.transform(starts, lambda i, j: F.array_repeat(
+                F.element_at(e, i + 1), F.coalesce(F.try_element_at(starts, j + 2), F.size(e)) - i))
+            return F.concat(head, F.flatten(rest))
+        return let(at, fill)
+    return let(ev, runs)
 
 
-def _marker_events(s: Column, marker: list[int], off_token: int, n: int) -> Column:
+def _marker_events(s: Column, marker: list[int], off_token: int, n: Column) -> Column:
     m = len(marker)
     t = T.int_array(marker)
     # the reference tests "on" before "off" at the same position, so off wins
-    return let(s, lambda q: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(
+    return let(s, lambda q: F.transform(_positions(n), lambda i: F.when(
         i < m - 1, F.lit(None)).when(F.try_element_at(q, i + 1) == off_token, F.lit(0))
         .when(F.slice(q, F.greatest(i - m + 2, F.lit(1)), m) == t, F.lit(1))))
 
 
-def with_marker_mask(df: DataFrame, seq: str, marker: list[int], off_token: int, n: int,
+def with_marker_mask(df: DataFrame, seq: str, marker: list[int], off_token: int, n: int | Column,
                      out: str, fallback: str = "fallback") -> DataFrame:
     """QA mask (W13): on after the last token of ``marker``, off at
     ``off_token``, for positions ``len(marker)-1 .. n-1``.  When it is never
     on the mask is all ones and ``fallback`` is true (the reference then swaps
     in a sample from another source)."""
+    n = n if isinstance(n, Column) else F.lit(n)
     d = df.withColumn("_mm_ev", _marker_events(F.col(seq), marker, off_token, n))
     d = d.withColumn(fallback, ~F.exists("_mm_ev", lambda x: F.coalesce(x == 1, F.lit(False))))
     d = d.withColumn("_mm_z", _carry(F.col("_mm_ev")))
     d = d.withColumn(out, F.when(F.col(fallback), F.array_repeat(F.lit(1), n)).otherwise(F.col("_mm_z")))
     return d.drop("_mm_ev", "_mm_z")
+
+
+def replace_fallback(masked: DataFrame, key: str, order: str, others: DataFrame, cols: list[str], fallback: str = "fallback",
+                     rows: int | None = None) -> DataFrame:
+    """The rows flagged ``fallback`` with ``cols`` of another source's rows.
+
+    The k-th flagged row, by ``order``, takes row k of ``others`` (numbered by its column
+    ``idx``), beginning again where they run out; without others the row stays as it is.
+    Both sides are numbered by the skew-safe index and meet on the number."""
+    from .ordered import keyed_index
+    n = others.count() if rows is None else rows
+    if not n:
+        return masked
+    flagged = masked.where(F.col(fallback)).select(F.col(key).alias("_key"), F.col(order).alias("_order"))
+    flagged = keyed_index(flagged, [], ["_order", "_key"], name="_n")
+    given = flagged.withColumn("idx", F.pmod("_n", F.lit(n))).join(
+        others.select("idx", *[F.col(c).alias(f"_o_{c}") for c in cols]), "idx").drop("idx", "_n", "_order")
+    d = masked.join(given, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return d.select(*[F.when(F.col(fallback), F.col(f"_o_{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
+                      for c in masked.columns])

@@ -146,7 +146,11 @@ def budget_keep(totals, limit: int, inclusive: bool = True) -> Column:
     The pair that crosses the limit is kept.
     """
     stop = (lambda x: x >= F.lit(limit)) if inclusive else (lambda x: x > F.lit(limit))
-    return let(totals, lambda tt: F.transform(tt, lambda x, i: ~F.exists(F.slice(tt, 1, i), stop)))
+
+    def keep(tt):
+        first = F.array_position(F.transform(tt, lambda x: F.coalesce(stop(x), F.lit(False))), True)
+        return let(first, lambda at: F.transform(tt, lambda x, i: (at == 0) | (i < at)))
+    return let(totals, keep)
 
 
 # ------------------------------------------------------------------ parsers
@@ -173,23 +177,28 @@ def parse_role_text(df: DataFrame, text: str, out: str) -> DataFrame:
         return F.substring(p, n + 1, 1 << 30)
 
     empty = F.array().cast("array<struct<role:string,content:string>>")
-    init = F.struct(F.lit(None).cast("string").alias("state"), empty.alias("turns"))
-
-    def step(acc, p):
-        k = kind(p)
-        st = F.when(k == "system", "assistant").otherwise(k)
-        last = F.element_at(acc["turns"], -1)
-        opened = F.concat(acc["turns"], F.array(F.struct(k.alias("role"), body(p, k).alias("content"))))
-        merged = F.concat(F.slice(acc["turns"], 1, F.size(acc["turns"]) - 1), F.array(F.struct(
-            last["role"].alias("role"), F.concat(last["content"], F.lit(TURN_SEP), p).alias("content"))))
-        return F.when(F.size(acc["turns"]) == 0, F.struct(st.alias("state"), opened.alias("turns"))) \
-            .when(st != acc["state"], F.struct(st.alias("state"), opened.alias("turns"))) \
-            .otherwise(F.struct(acc["state"].alias("state"), merged.alias("turns")))
-
-    parsed = F.aggregate("_rt_p", init, step, lambda acc: acc["turns"])
+
+    def turns_of(ps):
+        # a piece opens a turn where its speaker differs from the piece's before it
+        speaker = F.transform(ps, lambda p: F.when(kind(p) == "system", "assistant").otherwise(kind(p)))
+
+        def grouped(who):
+            opens = F.filter(F.sequence(F.lit(0), F.size(ps) - 1), lambda i: (i == 0) | (
+                F.element_at(who, i + 1) != F.element_at(who, F.greatest(i, F.lit(1)))))
+
+            def cut_at(starts):
+                def turn(i, j):
+                    first = F.element_at(ps, i + 1)
+                    end = F.coalesce(F.try_element_at(starts, j + 2), F.size(ps))
+                    said = F.concat(F.array(body(first, kind(first))), F.slice(ps, i + 2, end - i - 1))
+                    return F.struct(kind(first).alias("role"), F.array_join(said, TURN_SEP).alias("content"))
+                return F.transform(starts, turn)
+            return let(opens, cut_at)
+        return let(speaker, grouped)
+
     res = (F.when(F.length("_rt_s") == 0, empty)
            .when(kind(F.element_at("_rt_p", 1)).isNull(), F.lit(None))
-           .otherwise(parsed))
+           .otherwise(let(F.col("_rt_p"), turns_of)))
     return d.withColumn(out, res).drop("_rt_s", "_rt_p")
 
 

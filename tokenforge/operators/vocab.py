@@ -113,3 +113,17 @@ def encode_join(df: DataFrame, key: str, text: str, vocab: DataFrame, unk_id: in
 def vocab_json(vocab: DataFrame) -> Column:
     """``{"id": "char", ..}`` text of the vocabulary (S22), one row."""
     return F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("id").cast("string"), "ch")))))
+
+
+def id_array(vocab: DataFrame) -> Column:
+    """Literal array of the characters by their dense id: decoding is one array access a
+    token, for a vocabulary of any size (at most one entry per code point)."""
+    import json
+    rows = vocab.select("ch", "id").collect()
+    chars = [c for _, c in sorted((int(r["id"]), r["ch"]) for r in rows)]
+    return F.from_json(F.lit(json.dumps(chars)), "array<string>")
+
+
+def decode_with_array(ids: Column, chars: Column) -> Column:
+    """Dense ids -> text (Y4, R10) through :func:`id_array`; unknown ids give nothing."""
+    return let(chars, lambda t: F.array_join(F.transform(ids, lambda i: F.try_element_at(t, (i + 1).cast("int"))), ""))

@@ -14,7 +14,8 @@ from ..functions.buckets import bucket_first_fit
 from ..functions.text import cut_at_stop, ensure_suffix
 from ..operators import samples as SB
 from ..operators import turns as TU
-from ..session import scratch_path
+from ..operators.ordered import keyed_index, keyed_scan
+from ..session import materialize, scratch_path
 from ..sources import corpus as IO
 from ..sources.tables import read_table
 from .corpus_queries import cp_sql
@@ -23,7 +24,6 @@ from .registry import query
 NL2 = "chr(10) || chr(10)"
 SAMPLE_LEN = 512
 BUDGET = 2048
-MASK_CTX = 256
 
 
 def _turns(spark, sf_dir):
@@ -388,18 +388,23 @@ x AS (SELECT *, coalesce(bool_or(total >= {BUDGET}) OVER (PARTITION BY conv_id O
 SELECT conv_id, k::BIGINT AS k, total::BIGINT AS total_tokens FROM x WHERE NOT stopped""")
 def q_token_budget_cut(spark, sf_dir):
     """Pairs kept under a 2048-token budget, ``>=`` variant: pair total =
-    prompt-k tokens + reply tokens; the crossing pair is kept (W9, Q14)."""
-    t = _turns(spark, sf_dir).select("conv_id", TU.as_flat_list("turns").alias("data"))
-    t = t.withColumn("pp", TU.prompt_prefixes("data"))
-    totals = F.transform("pp", lambda p: (F.length(p["prompt"]) + F.coalesce(
-        F.length(F.try_element_at("data", (p["k"] * 2 + 2).cast("int"))), F.lit(0))).cast("long"))
-    t = t.withColumn("tot", totals).withColumn("keep", TU.budget_keep(F.col("tot"), BUDGET, inclusive=True))
-    e = t.select("conv_id", F.posexplode(F.arrays_zip(F.col("tot").alias("t"), F.col("keep").alias("kp"))).alias("k", "z"))
-    return e.where("z.kp").select("conv_id", F.col("k").cast("long"), F.col("z.t").alias("total_tokens"))
+    prompt-k tokens + reply tokens; the crossing pair is kept (W9, Q14).  Sizes only, by
+    running sums over the turn rows: no prompt is built and no row holds a conversation."""
+    c = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"])
+    c = keyed_index(c.select("conv_id", "turn", F.char_length("text").cast("long").alias("n")), ["conv_id"], ["turn"], name="i")
+    user = F.col("i") % 2 == 0
+    piece = F.col("n") + F.when(user, len(TU.LLAMA_USER_HEADER)).otherwise(len(TU.LLAMA_ASSISTANT_HEADER)) + len(TU.LLAMA_EOT)
+    c = keyed_scan(c, ["conv_id"], ["i"], sums={"cum": piece}, index_col=None)
+    p = c.groupBy("conv_id", F.expr("i div 2").alias("k")).agg(
+        F.max(F.when(user, F.col("cum"))).alias("cum"), F.coalesce(F.max(F.when(~user, F.col("n"))), F.lit(0)).alias("reply"))
+    p = p.withColumn("total_tokens", F.col("cum") + len(TU.LLAMA_ASSISTANT_HEADER) + F.col("reply"))
+    over = (F.col("total_tokens") >= BUDGET).cast("long")
+    p = keyed_scan(p, ["conv_id"], ["k"], sums={"stops": over}, index_col=None)
+    return p.where(F.col("stops") - over == 0).select("conv_id", "k", "total_tokens")
 
 
-def _mask_seq_sql(n: int) -> str:
-    return f"""(SELECT conv_id, {cp_sql('rt', n)} AS seq FROM {_role_text_sql()})"""
+def _mask_seq_sql() -> str:
+    return f"""(SELECT conv_id, {cp_sql('rt')} AS seq FROM {_role_text_sql()})"""
 
 
 U_MARK = [ord(c) for c in "User:"]
@@ -407,44 +412,53 @@ A_MARK = [ord(c) for c in "Assistant:"]
 
 
 @query("span_mask", sql=f"""
-WITH q AS {_mask_seq_sql(MASK_CTX + 1)},
-m AS (SELECT conv_id, seq, least(len(seq), {MASK_CTX + 1}) AS ml FROM q),
+WITH q AS {_mask_seq_sql()},
+m AS (SELECT conv_id, seq, len(seq) AS ml FROM q),
 e AS (SELECT conv_id, ml, i, CASE WHEN i <= ml - 5 AND list_slice(seq, i + 1, i + 5) = {U_MARK} THEN 0
                                   WHEN i <= ml - 10 AND list_slice(seq, i + 1, i + 10) = {A_MARK} THEN 1 END AS ev
-      FROM m, range(0, {MASK_CTX + 1}) r(i)),
-f AS (SELECT conv_id, i, CASE WHEN i >= ml THEN 0 ELSE coalesce(last_value(ev IGNORE NULLS) OVER
-            (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) END AS v FROM e)
-SELECT conv_id, string_agg(v::VARCHAR, ',' ORDER BY i) AS mask, sum(v)::BIGINT AS n_on FROM f WHERE i >= 1 GROUP BY conv_id""")
+      FROM (SELECT conv_id, seq, ml, unnest(range(ml)) AS i FROM m)),
+f AS (SELECT conv_id, i, coalesce(last_value(ev IGNORE NULLS) OVER
+            (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS v FROM e)
+SELECT conv_id, count(*) AS n, md5(string_agg(v::VARCHAR, ',' ORDER BY i)) AS mask_md5, sum(v)::BIGINT AS n_on
+FROM f WHERE i >= 1 GROUP BY conv_id""")
 def q_span_mask(spark, sf_dir):
-    """Loss mask of a role-text token window: off from ``User:``, on from
-    ``Assistant:``, within ``min_len``; first position dropped (W12)."""
-    t = _turns(spark, sf_dir).select("conv_id", T.codepoints(TU.as_role_text("turns"), MASK_CTX + 1).alias("seq"))
-    ml = F.least(F.size("seq"), F.lit(MASK_CTX + 1))
-    t = SB.with_span_mask(t, "seq", ml, A_MARK, U_MARK, MASK_CTX + 1, "m")
-    return t.select("conv_id", T.join_ints("m").alias("mask"), T.int_sum("m").alias("n_on"))
+    """Loss mask of a whole conversation's role text: off from ``User:``, on from
+    ``Assistant:``; first position dropped (W12)."""
+    t = _turns(spark, sf_dir).select("conv_id", T.codepoints(TU.as_role_text("turns")).alias("seq"))
+    t = SB.with_span_mask(t, "seq", F.size("seq"), A_MARK, U_MARK, F.size("seq"), "m")
+    return t.select("conv_id", F.size("m").cast("long").alias("n"), T.digest_ints("m").alias("mask_md5"),
+                    T.int_sum("m").alias("n_on"))
 
 
 QA_MARK = [10, 10, ord("A"), ord("s")]
 
 
 @query("qa_mask", sql=f"""
-WITH q AS {_mask_seq_sql(MASK_CTX + 1)},
+WITH q AS {_mask_seq_sql()},
 e AS (SELECT conv_id, i, CASE WHEN i < 3 THEN NULL WHEN seq[i + 1] = 0 THEN 0
                               WHEN list_slice(seq, i - 2, i + 1) = {QA_MARK} THEN 1 END AS ev
-      FROM q, range(0, {MASK_CTX}) r(i)),
+      FROM (SELECT conv_id, seq, unnest(range(len(seq))) AS i FROM q)),
 f AS (SELECT conv_id, i, coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY i
             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS z FROM e),
-g AS (SELECT conv_id, max(z) AS any_on FROM f GROUP BY conv_id)
-SELECT conv_id, string_agg(CASE WHEN any_on = 1 THEN z ELSE 1 END::VARCHAR, ',' ORDER BY i) AS mask,
-       sum(CASE WHEN any_on = 1 THEN z ELSE 1 END)::BIGINT AS n_on, any_on = 0 AS fallback
-FROM f JOIN g USING (conv_id) GROUP BY conv_id, any_on""")
+g AS (SELECT conv_id, max(z) AS any_on FROM f GROUP BY conv_id),
+h AS (SELECT conv_id, count(*) AS n, string_agg(CASE WHEN any_on = 1 THEN z ELSE 1 END::VARCHAR, ',' ORDER BY i) AS mask,
+             sum(CASE WHEN any_on = 1 THEN z ELSE 1 END)::BIGINT AS n_on, any_on = 0 AS fallback
+      FROM f JOIN g USING (conv_id) GROUP BY conv_id, any_on),
+o AS (SELECT mask, n, n_on, row_number() OVER (ORDER BY conv_id) - 1 AS idx, count(*) OVER () AS total FROM h WHERE NOT fallback),
+b AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS k FROM h WHERE fallback)
+SELECT h.conv_id, CASE WHEN o.mask IS NULL THEN h.n ELSE o.n END AS n, md5(coalesce(o.mask, h.mask)) AS mask_md5,
+       coalesce(o.n_on, h.n_on) AS n_on, fallback
+FROM h LEFT JOIN b USING (conv_id) LEFT JOIN o ON b.k % o.total = o.idx""")
 def q_qa_mask(spark, sf_dir):
-    """QA mask over a 256-token window: on after ``\\n\\nAs`` (the tokens of a
-    blank line and an assistant turn), off at eos 0; all ones and flagged for
-    the fallback sample when never on (W13)."""
-    t = _turns(spark, sf_dir).select("conv_id", T.codepoints(TU.as_role_text("turns"), MASK_CTX + 1).alias("seq"))
-    t = SB.with_marker_mask(t, "seq", QA_MARK, 0, MASK_CTX, "z", "fallback")
-    return t.select("conv_id", T.join_ints("z").alias("mask"), T.int_sum("z").alias("n_on"), "fallback")
+    """QA mask over whole conversations: on after ``\\n\\nAs`` (the tokens of a
+    blank line and an assistant turn), off at eos 0; all ones when never on, and such a
+    row is replaced by one of the others, in turn (W13)."""
+    t = _turns(spark, sf_dir).select("conv_id", T.codepoints(TU.as_role_text("turns")).alias("seq"))
+    t = SB.with_marker_mask(t, "seq", QA_MARK, 0, F.size("seq"), "z", "fallback")
+    t = materialize(t.select("conv_id", F.size("z").cast("long").alias("n"), T.digest_ints("z").alias("mask_md5"),
+                             T.int_sum("z").alias("n_on"), "fallback"))
+    others = keyed_index(t.where("NOT fallback"), [], ["conv_id"])
+    return SB.replace_fallback(t, "conv_id", "conv_id", others, ["n", "mask_md5", "n_on"])
 
 
 @query("cut_at_stop", sql="""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import tokens as T
 from ..operators import combine as C
 from ..operators import token_stream as S
-from ..operators.ordered import global_index, keyed_index
+from ..operators.ordered import _join_small, global_index, keyed_index
 from ..session import materialize, scratch_path
 from ..sources import tokenstore as TS
 from ..sources.tables import read_table
@@ -53,14 +53,17 @@ tok AS (SELECT start + i - 1 AS g, cp[i] AS t FROM (SELECT start, cp, unnest(ran
 
 # ---------------------------------------------------------------- set ops
 @query("concat_sources", sql="""
-SELECT doc_id, lang, 0::BIGINT AS part FROM documents WHERE lang IN ('en', 'de')
+WITH l AS (SELECT doc_id, lang, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS k FROM documents)
+SELECT doc_id, lang, 0::BIGINT AS part FROM l WHERE k % 3 <> 2
 UNION ALL
-SELECT doc_id, lang, 1::BIGINT AS part FROM documents WHERE lang IN ('en', 'fr')""")
+SELECT doc_id, lang, 1::BIGINT AS part FROM l WHERE k % 3 <> 1""")
 def q_concat_sources(spark, sf_dir):
-    """UNION ALL of two overlapping sources, duplicates kept."""
+    """UNION ALL of two overlapping sources, duplicates kept (U1): the languages that occur
+    (null included), dealt in turn to both, the first or the second."""
     d = _docs(spark, sf_dir, "doc_id", "lang")
-    a = d.where(F.col("lang").isin("en", "de"))
-    b = d.where(F.col("lang").isin("en", "fr"))
+    langs = keyed_index(d.select("lang").distinct(), [], ["lang"], name="k")
+    d = _join_small(d, langs, ["lang"])
+    a, b = d.where(F.col("k") % 3 != 2).drop("k"), d.where(F.col("k") % 3 != 1).drop("k")
     return C.concat_sources([a, b], "part").withColumn("part", F.col("part").cast("long"))
 
 
@@ -234,23 +237,21 @@ def q_random_crop(spark, sf_dir):
 
 
 @query("zip_ids_labels", sql=f"""
-WITH t AS (SELECT doc_id, {cp_sql('text', CTX)} AS cp FROM documents),
-p AS (SELECT doc_id, list_concat(cp, list_transform(range({CTX} - len(cp)), lambda x: 0)) AS ids FROM t),
-a AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, ids FROM p),
-b AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, list_concat(list_slice(ids, 2, {CTX}), [0]) AS labels FROM p)
-SELECT idx::BIGINT AS idx, array_to_string(ids, ',') AS input_ids, array_to_string(labels, ',') AS labels,
-       len(list_filter(ids, lambda x: x <> 0))::BIGINT AS n_attend
-FROM a JOIN b USING (idx)""")
+WITH t AS (SELECT doc_id, {cp_sql('text')} AS ids FROM documents),
+a AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, ids FROM t)
+SELECT idx::BIGINT AS idx, len(ids)::BIGINT AS n, md5(array_to_string(ids, ',')) AS input_ids_md5,
+       md5(array_to_string(CASE WHEN len(ids) = 0 THEN [] ELSE list_concat(list_slice(ids, 2, len(ids)), [0]) END, ',')) AS labels_md5,
+       len(list_filter(ids, lambda x: x <> 0))::BIGINT AS n_attend FROM a""")
 def q_zip_ids_labels(spark, sf_dir):
-    """Two separately stored tables (ids, labels) zipped by row position."""
+    """Two separately stored tables (ids, labels) of whole documents zipped by row
+    position, after a check that they are of equal shape (S17, J1)."""
     d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
-    ids = d.select("doc_id", T.pad_trunc(T.codepoints("text", CTX), CTX, 0).alias("ids"))
+    ids = d.select("doc_id", T.codepoints("text").alias("ids"))
     labs = ids.select("doc_id", T.shift_left("ids", 0).alias("labels"))
-    a = global_index(ids, ["doc_id"], F.col("doc_id")).drop("doc_id")
-    b = global_index(labs, ["doc_id"], F.col("doc_id")).drop("doc_id")
-    z = a.join(b, on="idx", how="inner")
-    return z.select("idx", T.join_ints("ids").alias("input_ids"), T.join_ints("labels").alias("labels"),
-                    T.count_not("ids", 0).cast("long").alias("n_attend"))
+    z = C.zip_rows(global_index(ids, ["doc_id"]).drop("doc_id"), global_index(labs, ["doc_id"]).drop("doc_id"),
+                   "idx", "ids", "labels")
+    return z.select("idx", F.size("ids").cast("long").alias("n"), T.digest_ints("ids").alias("input_ids_md5"),
+                    T.digest_ints("labels").alias("labels_md5"), T.count_not("ids", 0).cast("long").alias("n_attend"))
 
 
 @query("parity_mixture", sql="""

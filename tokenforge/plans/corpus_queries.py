@@ -52,6 +52,26 @@ def _samples(spark, sf_dir, n):
     return corpus_samples(_docs(spark, sf_dir), n)
 
 
+def whole_sql() -> str:
+    """CTE ``whole(doc_id, cp, ids, labels)`` = :func:`_whole`: every document with eos,
+    padded to a multiple of ``STEP``."""
+    return f"""
+w0 AS (SELECT doc_id, {cp_sql('text')} AS cp FROM documents),
+w1 AS (SELECT doc_id, cp, list_concat(cp, list_transform(range((ceil((len(cp) + 1) / {STEP}) * {STEP})::BIGINT - len(cp)),
+              lambda x: 0)) AS ids FROM w0),
+whole AS (SELECT doc_id, cp, ids, list_transform(list_zip(ids, list_concat(list_slice(ids, 2, len(ids)), [0])),
+              lambda z: CASE WHEN z[1] = 0 THEN -100 ELSE z[2] END) AS labels FROM w1)"""
+
+
+def _whole(spark, sf_dir):
+    """Whole documents as samples of their own length: eos appended, padded to a multiple
+    of ``STEP``, labels shifted and masked."""
+    d = _docs(spark, sf_dir).withColumn("cp", T.codepoints("text")).drop("text")
+    hi = (F.ceil((F.size("cp") + 1) / F.lit(STEP)) * STEP).cast("int")
+    d = d.withColumn("ids", T.pad_to(F.concat("cp", T.int_array([0])), hi, 0))
+    return d.withColumn("labels", T.mask_where_input("ids", T.shift_left("ids", 0), 0))
+
+
 # ---------------------------------------------------------------- flagship
 @query("bucket_histogram", sql=f"""
 WITH {samples_sql(LEN_MAX)},
@@ -108,59 +128,60 @@ def q_pad_truncate(spark, sf_dir):
 
 
 @query("shift_labels", sql=f"""
-WITH t AS (SELECT doc_id, {cp_sql('text', ID_LEN)} AS cp FROM documents),
-p AS (SELECT doc_id, list_concat(cp, list_transform(range({ID_LEN} - len(cp)), lambda x: 0)) AS ids FROM t)
-SELECT doc_id, array_to_string(list_concat(list_slice(ids, 2, {ID_LEN}), [0]), ',') AS labels FROM p""")
+WITH t AS (SELECT doc_id, {cp_sql('text')} AS cp FROM documents)
+SELECT doc_id, len(cp)::BIGINT AS n, md5(array_to_string(CASE WHEN len(cp) = 0 THEN [] ELSE
+       list_concat(list_slice(cp, 2, len(cp)), [0]) END, ',')) AS labels_md5 FROM t""")
 def q_shift_labels(spark, sf_dir):
-    """``labels[i] = ids[i+1]``, last = eos (W1) on padded 64-id rows."""
-    d = _docs(spark, sf_dir).withColumn("ids", T.pad_trunc(T.codepoints("text", ID_LEN), ID_LEN, 0))
-    return d.select("doc_id", T.join_ints(T.shift_left("ids", 0)).alias("labels"))
+    """``labels[i] = ids[i+1]``, last = eos (W1), over whole documents."""
+    d = _docs(spark, sf_dir).withColumn("ids", T.codepoints("text"))
+    return d.select("doc_id", F.size("ids").cast("long").alias("n"),
+                    T.digest_ints(T.shift_left("ids", 0)).alias("labels_md5"))
 
 
 @query("xy_pairs", sql=f"""
-WITH t AS (SELECT doc_id, {cp_sql('text', ID_LEN + 1)} AS dix FROM documents)
-SELECT doc_id, array_to_string(list_slice(dix, 1, len(dix) - 1), ',') AS x,
-       array_to_string(list_slice(dix, 2, len(dix)), ',') AS y FROM t""")
+WITH t AS (SELECT doc_id, {cp_sql('text')} AS dix FROM documents)
+SELECT doc_id, greatest(len(dix) - 1, 0)::BIGINT AS n, md5(array_to_string(list_slice(dix, 1, len(dix) - 1), ',')) AS x_md5,
+       md5(array_to_string(list_slice(dix, 2, len(dix)), ',')) AS y_md5 FROM t""")
 def q_xy_pairs(spark, sf_dir):
-    """``x = dix[:-1]``, ``y = dix[1:]`` over ``ctx_len + 1 = 65`` ids."""
-    d = _docs(spark, sf_dir).withColumn("dix", T.codepoints("text", ID_LEN + 1))
+    """``x = dix[:-1]``, ``y = dix[1:]`` over whole documents."""
+    d = _docs(spark, sf_dir).withColumn("dix", T.codepoints("text"))
     x, y = T.xy_split("dix")
-    return d.select("doc_id", T.join_ints(x).alias("x"), T.join_ints(y).alias("y"))
+    return d.select("doc_id", F.size(x).cast("long").alias("n"), T.digest_ints(x).alias("x_md5"),
+                    T.digest_ints(y).alias("y_md5"))
 
 
 @query("mask_padding", sql=f"""
-WITH {samples_sql(ID_LEN)}
-SELECT doc_id, array_to_string(ids, ',') AS input_ids, array_to_string(labels, ',') AS labels FROM samples""")
+WITH {whole_sql()}
+SELECT doc_id, len(ids)::BIGINT AS n, md5(array_to_string(ids, ',')) AS input_ids_md5,
+       md5(array_to_string(labels, ',')) AS labels_md5, len(list_filter(labels, lambda x: x = -100))::BIGINT AS n_masked FROM whole""")
 def q_mask_padding(spark, sf_dir):
-    """Labels -100 where the input is eos, inputs eos -> pad."""
-    s = _samples(spark, sf_dir, ID_LEN)
-    return s.select("doc_id", T.join_ints("input_ids").alias("input_ids"),
-                    T.join_ints("labels").alias("labels"))
+    """Labels -100 where the input is eos, inputs eos -> pad (Y7), over whole documents."""
+    s = _whole(spark, sf_dir)
+    return s.select("doc_id", F.size("ids").cast("long").alias("n"),
+                    T.digest_ints(T.replace_value("ids", 0, 0)).alias("input_ids_md5"),
+                    T.digest_ints("labels").alias("labels_md5"), T.count_eq("labels", -100).cast("long").alias("n_masked"))
 
 
 @query("attention_mask", sql=f"""
-WITH {samples_sql(ID_LEN)},
-m AS (SELECT doc_id, list_transform(ids, lambda x: CASE WHEN x <> 0 THEN 1 ELSE 0 END) AS mask FROM samples)
-SELECT doc_id, array_to_string(mask, ',') AS mask, list_sum(mask)::BIGINT AS n_attend FROM m""")
+WITH {whole_sql()},
+m AS (SELECT doc_id, list_transform(ids, lambda x: CASE WHEN x <> 0 THEN 1 ELSE 0 END) AS mask FROM whole)
+SELECT doc_id, md5(array_to_string(mask, ',')) AS mask_md5, list_sum(mask)::BIGINT AS n_attend FROM m""")
 def q_attention_mask(spark, sf_dir):
-    """``input_ids != pad``."""
-    s = _samples(spark, sf_dir, ID_LEN).withColumn("mask", T.not_equal_mask("input_ids", 0))
-    return s.select("doc_id", T.join_ints("mask").alias("mask"),
-                    T.int_sum("mask").alias("n_attend"))
+    """``input_ids != pad`` (Y13), over whole documents."""
+    s = _whole(spark, sf_dir).withColumn("mask", T.not_equal_mask("ids", 0))
+    return s.select("doc_id", T.digest_ints("mask").alias("mask_md5"), T.int_sum("mask").alias("n_attend"))
 
 
 @query("prefix_mask", sql=f"""
-WITH t AS (SELECT doc_id, least(length(text), {ID_LEN + 1}) AS min_len FROM documents)
-SELECT doc_id, min_len::BIGINT AS min_len,
-       array_to_string(list_transform(range(1, {ID_LEN} + 1),
-                       lambda i: CASE WHEN i <= min_len THEN 1 ELSE 0 END), ',') AS mask FROM t""")
+WITH {whole_sql()}
+SELECT doc_id, len(cp)::BIGINT AS min_len, len(ids)::BIGINT AS n, md5(repeat('1,', len(cp)) || repeat('0,', len(ids) - len(cp))) AS mask_md5
+FROM whole""")
 def q_prefix_mask(spark, sf_dir):
-    """Loss mask ``mask[:min_len] = 1`` over ``ctx_len`` positions, with
-    ``min_len = min(size, ctx_len + 1)`` of the document's tokens (Y21)."""
-    d = _docs(spark, sf_dir).withColumn(
-        "min_len", F.least(F.size(T.codepoints("text", ID_LEN + 1)), F.lit(ID_LEN + 1)))
-    return d.select("doc_id", F.col("min_len").cast("long").alias("min_len"),
-                    T.join_ints(T.prefix_mask(ID_LEN, F.col("min_len"))).alias("mask"))
+    """Loss mask ``mask[:min_len] = 1`` over the positions of each padded document, with
+    ``min_len`` the document's tokens (Y21)."""
+    d = _whole(spark, sf_dir).withColumn("mask", T.prefix_mask(F.size("ids"), F.size("cp")))
+    return d.select("doc_id", F.size("cp").cast("long").alias("min_len"), F.size("mask").cast("long").alias("n"),
+                    F.md5(F.concat(T.join_ints("mask"), F.lit(",")).cast("binary")).alias("mask_md5"))
 
 
 @query("pad_to_bucket", sql=f"""
@@ -183,14 +204,18 @@ def q_pad_to_bucket(spark, sf_dir):
 
 
 @query("collate_ids_as_labels", sql=f"""
-WITH {samples_sql(ID_LEN)}
-SELECT doc_id, array_to_string(list_slice(ids, 1, 32), ',') AS input_ids,
-       array_to_string(list_slice(ids, 1, 32), ',') AS labels FROM samples""")
+WITH {whole_sql()}
+SELECT doc_id, least(len(ids), {LEN_MAX})::BIGINT AS n, md5(array_to_string(list_slice(ids, 1, {LEN_MAX}), ',')) AS input_ids_md5,
+       md5(array_to_string(list_slice(labels, 1, {LEN_MAX}), ',')) AS stored_md5,
+       md5(array_to_string(list_slice(ids, 1, {LEN_MAX}), ',')) AS from_ids_md5 FROM whole""")
 def q_collate_ids_as_labels(spark, sf_dir):
-    """Collator for stored samples: truncate to 32 and reuse ids as labels."""
-    s = _samples(spark, sf_dir, ID_LEN)
-    ids = F.slice("input_ids", 1, 32)
-    return s.select("doc_id", T.join_ints(ids).alias("input_ids"), T.join_ints(ids).alias("labels"))
+    """Collator for stored samples: both cut to 2048, with the stored labels and with the
+    ids as labels (Y18, Q4)."""
+    s = _whole(spark, sf_dir)
+    ids, stored = T.collate("ids", "labels", LEN_MAX)
+    _, from_ids = T.collate("ids", "labels", LEN_MAX, labels_from_ids=True)
+    return s.select("doc_id", F.size(ids).cast("long").alias("n"), T.digest_ints(ids).alias("input_ids_md5"),
+                    T.digest_ints(stored).alias("stored_md5"), T.digest_ints(from_ids).alias("from_ids_md5"))
 
 
 @query("token_slice", sql=f"""
@@ -245,25 +270,27 @@ def q_bucket_inclusive(spark, sf_dir):
 
 
 @query("bucket_half_open", sql=f"""
-WITH t AS (SELECT doc_id, len({cp_sql('text', SEQ_MAX)})::BIGINT AS n FROM documents),
+WITH t AS (SELECT doc_id, length(text)::BIGINT AS n FROM documents),
 b AS (SELECT doc_id, n, (ceil(n / {STEP}) * {STEP})::BIGINT AS hi, n > 0 AND n <= {SEQ_MAX} AS ok FROM t)
 SELECT doc_id, n AS n_tokens, CASE WHEN ok THEN hi - {STEP} END AS bucket_lo,
        CASE WHEN ok THEN hi END AS bucket_hi FROM b""")
 def q_bucket_half_open(spark, sf_dir):
-    """Half-open ranges ``(i, i+256]`` up to 4096."""
-    d = _docs(spark, sf_dir).withColumn("n_tokens", F.size(T.codepoints("text", SEQ_MAX)).cast("long"))
+    """Half-open ranges ``(i, i+256]`` up to 4096 by the whole text's size; longer rows
+    are in none (Y15, P4).  A code-point token is a character, so nothing is split."""
+    d = _docs(spark, sf_dir).withColumn("n_tokens", F.char_length("text").cast("long"))
     lo, hi = B.bucket_half_open(F.col("n_tokens"), STEP, SEQ_MAX)
     return d.select("doc_id", "n_tokens", lo.alias("bucket_lo"), hi.alias("bucket_hi"))
 
 
 @query("bucket_first_fit", sql=f"""
-WITH t AS (SELECT doc_id, len({cp_sql('text', SEQ_MAX)})::BIGINT AS n FROM documents),
+WITH t AS (SELECT doc_id, length(text)::BIGINT AS n FROM documents),
 b AS (SELECT doc_id, n, greatest(ceil(n / {STEP}) * {STEP}, {STEP})::BIGINT AS ub FROM t)
 SELECT doc_id, n AS n_tokens,
        CASE WHEN ub <= {((SEQ_MAX - 1) // STEP) * STEP} THEN ub ELSE {SEQ_MAX} END AS bucket_hi FROM b""")
 def q_bucket_first_fit(spark, sf_dir):
-    """First bound ``>= length`` in 256..3840; longer rows to overflow 4096."""
-    d = _docs(spark, sf_dir).withColumn("n_tokens", F.size(T.codepoints("text", SEQ_MAX)).cast("long"))
+    """First bound ``>= length`` in 256..3840 by the whole text's size; longer rows to
+    overflow 4096 (Y16, Q6)."""
+    d = _docs(spark, sf_dir).withColumn("n_tokens", F.char_length("text").cast("long"))
     return d.select("doc_id", "n_tokens",
                     B.bucket_first_fit(F.col("n_tokens"), STEP, SEQ_MAX).alias("bucket_hi"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ensure_suffix, refine_context, strip_ws
 from ..operators import vocab as V
+from ..operators.ordered import _join_small, keyed_index
 from ..session import scratch_path
 from ..sources import corpus as IO
 from ..sources.tables import read_table
@@ -14,26 +15,22 @@ from .infer_queries import PYWS
 from .registry import query
 
 UNKNOWN_CHAR = "\ue083"  # fixed value: the char-table tokenizer's unknown character
-DEPTH0 = [f"src{i}" for i in range(0, 7)]
-DEPTH1 = [f"src{i}" for i in range(7, 14)]
-DEPTH2 = [f"src{i}" for i in range(14, 20)]
 
 
-def _ids_sql(xs):
-    return ", ".join(f"'{x}'" for x in xs)
-
-
-@query("scan_text_parquet", sql=f"""
-SELECT text FROM documents WHERE source IN ({_ids_sql(DEPTH0 + DEPTH1)})""")
+@query("scan_text_parquet", sql="""
+WITH k AS (SELECT text, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS k FROM documents)
+SELECT text FROM k WHERE k % 3 <> 2""")
 def q_scan_text_parquet(spark, sf_dir):
     """Parquet corpus scan of a directory and one sub-level only, keeping only
-    ``text`` (S1, S8, P1, quirk Q1): the documents are laid out at depths 0, 1
-    and 2 by source; the depth-2 files must not be read."""
+    ``text`` (S1, S8, P1, quirk Q1): all documents are laid out at depths 0, 1
+    and 2, the sources that occur (null included) in turn; the depth-2 files must not
+    be read."""
     d = read_table(spark, sf_dir, "documents", ["source", "text"])
+    place = keyed_index(d.select("source").distinct(), [], ["source"], name="k")
+    d = _join_small(d, place, ["source"]).withColumn("depth", F.col("k") % 3).drop("k")
     root = scratch_path(spark, "corpus")
-    d.where(F.col("source").isin(DEPTH0)).write.mode("overwrite").parquet(root)
-    d.where(F.col("source").isin(DEPTH1)).write.mode("overwrite").parquet(root + "/sub")
-    d.where(F.col("source").isin(DEPTH2)).write.mode("overwrite").parquet(root + "/sub/deeper")
+    for depth, sub in enumerate(("", "/sub", "/sub/deeper")):
+        d.where(F.col("depth") == depth).drop("depth").write.mode("overwrite").parquet(root + sub)
     return IO.read_corpus(spark, root, fmt="parquet", depth=1).select("text")
 
 
@@ -108,16 +105,21 @@ def q_char_encode_unk(spark, sf_dir):
 
 
 @query("vocab_maps", sql=f"""
-WITH {VOCAB_SQL}
-SELECT doc_id, substr(text, 1, 64) AS head, true AS same FROM documents""")
+WITH {VOCAB_SQL},
+c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, unnest(range(length(text))) AS pos FROM documents WHERE text <> ''),
+e AS (SELECT c.doc_id, sum(v.id * (c.pos + 1))::BIGINT AS checksum FROM c JOIN vocab v USING (ch) GROUP BY c.doc_id)
+SELECT doc_id, md5(text) AS text_md5, coalesce(checksum, 0)::BIGINT AS checksum FROM documents LEFT JOIN e USING (doc_id)""")
 def q_vocab_maps(spark, sf_dir):
-    """id <-> char maps of the corpus vocabulary: the first 64 characters of
-    every document are encoded with ``stoi`` and decoded with ``itos`` (R10, Y4)."""
+    """id <-> char maps of the corpus vocabulary: every whole document is encoded with the
+    one and decoded with the other (R10, Y4); digest of what comes back and a checksum of
+    the ids."""
     d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
-    stoi, itos = V.vocab_maps(V.char_vocab(d))
-    head = F.substring("text", 1, 64)
-    back = V.decode_with_map(V.encode_with_map(head, stoi), itos)
-    return d.select("doc_id", back.alias("head"), (back == head).alias("same"))
+    vocab = V.char_vocab(d)
+    ids = V.encode_with_lut(F.col("text"), V.codepoint_lut(vocab))
+    e = d.select("doc_id", ids.alias("ids"))
+    weighted = F.transform("ids", lambda x, i: x * (i + 1))
+    return e.select("doc_id", F.md5(V.decode_with_array(F.col("ids"), V.id_array(vocab)).cast("binary")).alias("text_md5"),
+                    F.aggregate(weighted, F.lit(0).cast("long"), lambda a, x: a + x).alias("checksum"))
 
 
 @query("refine_context", sql=f"""
