@@ -47,3 +47,90 @@ def test_single_prompt_client_in_thread_pool(spark):
     a = sorted(tuple(r) for r in INF.label_conversations(df, "conv_id", "users", gen, 10 ** 6).collect())
     b = sorted(tuple(r) for r in INF.label_conversations(df, "conv_id", "users", INF.md5_generator, 10 ** 6).collect())
     assert a == b and len(a) == 3
+
+
+def test_extraction_loop_prompts_only_who_goes_on(spark):
+    """Rounds shrink; a null prompt and repeated keys are kept; the bound on rounds holds."""
+    df = spark.createDataFrame([(1, "yes"), (1, "yes"), (2, "no"), (3, None)], "k long, prompt string")
+
+    def gate(prompts):
+        return ["\u662f" if p.startswith("yes") else "\u5426" for p in prompts]
+    for rounds in (1, 2, 3):
+        got = INF.extraction_loop(df, ["k"], "prompt", lambda ps: ["out"] * len(ps), gate, rounds).collect()
+        counts = {}
+        for r in got:
+            counts[r["k"], r["round"]] = counts.get((r["k"], r["round"]), 0) + 1
+        assert counts == {(1, i): 2 for i in range(rounds)} | {(2, 0): 1, (3, 0): 1}
+    assert INF.extraction_loop(df.limit(0), ["k"], "prompt", INF.md5_extractor, INF.md5_gate).collect() == []
+
+
+def test_scorers_keep_rows_without_key_or_text(spark):
+    df = spark.createDataFrame([(None, 1, "a"), (0, None, "b"), (0, 2, None)], "rank long, row long, t string")
+    got = sorted(((r["t"], r["s"]) for r in INF.gather_score_scatter(df, "rank", "row", "t", "s").collect()), key=str)
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    assert got == sorted([("a", md5("a")), ("b", md5("b")), (None, None)], key=str)
+    d = spark.createDataFrame([("a",), ("a",), (None,)], "t string")
+    got = sorted(((r["t"], r["s"]) for r in INF.score_distinct(d, "t", "s").collect()), key=str)
+    assert got == sorted([("a", md5("a")), ("a", md5("a")), (None, None)], key=str)
+
+
+def test_text_of_either_kind(spark):
+    from tokenforge.sources.corpus import text_turns
+    lines = [('{"text": "User: a\\n\\nAssistant: b"}', [("user", "a"), ("assistant", "b")]),
+             ('{"text": [{"role": "user", "content": "x"}, {"role": "tool", "content": "y"}]}', [("user", "x"), ("tool", "y")]),
+             ('{"text": ""}', []), ('{"text": 7}', None), ('{"other": "x"}', None), ("not json", None), (None, None)]
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(lines)], "i long, value string")
+    for r in text_turns(df).collect():
+        got = None if r["turns"] is None else [(t["role"], t["content"]) for t in r["turns"]]
+        assert got == lines[r["i"]][1], r["i"]
+
+
+def test_label_shift(spark):
+    from tokenforge.operators.samples import template_builder
+    df = spark.createDataFrame([([("user", "u"), ("assistant", "xy")],)], "turns array<struct<role:string,content:string>>")
+    full = df.select(*template_builder(F.col("turns"), 150, shift=0)).first()
+    ids, at0 = full[0], full[1]
+    assert [x for x in at0 if x != -100] == [i for i, x in zip(ids, at0) if x != -100]
+    for k in (1, 2):
+        got = df.select(template_builder(F.col("turns"), 150, shift=k)[1].alias("l")).first()["l"]
+        assert got == at0[k:] + [-100] * k
+    assert df.select(template_builder(F.col("turns"), 150)[1].alias("l")).first()["l"] == at0[2:] + [-100] * 2
+    none = df.select(*template_builder(F.col("turns"), 150, bos=None)).first()
+    assert [x for x in none[1] if x != -100] == [i for i, x in zip(none[0], none[1]) if x != -100]
+
+
+def test_fallback_rows_are_replaced(spark):
+    from tokenforge.operators.samples import replace_fallback
+    rows = [(i, f"m{i}", i % 2 == 0) for i in range(6)]
+    df = spark.createDataFrame(rows, "k long, m string, fallback boolean")
+    others = spark.createDataFrame([(0, "o0"), (1, "o1")], "idx long, m string")
+    got = {r["k"]: r["m"] for r in replace_fallback(df, "k", "k", others, ["m"]).collect()}
+    assert got == {0: "o0", 1: "m1", 2: "o1", 3: "m3", 4: "o0", 5: "m5"}
+    assert replace_fallback(df, "k", "k", others.limit(0), ["m"]).count() == 6
+
+
+def test_rows_of_unequal_shape_are_not_zipped(spark):
+    import pytest
+    from tokenforge.operators.combine import zip_rows
+    a = spark.createDataFrame([(0, [1, 2]), (1, [3])], "idx long, x array<int>")
+    same = spark.createDataFrame([(0, [5, 6]), (1, [7])], "idx long, y array<int>")
+    assert zip_rows(a, same, "idx", "x", "y").count() == 2
+    for bad in (same.where("idx = 0"), spark.createDataFrame([(0, [5]), (1, [7])], "idx long, y array<int>")):
+        with pytest.raises(Exception, match="unequal shapes"):
+            zip_rows(a, bad, "idx", "x", "y").collect()
+
+
+def test_padded_mode(spark):
+    from tokenforge.operators import token_stream as S
+    t = spark.createDataFrame([(0, [1, 2, 3]), (1, [4])], "doc_id long, tokens array<int>")
+    st = S.as_store(S.with_offsets(t, ["doc_id"], F.col("doc_id")), "doc_id")
+    got = {r["doc_id"]: (r["tokens"], r["min_len"]) for r in S.pad_spill(st, 2, mode="pad", pad=9).collect()}
+    assert got == {0: ([1, 2], 2), 1: ([4, 9], 1)}
+
+
+def test_teacher_scores_long_documents_in_parts(spark, monkeypatch):
+    df = spark.createDataFrame([(1, list(range(25))), (None, [3]), (2, [])], "k long, ids array<int>")
+    want = sorted(map(str, INF.teacher_scores(df, "k", "ids", INF.cosine_stub_scorer(4)).collect()))
+    monkeypatch.setattr(INF, "SCORE_POSITIONS", 7)
+    assert sorted(map(str, INF.teacher_scores(df, "k", "ids", INF.cosine_stub_scorer(4)).collect())) == want
+    assert len(want) == 26

@@ -172,6 +172,79 @@ def test_jsonl_to_parquet_and_whole_text(spark):
     assert w["text"] == "ab\ncd"
 
 
+def test_bad_json_lines_fail_or_go_to_quarantine(spark):
+    root = tempfile.mkdtemp(prefix="tf-bad-")
+    with open(root + "/x.jsonl", "w") as f:
+        f.write('{"a": 1}\n \nnot json\n{"a": 2}\n')
+    good = IO.read_json_lines(spark, root + "/x.jsonl", "a long", quarantine=root + "/bad")
+    assert sorted(r["a"] for r in good.collect()) == [1, 2]
+    assert [r["value"] for r in spark.read.text(root + "/bad").collect()] == ["not json"]
+    try:
+        IO.read_json_lines(spark, root + "/x.jsonl", "a long").collect()
+    except Exception as e:
+        assert "not a JSON record" in str(e)
+    else:
+        raise AssertionError("a malformed line was dropped")
+
+
+def test_labels_keep_their_order_names_and_characters(spark):
+    root = tempfile.mkdtemp(prefix="tf-labels-") + "/out"
+    rows = [(f"/in/a b.jsonl" if i % 10 else "/in/c.jsonl", i, f'{{"data": "\u00e9\u4e2d {i}"}}') for i in range(500)]
+    df = spark.createDataFrame(rows, "file string, line long, json string").repartition(7)
+    names = IO.write_labels(df, root, "file", "line", "json", 0.1, 1.0, partitions=5)
+    assert names == ["a b_pseudo_labels_0.1_1.0.jsonl", "c_pseudo_labels_0.1_1.0.jsonl"]
+    for name, want in zip(names, ([r for r in rows if "a b" in r[0]][45:], [r for r in rows if "c" in r[0]][5:])):
+        got = []
+        for part in sorted(os.listdir(f"{root}/{name}")):
+            if part.startswith("part-"):
+                with open(f"{root}/{name}/{part}", encoding="utf-8") as f:
+                    got += f.read().splitlines()
+        assert got == [r[2] for r in want]
+    back = IO.read_labels(spark, root).where(F.col("output").startswith("c")).orderBy("position").collect()
+    assert [r["value"] for r in back] == [r[2] for r in rows if "c" in r[0]][5:]
+
+
+def test_one_large_log_over_many_tasks(spark):
+    from tokenforge.sources.logs import numbered_lines, parse_epoch_log
+    path = tempfile.mkdtemp(prefix="tf-log-") + "/train.log"
+    with open(path, "w") as f:
+        for run in range(300):
+            f.write(f"NEW RUN 2024-01-01-00-00-{run:02d}\n{{'lr': {run}}}\n")
+            for e in range(run % 4):
+                f.write(f"{e} {run + e / 10:.6f} 1.5000  {e}\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        assert numbered_lines(spark, path).rdd.getNumPartitions() > 4
+        got = sorted((r["run_no"], r["epoch"], r["loss"]) for r in parse_epoch_log(spark, path, rows_per_chunk=50).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(run, e, round(run + e / 10, 6)) for run in range(300) for e in range(run % 4)]
+
+
+def test_corpus_below_any_level_and_plain_formats(spark):
+    """Gzip and plain JSON lines, the whole tree."""
+    import gzip
+    root = tempfile.mkdtemp(prefix="tf-deep-")
+    os.makedirs(root + "/a/b/c")
+    with open(root + "/x.jsonl", "w") as f:
+        f.write('{"text": "one", "other": 1}\n')
+    with gzip.open(root + "/a/b/c/y.jsonl.gz", "wt") as f:
+        f.write('{"text": "two"}\n')
+    assert [r["text"] for r in IO.read_corpus(spark, root, "jsonl", depth=0).collect()] == ["one"]
+    assert [r["text"] for r in IO.read_corpus(spark, root, "json_gz", recursive=True).collect()] == ["two"]
+
+
+def test_samples_are_saved_and_split_by_bucket(spark):
+    """One pass, one directory a bucket."""
+    out = tempfile.mkdtemp(prefix="tf-samples-") + "/s"
+    df = spark.createDataFrame([([1, 2], 256), ([3], 512)], "ids array<int>, bucket_hi int")
+    IO.write_samples(df, out, ["bucket_hi"])
+    assert sorted(x for x in os.listdir(out) if x.startswith("bucket")) == ["bucket_hi=256", "bucket_hi=512"]
+    IO.write_samples(df, out + "2")
+    assert spark.read.parquet(out + "2").count() == 2
+
+
 def test_run_summaries_and_config(spark):
     from tokenforge.sources.logs import read_run_config, read_run_summaries
     root = tempfile.mkdtemp(prefix="tf-runs-")

@@ -257,6 +257,14 @@ def count_windows(indexed: DataFrame, idx: str, size: int) -> Column:
     return F.floor(F.col(idx) / size).cast("long")
 
 
+def append_cache(df: DataFrame, keys: Sequence[str], order: Sequence[str], position: str = "position",
+                 size: str = "n_cached") -> DataFrame:
+    """Cache that appends (W19): the position of each update in its (session, layer) and
+    how many there are."""
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(size))
+    return _join_small(keyed_index(df, list(keys), list(order), name=position), n, list(keys))
+
+
 def top_k_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
                   rank: str = "rank") -> DataFrame:
     """Rows ranked ``<= k`` per key (K3).  ``row_number() <= k`` is planned as

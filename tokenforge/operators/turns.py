@@ -109,6 +109,19 @@ def render_qwen(turns, generation_prompt: bool = True) -> Column:
     return F.concat(body, F.lit(QWEN_ASSISTANT_GEN)) if generation_prompt else body
 
 
+def render_for_model(turns, model: Column, generation_prompt: bool = True) -> Column:
+    """Template by model name (C5): A where the name holds ``llama`` in any case, else B."""
+    is_a = F.coalesce(F.lower(model).contains("llama"), F.lit(False))
+    return F.when(is_a, render_llama(turns, generation_prompt)).otherwise(render_qwen(turns, generation_prompt))
+
+
+def cut_closing_tag(prompt: Column, tag: str = QWEN_END) -> Column:
+    """A rendered prompt without its closing tag and the newline after it (C15), so that
+    generation goes on inside the last turn.  A prompt that doesn't end so stays whole."""
+    end = tag + "\n"
+    return F.when(prompt.endswith(end), F.substring(prompt, F.lit(1), F.length(prompt) - F.lit(len(end)))).otherwise(prompt)
+
+
 def render_history(turns, generation_prompt: bool = True) -> Column:
     """Model chat template over the full history, system turns included."""
     body = F.array_join(F.transform(turns, lambda t: F.concat(

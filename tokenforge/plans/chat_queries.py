@@ -127,6 +127,29 @@ def q_render_template_b(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", TU.render_qwen("turns").alias("text"))
 
 
+MODEL_SQL = "CASE conv_id % 3 WHEN 0 THEN 'Meta-LLaMA-3' WHEN 1 THEN 'qwen2' END"
+
+
+@query("render_by_model", sql=f"""
+WITH a AS ({_render_sql(TU.LLAMA_USER_HEADER, TU.LLAMA_ASSISTANT_HEADER, TU.LLAMA_EOT, TU.LLAMA_ASSISTANT_HEADER)}),
+b AS ({_render_sql(TU.QWEN_USER_GEN, TU.QWEN_ASSISTANT_GEN, TU.QWEN_END, TU.QWEN_ASSISTANT_GEN)})
+SELECT conv_id, {MODEL_SQL} AS model, CASE WHEN conv_id % 3 = 0 THEN a.text ELSE b.text END AS text FROM a JOIN b USING (conv_id)""")
+def q_render_by_model(spark, sf_dir):
+    """Each conversation in the template of its row's model name."""
+    model = F.when(F.col("conv_id") % 3 == 0, "Meta-LLaMA-3").when(F.col("conv_id") % 3 == 1, "qwen2")
+    t = _turns(spark, sf_dir).withColumn("model", model)
+    return t.select("conv_id", "model", TU.render_for_model(F.col("turns"), F.col("model")).alias("text"))
+
+
+@query("cut_closing_tag", sql=f"""
+SELECT conv_id, turn, CASE WHEN role = 'user' THEN {s(TU.QWEN_USER_TRAIN)} ELSE {s(TU.QWEN_ASSISTANT_TRAIN)} END || text AS text
+FROM conversations""")
+def q_cut_closing_tag(spark, sf_dir):
+    """Every turn in its training wrapper with the closing tag cut off again."""
+    c = read_table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", TU.cut_closing_tag(TU.train_wrapper(F.col("role"), F.col("text"), False)).alias("text"))
+
+
 @query("render_turns", sql=f"""
 SELECT conv_id, turn, CASE WHEN role = 'user' THEN {s(TU.QWEN_USER_TRAIN)} || text || {s(TU.QWEN_END + chr(10))}
                            ELSE {s(TU.QWEN_ASSISTANT_TRAIN)} || text || {s(TU.QWEN_END + chr(10))} END AS text
@@ -176,6 +199,26 @@ def q_json_lines_parse(spark, sf_dir):
     return IO.read_json_lines(spark, path, schema).select("conv_id", "turn", "role", "text")
 
 
+@query("label_files", sql="""
+WITH n AS (SELECT conv_id, turn, role, text, 'in' || (conv_id % 5)::VARCHAR AS stem,
+                  row_number() OVER (PARTITION BY conv_id % 5 ORDER BY conv_id * 100000 + turn) - 1 AS i,
+                  count(*) OVER (PARTITION BY conv_id % 5) AS total FROM conversations)
+SELECT stem || '_pseudo_labels_0.25_0.75.jsonl' AS output, (i - floor(0.25 * total))::BIGINT AS position, conv_id, turn, text
+FROM n WHERE i >= floor(0.25 * total) AND i < floor(0.75 * total)""")
+def q_label_files(spark, sf_dir):
+    """One output per input file, named by it and the slice, rows in input order (S20):
+    the turns as five input files, their middle half written and read back by line."""
+    c = read_table(spark, sf_dir, "conversations")
+    rows = c.select(F.concat(F.lit("/data/in"), F.pmod("conv_id", F.lit(5)).cast("string"), F.lit(".jsonl")).alias("file"),
+                    (F.col("conv_id") * 100_000 + F.col("turn")).alias("line"),
+                    F.to_json(F.struct("conv_id", "turn", "text")).alias("json"))
+    path = scratch_path(spark, "labels")
+    IO.write_labels(rows, path, "file", "line", "json", 0.25, 0.75)
+    back = IO.read_labels(spark, path)
+    j = F.from_json("value", "conv_id long, turn long, text string")
+    return back.select("output", "position", j.alias("j")).select("output", "position", "j.conv_id", "j.turn", "j.text")
+
+
 @query("json_sink_rows", sql="""
 SELECT conv_id, to_json({'data': list({'role': role, 'content': text} ORDER BY turn)}) AS json
 FROM conversations GROUP BY conv_id""")

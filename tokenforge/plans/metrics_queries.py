@@ -146,15 +146,15 @@ def q_top_ops(spark, sf_dir):
 @query("train_log_parse", sql="""
 WITH d AS (SELECT user_id, strftime(ts::DATE, '%Y-%m-%d') AS day, value FROM events),
 g AS (SELECT user_id, day, round(avg(value), 6) AS loss FROM d GROUP BY ALL),
-e AS (SELECT user_id, user_id % 4 AS file_id, row_number() OVER (PARTITION BY user_id ORDER BY day) - 1 AS epoch, loss FROM g),
-r AS (SELECT user_id, dense_rank() OVER (PARTITION BY user_id % 4 ORDER BY user_id) - 1 AS run_no FROM (SELECT DISTINCT user_id FROM events))
+e AS (SELECT user_id, user_id // 8 AS file_id, row_number() OVER (PARTITION BY user_id ORDER BY day) - 1 AS epoch, loss FROM g),
+r AS (SELECT user_id, dense_rank() OVER (PARTITION BY user_id // 8 ORDER BY user_id) - 1 AS run_no FROM (SELECT DISTINCT user_id FROM events))
 SELECT file_id::BIGINT AS file_id, run_no::BIGINT AS run_no, epoch::BIGINT AS epoch, loss FROM e JOIN r USING (user_id)""")
 def q_train_log_parse(spark, sf_dir):
     """Epoch-log scan (S24): logs in the reference's text format (``NEW RUN``
     header, args line, ``epoch loss ppl  epoch`` lines; several runs appended
     per file) are rendered from the per-day losses of ``events``, written as
-    four text files, then parsed back: run number = running count of headers
-    inside each file."""
+    text files of eight runs, then parsed back: run number = running count of
+    headers inside each file."""
     from ..sources.logs import parse_epoch_log, render_epoch_log
     ev = read_table(spark, sf_dir, "events", ["user_id", "ts", "value"])
     path = scratch_path(spark, "trainlog")
@@ -268,6 +268,20 @@ def q_latest_state(spark, sf_dir):
     return g
 
 
+@query("attention_cache", sql=f"""
+WITH o AS (SELECT user_id, event_type, value, step,
+                  row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS position FROM {STEPS})
+SELECT user_id, event_type AS layer, position::BIGINT AS position, round(value, 6) AS value,
+       count(*) OVER (PARTITION BY user_id, event_type) AS n_cached FROM o""")
+def q_attention_cache(spark, sf_dir):
+    """Attention-layer cache per (session, layer): every update is appended at the next
+    position and none is overwritten (W19); one row a position, so that a long session is
+    no single row."""
+    ev = read_table(spark, sf_dir, "events", ["user_id", "event_type", "ts", "event_id", "value"])
+    c = SQ.append_cache(ev, ["user_id", "event_type"], ["ts", "event_id"])
+    return c.select("user_id", F.col("event_type").alias("layer"), "position", F.round("value", R).alias("value"), "n_cached")
+
+
 @query("state_footprint", sql="""
 SELECT user_id, count(*) AS n_entries, count(DISTINCT event_type) AS n_layers,
        sum((props::JSON->>'k')::INTEGER)::BIGINT AS memory FROM events GROUP BY user_id""")

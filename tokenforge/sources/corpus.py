@@ -115,16 +115,20 @@ def _parse_json(value: Column, schema: str) -> Column:
                        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: str, value: str = "value") -> DataFrame:
+def read_json_lines(spark: SparkSession, path: str, schema: str, quarantine: str | None = None) -> DataFrame:
     """Line scan, blank lines skipped, each line parsed as JSON.
 
-    Lines that fail to parse are dropped here; use :func:`split_bad_json` to
-    keep them in a quarantine table instead (P12).
+    No line is lost silently: lines that fail to parse are written to ``quarantine`` as
+    text (P12); without one, the first of them fails the query.
     """
-    lines = spark.read.text(path)
-    lines = lines.where(strip_ws(F.col(value)) != "")
-    parsed = lines.select(_parse_json(F.col(value), schema).alias("_j"))
-    return parsed.where(F.col(f"_j.{_CORRUPT}").isNull()).select("_j.*").drop(_CORRUPT)
+    lines = spark.read.text(path).where(strip_ws(F.col("value")) != "")
+    if quarantine is not None:
+        good, bad = split_bad_json(lines, "value", schema)
+        bad.select(F.col("raw").alias("value")).write.mode("overwrite").text(quarantine)
+        return good
+    j = lines.select("value", _parse_json(F.col("value"), schema).alias("_j"))
+    broken = F.raise_error(F.concat(F.lit("not a JSON record: "), F.substring("value", 1, 200))).cast("boolean")
+    return j.where(F.when(F.col(f"_j.{_CORRUPT}").isNull(), F.lit(True)).otherwise(broken)).select("_j.*").drop(_CORRUPT)
 
 
 def split_bad_json(lines: DataFrame, value: str, schema: str) -> tuple[DataFrame, DataFrame]:
@@ -176,12 +180,61 @@ def chat_record_json(turns: Column | str) -> Column:
 
 
 def write_json_lines(df: DataFrame, path: str, value: str, order: str | None = None) -> None:
-    """JSON-lines sink (S20); non-ASCII is written raw.  Order inside a file
-    follows ``order`` (the row id that replaces submit order)."""
-    d = df.sortWithinPartitions(order) if order else df
+    """JSON-lines sink (S20); non-ASCII is written raw.  With ``order`` the part files,
+    read by name, hold the rows in that order: rows are dealt to them by ranges of it."""
+    d = df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism, order).sortWithinPartitions(order) \
+        if order else df
     d.select(F.col(value).alias("value")).write.mode("overwrite").text(path)
 
 
+def label_file_name(file: Column, lo: float, hi: float) -> Column:
+    """``{stem}_pseudo_labels_{lo}_{hi}.jsonl`` of an input file's name or path."""
+    stem = F.regexp_replace(F.regexp_extract(file, r"([^/]*)$", 1), r"\.jsonl$", "")
+    return F.concat(stem, F.lit(f"_pseudo_labels_{lo}_{hi}.jsonl"))
+
+
+def write_labels(df: DataFrame, path: str, file: str, order: str, value: str, lo: float = 0.0, hi: float = 1.0,
+                 partitions: int | None = None) -> list[str]:
+    """One output per input file (S20): rows ``int(lo * n)`` to ``int(hi * n)`` of each
+    ``file`` in ``order``, as JSON lines under ``path/{stem}_pseudo_labels_{lo}_{hi}.jsonl``.
+    Returns the outputs' names.
+
+    An output is a directory of part files that hold its rows in order when read by
+    name.  Rows are dealt to tasks by ranges of (output, order), so an input that holds
+    most rows is written by many tasks; non-ASCII is written raw."""
+    from ..operators.combine import slice_fraction
+    spark = df.sparkSession
+    rows = slice_fraction(df.select(file, order, value), lo, hi, [file], [order], None) if (lo, hi) != (0.0, 1.0) else df
+    rows = rows.select(label_file_name(F.col(file), lo, hi).alias("output"), F.col(order).alias("_order"),
+                       F.col(value).alias("value"))
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (rows.repartitionByRange(n, "output", "_order").sortWithinPartitions("output", "_order")
+     .select("output", "value").write.mode("overwrite").partitionBy("output").text(path))
+    fs, at = _fs(spark, path)
+    names = []
+    for st in fs.listStatus(at):                 # one directory an input file: names, no rows
+        name = st.getPath().getName()
+        if name.startswith("output="):
+            plain = spark._jvm.java.net.URLDecoder.decode(name[len("output="):], "UTF-8")
+            fs.rename(st.getPath(), spark._jvm.org.apache.hadoop.fs.Path(at, plain))
+            names.append(plain)
+    return sorted(names)
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """``output, position, value`` of what :func:`write_labels` wrote, lines numbered in
+    the order of the files."""
+    from ..operators.ordered import keyed_index
+    from ..session import materialize
+    raw = spark.read.text(path.rstrip("/") + "/*/part-*")
+    rows = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                      F.monotonically_increasing_id().alias("nth"))
+    rows = rows.withColumn("output", F.regexp_extract("file", r"([^/]*)/[^/]*$", 1)) \
+        .withColumn("part", F.regexp_extract("file", r"/part-(\d+)", 1).cast("long"))
+    rows = keyed_index(materialize(rows), ["output"], ["part", "file", "block", "nth"], name="position")
+    return rows.select("output", "position", "value")
+
+
 def read_whole_text(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
     """One row per file with its whole content decoded."""
     b = spark.read.format("binaryFile").load(path)

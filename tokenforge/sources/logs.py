@@ -12,12 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import keyed_scan
+from ..session import materialize
+
 EPOCH_LINE = r"^(\d+) (-?[0-9.]+) ([0-9.eE+-]+|inf)  (\d+)$"
 
 
-def render_epoch_log(events: DataFrame, path: str, n_files: int = 4) -> None:
+def render_epoch_log(events: DataFrame, path: str, runs_per_file: int = 8) -> None:
     """Write per-day epoch losses of each run (``user_id``) as epoch logs,
-    ``user_id % n_files`` choosing the file; runs are appended in id order."""
+    ``user_id div runs_per_file`` choosing the file; runs are appended in id order."""
     daily = (events.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
              .agg(F.round(F.avg("value"), 6).alias("loss"), F.min("ts").alias("t0")))
     # one row per (run, day): a small window per run
@@ -29,29 +32,42 @@ def render_epoch_log(events: DataFrame, path: str, n_files: int = 4) -> None:
                        F.format_string("{'user_id': %d, 'epoch_steps': 1000}", "user_id").alias("line"))
     body = daily.select("user_id", F.lit(2).alias("kind"), "epoch",
                         F.format_string("%d %.6f %.4f  %d", "epoch", "loss", F.exp("loss"), "epoch").alias("line"))
-    lines = header.unionByName(args).unionByName(body).withColumn(
-        "file_id", F.pmod("user_id", F.lit(n_files)))
+    lines = header.unionByName(args).unionByName(body).withColumn("file_id", F.expr(f"user_id div {runs_per_file}"))
     (lines.repartition("file_id").sortWithinPartitions("file_id", "user_id", "kind", "epoch")
      .select("file_id", "line").write.mode("overwrite").partitionBy("file_id").text(path))
 
 
-def parse_epoch_log(spark: SparkSession, path: str) -> DataFrame:
-    """Parse epoch logs: ``(file_id, run_no, epoch, loss, ppl, header)``.
-
-    Plain text has no line numbers, so each (small) log file is read whole
-    and split into numbered lines; ``run_no`` is the running count of
-    ``NEW RUN`` headers inside the file.
-    """
-    raw = spark.read.option("wholetext", True).text(path)
-    lines = raw.select("file_id", F.posexplode(F.split(F.col("value"), "\n")).alias("line_no", "line"))
-    is_head = F.col("line").startswith("NEW RUN ")
-    w = Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("run_no", (F.sum(F.when(is_head, 1).otherwise(0)).over(w) - 1).cast("long"))
-    ep = lines.where(F.col("line").rlike(EPOCH_LINE))
-    return ep.select("file_id", "run_no",
-                     F.regexp_extract("line", EPOCH_LINE, 1).cast("long").alias("epoch"),
-                     F.regexp_extract("line", EPOCH_LINE, 2).cast("double").alias("loss"),
-                     F.regexp_extract("line", EPOCH_LINE, 3).cast("double").alias("ppl"))
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with their order: ``file, block, nth`` (and any partition
+    columns of the path).
+
+    A large file is split over many tasks.  ``block`` is the byte at which the line's
+    split begins, ``nth`` ascends inside a split, so ``(block, nth)`` orders the lines of
+    a file without any task reading more than its split."""
+    raw = spark.read.text(path)
+    keep = [c for c in raw.columns if c != "value"]
+    return raw.select(*keep, F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
+                      F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
+
+
+def parse_epoch_log(spark: SparkSession, path: str, rows_per_chunk: int | None = None) -> DataFrame:
+    """Parse epoch logs: ``(file, run_no, epoch, loss, ppl)`` and the path's partition
+    columns; ``run_no`` is the running count of ``NEW RUN`` headers inside the file.
+
+    Only headers and epoch lines, cut down to their values, are kept and numbered by the
+    skew-safe scan, so one huge log is spread like any hot key."""
+    lines = numbered_lines(spark, path)
+    parts = [c for c in lines.columns if c not in ("line", "file", "block", "nth")]
+    head = F.col("line").startswith("NEW RUN ")
+    kept = lines.where(head | F.col("line").rlike(EPOCH_LINE)).select(
+        *parts, "file", "block", "nth", head.cast("long").alias("head"),
+        F.regexp_extract("line", EPOCH_LINE, 1).alias("epoch"), F.regexp_extract("line", EPOCH_LINE, 2).alias("loss"),
+        F.regexp_extract("line", EPOCH_LINE, 3).alias("ppl"))
+    kept = materialize(kept)                  # the splits are read once, their order is fixed
+    kept = keyed_scan(kept, ["file"], ["block", "nth"], sums={"run_no": F.col("head")}, index_col=None,
+                      rows_per_chunk=rows_per_chunk)
+    return kept.where("head = 0").select(*parts, "file", (F.col("run_no") - 1).alias("run_no"), F.col("epoch").cast("long"),
+                                         F.col("loss").cast("double"), F.col("ppl").cast("double"))
 
 
 def read_run_summaries(spark: SparkSession, pattern: str) -> DataFrame:
