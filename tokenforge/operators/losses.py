@@ -8,6 +8,8 @@ runs in double precision inside JVM expressions.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,3 +151,26 @@ def chunk_merge_mean(chunks: DataFrame, key: str, mean: str, weight: str) -> Dat
     ok = F.col(mean).isNotNull()
     return chunks.groupBy(key).agg(
         (F.sum(F.when(ok, F.col(mean) * F.col(weight))) / F.sum(F.when(ok, F.col(weight)))).alias("loss"))
+
+
+def squared_error(a, b) -> Column:
+    """Sum of squared differences of two arrays of equal size."""
+    return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0).cast("double"), lambda s, v: s + v)
+
+
+def hidden_mse(pairs: DataFrame, group: Sequence[str], position: str, teacher: str, student: str, valid: Column,
+               broadcast_masks: bool = False, out: str = "mse") -> DataFrame:
+    """Masked hidden-state MSE per group (M8, J6): the mean, over all elements, of the
+    squared error, 0 where a position is masked.  One row a (sample, position) with both
+    state vectors; nothing is exploded.
+
+    ``broadcast_masks`` reproduces quirk Q10: there every sample's mask meets every
+    sample's states, so a state at position t counts as often as samples are valid at t,
+    and the mean is over samples times elements."""
+    d = pairs.select(*group, F.col(position).alias("_t"), squared_error(teacher, student).alias("_se"),
+                     F.size(teacher).alias("_n"), valid.alias("_ok"))
+    if not broadcast_masks:
+        return d.groupBy(*group).agg((F.sum(F.when(F.col("_ok"), F.col("_se")).otherwise(0.0)) / F.sum("_n")).alias(out))
+    at = d.groupBy(*group, "_t").agg(F.sum("_se").alias("_se"), F.sum("_n").alias("_n"), F.count_if("_ok").alias("_w"),
+                                     F.count(F.lit(1)).alias("_b"))
+    return at.groupBy(*group).agg((F.sum(F.col("_se") * F.col("_w")) / (F.max("_b") * F.sum("_n"))).alias(out))

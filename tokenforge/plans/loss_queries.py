@@ -206,18 +206,24 @@ j AS (SELECT t.vec_id // 8 AS batch, t.vec_id, i // 8 AS layer, i % 8 AS h,
       FROM t JOIN s USING (vec_id, i))
 SELECT batch, round(sum(se) / count(*), 6) AS mse FROM j GROUP BY batch""")
 def q_hidden_mse(spark, sf_dir):
-    """Masked hidden-state MSE: teacher and student states aligned on
-    ``(position, layer, unit)`` by an equi-join; masked positions count as 0
-    in a mean over all elements (M8, J6)."""
-    e = _emb(spark, sf_dir)
-    t = e.select("vec_id", "y", F.posexplode("x").alias("i", "tv"))
-    s = e.select((F.col("vec_id") - 1).alias("vec_id"), F.posexplode("x").alias("i", "sv"))
-    t = t.withColumn("layer", F.floor(F.col("i") / 8)).withColumn("h", F.pmod("i", F.lit(8)))
-    s = s.withColumn("layer", F.floor(F.col("i") / 8)).withColumn("h", F.pmod("i", F.lit(8))).drop("i")
-    j = t.drop("i").join(s, ["vec_id", "layer", "h"])
-    se = F.when(F.col("y") != L.IGNORE, (F.col("sv") - F.col("tv")) ** 2).otherwise(F.lit(0.0))
-    return (j.groupBy(F.floor(F.col("vec_id") / 8).cast("long").alias("batch"))
-            .agg(F.round(F.sum(se) / F.count(F.lit(1)), R).alias("mse")))
+    """Masked hidden-state MSE: teacher and student state vectors of all layers aligned
+    on the position by an equi-join; masked positions count as 0 in a mean over all
+    elements (M8, J6)."""
+    m = L.hidden_mse(_pairs(spark, sf_dir), ["batch"], "vec_id", "xt", "xs", F.col("y") != L.IGNORE)
+    return m.select("batch", F.round("mse", R).alias("mse"))
+
+
+@query("hidden_mse_broadcast", sql=f"""
+WITH d AS (SELECT batch, vec_id % 4 AS t, y <> -100 AS ok,
+                  list_sum(list_transform(list_zip(xt, xs), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS se FROM {PAIRS}),
+p AS (SELECT batch, t, sum(se) AS se, count(*) * 64 AS n, count(*) FILTER (ok) AS w, count(*) AS b FROM d GROUP BY batch, t)
+SELECT batch, round(sum(se * w) / (max(b) * sum(n)), 6) AS mse FROM p GROUP BY batch""")
+def q_hidden_mse_broadcast(spark, sf_dir):
+    """The same with every sample's mask on every sample's states, as the reference's
+    broadcast does (M8, Q10): a batch is two samples of four positions."""
+    p = _pairs(spark, sf_dir).withColumn("t", F.pmod("vec_id", F.lit(4)))
+    m = L.hidden_mse(p, ["batch"], "t", "xt", "xs", F.col("y") != L.IGNORE, broadcast_masks=True)
+    return m.select("batch", F.round("mse", R).alias("mse"))
 
 
 @query("masked_mean_loss", sql=f"""
