@@ -134,3 +134,26 @@ def test_teacher_scores_long_documents_in_parts(spark, monkeypatch):
     monkeypatch.setattr(INF, "SCORE_POSITIONS", 7)
     assert sorted(map(str, INF.teacher_scores(df, "k", "ids", INF.cosine_stub_scorer(4)).collect())) == want
     assert len(want) == 26
+
+
+def test_vocabulary_file(spark):
+    import os
+    import tempfile
+    path = tempfile.mkdtemp(prefix="tf-vocab-") + "/v"
+    d = spark.createDataFrame([('b"a\\',), ("\u4e2d\n",)], "text string")
+    V.write_vocab_json(V.char_vocab(d), path)
+    parts = [x for x in os.listdir(path) if x.startswith("part-")]
+    with open(f"{path}/{parts[0]}", encoding="utf-8") as f:
+        got = json.load(f)
+    assert len(parts) == 1 and got == {str(i): c for i, c in enumerate(sorted('b"a\\\u4e2d\n'))}
+
+
+def test_partition_writer_names_by_model_and_tags(spark):
+    from tokenforge.operators import turns as TU
+    df = spark.createDataFrame([([("user", "x")], "LLaMA-2"), ([("user", "x")], None)],
+                               "turns array<struct<role:string,content:string>>, model string")
+    a, b = (r["t"] for r in df.select(TU.render_for_model(F.col("turns"), F.col("model")).alias("t")).collect())
+    assert a.startswith(TU.LLAMA_USER_HEADER) and b.startswith(TU.QWEN_USER_GEN)
+    one = spark.createDataFrame([("a<|im_end|>\n",), ("b",), (None,)], "p string")
+    assert [r["c"] for r in one.select(TU.cut_closing_tag(F.col("p")).alias("c")).collect()] == ["a", "b", None]
+    assert df.limit(1).select(TU.render_llama("turns", bos=True).alias("t")).first()["t"].startswith(TU.LLAMA_BOS_TEXT)

@@ -103,7 +103,8 @@ def _render_prefix(users: list[str], replies: list[str]) -> str:
 
 
 def label_conversations(df: DataFrame, key: str, prompts: str, generate: Generate = md5_generator,
-                        limit: int = 2048, inclusive: bool = True, checkpoint: bool = False) -> DataFrame:
+                        limit: int = 2048, inclusive: bool = True, checkpoint: bool = False,
+                        with_prompts: bool = True) -> DataFrame:
     """Turn-by-turn pseudo-labelling.
 
     For each conversation (``prompts``: the user turns), prompt k is the
@@ -111,13 +112,18 @@ def label_conversations(df: DataFrame, key: str, prompts: str, generate: Generat
     user turn k; the reply is appended and generation stops after the pair
     whose token count reaches the limit (``>=`` when ``inclusive``, else
     ``>``, quirk Q14).  All conversations of an Arrow batch advance together,
-    one ``generate`` call per round.  Output: ``key, k, prompt, reply, n_tokens``.
+    one ``generate`` call per round.  Output: ``key, k, prompt, reply, n_tokens``; without
+    ``with_prompts`` the prompts, which grow with every turn, don't leave Python.
 
     With ``checkpoint=True`` the labels are written once to the checkpoint
     directory, so a recomputed downstream task never calls a (possibly
     nondeterministic, always expensive) generator again.
     """
+    names = [key, "k", "prompt", "reply", "n_tokens"]
     schema = f"{key} {df.schema[key].dataType.simpleString()}, k long, prompt string, reply string, n_tokens long"
+    if not with_prompts:
+        names.remove("prompt")
+        schema = schema.replace(" prompt string,", "")
 
     def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -139,7 +145,7 @@ def label_conversations(df: DataFrame, key: str, prompts: str, generate: Generat
                         nxt.append(i)
                 active = nxt
                 k += 1
-            yield pd.DataFrame(out, columns=[key, "k", "prompt", "reply", "n_tokens"])
+            yield pd.DataFrame(out, columns=[key, "k", "prompt", "reply", "n_tokens"])[names]
     res = df.select(key, prompts).mapInPandas(fn, schema)
     return materialize(res) if checkpoint else res
 

@@ -115,6 +115,20 @@ def vocab_json(vocab: DataFrame) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("id").cast("string"), "ch")))))
 
 
+def write_vocab_json(vocab: DataFrame, path: str) -> None:
+    """The vocabulary as one JSON object ``{"id": "char", ..}`` in id order, an entry a
+    line (S22).  At most one entry per code point, so the one part file is bounded; no row
+    holds the vocabulary."""
+    entry = F.concat(F.lit('"'), F.col("id").cast("string"), F.lit('": '), F.expr("substring(to_json(array(ch)), 2, "
+                     "char_length(to_json(array(ch))) - 2)"))
+    last = vocab.agg(F.max("id")).first()[0]
+    lines = vocab.select(F.col("id").cast("long").alias("at"), F.concat(entry, F.when(F.col("id") < F.lit(last), ",")
+                                                                       .otherwise("")).alias("value"))
+    spark = vocab.sparkSession
+    ends = spark.createDataFrame([(-1, "{"), ((last if last is not None else -1) + 1, "}")], "at long, value string")
+    lines.unionByName(ends).repartition(1).sortWithinPartitions("at").select("value").write.mode("overwrite").text(path)
+
+
 def id_array(vocab: DataFrame) -> Column:
     """Literal array of the characters by their dense id: decoding is one array access a
     token, for a vocabulary of any size (at most one entry per code point)."""

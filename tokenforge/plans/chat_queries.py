@@ -50,10 +50,11 @@ ENSURE = f"(CASE WHEN suffix(text, {NL2}) THEN text ELSE text || {NL2} END)"
 @query("user_prompts", sql=f"""
 SELECT conv_id, (idx // 2)::BIGINT AS k, text AS prompt FROM {ORDERED} WHERE idx % 2 = 0""")
 def q_user_prompts(spark, sf_dir):
-    """Chat B (flat list): even-index items are the user prompts."""
-    t = _turns(spark, sf_dir).select("conv_id", TU.as_flat_list("turns").alias("data"))
-    e = t.select("conv_id", F.posexplode(TU.even_items("data")).alias("k", "prompt"))
-    return e.select("conv_id", F.col("k").cast("long"), "prompt")
+    """Chat B (flat list): even-index items are the user prompts (P9); turns are numbered
+    by the skew-safe index, no row holds a conversation."""
+    c = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"])
+    c = keyed_index(c, ["conv_id"], ["turn"]).where(F.col("idx") % 2 == 0)
+    return c.select("conv_id", F.expr("idx div 2").alias("k"), F.col("text").alias("prompt"))
 
 
 @query("drop_system_first", sql=f"""
@@ -63,11 +64,14 @@ SELECT conv_id, idx::BIGINT AS idx, CASE WHEN role = 'user' THEN text ELSE '' EN
 FROM o JOIN f USING (conv_id)""")
 def q_drop_system_first(spark, sf_dir):
     """Chat C: blank every non-human value, drop the conversation when the
-    first value is blank (P10)."""
-    t = _turns(spark, sf_dir).select("conv_id", TU.blank_non_human(TU.as_from_value("turns")).alias("v"))
-    t = t.where(F.element_at("v", 1) != "")
-    e = t.select("conv_id", F.posexplode("v").alias("idx", "value"))
-    return e.select("conv_id", F.col("idx").cast("long"), "value")
+    first value is blank (P10): the first turn's verdict is carried along its
+    conversation by the skew-safe scan."""
+    c = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    value = F.when(F.col("role") == "user", F.col("text")).otherwise(F.lit(""))
+    c = keyed_index(c, ["conv_id"], ["turn"]).withColumn("value", value)
+    opens = ((F.col("idx") == 0) & (F.col("value") != "")).cast("long")
+    c = keyed_scan(c, ["conv_id"], ["idx"], maxes={"kept": opens}, index_col=None)
+    return c.where("kept = 1").select("conv_id", "idx", "value")
 
 
 @query("chat_schema_dispatch", sql=f"""
@@ -370,8 +374,9 @@ def q_chat_samples_v4(spark, sf_dir):
     t = TU.parse_role_text(t, "rt", "turns")
     ids, labels = SB.role_text_builder(F.col("turns"), SAMPLE_LEN)
     t = t.select("conv_id", ids.alias("ids"), labels.alias("labels"))
-    return _out(t, F.col("ids"), F.col("labels")).join(
-        t.select("conv_id", bucket_first_fit(F.size("ids"), 256, 768).alias("bucket_hi")), "conv_id")
+    return t.select("conv_id", T.join_ints("ids").alias("input_ids"), T.join_ints("labels").alias("labels"),
+                    T.count_not("labels", T.IGNORE).cast("long").alias("n_valid"),
+                    bucket_first_fit(F.size("ids"), 256, 768).alias("bucket_hi"))
 
 
 # ------------------------------------------------------------------ parsers

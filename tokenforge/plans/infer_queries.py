@@ -67,7 +67,8 @@ def q_pseudo_label_stub(spark, sf_dir):
     stops after the pair whose token count reaches 2048 (F5, W8, W9)."""
     t = TU.turns_from_rows(read_table(spark, sf_dir, "conversations"))
     t = t.select("conv_id", TU.even_items(TU.as_flat_list("turns")).alias("users"))
-    r = INF.label_conversations(t, "conv_id", "users", INF.md5_generator, 2048, inclusive=True, checkpoint=True)
+    r = INF.label_conversations(t, "conv_id", "users", INF.md5_generator, 2048, inclusive=True, checkpoint=True,
+                                with_prompts=False)
     return r.select("conv_id", "k", "reply", "n_tokens")
 
 
