@@ -157,3 +157,27 @@ def test_partition_writer_names_by_model_and_tags(spark):
     one = spark.createDataFrame([("a<|im_end|>\n",), ("b",), (None,)], "p string")
     assert [r["c"] for r in one.select(TU.cut_closing_tag(F.col("p")).alias("c")).collect()] == ["a", "b", None]
     assert df.limit(1).select(TU.render_llama("turns", bos=True).alias("t")).first()["t"].startswith(TU.LLAMA_BOS_TEXT)
+
+
+def test_text_store_equals_token_store(spark):
+    """Windows, wrap and pads of the blocked text store and of stored token arrays, with
+    empty documents, pieces over many blocks and characters beyond the first plane."""
+    import random
+    from tokenforge.functions import tokens as T
+    from tokenforge.operators import token_stream as S
+    rnd = random.Random(12)
+    rows = [(i, "".join(rnd.choice("ab\u00e9\U0001f600\n") for _ in range(rnd.choice([0, 0, 1, 3, 8, 30])))) for i in range(25)]
+    rows += [(25, ""), (26, "zz"), (27, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    a = S.build_text_store(df, "doc_id", "text", ["doc_id"], block=4)
+    b = S.build_store(df, "doc_id", T.codepoints("text"), ["doc_id"], F.col("doc_id"))
+    total = sum(len(t) for _, t in rows)
+    req = spark.createDataFrame([(i, i) for i in range(0, total, 3)], "rk long, pos long")
+    key = lambda r: str(r)
+    for make in (lambda s: S.pad_spill(s, 9), lambda s: S.pad_spill(s, 9, mode="pad", pad=7),
+                 lambda s: S.read_windows(s, req, "rk", "pos", 9)):
+        assert sorted(map(tuple, make(a).collect()), key=key) == sorted(map(tuple, make(b).collect()), key=key)
+    flat = [ord(c) for _, t in rows for c in t]
+    for r in S.read_windows(a, req, "rk", "pos", 9).collect():
+        assert r["window"] == flat[r["pos"]:r["pos"] + 9]
+    assert S.pad_spill(a, 9).count() == len(rows)

@@ -22,8 +22,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .ordered import keyed_scan
+from ..functions.tokens import codepoints
+from ..session import materialize, small_table
+from .ordered import BROADCAST_ROWS, keyed_scan
+
+
+TEXT_BLOCK = 4_096            # characters of a text store's rows
 
 
 @dataclass
@@ -34,10 +38,27 @@ class TokenStore:
     Position logic (as-of lookups, spans, wrap) runs on ``offsets`` only;
     token slices are fetched at the end by one equi-join of thin piece rows
     with ``tokens``, whose partitioning by key is kept by the checkpoint, so
-    the token arrays are not shuffled again."""
+    the token arrays are not shuffled again.
+
+    With ``block``, ``tokens`` has (key, _blk, text) instead: texts whose tokens are their
+    code points, in rows of ``block`` characters, so that a very long document is many
+    rows; only the characters of a piece become tokens, when it is fetched."""
     tokens: DataFrame
     offsets: DataFrame
     key: str
+    block: int | None = None
+
+
+def build_text_store(docs: DataFrame, key: str, text: str, order: list[str], extra: list[str] | None = None,
+                     block: int = TEXT_BLOCK) -> TokenStore:
+    """A store of code points that keeps the texts (S12, W3): sizes are read off the
+    texts, nothing is tokenized before it is asked for."""
+    extra = list(extra or [])
+    size = F.coalesce(F.char_length(text), F.lit(0))
+    off = materialize(size_offsets(docs.select(key, *extra, size.alias("size")), F.col("size"), order))
+    cut = F.expr(f"regexp_extract_all(`{text}`, '(?s).{{1,{block}}}', 0)")
+    rows = materialize(docs.select(key, F.posexplode(cut).alias("_blk", "text")))
+    return TokenStore(rows, off, key, block)
 
 
 def build_store(docs: DataFrame, key: str, tokens: Column, order: list[str], chunk_value: Column,
@@ -120,21 +141,36 @@ def as_store(table: DataFrame, key: str) -> TokenStore:
 
 
 def _fetch(store: TokenStore, pieces: DataFrame) -> DataFrame:
-    """Slice the tokens of thin piece rows ``(_rk, key, _from, _len, _ps)``."""
-    j = pieces.join(store.tokens, store.key)
-    return j.select("_rk", "_ps", F.slice("tokens", (F.col("_from") + 1).cast("int"),
-                                          F.col("_len").cast("int")).alias("_piece"))
-
-
-def _assemble(pieces: DataFrame, length: int, out: str) -> DataFrame:
+    """The tokens of thin piece rows ``(_rk, key, _from, _len, _ps)``.  The pieces are
+    broadcast to the stored rows where their measured size allows."""
+    if store.block is None:
+        j = pieces.join(store.tokens, store.key)
+        return j.select("_rk", "_ps", F.slice("tokens", (F.col("_from") + 1).cast("int"),
+                                              F.col("_len").cast("int")).alias("_piece"))
+    size = F.lit(store.block)
+    p = pieces.where("_len > 0").withColumn("_blk", F.explode(F.sequence(
+        F.expr(f"cast(_from div {store.block} as int)"), F.expr(f"cast((_from + _len - 1) div {store.block} as int)"))))
+    begin = F.col("_blk") * size
+    p = p.select("_rk", store.key, "_blk", F.greatest(F.col("_from") - begin, F.lit(0)).cast("int").alias("_lo"),
+                 F.least(F.col("_from") + F.col("_len") - begin, size).cast("int").alias("_hi"),
+                 (F.col("_ps") + F.greatest(begin - F.col("_from"), F.lit(0))).alias("_ps"))
+    p, small = small_table(p, BROADCAST_ROWS)
+    j = store.tokens.join(F.broadcast(p) if small else p, [store.key, "_blk"])
+    some = F.substr("text", F.col("_lo") + 1, F.col("_hi") - F.col("_lo"))
+    return j.select("_rk", "_ps", codepoints(some).alias("_piece"))
+
+
+def _assemble(pieces: DataFrame, length: int | None, out: str) -> DataFrame:
     """Pieces of each request in stream order, cut to ``length`` (at most
     ``length + 1`` pieces per request)."""
+    whole = F.flatten(F.transform("_p", lambda x: x["_piece"]))
     return (pieces.groupBy("_rk").agg(F.array_sort(F.collect_list(F.struct("_ps", "_piece"))).alias("_p"))
-            .select("_rk", F.slice(F.flatten(F.transform("_p", lambda x: x["_piece"])), 1, length).alias(out)))
+            .select("_rk", (whole if length is None else F.slice(whole, 1, length)).alias(out)))
 
 
-def _following(store: TokenStore, req: DataFrame, length: int) -> DataFrame:
-    """Pieces of the documents that start inside ``(_pos, _pos + length)``:
+def _following(store: TokenStore, req: DataFrame, length: int, at_pos: bool = False) -> DataFrame:
+    """Pieces of the documents that start inside ``(_pos, _pos + length)``, with
+    ``at_pos`` also of the one that starts at ``_pos``:
     an equi-join on ``floor(position / length)``, two buckets per request and
     at most ``length`` non-empty documents per bucket."""
     w = F.lit(length)
@@ -142,7 +178,8 @@ def _following(store: TokenStore, req: DataFrame, length: int) -> DataFrame:
                                                      F.floor(F.col("_pos") / w) + 1)).alias("_b"))
     db = store.offsets.where(F.col("size") > 0).select(store.key, "start", "size",
                                                        F.floor(F.col("start") / w).alias("_b"))
-    return (rb.join(db, "_b").where((F.col("start") > F.col("_pos")) & (F.col("start") < F.col("_pos") + w))
+    first = F.col("start") >= F.col("_pos") if at_pos else F.col("start") > F.col("_pos")
+    return (rb.join(db, "_b").where(first & (F.col("start") < F.col("_pos") + w))
             .select("_rk", store.key, F.lit(0).cast("long").alias("_from"),
                     F.least(F.col("size"), F.col("_pos") + w - F.col("start")).alias("_len"),
                     F.col("start").alias("_ps")))
@@ -194,22 +231,25 @@ def pad_spill(store: TokenStore, length: int, out: str = "tokens", mode: str = "
     """
     key = store.key
     if mode == "pad":
-        return store.tokens.select(key, padded(F.col("tokens"), length, pad).alias(out),
-                                   F.least(F.size("tokens"), F.lit(length)).cast("long").alias("min_len"))
+        own = store.offsets.select(F.col(key).alias("_rk"), key, F.lit(0).cast("long").alias("_from"),
+                                   F.least("size", F.lit(length)).cast("long").alias("_len"), F.col("start").alias("_ps"))
+        got = _assemble(_fetch(store, own), length, "_own").withColumnRenamed("_rk", key)
+        return store.offsets.select(key, "size").join(got, key, "left").select(
+            key, padded(F.coalesce("_own", F.array().cast("array<int>")), length, pad).alias(out),
+            F.least("size", F.lit(length)).alias("min_len"))
     total = store.offsets.agg(F.sum("size")).first()[0] or 0
     head = store_head(store, length)
     off = store.offsets.select(key, "start", "size")
     inside = off.where(F.col("start") + length <= total)
     req = inside.select(F.col(key).alias("_rk"), F.col("start").alias("_pos"))
-    own = inside.select(F.col(key).alias("_rk"), key, F.lit(0).cast("long").alias("_from"),
-                        F.least(F.col("size"), F.lit(length)).cast("long").alias("_len"), F.col("start").alias("_ps"))
-    spill = _assemble(_fetch(store, own.unionByName(_following(store, req, length))), length, out)
+    # an empty item begins where the next one does, and reads that one's tokens
+    spill = _assemble(_fetch(store, _following(store, req, length, at_pos=True)), length, out)
     wrap = off.where(F.col("start") + length > total)
-    wrap_own = _fetch(store, wrap.select(F.col(key).alias("_rk"), key, F.lit(0).cast("long").alias("_from"),
-                                         F.col("size").alias("_len"), F.col("start").alias("_ps")))
+    own = _assemble(_fetch(store, wrap.select(F.col(key).alias("_rk"), key, F.lit(0).cast("long").alias("_from"),
+                                              F.col("size").alias("_len"), F.col("start").alias("_ps"))), None, "_own")
     fill = F.from_json(F.lit(json.dumps([int(x) for x in head])), "array<int>")
-    wrapped = (wrap_own.join(wrap.select(F.col(key).alias("_rk"), "size"), "_rk")
-               .select("_rk", F.concat(F.col("_piece"), F.slice(fill, 1, F.greatest(
+    wrapped = (wrap.select(F.col(key).alias("_rk"), "size").join(own, "_rk", "left")
+               .select("_rk", F.concat(F.coalesce("_own", F.array().cast("array<int>")), F.slice(fill, 1, F.greatest(
                    F.lit(length) - F.col("size"), F.lit(0)).cast("int"))).alias(out)))
     res = spill.unionByName(wrapped).withColumnRenamed("_rk", key)
     return (off.select(key, "size").join(res, key)

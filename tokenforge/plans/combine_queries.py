@@ -30,10 +30,10 @@ def _docs(spark, sf_dir, *cols):
 
 
 def _store(spark, sf_dir) -> S.TokenStore:
-    """The store is a stored artifact (the .bin/.idx pair): tokenized once,
-    kept partitioned by ``doc_id``, indexed by a thin offsets table."""
+    """The documents as one stream of code points: texts in rows of bounded size and a
+    thin index of sizes and offsets."""
     d = read_table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
-    return S.build_store(d, "doc_id", T.codepoints("text"), ["doc_id"], F.col("doc_id"), extra=["source"])
+    return S.build_text_store(d, "doc_id", "text", ["doc_id"], extra=["source"])
 
 
 def _sizes(spark, sf_dir):
