@@ -4,6 +4,13 @@ personal data, encoding.
 Each stage is ``(spark, docs, sf_dir) -> DataFrame``; its result is written as
 Parquet and read again as the next one's ``docs``.  All but the last return the
 columns of ``documents``.
+
+Defined results: a null, empty or very short text fails the quality rules.  Taken alone,
+the later stages keep it: it has no near duplicate, isn't contaminated, holds no personal
+data and has no tokens.  Of repeated rows and of copies one stays, that of the smallest
+id; copies without an id go where a copy has one, and stay where none has.  An empty
+table stays empty; other columns are handed through until the last stage, whatever
+their names.
 """
 
 from __future__ import annotations
