@@ -339,6 +339,37 @@ def test_rare_and_frequent_cells_of_equal_members(spark, monkeypatch):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute_components(some)
 
 
+def test_cells_that_no_pivot_separates(spark, monkeypatch):
+    """Many classes share one shingle and little else, so pivots find them all far: the
+    steps must go on beyond the given pivots, and still lose no link."""
+    rnd = random.Random(31)
+    some = {}
+    for i in range(90):
+        own = [f"w{rnd.randrange(10**6)}" for _ in range(3)]
+        some[i] = " ".join(["common"] * 5 + own)
+    some[200] = some[7] + " more"
+    some[201] = some[60]
+    monkeypatch.setattr(jaccard_join, "SMALL", 3)
+    monkeypatch.setattr(jaccard_join, "FEW", 2)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", (1, 1))
+    got = rows_of(jaccard_join.near_duplicates(spark.createDataFrame(list(some.items()), "doc_id long, text string")))
+    sets = {k: {tuple(w[j:j + 5]) for j in range(len(w) - 4)} for k, w in ((k, v.split()) for k, v in some.items())}
+    want = {}
+    for a in sorted(sets):
+        links = [b for b in sorted(sets) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+        want[a] = links[0]
+    assert {k: r["component_id"] for k, r in got.items()} == want
+
+
+def test_copies_without_an_id_go(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text), (None, text), (None, text), (None, "another text with quite other words"), (2, ""), (None, ""),
+            (None, "another text with quite other words")]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(
+        [(1, text), (2, ""), (None, "")] + [(None, "another text with quite other words")] * 2, key=str)
+
+
 def test_near_duplicates_edges(spark, odd):
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(odd).collect()]
     assert len(got) == odd.count()
@@ -350,6 +381,18 @@ def test_near_duplicates_edges(spark, odd):
     assert jaccard_join.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_marks_without_letters_have_no_language():
+    model = language_id.Model((("en", "some english words"), ("fr", "des mots")))
+    got = model.predict(pa.array(["\u0301", "\u0301 1", "e\u0301"])).field("lang_pred").to_pylist()
+    assert got[:2] == ["und", "und"] and got[2] != "und"
+
+
+def test_rules_measure_very_long_runs(spark):
+    text = "word " * 60 + " " * 1_000_000 + "end"
+    got = rows_of(quality_rules.quality_rules(spark.createDataFrame([(1, text)], "doc_id long, text string"), ["doc_id"]))
+    assert got[1]["n_words"] == 61 and got[1]["n_tokens"] > 60
+
+
 # ---- byte-level BPE
 
 def test_bpe_equals_the_library(spark, docs, texts, odd):
@@ -434,3 +477,12 @@ def test_pipeline_brute_force(spark, docs, texts):
         assert not pii.rule_spans(plain)
         if not pii.rule_spans(texts[i]) and not re.search("[0-9@]", texts[i]):
             assert plain == texts[i]
+
+
+def test_a_repeated_labelled_row_is_collected_once(spark):
+    docs = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("some labelled text").alias("text"))
+    labels = spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int")
+    rows, share = toxicity.labelled_rows(docs, labels.select("doc_id", "toxic"))
+    assert rows == [("some labelled text", 1)] and share == 1.0
+    plan = quality_model.rated_rows(docs, labels.select("doc_id", F.col("quality").alias("grade")))
+    assert plan[0] == ["some labelled text"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -173,6 +175,21 @@ class Texts:
         return starts, ends, np.searchsorted(self.offsets, starts, "right") - 1
 
 
+@functools.lru_cache(1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):          # a C library without it
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Return freed memory to the system.  A worker that keeps what a batch needed at
+    its peak would hold it through every later stage, beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def chunks(arr: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[pa.Array]:
     """Slices of whole texts, of about ``limit`` bytes each; nulls become empty."""
     arr = arr.fill_null("")
@@ -183,6 +200,8 @@ def chunks(arr: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[pa.Array]:
         j = max(i + 1, int(np.searchsorted(ends, done + limit, "right")))
         yield arr.slice(i, j - i)
         done, i = int(ends[j - 1]), j
+    if len(arr):
+        give_back()
 
 
 def by_chunk(arr: pa.Array, fn, kind: pa.DataType, limit: int = CHUNK_BYTES) -> pa.Array:

@@ -40,13 +40,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import BROADCAST_BYTES, materialize
-from .common import LOWER, WS, Texts, bounded, chunks, compact, maybe_broadcast, mix, span_hashes, stored
+from .common import LOWER, WS, Texts, bounded, chunks, compact, give_back, maybe_broadcast, mix, span_hashes, stored
 
 SHINGLE, NUM, DEN = 5, 3, 4    # words; least similarity as a fraction
 SMALL = 64                     # classes of a cell that gives its pairs
-PIVOTS = (2, 6, 6, 8)          # pivots of a larger cell, by depth
+FEW = 64                       # unconnected members that are measured against a larger cell
+PIVOTS = (2, 6, 6, 8)          # pivots of a larger cell, by depth; then twice as many each time
 FREQ_SHARE, FREQ_LEAST, FREQ_ROWS = 32, 3, 200_000   # order of frequent shingles: see frequent_shingles
-SET_BYTES = 8 << 20            # sets of a step that are broadcast; beyond it they are shuffled
+SET_BYTES = 1 << 20            # sets of a step that are broadcast; beyond it they are shuffled
 SKETCH = 256                   # ranges that a set's members are counted in
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -224,7 +225,10 @@ def most_overlap_udf():
             return pa.array(least)
         x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(-1, SKETCH) for v in (a, b))
         low = np.minimum(x, y)
-        return pa.array(np.where((low == 255).any(1), least, np.minimum(least, low.sum(1, dtype=np.int64))))
+        most = np.where((low == 255).any(1), least, np.minimum(least, low.sum(1, dtype=np.int64)))
+        del x, y, low
+        give_back()
+        return pa.array(most)
     return F.arrow_udf(run, "long")
 
 
@@ -238,6 +242,8 @@ def overlap_udf():
             both = np.concatenate([av[ao[i]:ao[i + 1]], bv[bo[i]:bo[i + 1]]])
             both.sort()
             out[i] = np.count_nonzero(both[1:] == both[:-1])
+        del av, bv
+        give_back()
         return pa.array(out)
     return F.arrow_udf(run, "long")
 
@@ -292,6 +298,10 @@ def small_cell_pairs(cells: DataFrame, large: DataFrame, sizes: DataFrame, num:
         .select("a", "b").distinct()
 
 
+def pivots_of(depth: int) -> int:
+    return PIVOTS[depth] if depth < len(PIVOTS) else PIVOTS[-1] << (depth - len(PIVOTS) + 1)
+
+
 def split_cells(cells: DataFrame, sets: tuple, depth: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(links, regions) of one step: cells (cell, sig) are split around pivots."""
     r, eps = 1 - num / den, 1e-9
@@ -300,7 +310,7 @@ def split_cells(cells: DataFrame, sets: tuple, depth: int, num: int, den: int) -
     # The smallest members are the pivots: what a cell shares is most of them.
     w = Window.partitionBy("cell").orderBy("n", F.xxhash64("sig"), "sig")
     pivots, few = bounded(cells.select("cell", "sig", "n").withColumn("_rn", F.row_number().over(w))
-                          .where(F.col("_rn") <= PIVOTS[depth]).select("cell", F.col("sig").alias("pivot")))
+                          .where(F.col("_rn") <= pivots_of(depth)).select("cell", F.col("sig").alias("pivot")))
     near = cells.select("cell", "sig", "n", "most").join(maybe_broadcast(pivots, few), "cell")
     low, high = F.least("sig", "pivot"), F.greatest("sig", "pivot")
     known = measure(near.where("sig != pivot").select(low.alias("a"), high.alias("b")).distinct(), sets, 2 * r) \
@@ -398,17 +408,19 @@ def links(texts: DataFrame, profiles: DataFrame, sizes: DataFrame, num: int = NU
                              .unionByName(large.select("sig")).distinct()), "sets")
     sets = (sets, *bounded(sets.select("sig", "n", "sketch")))      # whole, thin, thin is small
     found = measure(pairs, sets, 1 - num / den).where(is_link(num, den)).select("a", "b")
-    for depth in range(len(PIVOTS) + 1):
+    depth = 0
+    while True:
         state = open_cells(large, found, num, den)
-        few = state.where((F.col("others") <= SMALL) | F.lit(depth == len(PIVOTS)))
+        few = state.where(F.col("others") <= FEW)
         if not few.isEmpty():
             found = found.unionByName(measure(cross_pairs(few, num, den), sets, 1 - num / den)
                                       .where(is_link(num, den)).select("a", "b"))
-        many = state.where(F.col("others") > SMALL)
-        if depth == len(PIVOTS) or many.isEmpty():
+        many = state.where(F.col("others") > FEW)
+        if many.isEmpty():
             return found
         new, large = split_cells(many, sets, depth, num, den)
         found, large = found.unionByName(new), stored(large, "regions")
+        depth += 1
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -429,8 +441,8 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def _found(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, n, component_id and class (sig, sig2) of every row."""
     p = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), profile_udf()(F.col(f"`{text}`")).alias("p"))
     rows = stored(p.select("doc_id", "p.*"), "profiles")
     classes = materialize(rows.where("n > 0").groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("least")))
@@ -441,21 +453,33 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     w = grouped.groupBy(F.col("root").alias("_r")).agg(F.min("least").alias("component_id"))
     where = grouped.join(w, F.col("root") == F.col("_r")).select("sig", "sig2", "n", "component_id")
     out = rows.join(where, ["sig", "sig2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"),
-                      F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")) \
-        .withColumnRenamed("doc_id", doc_id)
+    return out.select("doc_id", "n", "sig", "sig2",
+                      F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    return _found(docs, doc_id, text).select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, that of its smallest id, with its own columns.  Rows
     without words are linked with nothing and all stay; so do rows of components
     without any id."""
-    found = near_duplicates(docs, doc_id, text)
-    out, small = bounded(found.where((F.col("n_shingles") > 0) & (F.col(doc_id) != F.col("component_id")))
-                         .select(F.col(doc_id).alias("_id")).distinct())
+    found = stored(_found(docs, doc_id, text), "found").where("n > 0")
+    out, small = bounded(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct())
     rest = docs.join(maybe_broadcast(out, small), F.col(f"`{doc_id}`") == F.col("_id"), "left_anti")
-    again, small = bounded(found.where((F.col("n_shingles") > 0) & (F.col(doc_id) == F.col("component_id")))
-                           .groupBy(F.col(doc_id).alias("_id")).count().where("count > 1").select("_id"))
+    # rows without an id, in components that have one: told by their class
+    lost, few = bounded(found.where("doc_id IS NULL AND component_id IS NOT NULL")
+                        .select(*[F.col(c).alias(f"_{c}") for c in ("n", "sig", "sig2")]).distinct())
+    if not lost.isEmpty():
+        no_id = F.col(f"`{doc_id}`").isNull()
+        nameless = rest.where(no_id).withColumn("_p", profile_udf()(F.col(f"`{text}`"))) \
+            .join(maybe_broadcast(lost, few), (F.col("_p.n") == F.col("_n")) & (F.col("_p.sig") == F.col("_sig"))
+                  & (F.col("_p.sig2") == F.col("_sig2")), "left_anti").drop("_p")
+        rest = rest.where(~no_id).unionByName(nameless)
+    again, small = bounded(found.where(F.col("doc_id") == F.col("component_id"))
+                           .groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"))
     if again.isEmpty():
         return rest
     again = maybe_broadcast(again, small)

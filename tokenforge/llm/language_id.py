@@ -24,6 +24,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,7 @@ LONG = 4_000                   # characters; longer labelled rows are taken last
 BLOCK = 256                    # symbols of a text that are parsed together
 CHUNK = 4 << 20                # bytes of text that are parsed side by side
 UNKNOWN = "und"
+LETTER = regex.compile(r"\p{L}")
 OUT = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
 
@@ -124,9 +126,10 @@ class Model:
         self.automata = [Automaton(self.code[parts[k]].tolist(), len(known) + 1) for k in self.langs]
 
     def predict(self, arr: pa.Array) -> pa.Array:
-        seqs = [symbols(t) for t in arr.to_pylist()]
+        texts = arr.to_pylist()
+        seqs = [symbols(t) for t in texts]
         lens = np.array([len(s) for s in seqs], np.int64)
-        letters = np.array([bool((s != 0x20).any()) for s in seqs], bool)
+        letters = np.array([LETTER.search(t) is not None for t in texts], bool)     # marks alone are none
         if not self.langs or not letters.any():
             return pa.StructArray.from_arrays([pa.array([UNKNOWN] * len(seqs), pa.string()),
                                                pa.array(np.zeros(len(seqs)))], fields=list(OUT))

@@ -124,7 +124,8 @@ def rated_rows(docs: DataFrame, ratings: DataFrame, rows_per_grade: int = ROWS_P
         .groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     n = {x["grade"]: x["count"] for x in r.groupBy("grade").count().collect()}
     chosen = sample_rows(r, ["grade"], [F.xxhash64("doc_id"), F.col("doc_id")], rows_per_grade)
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
+    # copies of a row go in Spark, so an id that is repeated very often comes once
+    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").distinct().collect()
     rows = sorted({(x["doc_id"], x["text"] or "", x["grade"]) for x in got})
     y = np.array([x[2] for x in rows], np.int64)
     have = np.bincount(y, minlength=GRADES) if len(y) else np.zeros(GRADES)

@@ -47,7 +47,14 @@ def load_encoder(name: str):
                 token.decode()
             except UnicodeDecodeError:
                 partial[i] = True
-        return (lambda text: enc.encode_to_numpy(text, disallowed_special=())), partial
+
+        def encode(text: str) -> np.ndarray:
+            try:
+                return enc.encode_to_numpy(text, disallowed_special=())
+            except ValueError:         # a run of white space too long for the library's regex engine
+                from .byte_bpe import load
+                return load(name).encode_batch([text])[0]
+        return encode, partial
     import sentencepiece
     sp = sentencepiece.SentencePieceProcessor(model_file=vocab_path(name))
     partial = np.fromiter((sp.is_byte(i) for i in range(sp.vocab_size())), bool)

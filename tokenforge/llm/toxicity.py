@@ -192,7 +192,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     n = {r["y"]: r["count"] for r in lab.groupBy("y").count().collect()}
     chosen = sample_rows(lab, ["y"], [F.xxhash64("doc_id"), F.col("doc_id")], rows_per_class)
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
+    # copies of a row go in Spark, so an id that is repeated very often comes once
+    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").distinct().collect()
     rows = sorted({(r["doc_id"], r["text"] or "", r["y"]) for r in got}, key=lambda r: (hash_id(r[0]), r))
     return [(t, int(y > 0)) for _, t, y in rows], sum(c for y, c in n.items() if y > 0) / max(1, sum(n.values()))
 
