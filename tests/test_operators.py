@@ -181,3 +181,18 @@ def test_text_store_equals_token_store(spark):
     for r in S.read_windows(a, req, "rk", "pos", 9).collect():
         assert r["window"] == flat[r["pos"]:r["pos"] + 9]
     assert S.pad_spill(a, 9).count() == len(rows)
+
+def test_masked_sample_equals_the_single_steps(spark, monkeypatch):
+    from tokenforge.functions import tokens as T
+    rows = [(0, "ab中\U0001f600"), (1, ""), (2, None), (3, "x" * 7), (4, "a\0b"), (5, "y" * 8), (5, "y" * 8)]
+    d = spark.createDataFrame(rows, "k long, text string")
+    w = d.withColumn("cp", T.codepoints("text"))
+    w = w.withColumn("ids", T.pad_to(F.concat("cp", T.int_array([0])), (F.ceil((F.size("cp") + 1) / F.lit(8)) * 8).cast("int"), 0))
+    w = w.withColumn("labels", T.mask_where_input("ids", T.shift_left("ids", 0), 0))
+    want = w.select("k", F.size("ids").cast("long"), T.digest_ints(T.replace_value("ids", 0, 9)), T.digest_ints("labels"),
+                    T.count_eq("labels", -100).cast("long"))
+    want = sorted(map(str, map(tuple, want.collect())))
+    for size in (1 << 20, 1):                    # one slice, and one for every text
+        monkeypatch.setattr(T, "SLICE_BYTES", size)
+        got = d.select("k", T.masked_sample("text", 8, 0, 9).alias("s")).select("k", "s.*")
+        assert sorted(map(str, map(tuple, got.collect()))) == want

@@ -1,4 +1,4 @@
-"""Column functions over token arrays (``ARRAY<INT>``), all JVM-side.
+"""Column functions over token arrays (``ARRAY<INT>``), all JVM-side but ``masked_sample``.
 
 Conventions (SURVEY 7.7): code-point token ids, ``eos = pad = 0``, ``bos = 1``,
 ignore label ``-100``.  Every function takes and returns ``Column``.
@@ -6,12 +6,18 @@ ignore label ``-100``.  Every function takes and returns ``Column``.
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .core import let
 
 IGNORE = -100
+SLICE_BYTES = 1 << 20          # of text that one step of masked_sample works on
 
 
 def _c(x) -> Column:
@@ -152,3 +158,54 @@ def head_cut(ids, length) -> Column:
     """``only(idx, length)``: the item cut to ``min(size, length)``."""
     a = _c(ids)
     return F.slice(a, 1, F.least(F.size(a), _lit(length)))
+
+
+def _digests(at: np.ndarray, ids: np.ndarray) -> list[str]:
+    """:func:`digest_ints` of the lists that begin and end at ``at``."""
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids).cast(pa.string())), ",")
+    return [hashlib.md5(t.as_buffer()).hexdigest() for t in texts]
+
+
+def _masked(texts: list[str], step: int, eos: int, pad: int) -> tuple[np.ndarray, list[str], list[str], np.ndarray]:
+    n = np.fromiter(map(len, texts), np.int64, len(texts))
+    size = -(-(n + 1) // step) * step
+    at, fro = np.r_[0, np.cumsum(size)], np.cumsum(n) - n
+    ids = np.full(at[-1], eos, np.int32)
+    cp = np.frombuffer("".join(texts).encode("utf-32-le"), np.int32)
+    ids[np.arange(len(cp)) + np.repeat(at[:-1] - fro, n)] = cp
+    labels = np.r_[ids[1:], np.int32(eos)]
+    labels[at[1:] - 1] = eos
+    end = ids == eos
+    labels[end] = IGNORE
+    masked = np.r_[0, np.cumsum(labels == IGNORE)][at]
+    inputs = np.where(end, np.int32(pad), ids)
+    return size, _digests(at, inputs), _digests(at, labels), np.diff(masked)
+
+
+def masked_sample(text, step: int, eos: int = 0, pad: int = 0) -> Column:
+    """Whole texts as samples of their own length: code points, ``eos`` appended and
+    repeated to a multiple of ``step``, labels shifted and ``IGNORE`` where the input is
+    ``eos``, inputs ``eos`` -> ``pad`` (Y7).  Returns the size, the digests of inputs and
+    labels and the number of ignored labels; a null text gives nulls.
+
+    The same as the functions above, one after the other; but their lambdas are
+    interpreted id by id, and here Arrow batches are worked on in slices of about
+    ``SLICE_BYTES``, whose arrays never leave the task's memory.
+    """
+    kind = pa.struct([("n", pa.int64()), ("input_ids_md5", pa.string()), ("labels_md5", pa.string()), ("n_masked", pa.int64())])
+
+    def some(texts: pa.Array) -> pa.Array:
+        there = texts.is_valid().to_numpy(zero_copy_only=False)
+        cols = _masked(texts.drop_null().to_pylist(), step, eos, pad) if there.any() else ([], [], [], [])
+        at = pa.array(np.cumsum(there) - 1, mask=~there)
+        return pa.StructArray.from_arrays([pa.array(c, f.type).take(at) for c, f in zip(cols, kind)], fields=list(kind))
+
+    def run(texts: pa.Array) -> pa.Array:
+        ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + step)
+        parts, i, done = [], 0, 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(ends, done + SLICE_BYTES, "right")))
+            parts.append(some(texts.slice(i, j - i)))
+            done, i = int(ends[j - 1]), j
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+    return F.arrow_udf(run, "n long, input_ids_md5 string, labels_md5 string, n_masked long")(_c(text))

@@ -156,10 +156,8 @@ SELECT doc_id, len(ids)::BIGINT AS n, md5(array_to_string(ids, ',')) AS input_id
        md5(array_to_string(labels, ',')) AS labels_md5, len(list_filter(labels, lambda x: x = -100))::BIGINT AS n_masked FROM whole""")
 def q_mask_padding(spark, sf_dir):
     """Labels -100 where the input is eos, inputs eos -> pad (Y7), over whole documents."""
-    s = _whole(spark, sf_dir)
-    return s.select("doc_id", F.size("ids").cast("long").alias("n"),
-                    T.digest_ints(T.replace_value("ids", 0, 0)).alias("input_ids_md5"),
-                    T.digest_ints("labels").alias("labels_md5"), T.count_eq("labels", -100).cast("long").alias("n_masked"))
+    s = _docs(spark, sf_dir).select("doc_id", T.masked_sample("text", STEP, eos=0, pad=0).alias("s"))
+    return s.select("doc_id", "s.*")
 
 
 @query("attention_mask", sql=f"""
