@@ -196,3 +196,17 @@ def test_masked_sample_equals_the_single_steps(spark, monkeypatch):
         monkeypatch.setattr(T, "SLICE_BYTES", size)
         got = d.select("k", T.masked_sample("text", 8, 0, 9).alias("s")).select("k", "s.*")
         assert sorted(map(str, map(tuple, got.collect()))) == want
+
+
+def test_short_documents_are_scored_together(spark):
+    df = spark.createDataFrame([(k, [k, k + 1]) for k in range(40)] + [(None, None)], "k long, ids array<int>").coalesce(1)
+    calls = spark.sparkContext.accumulator(0)
+    stub = INF.cosine_stub_scorer(2)
+
+    def scorer(batch):
+        calls.add(1)
+        return stub(batch)
+    got = {(r["k"], r["pos"]): [round(x * 97) for x in r["logits"]]
+           for r in INF.teacher_scores(df, "k", "ids", scorer).collect()}
+    assert got == {(k, p): [(k + p) % 97, 2 * (k + p) % 97] for k in range(40) for p in (0, 1)}
+    assert calls.value == 1
