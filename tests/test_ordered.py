@@ -143,3 +143,16 @@ def test_permutation_of_huge_slots(spark):
     small = S.largest_magic_prime(5000)
     assert spark.range(small).select(S.cubic_slot(F.col("id"), small).alias("s")).distinct().count() == small
     assert S.is_prime(2) and not S.is_prime(1) and not S.is_prime(3215031751) and S.is_prime(10 ** 12 + 39)
+
+
+def test_wide_rows_make_smaller_windows(spark, monkeypatch):
+    from tokenforge.operators import ordered as O
+    d = spark.range(40).select((F.col("id") % 20).alias("k"), F.expr("repeat(cast(id as string), 500)").alias("text"))
+    monkeypatch.setattr(O, "WIDE_ROWS", 2)
+    monkeypatch.setattr(O, "CHUNK_BYTES", 8_000)
+    assert O.rows_within(d, 8_000) < 10 and O.rows_within(d.select("k"), 8_000) == O.ROWS_PER_CHUNK
+    seen = []
+    chunks = O.assign_chunks
+    monkeypatch.setattr(O, "assign_chunks", lambda *a: seen.append(a[3]) or chunks(*a))
+    got = [r[0] for r in global_index(d, ["k", "text"]).orderBy("k", "text").select("idx").collect()]
+    assert got == list(range(40)) and len(seen) == 1 and seen[0] < 10

@@ -7,7 +7,8 @@ all rows, neither survives 100 TB.  Every ordered operator in this package goes
 through :func:`keyed_scan` instead:
 
 1. row counts per key (partial aggregation, so skew does not matter) decide
-   whether a window per key is already bounded;
+   whether a window per key is already bounded; where rows hold texts or arrays,
+   the bound is as many average rows as make ``CHUNK_BYTES``;
 2. otherwise each key above the bound is cut into chunks at sampled quantiles of
    the whole order (a struct of all order columns, so ties of the first column
    are cut too), and every chunk still above the bound is cut again, until none
@@ -29,10 +30,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, AtomicType, BinaryType, StringType
 
 from ..session import small_table
 
 ROWS_PER_CHUNK = 2_000_000
+CHUNK_BYTES = 256 << 20        # of the rows in a window
+WIDE_ROWS = 1_024              # rows in a window of any width
 BROADCAST_ROWS = 2_000_000
 
 FAN = 64                       # most chunks that one round cuts a chunk into
@@ -74,6 +78,29 @@ def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
+def rows_within(df: DataFrame, limit: int) -> int:
+    """Average rows of ``df`` that make ``limit`` bytes, ``ROWS_PER_CHUNK`` at most."""
+    fixed, wide = 0, []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            wide.append(F.octet_length(c))
+        elif isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, AtomicType) \
+                and not isinstance(f.dataType.elementType, (StringType, BinaryType)):
+            wide.append(F.size(c) * 8)
+        elif isinstance(f.dataType, AtomicType):
+            fixed += 8
+        else:
+            wide.append(F.octet_length(F.to_json(F.struct(c))))
+    if not wide:
+        return ROWS_PER_CHUNK
+    each = F.lit(fixed).cast("long")
+    for c in wide:
+        each = each + F.greatest(F.coalesce(c, F.lit(0)), F.lit(0))
+    n, size = df.agg(F.count(F.lit(1)), F.sum(each)).first()
+    return max(WIDE_ROWS, min(ROWS_PER_CHUNK, limit * n // max(size or 0, 1)))
+
+
 def _cuts(d: DataFrame, keys: Sequence[str], rows_per_chunk: int, level: int) -> DataFrame | None:
     """Cuts of every chunk above the bound, ``(keys, chunk, coarse, fine)``; None
     where no chunk can be cut any more.
@@ -136,17 +163,20 @@ def keyed_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
 
     When no key holds more than ``rows_per_chunk`` rows, a window per key is
     already bounded and runs directly; otherwise keys are cut into chunks as
-    described in the module docstring.
+    described in the module docstring.  Without ``rows_per_chunk`` the width of the
+    rows counts too (:func:`rows_within`).
     """
     sums, maxes = dict(sums or {}), dict(maxes or {})
-    rows_per_chunk = ROWS_PER_CHUNK if rows_per_chunk is None else rows_per_chunk
+    most = largest_key(df, keys)
+    if rows_per_chunk is None:
+        rows_per_chunk = rows_within(df, CHUNK_BYTES) if WIDE_ROWS < most <= ROWS_PER_CHUNK else ROWS_PER_CHUNK
 
     def window(part, by):
         w = Window.partitionBy(*part).orderBy(*by)
         return w.rowsBetween(0, Window.unboundedFollowing) if backwards else \
             w.rowsBetween(Window.unboundedPreceding, 0)
 
-    if largest_key(df, keys) <= rows_per_chunk:
+    if most <= rows_per_chunk:
         d, w = df, window(keys, _cols(order))
         if index_col:
             d = d.withColumn(index_col, (F.count(F.lit(1)).over(w) - 1).cast("long"))

@@ -246,10 +246,10 @@ def q_zip_ids_labels(spark, sf_dir):
     """Two separately stored tables (ids, labels) of whole documents zipped by row
     position, after a check that they are of equal shape (S17, J1)."""
     d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
-    ids = d.select("doc_id", T.codepoints("text").alias("ids"))
-    labs = ids.select("doc_id", T.shift_left("ids", 0).alias("labels"))
-    z = C.zip_rows(global_index(ids, ["doc_id"]).drop("doc_id"), global_index(labs, ["doc_id"]).drop("doc_id"),
-                   "idx", "ids", "labels")
+    order = ["doc_id", F.xxhash64("text")]           # ids may repeat: both tables in one order
+    ids = global_index(d, order).select("idx", T.codepoints("text").alias("ids"))
+    labs = global_index(d, order).select("idx", T.shift_left(T.codepoints("text"), 0).alias("labels"))
+    z = C.zip_rows(ids, labs, "idx", "ids", "labels")
     return z.select("idx", F.size("ids").cast("long").alias("n"), T.digest_ints("ids").alias("input_ids_md5"),
                     T.digest_ints("labels").alias("labels_md5"), T.count_not("ids", 0).cast("long").alias("n_attend"))
 
