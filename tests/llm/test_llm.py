@@ -221,6 +221,39 @@ def test_template_texts_hold_on_all_pages(spark):
     assert all(t == f"By {'Ann' if i < 100 else 'Bob'}\n\nPart\n\ntext number {i} with words" for i, t in out.items())
 
 
+def test_all_pages_decide_on_the_path(spark):
+    # leads of early pages are equal, so these alone put the content below them; later ones vary
+    page = ("<body><div class='x'><div class='entry'><div class='lead'>Lead %s</div><div class='entry-content'>"
+            "<p>text number %d with words</p></div></div></div></body>")
+    kind = "page_id long, url string, html string"
+    early = spark.createDataFrame([(i, "http://h.example.com/", page % ("same", i)) for i in range(60)], kind)
+    least = early.select(F.sort_array(F.collect_list(F.xxhash64("html")))[7].alias("h")).first()["h"]
+    late = spark.createDataFrame([(100 + i, "http://h.example.com/", page % (i, 100 + i)) for i in range(40)], kind) \
+        .where(F.xxhash64("html") > least)
+    assert late.count() > 0
+    other = spark.createDataFrame([(200 + i, "http://k.example.com/", page % ("same", i)) for i in range(20)], kind)
+    pages = early.unionByName(late).unionByName(other)
+    out = {r["page_id"]: r["text"] for r in html_extract.html_extract(pages, ["page_id"]).collect()}
+    assert len(out) == pages.count()
+    for i, t in out.items():
+        lead = "" if i >= 200 else f"Lead {'same' if i < 100 else i - 100}\n\n"
+        assert t == f"{lead}text number {i - 200 if i >= 200 else i} with words"
+
+
+def test_pages_of_one_main_text_do_not_hide_the_others(spark):
+    page = "<body><div class='x'>%s<div class='body'><p>%s</p></div></div></body>"
+    kind = "page_id long, url string, html string"
+    same = spark.createDataFrame([(i, "http://h.example.com/", page % (f"<!-- {i} --><div class='tip'>Tip</div>", "one text"))
+                                  for i in range(40)], kind)
+    least = same.select(F.sort_array(F.collect_list(F.xxhash64("html")))[7].alias("h")).first()["h"]
+    more = spark.createDataFrame([(100 + i, "http://h.example.com/", page % ("<div class='tip'>Tip</div>", f"text {i}"))
+                                  for i in range(12)], kind).where(F.xxhash64("html") > least)
+    assert more.count() > 3
+    out = {r["page_id"]: r["text"] for r in html_extract.html_extract(same.unionByName(more), ["page_id"]).collect()}
+    assert len(out) == 40 + more.count()
+    assert all(t == ("one text" if i < 100 else f"text {i - 100}") for i, t in out.items())
+
+
 # ---- personal data
 
 def test_rules_equal_plain_patterns():

@@ -1,20 +1,23 @@
 """Main text of web pages by wrapper induction.
 
-For each host some distinct pages are parsed and their trees aligned by simple
-tree matching.  Aligned nodes with the same text on all pages are the template;
+For each host some pages of distinct main text are parsed and their trees aligned by
+simple tree matching.  Aligned nodes with the same text on all of them are the template;
 slots whose text varies hold the content.  The wrapper of a host is the path of
 the smallest element that holds all unmarked varying text, and the paths and texts of
-the template elements inside it.  A template text that any page of the host lacks at
-its path, while it has the path, is none; all pages are asked.  The wrapper is then
-applied to every page of the host, where only elements with a template's text leave.
+the template elements inside it.  These pages only propose it; all pages of the host
+decide.  A template text that any page lacks at its path, while it has the path, is
+none.  Where a page has other text beside an element of the path than the proposed
+wrapper, the content is the element around both.  The wrapper is then applied to every
+page of the host, where only elements with a template's text leave.
 Elements that HTML or their names mark as menu, header, footer, sidebar, notice,
 advert, form, script, style or reader comment are never content.  A host with
 fewer than two distinct pages has no wrapper: the page's own main element or
 articles are taken, else its body.
 
-The sample is ``SAMPLE_PAGES`` pages a host, found on a thin table, so a host may
-hold any share of all rows; wrappers are joined by host (broadcast only if their
-measured size is small).
+The proposing pages are ``SAMPLE_PAGES`` a host, found on a thin table, so a host may
+hold any share of all rows: more pages only make more text vary, which moves the path
+up and drops template texts, as the confirming pass over all pages does.  Wrappers are
+joined by host (broadcast only if their measured size is small).
 
 Defined results: a null or empty page has the empty text; a page whose url has no
 host, or that lacks the wrapper's element, is handled like one without a wrapper;
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import bounded, maybe_broadcast
 from .html_dom import Node, blocks, parse
 
-SAMPLE_PAGES = 8               # pages of a host that its wrapper is induced from
+SAMPLE_PAGES = 8               # pages of a host that its wrapper is proposed from
 
 BOILER_TAGS = frozenset("nav footer aside form button select dialog menu head label".split())
 BOILER_NAMES = re.compile(
@@ -149,21 +152,37 @@ def beside(x: Skeleton, kid: Skeleton) -> list[str]:
     return blocks(x.nodes, lambda n: boilerplate(n) or id(n) in inner)
 
 
+def digest(parts: list[str]) -> str:
+    return hashlib.blake2b("\n\n".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
 def entry(n: Node, path: str) -> str:
     """An element's path and a hash of its text."""
-    text = "\n\n".join(blocks([n], boilerplate))
-    return f"{path}\t{hashlib.blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}"
+    return f"{path}\t{digest(blocks([n], boilerplate))}"
+
+
+def step_entry(outer: list[Node], inner: list[Node], path: str, below: str) -> str:
+    """Two paths, one below the other, and a hash of the text between them."""
+    kept = {id(n) for n in inner}
+    return f"{path}\t{below}\t{digest(blocks(outer, lambda n: boilerplate(n) or id(n) in kept))}"
 
 
 def induce(pages: list[str]) -> tuple[str | None, list[str]]:
     """(path of the content element, entries of template elements below it) from
     pages of one host; pages with the same main text count once."""
+    path, _, template = proposed(pages)
+    return path, [t for t in template if t.startswith(f"{path}>")]
+
+
+def proposed(pages: list[str]) -> tuple[str | None, list[str], list[str]]:
+    """As :func:`induce`, with the entries of the steps from the root to the content
+    element, and the template entries of the whole page."""
     roots = {}
     for p in pages:
         r = parse(p)
         roots.setdefault(page_text(own_main(r)), r)
     if len(roots) < 2:
-        return None, []
+        return None, [], []
     first, *rest = (skeleton([r]) for r in roots.values())
     same: dict[int, int] = {}
     nodes: dict[int, Skeleton] = {}
@@ -175,8 +194,8 @@ def induce(pages: list[str]) -> tuple[str | None, list[str]]:
             if x.text == y.text:
                 same[id(x)] = same.get(id(x), 0) + 1
     if same.get(id(first), 0) == len(rest):
-        return None, []
-    best = first
+        return None, [], []
+    best, chain = first, [first.path]
     while True:
         at = pairs[id(best)]
         step = [k for k in best.kids if len(pairs.get(id(k), ())) == len(rest) and same.get(id(k), 0) < len(rest)
@@ -186,9 +205,12 @@ def induce(pages: list[str]) -> tuple[str | None, list[str]]:
         if step[0].tag in ("p", "b", "span", "i", "em", "strong", "a", "h1", "ul", "ol", "li", "table", "tr", "td"):
             break
         best = step[0]
+        chain.append(best.path)
+    at = found_at(next(iter(roots.values())), set(chain))
+    steps = [step_entry(at[a], at[b], a, b) for a, b in zip(chain, chain[1:])]
     template = [entry(x, n.path) for k, n in nodes.items() if same.get(k, 0) == len(rest) >= 2 and "." in n.label
-                and n.text and n.path.startswith(best.path + ">") for x in n.nodes]
-    return best.path, sorted(set(template))
+                and n.text for x in n.nodes]
+    return best.path, steps, sorted(set(template))
 
 
 def at_paths(root: Node, paths: set[str]) -> list[tuple[Node, str]]:
@@ -203,13 +225,24 @@ def at_paths(root: Node, paths: set[str]) -> list[tuple[Node, str]]:
     return out
 
 
-def refuted(page: str, template: list[str]) -> list[str]:
-    """The entries whose path the page has, but nowhere with their text."""
-    if not page or not template:
+def found_at(root: Node, paths: set[str]) -> dict[str, list[Node]]:
+    out: dict[str, list[Node]] = {p: [] for p in paths}
+    for n, at in at_paths(root, paths):
+        out[at].append(n)
+    return out
+
+
+def refuted(page: str, template: list[str], steps: list[str] = ()) -> list[str]:
+    """The entries whose path the page has, but nowhere with their text, and the steps
+    whose paths it has, but with other text between them."""
+    if not page or not (template or steps):
         return []
-    found = at_paths(parse(page), {t.split("\t")[0] for t in template})
-    paths, have = {at for _, at in found}, {entry(n, at) for n, at in found}
-    return [t for t in template if t.split("\t")[0] in paths and t not in have]
+    parts = [t.split("\t") for t in steps]
+    paths = {t.split("\t")[0] for t in template}
+    found = found_at(parse(page), paths | {p for s in parts for p in s[:2]})
+    have = {entry(n, at) for at in paths for n in found[at]}
+    return [t for t in template if found[t.split("\t")[0]] and t not in have] + \
+        [s for s, (a, b, _) in zip(steps, parts) if found[a] and found[b] and step_entry(found[a], found[b], a, b) != s]
 
 
 def apply_wrapper(page: str, path: str | None, template: list[str]) -> str:
@@ -229,7 +262,7 @@ def apply_wrapper(page: str, path: str | None, template: list[str]) -> str:
     return page_text(own_main(root), frozenset(drop))
 
 
-WRAPPER_SQL = "host string, path string, template array<string>"
+WRAPPER_SQL = "host string, path string, steps array<string>, template array<string>"
 OUT = pa.struct([("text", pa.string()), ("n_chars", pa.int64())])
 
 
@@ -239,38 +272,51 @@ def host_of(url: str):
 
 
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html", sample: int = SAMPLE_PAGES) -> DataFrame:
-    """One wrapper a host, from its first pages in the order of a hash."""
+    """One proposed wrapper a host, from its first pages of distinct main text in the
+    order of a hash."""
     rows = pages.where((F.length(F.col(html)) > 0) & (host_of(url) != "")).select(
         host_of(url).alias("host"), F.xxhash64(html).alias("h"), F.col(html).alias("html"))
     w = Window.partitionBy("host").orderBy("h")
-    chosen = rows.select("host", "h").distinct().withColumn("_rn", F.row_number().over(w)) \
-        .where(F.col("_rn") <= sample).drop("_rn")
+    chosen = rows.select("host", "h", main_hash_udf()("html").alias("m")).groupBy("host", "m").agg(F.min("h").alias("h")) \
+        .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= sample).select("host", "h")
     chosen, small = bounded(chosen)
     some = rows.join(maybe_broadcast(chosen, small), ["host", "h"]).dropDuplicates(["host", "h"])
 
     def make(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        path, template = induce(group.sort_values("h")["html"].tolist())
-        return pd.DataFrame({"host": [key[0]], "path": [path], "template": [template]})
+        path, steps, template = proposed(group.sort_values("h")["html"].tolist())
+        return pd.DataFrame({"host": [key[0]], "path": [path], "steps": [steps], "template": [template]})
     return some.groupBy("host").applyInPandas(make, WRAPPER_SQL)
 
 
+def main_hash_udf():
+    """Hash of a page's own main text."""
+    def run(html: pa.Array) -> pa.Array:
+        return pa.array([digest([page_text(own_main(parse(h or "")))]) for i in range(0, len(html), 256)
+                         for h in html.slice(i, 256).to_pylist()], pa.string())
+    return F.arrow_udf(run, "string")
+
+
 def refuted_udf():
-    def run(html: pa.Array, template: pa.Array) -> pa.Array:
-        return pa.array([refuted(h or "", t or []) for i in range(0, len(html), 256) for h, t in
-                         zip(html.slice(i, 256).to_pylist(), template.slice(i, 256).to_pylist())], pa.list_(pa.string()))
+    def run(html: pa.Array, template: pa.Array, steps: pa.Array) -> pa.Array:
+        return pa.array([refuted(h or "", t or [], s or []) for i in range(0, len(html), 256) for h, t, s in
+                         zip(*(x.slice(i, 256).to_pylist() for x in (html, template, steps)))], pa.list_(pa.string()))
     return F.arrow_udf(run, "array<string>")
 
 
 def confirmed(known: DataFrame, small: bool, pages: DataFrame, url: str, html: str) -> DataFrame:
-    """The wrappers without the template entries that a page of their host refutes;
-    only these entries are shuffled."""
-    some = known.where(F.size("template") > 0).select(F.col("host").alias("_host"), "template")
+    """The wrappers without the template entries that a page of their host refutes, and
+    with the path up to the first step that one refutes; only these entries are
+    shuffled."""
+    some = known.where(F.size("template") + F.size("steps") > 0).select(F.col("host").alias("_host"), "template", "steps")
     wrong = pages.where(F.length(F.col(html)) > 0).select(F.col(html).alias("_html"), host_of(url).alias("_at")) \
         .join(maybe_broadcast(some, small), F.col("_at") == F.col("_host")) \
-        .select("_host", F.explode(refuted_udf()("_html", "template")).alias("_t")).distinct() \
+        .select("_host", F.explode(refuted_udf()("_html", "template", "steps")).alias("_t")).distinct() \
         .groupBy("_host").agg(F.collect_list("_t").alias("_wrong"))
-    return known.join(wrong, F.col("host") == F.col("_host"), "left").select(
-        "host", "path", F.array_except("template", F.coalesce("_wrong", F.array().cast("array<string>"))).alias("template"))
+    bad = F.coalesce("_wrong", F.array().cast("array<string>"))
+    first = F.get(F.filter("steps", lambda s: F.array_contains(bad, s)), F.lit(0))
+    out = known.join(wrong, F.col("host") == F.col("_host"), "left").select(
+        "host", F.coalesce(F.substring_index(first, "\t", 1), "path").alias("path"), F.array_except("template", bad).alias("template"))
+    return out.withColumn("template", F.filter("template", lambda t: F.startswith(t, F.concat("path", F.lit(">")))))
 
 
 def extract_udf():
