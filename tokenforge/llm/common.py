@@ -8,10 +8,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_BYTES, approx_bytes, materialize, scratch_path
+from ..session import BROADCAST_BYTES, approx_bytes, materialize, row_bytes, scratch_path
 
 CHUNK_BYTES = 512 << 10        # bytes of text that one numpy step holds
 
@@ -52,6 +52,17 @@ def bounded(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> tuple[DataFram
     return m, size <= limit_bytes
 
 
+def weighed(df: DataFrame, **sums: Column) -> tuple[DataFrame, dict[str, int]]:
+    """As ``compact``, in one job: bytes, rows and ``sums`` are observed as the rows are
+    written.  For loops, where every job's plan and threads stay with the driver for
+    a while."""
+    seen = Observation()
+    m = materialize(df.observe(seen, F.sum(row_bytes(df)).alias("bytes"), F.count("*").alias("rows"),
+                               *[c.alias(k) for k, c in sums.items()]))
+    got = {k: v or 0 for k, v in seen.get.items()}
+    return m.coalesce(got["bytes"] // PART_BYTES + 1), got
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared checkpoint folder and read again; for
     tables too large for a row-wise checkpoint.  The files go when Spark ends."""

@@ -17,9 +17,13 @@ metric, so classes are joined by regions around pivots:
    a partner of a member at distance d <= 2r of its pivot lies within d + r of it,
    so such boundary members are replicated to the region as guests.  Members
    further than 2r from every pivot form the far region.  Regions go on as cells of
-   their own, without those whose members are all connected, until few members are
+   own, without those whose members are all connected, until few members are
    outside the largest component of a cell; these are measured against its others.
 
+Every step of the recursion measures its pairs of both kinds at once and joins only the
+new links to the components so far: the driver keeps something of every job, so jobs are
+what its memory grows with.
+
 Sets are measured exactly wherever a link is decided.  Only thin rows (hash pairs)
 are shuffled until the candidates are known, and only their sets are moved.
 
@@ -32,26 +36,34 @@ none.  Sets are compared by 64-bit shingle hashes.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..session import BROADCAST_BYTES, materialize
-from .common import LOWER, WS, Texts, bounded, chunks, compact, give_back, maybe_broadcast, mix, span_hashes, stored
+from .common import LOWER, WS, Texts, bounded, chunks, give_back, maybe_broadcast, mix, span_hashes, stored, weighed
 
 SHINGLE, NUM, DEN = 5, 3, 4    # words; least similarity as a fraction
 SMALL = 64                     # classes of a cell that gives its pairs
-FEW = 64                       # unconnected members that are measured against a larger cell
+FEW = 64                       # unconnected members that are measured against a larger cell: see few_of
 PIVOTS = (2, 6, 6, 8)          # pivots of a larger cell, by depth; then twice as many each time
 FREQ_SHARE, FREQ_LEAST, FREQ_ROWS = 32, 3, 200_000   # order of frequent shingles: see frequent_shingles
 SET_BYTES = 1 << 20            # sets of a step that are broadcast; beyond it they are shuffled
+ONE_TASK = 100_000             # edges of a forest whose components one task finds; beyond it Spark's steps do
 SKETCH = 256                   # ranges that a set's members are counted in
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
+def _bounded(df: DataFrame) -> tuple[DataFrame, bool]:
+    """As ``bounded``, in one job."""
+    m, got = weighed(df)
+    return m, got["bytes"] <= BROADCAST_BYTES
+
+
 def shingle_sets(arr: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each whole text."""
     t = Texts(arr)
@@ -248,26 +260,27 @@ def overlap_udf():
     return F.arrow_udf(run, "long")
 
 
-def measure(pairs: DataFrame, sets: tuple[DataFrame, DataFrame, bool], within: float) -> DataFrame:
-    """``pairs`` (a, b) with their sizes na, nb and overlap o.  Where the sketches
-    show a distance over ``within``, o is their upper bound; else it is exact, and
-    only there the sets themselves are moved."""
+def measure(pairs: DataFrame, sets: tuple[DataFrame, DataFrame, bool]) -> tuple[DataFrame, bool]:
+    """``pairs`` (a, b, within) with their sizes na, nb and overlap o, and whether that
+    is small.  Where the sketches show a distance over ``within``, o is their upper
+    bound; else it is exact, and only there the sets themselves are moved."""
     full, thin, small = sets
     for x in "ab":
         pairs = pairs.join(maybe_broadcast(thin.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"),
                                                        F.col("sketch").alias(f"s{x}")), small), x)
-    pairs, _ = compact(pairs.select("a", "b", "na", "nb", most_overlap_udf()("sa", "sb", "na", "nb").alias("o")))
-    near = distance() <= within + 1e-9
-    need, few = bounded(pairs.where(near).select(F.explode(F.array("a", "b")).alias("sig")).distinct())
-    size = thin.join(maybe_broadcast(need, few), "sig", "left_semi").agg(F.sum("n")).first()[0] or 0
-    full = full.select("sig", "tokens").join(maybe_broadcast(need, few), "sig", "left_semi")
+    pairs, _ = weighed(pairs.select("a", "b", "within", "na", "nb", most_overlap_udf()("sa", "sb", "na", "nb").alias("o")))
+    near = distance() <= F.col("within") + 1e-9
+    both = F.array(*[F.struct(F.col(x).alias("sig"), F.col(f"n{x}").alias("n")) for x in "ab"])
+    need, got = weighed(pairs.where(near).select(F.explode(both).alias("s")).select("s.*").distinct(), members=F.sum("n"))
+    full = full.select("sig", "tokens").join(maybe_broadcast(need.select("sig"), 8 * got["rows"] <= BROADCAST_BYTES),
+                                             "sig", "left_semi")
     exact = pairs.where(near).drop("o")
     for x in "ab":
         side = full.select(F.col("sig").alias(x), F.col("tokens").alias(f"t{x}"))
-        exact = exact.join(maybe_broadcast(side, 8 * size <= SET_BYTES), x)
-    exact = exact \
-        .select("a", "b", "na", "nb", overlap_udf()("ta", "tb").alias("o"))
-    return compact(exact.unionByName(pairs.where(~near)))[0]
+        exact = exact.join(maybe_broadcast(side, 8 * got["members"] <= SET_BYTES), x)
+    exact = exact.select("a", "b", "na", "nb", overlap_udf()("ta", "tb").alias("o"))
+    known, got = weighed(exact.unionByName(pairs.where(~near).drop("within")))
+    return known, got["bytes"] <= BROADCAST_BYTES
 
 
 def is_link(num: int, den: int):
@@ -302,20 +315,29 @@ def pivots_of(depth: int) -> int:
     return PIVOTS[depth] if depth < len(PIVOTS) else PIVOTS[-1] << (depth - len(PIVOTS) + 1)
 
 
-def split_cells(cells: DataFrame, sets: tuple, depth: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(links, regions) of one step: cells (cell, sig) are split around pivots."""
+def few_of(depth: int) -> int:
+    """Unconnected members that end a cell at this depth; a cell that pivots have split
+    before may keep more of them, as another step costs more than their pairs."""
+    return FEW << depth
+
+
+def near_pivots(cells: DataFrame, depth: int) -> DataFrame:
+    """(cell, sig, n, most, pivot) of every member and pivot of its cell.  The smallest
+    members are the pivots: what a cell shares is most of them."""
+    w = Window.partitionBy("cell").orderBy("n", F.xxhash64("sig"), "sig")
+    pivots, few = _bounded(cells.select("cell", "sig", "n").withColumn("_rn", F.row_number().over(w))
+                           .where(F.col("_rn") <= pivots_of(depth)).select("cell", F.col("sig").alias("pivot")))
+    return cells.select("cell", "sig", "n", "most").join(maybe_broadcast(pivots, few), "cell")
+
+
+def split_cells(near: DataFrame, known: DataFrame, small: bool, depth: int, num: int, den: int) -> DataFrame:
+    """Regions (cell, sig, n, most) of one step: cells are split around pivots, whose
+    distances to the members are in ``known``."""
     r, eps = 1 - num / den, 1e-9
     # Distances over 2r may be lower bounds: who is at home or in a ball is exact, and
     # a member that is nearer than it should be only makes one guest more.
-    # The smallest members are the pivots: what a cell shares is most of them.
-    w = Window.partitionBy("cell").orderBy("n", F.xxhash64("sig"), "sig")
-    pivots, few = bounded(cells.select("cell", "sig", "n").withColumn("_rn", F.row_number().over(w))
-                          .where(F.col("_rn") <= pivots_of(depth)).select("cell", F.col("sig").alias("pivot")))
-    near = cells.select("cell", "sig", "n", "most").join(maybe_broadcast(pivots, few), "cell")
     low, high = F.least("sig", "pivot"), F.greatest("sig", "pivot")
-    known = measure(near.where("sig != pivot").select(low.alias("a"), high.alias("b")).distinct(), sets, 2 * r) \
-        .withColumn("d", distance()).withColumn("link", is_link(num, den))
-    d, small = bounded(known.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "d", "link"))
+    d = known.select(F.col("a").alias("_a"), F.col("b").alias("_b"), distance().alias("d"), is_link(num, den).alias("link"))
     to = near.join(maybe_broadcast(d, small), (low == F.col("_a")) & (high == F.col("_b")), "left") \
         .select("cell", "sig", "n", "most", F.struct(F.coalesce("d", F.lit(0.0)).alias("d"), "pivot", "link").alias("p"))
     # a distance for each pivot; the pivots themselves are done
@@ -333,25 +355,25 @@ def split_cells(cells: DataFrame, sets: tuple, depth: int, num: int, den: int) -
     regions = regions.unionByName(far)
     # Nothing is left to do where all are in one ball or none is at home.  Of a ball,
     # only members within r of the nearest one outside can link to it.
-    state, few = bounded(regions.groupBy("region").agg(
+    state, few = _bounded(regions.groupBy("region").agg(
         F.min(F.when(~F.col("inside"), F.col("d"))).alias("edge"), F.max("home").alias("any"), F.count("*").alias("n"))
         .where("any and edge is not null and n > 1").select("region", "edge"))
     regions = regions.join(maybe_broadcast(state, few), "region") \
         .where(~F.col("inside") | (F.col("d") >= F.col("edge") - r - eps)).select("cell", "region", "sig", "n", "most")
     # where pivots don't separate a cell, it goes on as it is, without them
     size = member.groupBy("cell").agg(F.count("*").alias("n"))
-    apart, few = bounded(regions.groupBy("cell").agg(F.count("*").alias("rows")).join(size, "cell")
-                         .select("cell", (4 * F.col("rows") <= 5 * F.col("n")).alias("apart")))
+    apart, few = _bounded(regions.groupBy("cell").agg(F.count("*").alias("rows")).join(size, "cell")
+                          .select("cell", (4 * F.col("rows") <= 5 * F.col("n")).alias("apart")))
     split = regions.join(maybe_broadcast(apart.where("apart").select("cell"), few), "cell") \
         .select(F.col("region").alias("cell"), "sig", "n", "most")
     whole = member.join(maybe_broadcast(apart.where("not apart").select("cell"), few), "cell") \
         .select(F.xxhash64("cell", F.lit(depth)).alias("cell"), "sig", "n", "most")
-    return known.where("link").select("a", "b"), split.unionByName(whole).distinct()
+    return split.unionByName(whole).distinct()
 
 
-def open_cells(cells: DataFrame, edges: DataFrame, num: int, den: int) -> DataFrame:
+def open_cells(cells: DataFrame, labels: tuple[DataFrame, bool], few: int, num: int, den: int) -> tuple[DataFrame, bool, bool]:
     """(cell, sig, n, most, root, main, others) of cells whose members aren't all
-    connected yet; main: the component with most members, others: members of other
+    connected yet, and whether any has up to ``few`` others and any more; main: the component with most members, others: members of other
     ones.  Of cells with the same members one stays, that of most ``most``: a rare
     shingle's, if there is one.
 
@@ -359,12 +381,11 @@ def open_cells(cells: DataFrame, edges: DataFrame, num: int, den: int) -> DataFr
     the cell of a frequent one, members need only be linked by as many shingles as
     either has frequent ones (``most``), and those for which that is too few even
     with the smallest member leave."""
-    least, few = bounded(cells.groupBy("cell").agg(F.min("n").alias("_n")))
+    least, small = _bounded(cells.groupBy("cell").agg(F.min("n").alias("_n")))
     partner = F.greatest(F.col("_n"), F.ceil(num * F.col("n") / den))
-    cells = cells.join(maybe_broadcast(least, few), "cell") \
+    cells = cells.join(maybe_broadcast(least, small), "cell") \
         .where((num + den) * F.col("most") >= num * (F.col("n") + partner)).drop("_n")
-    roots, small = bounded(components(edges))
-    rows = cells.join(maybe_broadcast(roots, small), F.col("sig") == F.col("node"), "left") \
+    rows = cells.join(maybe_broadcast(*labels), F.col("sig") == F.col("node"), "left") \
         .select("cell", "sig", "n", "most", F.coalesce("root", "sig").alias("root"))
     parts = rows.groupBy("cell", "root").agg(F.count("*").alias("n"), F.sum("most").alias("most"),
                                              F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("s"))
@@ -372,8 +393,11 @@ def open_cells(cells: DataFrame, edges: DataFrame, num: int, den: int) -> DataFr
                                       F.sum("s").alias("s")).where(F.col("n") > F.col("m.n"))
     state = state.groupBy("s", "n").agg(F.min(F.struct((-F.col("most")).alias("o"), "cell", "m")).alias("c")) \
         .select("c.cell", F.col("c.m.root").alias("main"), (F.col("n") - F.col("c.m.n")).alias("others"))
-    state, small = bounded(state)
-    return stored(rows.join(maybe_broadcast(state, small), "cell"), "cells")
+    state, small = _bounded(state)
+    seen = Observation()
+    out = stored(rows.join(maybe_broadcast(state, small), "cell")
+                 .observe(seen, F.max(F.col("others") <= few).alias("few"), F.max(F.col("others") > few).alias("many")), "cells")
+    return out, bool(seen.get["few"]), bool(seen.get["many"])
 
 
 def cross_pairs(cells: DataFrame, num: int, den: int) -> DataFrame:
@@ -385,11 +409,12 @@ def cross_pairs(cells: DataFrame, num: int, den: int) -> DataFrame:
     return cells.join(few, (F.col("cell") == F.col("_c")) & (F.col("root") != F.col("_r"))
                       & (den * F.col("n") >= num * F.col("_n")) & (den * F.col("_n") >= num * F.col("n"))
                       & ((num + den) * F.least("most", "_m") >= num * (F.col("n") + F.col("_n")))) \
-        .select(F.least("sig", "_s").alias("a"), F.greatest("sig", "_s").alias("b")).distinct()
+        .select(F.least("sig", "_s").alias("a"), F.greatest("sig", "_s").alias("b"))
 
 
 def links(texts: DataFrame, profiles: DataFrame, sizes: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """Links (a, b) between classes that connect all that any links connect.
+    """(node, root) of the classes that links connect; root: the least class of its
+    component.
 
     ``texts`` has one text column, ``profiles`` the columns of ``profile_udf``,
     ``sizes`` (sig, n) of every class."""
@@ -400,45 +425,107 @@ def links(texts: DataFrame, profiles: DataFrame, sizes: DataFrame, num: int = NU
     cells = stored(seed_cells(texts, frequent_shingles(profiles), num, den)
                    .repartition(parts, F.when(F.col("often") >= 0, F.col("sig")).otherwise(F.col("token")))
                    .mapInArrow(_cells, "kind int, a long, b long, often long"), "pairs")
-    large, _ = compact(cells.where("kind = 1").select(F.col("a").alias("cell"), F.col("b").alias("sig"), "often").distinct()
+    large, _ = weighed(cells.where("kind = 1").select(F.col("a").alias("cell"), F.col("b").alias("sig"), "often").distinct()
                         .join(sizes.select("sig", "n"), "sig").select(
                             "cell", "sig", "n", F.when(F.col("often") < 0, F.col("n")).otherwise(F.col("often")).alias("most")))
-    pairs, _ = compact(small_cell_pairs(cells.where("kind = 0"), large, sizes, num, den))
+    pairs, _ = weighed(small_cell_pairs(cells.where("kind = 0"), large, sizes, num, den))
     sets = stored(class_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("sig"))
                              .unionByName(large.select("sig")).distinct()), "sets")
-    sets = (sets, *bounded(sets.select("sig", "n", "sketch")))      # whole, thin, thin is small
-    found = measure(pairs, sets, 1 - num / den).where(is_link(num, den)).select("a", "b")
+    sets = (sets, *_bounded(sets.select("sig", "n", "sketch")))     # whole, thin, thin is small
+    r = 1 - num / den
+    known, small = measure(pairs.withColumn("within", F.lit(r)), sets)
+    labels = components(known.where(is_link(num, den)))
     depth = 0
     while True:
-        state = open_cells(large, found, num, den)
-        few = state.where(F.col("others") <= FEW)
-        if not few.isEmpty():
-            found = found.unionByName(measure(cross_pairs(few, num, den), sets, 1 - num / den)
-                                      .where(is_link(num, den)).select("a", "b"))
-        many = state.where(F.col("others") > FEW)
-        if many.isEmpty():
-            return found
-        new, large = split_cells(many, sets, depth, num, den)
-        found, large = found.unionByName(new), stored(large, "regions")
+        state, few, many = open_cells(large, labels, few_of(depth), num, den)
+        if not few and not many:
+            return labels[0]
+        todo = []
+        if few:
+            todo.append(cross_pairs(state.where(F.col("others") <= few_of(depth)), num, den).withColumn("within", F.lit(r)))
+        if many:
+            near = near_pivots(state.where(F.col("others") > few_of(depth)), depth)
+            todo.append(near.where("sig != pivot").select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b"),
+                                                          F.lit(2 * r).alias("within")))
+        known, small = measure(functools.reduce(DataFrame.unionByName, todo).groupBy("a", "b").agg(F.max("within").alias("within")), sets)
+        labels = connect(labels, known.where(is_link(num, den)))
+        if not many:
+            return labels[0]
+        large = stored(split_cells(near, known, small, depth, num, den), "regions")
         depth += 1
 
 
-def components(edges: DataFrame) -> DataFrame:
+def least_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges (a, b), and the least node that each reaches."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[:len(a)], at[len(a):]
+    root = np.arange(len(node))
+    while True:
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        if (low == high).all():
+            return node, node[root]
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _edges(it: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and least roots of the edges of some batches, held as a forest."""
+    a = b = np.zeros(0, np.int64)
+    for rows in it:
+        a, b = np.concatenate([a, rows.column(0).to_numpy()]), np.concatenate([b, rows.column(1).to_numpy()])
+        if len(a) > 1 << 20:
+            a, b = least_roots(a, b)
+            a, b = a[a != b], b[a != b]
+    return least_roots(a, b)
+
+
+def _forest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) that connect what a partition's edges connect, one a node at most."""
+    node, root = _edges(it)
+    yield pa.RecordBatch.from_arrays([pa.array(root[node != root]), pa.array(node[node != root])], ["a", "b"])
+
+
+def _roots(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    node, root = _edges(it)
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["node", "root"])
+
+
+def components(edges: DataFrame) -> tuple[DataFrame, bool]:
     """(node, root) of all nodes of the edges (a, b), root the least node that is
-    reachable; by minimum labels and pointer jumping, logarithmic in steps."""
-    both, _ = compact(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label, size = compact(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    reachable; and whether that is small.  Each partition's edges become a forest;
+    a small one is finished by one task, others by minimum labels and pointer
+    jumping, logarithmic in steps."""
+    forest, got = weighed(edges.select("a", "b").mapInArrow(_forest, "a long, b long"))
+    if got["rows"] <= ONE_TASK:
+        return _bounded(forest.coalesce(1).mapInArrow(_roots, "node long, root long"))
+    both, _ = weighed(forest.unionByName(forest.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label, small = _bounded(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
     while True:
-        to = maybe_broadcast(label.select(F.col("node").alias("b"), F.col("root").alias("rb")), size <= BROADCAST_BYTES)
+        to = maybe_broadcast(label.select(F.col("node").alias("b"), F.col("root").alias("rb")), small)
         least = both.join(to, "b").groupBy(F.col("a").alias("node")).agg(F.min("rb").alias("m"))
         new = label.join(least, "node").select("node", F.least("root", "m").alias("root"), F.col("root").alias("old"))
         # hook the old root under the new one, then jump
         hook = new.groupBy(F.col("old").alias("h")).agg(F.min("root").alias("to"))
-        jump, size = compact(new.join(hook, F.col("root") == F.col("h"), "left")
-                           .select("node", F.least("root", F.coalesce("to", "root")).alias("root"), "old"))
-        label = jump.select("node", "root")
-        if jump.where(F.col("root") != F.col("old")).isEmpty():
-            return label
+        jump, got = weighed(new.join(hook, F.col("root") == F.col("h"), "left")
+                            .select("node", F.least("root", F.coalesce("to", "root")).alias("root"), "old"),
+                            changed=F.count_if(F.col("root") != F.col("old")))
+        label, small = jump.select("node", "root"), got["bytes"] <= BROADCAST_BYTES
+        if not got["changed"]:
+            return label, small
+
+
+def connect(labels: tuple[DataFrame, bool], edges: DataFrame) -> tuple[DataFrame, bool]:
+    """``components`` of ``labels`` and the edges (a, b): only the edges between different
+    components are looked at, as edges of their roots."""
+    old, small = labels
+    for x in "ab":
+        edges = edges.join(maybe_broadcast(old.select(F.col("node").alias(x), F.col("root").alias(f"_{x}")), small), x, "left")
+    new, few = components(edges.select(*[F.coalesce(f"_{x}", x).alias(x) for x in "ab"]).where("a != b"))
+    to = maybe_broadcast(new.select(F.col("node").alias("root"), F.col("root").alias("_to")), few)
+    # the old roots among the new nodes come twice, with the same root
+    return _bounded(old.join(to, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+                    .unionByName(new).distinct())
 
 
 def _found(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -447,7 +534,7 @@ def _found(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = stored(p.select("doc_id", "p.*"), "profiles")
     classes = materialize(rows.where("n > 0").groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("least")))
     texts = docs.select(F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull())
-    roots = components(links(texts, rows, classes.select("sig", "n")))
+    roots = links(texts, rows, classes.select("sig", "n"))
     grouped = classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left") \
         .withColumn("root", F.coalesce("root", "sig"))
     w = grouped.groupBy(F.col("root").alias("_r")).agg(F.min("least").alias("component_id"))

@@ -75,26 +75,27 @@ def materialize(df: DataFrame) -> DataFrame:
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
-def approx_bytes(df: DataFrame):
-    """Upper-bound-ish byte size of a table's values: string / binary lengths,
-    8 bytes per fixed-width value, JSON length for nested values."""
+def row_bytes(df: DataFrame):
+    """Upper-bound-ish byte size of a row's values, as a column: string / binary
+    lengths, 8 bytes per fixed-width value, JSON length for nested values."""
     from pyspark.sql import functions as F
     from pyspark.sql.types import BinaryType, StringType, ArrayType, MapType, StructType
-    parts = []
+    total = F.lit(0)
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (StringType, BinaryType)):
-            parts.append(F.coalesce(F.octet_length(c), F.lit(0)))
+            total = total + F.coalesce(F.octet_length(c), F.lit(0))
         elif isinstance(f.dataType, (ArrayType, MapType, StructType)):
-            parts.append(F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)))
+            total = total + F.coalesce(F.octet_length(F.to_json(c)), F.lit(0))
         else:
-            parts.append(F.lit(8))
-    if not parts:
-        return 0
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return df.agg(F.sum(total.cast("long"))).first()[0] or 0
+            total = total + F.lit(8)
+    return total.cast("long")
+
+
+def approx_bytes(df: DataFrame):
+    """Byte size of a table's values, by ``row_bytes``."""
+    from pyspark.sql import functions as F
+    return df.agg(F.sum(row_bytes(df))).first()[0] or 0
 
 
 def small_table(df: DataFrame, limit_rows: int,
